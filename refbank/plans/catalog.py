@@ -1,0 +1,229 @@
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame.
+
+Every query reads the driver tables through :mod:`refbank.plans.fixtures`
+and runs an operator over the whole tables.  Array results are flattened
+with ``array_join`` and counts cast to ``long`` so both engines hash alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from refbank.functions import scalars as S
+from refbank.operators import lifecycle as L
+from refbank.operators import retrieval as R
+from refbank.plans import fixtures as X
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    REGISTRY[fn.__name__.removeprefix("q_")] = fn
+    return fn
+
+
+def _ids(arr) -> F.Column:
+    return F.array_join(arr, ",")
+
+
+# --- phase 1: slice ---------------------------------------------------------
+
+@query
+def q_scan_inputs(spark, d):
+    return X.inputs(spark, d)
+
+
+@query
+def q_input_signature(spark, d):
+    return X.inputs(spark, d).select("input_id", S.signature("content").alias("signature"))
+
+
+@query
+def q_input_type(spark, d):
+    return X.inputs(spark, d).select("input_id", "path", S.input_type("path").alias("input_type"))
+
+
+@query
+def q_retrieve_direct(spark, d, top_k: int = 10):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    ctx = x.select("template_id", "input_type").distinct()
+    direct = R._dedupe_by_id(R.direct_rules(ctx, X.rules(spark, d)), ["template_id", "input_type"])
+    w = Window.partitionBy("template_id", "input_type").orderBy(F.col("confidence").desc(), "ord")
+    top = direct.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    return (x.select("input_id", "template_id", "input_type").join(top, ["template_id", "input_type"])
+            .select("input_id", F.col("rank").cast("long").alias("rank"), "id", "confidence"))
+
+
+# --- phase 2: retrieval -------------------------------------------------------
+
+@query
+def q_match_patterns(spark, d):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    m = R.match_patterns(x.select("template_id", "signature"), X.patterns(spark, d))
+    return (x.select("input_id", "template_id", "signature").join(m, ["template_id", "signature"])
+            .select("input_id", F.col("rank").cast("long").alias("rank"), "pattern_id", "accuracy", "exact"))
+
+
+def _type_direct(spark, d):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    ctx = x.select("template_id", "input_type").distinct()
+    return R.direct_rules(ctx, X.rules(spark, d))
+
+
+@query
+def q_kg_shared_anchor(spark, d):
+    return R.shared_anchor_neighbors(_type_direct(spark, d), X.edges(spark, d))
+
+
+@query
+def q_kg_often_follows(spark, d):
+    return R.follows_neighbors(_type_direct(spark, d), X.edges(spark, d))
+
+
+@query
+def q_kg_expand(spark, d):
+    out = R.kg_expand(_type_direct(spark, d), X.edges(spark, d), X.rules(spark, d))
+    return out.select("template_id", "input_type", "id", "confidence")
+
+
+@query
+def q_via_signature(spark, d):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    m = R.match_patterns(x.select("template_id", "signature"), X.patterns(spark, d))
+    v = R.via_signature(m, X.rules(spark, d)).select("template_id", "signature", "id", "confidence").distinct()
+    return (x.select("input_id", "template_id", "signature").join(v, ["template_id", "signature"])
+            .select("input_id", "id", "confidence"))
+
+
+@query
+def q_new_variants(spark, d):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    return R.new_variants(x, X.patterns(spark, d)).select("input_id", "signature_mismatch")
+
+
+@query
+def q_query_anchors(spark, d):
+    return R.query_anchors(X.anchors(spark, d))
+
+
+def _retrieved(spark, d):
+    return R.retrieve_rules(X.inputs(spark, d), X.rules(spark, d), X.edges(spark, d),
+                            X.patterns(spark, d), as_of=X.as_of())
+
+
+@query
+def q_retrieve_rules(spark, d):
+    return _retrieved(spark, d).select("input_id", F.col("rank").cast("long").alias("rank"),
+                                       "id", "source", "confidence")
+
+
+@query
+def q_retrieval_context(spark, d):
+    return R.retrieval_context(X.inputs(spark, d), X.rules(spark, d), X.edges(spark, d),
+                               X.patterns(spark, d), X.anchors(spark, d), as_of=X.as_of())
+
+
+# --- phase 3: lifecycle -------------------------------------------------------
+
+def _latest_outcome(spark, d):
+    o = X.outcomes(spark, d)
+    return (o.groupBy("template_id")
+            .agg(F.max_by("v", F.struct("ts", "event_id")).alias("v"))
+            .select("template_id",
+                    F.when(F.col("v") > 0, S.OUTCOME_VALUE["SUCCESS"])
+                     .when(F.col("v") < 0, S.OUTCOME_VALUE["FAILURE"])
+                     .otherwise(S.OUTCOME_VALUE["PARTIAL"]).alias("outcome")))
+
+
+@query
+def q_apply_outcome(spark, d):
+    out = L.apply_template_outcomes(X.rules(spark, d), _latest_outcome(spark, d))
+    return out.select("template_id", "id", "confidence", "support")
+
+
+@query
+def q_replay_outcomes(spark, d):
+    out = L.replay_outcomes(X.rules(spark, d), X.outcomes(spark, d))
+    return out.select("template_id", "id", "confidence", "support", "archived")
+
+
+@query
+def q_decay_rules(spark, d):
+    return L.decay_rules(X.rules(spark, d), X.as_of()).select("template_id", "id", "confidence")
+
+
+@query
+def q_touch_rules(spark, d):
+    out = L.touch_rules(X.rules(spark, d), _retrieved(spark, d), X.as_of())
+    return out.select("template_id", "id",
+                      F.date_format("last_used", "yyyy-MM-dd HH:mm:ss").alias("last_used"))
+
+
+@query
+def q_archived_counts(spark, d):
+    return L.archived_counts(X.rules(spark, d), _latest_outcome(spark, d), X.as_of())
+
+
+def _base_ids(spark, d):
+    return L.next_ids(X.rules(spark, d), X.patterns(spark, d), X.edges(spark, d))
+
+
+@query
+def q_next_ids(spark, d):
+    return _base_ids(spark, d)
+
+
+def draft_requests(spark, d):
+    """Field specs to draft: one per part, anchored on even sizes."""
+    p = X.table(spark, d, "part").select("p_partkey", "p_size")
+    return p.select(
+        F.concat(F.lit("src"), (F.col("p_partkey") % X.N_TEMPLATES).cast("string")).alias("template_id"),
+        F.lit("md").alias("input_type"),
+        F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("field"),
+        F.when(F.col("p_size") % 2 == 0,
+               F.concat(F.lit("A"), (F.col("p_partkey") % 100).cast("string"))).alias("anchor"),
+        F.col("p_partkey").alias("ord"))
+
+
+@query
+def q_draft_rules(spark, d):
+    drafted, _ = L.draft_rules(draft_requests(spark, d), _base_ids(spark, d), X.as_of())
+    return drafted.select("template_id", "id", "field", "action", "anchor", "confidence", "support")
+
+
+@query
+def q_append_edges(spark, d):
+    e = X.edges(spark, d)
+    _, new_edges = L.draft_rules(draft_requests(spark, d), _base_ids(spark, d), X.as_of())
+    proposed = new_edges.unionByName(e.where(F.col("relation") == "uses_anchor"))
+    return L.append_edges(e, proposed).select("template_id", "src", "dst", "relation")
+
+
+@query
+def q_reflect_rules(spark, d):
+    missing = draft_requests(spark, d).where(F.col("anchor").isNull()).drop("anchor")
+    out = L.reflect_rules(X.rules(spark, d), missing, _base_ids(spark, d), X.as_of())
+    return out.select("template_id", "id", "field", "action", "confidence", "support")
+
+
+@query
+def q_record_patterns(spark, d):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    got = _retrieved(spark, d)
+    per = got.groupBy("input_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("rule_ids"),
+        F.array_sort(F.collect_set("field")).alias("fields"))
+    runs = (x.select("input_id", "template_id", "signature", "input_type").join(per, "input_id", "left")
+            .select("template_id", "input_id", "signature", "input_type",
+                    F.when(F.col("rule_ids").isNull(), 2).otherwise(1).alias("level"),
+                    F.coalesce("rule_ids", F.array().cast("array<string>")).alias("rule_ids"),
+                    F.coalesce("fields", F.array().cast("array<string>")).alias("fields"),
+                    F.col("input_id").alias("ord")))
+    out = L.record_patterns(X.patterns(spark, d), runs, X.as_of())
+    return out.select("template_id", "input_id", "pattern_id", "input_signature", "input_type",
+                      "accuracy", _ids(F.col("rules_used")).alias("rules_used"),
+                      _ids(F.col("fields_extracted")).alias("fields_extracted"))
