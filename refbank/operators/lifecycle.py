@@ -140,10 +140,11 @@ def replay_outcomes(rules: DataFrame, outcomes: DataFrame, chunk: str = "hour")
     sup = F.coalesce(F.col("support"), F.lit(0)) + F.coalesce(F.col("n_plus"), F.lit(0))
     # An archived rule leaves the bank; its confidence / support are void.
     arch = F.coalesce(archived, F.lit(False))
-    return (r.withColumn("archived", arch)
-            .withColumn("confidence", F.when(~arch, conf))
-            .withColumn("support", F.when(~arch, sup.cast("long")))
-            .drop(*summ.columns[1:]))
+    keep = [c for c in rules.columns if c not in ("confidence", "support")]
+    return r.select(*keep,
+                    F.when(~arch, conf).alias("confidence"),
+                    F.when(~arch, sup.cast("long")).alias("support"),
+                    arch.alias("archived"))
 
 
 # --- touch (L4) --------------------------------------------------------------

@@ -227,3 +227,161 @@ def q_record_patterns(spark, d):
     return out.select("template_id", "input_id", "pattern_id", "input_signature", "input_type",
                       "accuracy", _ids(F.col("rules_used")).alias("rules_used"),
                       _ids(F.col("fields_extracted")).alias("fields_extracted"))
+
+
+# --- phase 4: failure memory ---------------------------------------------------
+
+from refbank.operators import memory as M  # noqa: E402
+
+
+def _log(spark, d):
+    return M.enrich_events(X.exec_log(spark, d))
+
+
+@query
+def q_read_exec_log(spark, d):
+    return _log(spark, d).select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+        "template_signature", "error_type",
+        _ids(F.col("missing_fields")).alias("missing_fields"), "repair_action")
+
+
+@query
+def q_cluster_key(spark, d):
+    return _log(spark, d).select("event_id", "cluster_key")
+
+
+@query
+def q_event_id(spark, d):
+    e = X.exec_log(spark, d)
+    return e.select("event_id", S.event_id(F.col("ts"), F.col("template_signature"), F.col("error_type"),
+                                           S.normalize_fields(F.col("missing_fields")),
+                                           F.col("repair_action")).alias("eid"))
+
+
+@query
+def q_failure_clusters(spark, d):
+    return M.failure_clusters(_log(spark, d)).select(
+        "cluster_key", "samples", "signature", "error_type", "missing_fields", "first_event", "last_event",
+        F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
+
+
+@query
+def q_top_repair(spark, d):
+    return M.top_repair(_log(spark, d))
+
+
+@query
+def q_summary_rules(spark, d):
+    return M.summary_rules(_log(spark, d)).select(
+        "id", "template_signature", "error_type", "missing_fields", "repair_action", "support", "vote_rate")
+
+
+def repair_queries(spark, d):
+    """Lookup requests: every distinct failure shape of the log, as raised."""
+    e = X.exec_log(spark, d).where(F.col("error_type").isNotNull())
+    return (e.select("template_signature", "error_type", "missing_fields").distinct()
+            .withColumn("query_id", F.concat_ws("|", "template_signature", "error_type",
+                                                F.array_join("missing_fields", ","))))
+
+
+@query
+def q_suggest_repairs(spark, d):
+    rules = M.summary_rules(_log(spark, d))
+    return M.suggest_repairs(rules, repair_queries(spark, d)).select("query_id", "id")
+
+
+@query
+def q_relearn_candidates(spark, d):
+    return M.relearn_candidates(_log(spark, d))
+
+
+# --- phase 5: cells, bindings, formulas ----------------------------------------------
+
+from refbank.operators import cells as C  # noqa: E402
+
+
+@query
+def q_schema_fields(spark, d):
+    return X.schema_fields(spark, d).drop("ord")
+
+
+@query
+def q_resolve_bindings(spark, d):
+    return C.resolve_bindings(X.schema_fields(spark, d)).select("tpl", "field", "cell", "row", "col")
+
+
+@query
+def q_collect_cells(spark, d):
+    return C.collect_cells(X.cells(spark, d)).select("workbook_id", "sheet", "row", "col", "cell", "value")
+
+
+@query
+def q_normalize_values(spark, d):
+    gen, _ = X.diff_tables(spark, d)
+    return gen.select("c_custkey", F.col("c_name").alias("raw"), S.normalize_value("c_name").alias("normalized"))
+
+
+@query
+def q_formula_dependencies(spark, d):
+    f = C.formula_cells(X.cells(spark, d))
+    return f.select("workbook_id", "sheet", "cell", _ids(F.col("depends_on")).alias("depends_on"))
+
+
+@query
+def q_formula_cells(spark, d):
+    f = C.formula_cells(X.cells(spark, d))
+    return f.select("workbook_id", "sheet", "row", "col", "cell", "formula",
+                    _ids(F.col("depends_on")).alias("depends_on"))
+
+
+@query
+def q_shift_cells(spark, d):
+    c = X.cells(spark, d)
+    ref = S.a1(F.col("row"), F.col("col"))
+    ref = F.when(F.col("row") % 2 == 0, F.lower(ref)).otherwise(ref)
+    dr = (F.col("row") % 4 - 2)
+    dc = (F.col("col") % 5 - 2) * 30
+    return c.select("workbook_id", "sheet", "row", "col", ref.alias("ref"),
+                    dr.cast("long").alias("dr"), dc.cast("long").alias("dc"),
+                    S.shift_cell(ref, dr, dc).alias("shifted"))
+
+
+@query
+def q_cell_neighbors(spark, d):
+    return C.cell_neighbors(X.cells(spark, d)).drop("row", "col")
+
+
+def template_sheet(spark, d):
+    """Each schema template writes into sheet R of the workbook with its number."""
+    tpls = X.schema_fields(spark, d).select("tpl").distinct()
+    cells = X.cells(spark, d).where(F.col("sheet") == "R").select(
+        F.concat(F.lit("tpl"), F.col("workbook_id").cast("string")).alias("tpl"), "row", "col", "value")
+    return cells.join(tpls, "tpl", "left_semi")
+
+
+def template_data(spark, d):
+    """Extracted values per template field (a third of the fields absent)."""
+    p = X.table(spark, d, "part").select("p_partkey", "p_name")
+    return (p.where(F.col("p_partkey") % 3 != 0)
+            .select(F.concat(F.lit("tpl"), F.floor(F.col("p_partkey") / 100).cast("string")).alias("tpl"),
+                    F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("field"),
+                    F.col("p_name").alias("value")))
+
+
+def _conflicts(spark, d):
+    b = C.resolve_bindings(X.schema_fields(spark, d))
+    return b, C.formula_conflicts(b, template_sheet(spark, d), template_data(spark, d))
+
+
+@query
+def q_formula_conflicts(spark, d):
+    _, (conf, _) = _conflicts(spark, d)
+    return conf
+
+
+@query
+def q_fill_template(spark, d):
+    b, (_, cleaned) = _conflicts(spark, d)
+    assigned = C.bind_values(b, cleaned)
+    return C.fill_template(template_sheet(spark, d), assigned).select("tpl", "cell", "value", "filled")

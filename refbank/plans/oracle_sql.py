@@ -275,3 +275,161 @@ SELECT i.template_id, i.input_id,
        CASE WHEN p.rule_ids IS NULL THEN '' ELSE p.rule_ids END AS rules_used,
        coalesce(p.fields, '') AS fields_extracted
 FROM input_types i LEFT JOIN per p USING (input_id) LEFT JOIN pbase b USING (template_id)"""
+
+# --- phase 4: failure memory ------------------------------------------------------
+
+_WS = "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_STRIP = f"regexp_replace(regexp_replace(coalesce(x, 'None'), '^{_WS}+', ''), '{_WS}+$', '')"
+NORM_FIELDS = ("list_sort(list_filter(list_transform(coalesce(missing_fields, []::VARCHAR[]), lambda x: "
+               + _STRIP + "), lambda y: y <> ''))")
+
+LOG = f"""
+  SELECT event_id, ts, template_signature, error_type, repair_action, seq_ts, seq_id, nf AS missing_fields,
+         coalesce(error_type, 'unknown') || '|' || array_to_string(nf, ',') || '|' || coalesce(template_signature, '') AS cluster_key
+  FROM (SELECT *, {NORM_FIELDS} AS nf FROM exec_log)"""
+
+CLUSTERS = """
+  SELECT cluster_key, count(*)::BIGINT AS samples,
+         arg_min(template_signature, (seq_ts, seq_id)) AS signature,
+         arg_min(error_type, (seq_ts, seq_id)) AS error_type,
+         arg_min(array_to_string(missing_fields, ','), (seq_ts, seq_id)) AS missing_fields,
+         arg_min(event_id, (seq_ts, seq_id)) AS first_event,
+         arg_max(event_id, (seq_ts, seq_id)) AS last_event,
+         arg_max(ts, (seq_ts, seq_id)) AS last_ts,
+         min(seq_ts) AS first_ts, arg_min(seq_id, (seq_ts, seq_id)) AS first_id
+  FROM log WHERE error_type IS NOT NULL AND error_type <> '' GROUP BY cluster_key"""
+
+TOP = """
+  SELECT cluster_key, repair_action AS top_repair_action, votes AS top_repair_votes FROM (
+    SELECT cluster_key, repair_action, count(*)::BIGINT AS votes, min((seq_ts, seq_id)) AS first
+    FROM log WHERE error_type IS NOT NULL AND error_type <> ''
+      AND repair_action IS NOT NULL AND repair_action <> ''
+    GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY cluster_key ORDER BY votes DESC, first) = 1"""
+
+SUMMARY = """
+  SELECT printf('R%03d', row_number() OVER (ORDER BY c.samples DESC, c.first_ts, c.first_id)) AS id,
+         c.signature AS template_signature, c.error_type, c.missing_fields,
+         t.top_repair_action AS repair_action, c.samples AS support,
+         t.top_repair_votes / c.samples AS vote_rate, c.cluster_key
+  FROM clusters c JOIN top t USING (cluster_key)
+  WHERE c.samples >= 2"""
+
+_MEM = [("log", LOG), ("clusters", CLUSTERS), ("top", TOP), ("summary", SUMMARY)]
+
+ORACLE["read_exec_log"] = W("exec_log", extra=[("log", LOG)]) + """
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, template_signature, error_type,
+       array_to_string(missing_fields, ',') AS missing_fields, repair_action FROM log"""
+ORACLE["cluster_key"] = W("exec_log", extra=[("log", LOG)]) + "SELECT event_id, cluster_key FROM log"
+ORACLE["event_id"] = W("exec_log", extra=[("log", LOG)]) + """
+SELECT event_id, substr(sha1(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '|' || coalesce(template_signature, '')
+       || '|' || coalesce(error_type, '') || '|' || array_to_string(missing_fields, ',') || '|'
+       || coalesce(repair_action, '')), 1, 12) AS eid FROM log"""
+ORACLE["failure_clusters"] = W("exec_log", extra=_MEM[:2]) + """
+SELECT cluster_key, samples, signature, error_type, missing_fields, first_event, last_event,
+       strftime(last_ts, '%Y-%m-%d %H:%M:%S.%f') AS last_ts FROM clusters"""
+ORACLE["top_repair"] = W("exec_log", extra=[_MEM[0], _MEM[2]]) + \
+    "SELECT cluster_key, top_repair_action, top_repair_votes FROM top"
+ORACLE["summary_rules"] = W("exec_log", extra=_MEM) + """
+SELECT id, template_signature, error_type, missing_fields, repair_action, support, vote_rate FROM summary"""
+ORACLE["suggest_repairs"] = W("exec_log", extra=_MEM + [("q", f"""
+    SELECT DISTINCT template_signature, error_type, missing_fields,
+           template_signature || '|' || error_type || '|' || array_to_string(missing_fields, ',') AS query_id,
+           array_to_string({NORM_FIELDS}, ',') AS q_fields
+    FROM exec_log WHERE error_type IS NOT NULL""")]) + """
+SELECT q.query_id, s.id FROM q JOIN summary s USING (template_signature, error_type)
+WHERE q.q_fields = '' OR q.q_fields = s.missing_fields"""
+ORACLE["relearn_candidates"] = W("exec_log", extra=_MEM) + """
+SELECT cluster_key, samples, signature, error_type FROM clusters
+WHERE samples >= 2 AND cluster_key NOT IN (SELECT cluster_key FROM summary)"""
+
+# --- phase 5: cells, bindings, formulas ---------------------------------------------------
+
+
+def col_letters(n: str) -> str:
+    d1 = f"chr(CAST(65 + (({n}) - 1) % 26 AS INTEGER))"
+    q1 = f"((({n}) - 1) // 26)"
+    d2 = f"chr(CAST(65 + ({q1} - 1) % 26 AS INTEGER))"
+    q2 = f"(({q1} - 1) // 26)"
+    d3 = f"chr(CAST(65 + ({q2} - 1) % 26 AS INTEGER))"
+    return (f"CASE WHEN ({n}) <= 0 OR ({n}) > 18278 THEN NULL WHEN ({n}) <= 26 THEN {d1} "
+            f"WHEN ({n}) <= 702 THEN {d2} || {d1} ELSE {d3} || {d2} || {d1} END")
+
+
+def a1(r: str, c: str) -> str:
+    return f"({col_letters(c)} || CAST({r} AS VARCHAR))"
+
+
+def letters_to_num(s: str) -> str:
+    return f"list_reduce(list_transform(string_split(upper({s}), ''), lambda ch: ascii(ch) - 64), lambda acc, x: acc * 26 + x, 0)"
+
+
+RESOLVED = """
+  WITH RECURSIVE res(tpl, field, "row", col) AS (
+    SELECT tpl, field, r0, c0 FROM schema_fields WHERE r0 IS NOT NULL AND c0 IS NOT NULL
+    UNION ALL
+    SELECT s.tpl, s.field, r."row" + coalesce(s.dr, 0), r.col + coalesce(s.dc, 0)
+    FROM res r JOIN schema_fields s ON s.tpl = r.tpl AND s.rel = r.field AND (s.r0 IS NULL OR s.c0 IS NULL)
+    WHERE r."row" + coalesce(s.dr, 0) > 0 AND r.col + coalesce(s.dc, 0) > 0)
+  SELECT tpl, field, "row", col, """ + a1('"row"', "col") + """ AS cell FROM res"""
+
+TPL_SHEET = """
+  SELECT 'tpl' || workbook_id AS tpl, "row", col, value FROM cells
+  WHERE sheet = 'R' AND 'tpl' || workbook_id IN (SELECT tpl FROM schema_fields)"""
+TPL_DATA = """
+  SELECT 'tpl' || (p_partkey // 100) AS tpl, 'F' || p_partkey AS field, p_name AS value
+  FROM part WHERE p_partkey % 3 <> 0"""
+CONFLICTS = """
+  SELECT b.tpl, b.field, b.cell FROM bindings b
+  WHERE EXISTS (SELECT 1 FROM tsheet t WHERE t.tpl = b.tpl AND t."row" = b."row" AND t.col = b.col AND t.value LIKE '=%')
+    AND EXISTS (SELECT 1 FROM tdata x WHERE x.tpl = b.tpl AND x.field = b.field)"""
+
+ORACLE["schema_fields"] = W("schema_fields") + "SELECT tpl, field, rel, r0, c0, dr, dc FROM schema_fields"
+ORACLE["resolve_bindings"] = W("schema_fields", extra=[("bindings", RESOLVED)]) + \
+    'SELECT tpl, field, cell, "row", col FROM bindings'
+ORACLE["collect_cells"] = W("cells") + f"""
+SELECT workbook_id, sheet, "row", col, {a1('"row"', 'col')} AS cell, v AS value
+FROM (SELECT *, coalesce(regexp_replace(regexp_replace(value, '^{_WS}+', ''), '{_WS}+$', ''), '') AS v FROM cells)
+WHERE v <> ''"""
+ORACLE["normalize_values"] = W("diff_gen") + f"""
+SELECT c_custkey, c_name AS raw,
+       coalesce(regexp_replace(regexp_replace(c_name, '^{_WS}+', ''), '{_WS}+$', ''), '') AS normalized
+FROM diff_gen"""
+_DEPS = ("array_to_string(list_transform(regexp_extract_all(regexp_replace(value, '^=', ''), "
+         "'\\$?[A-Z]+\\$?\\d+'), lambda r: replace(r, '$', '')), ',')")
+ORACLE["formula_dependencies"] = W("cells") + f"""
+SELECT workbook_id, sheet, {a1('"row"', 'col')} AS cell, {_DEPS} AS depends_on
+FROM cells WHERE value LIKE '=%'"""
+ORACLE["formula_cells"] = W("cells") + f"""
+SELECT workbook_id, sheet, "row", col, {a1('"row"', 'col')} AS cell, value AS formula, {_DEPS} AS depends_on
+FROM cells WHERE value LIKE '=%'"""
+ORACLE["shift_cells"] = W("cells") + f"""
+SELECT workbook_id, sheet, "row", col, ref, dr, dc,
+       CASE WHEN NOT regexp_full_match(ref, '[A-Za-z]+[0-9]+') THEN NULL
+            WHEN dr = 0 AND dc = 0 THEN upper(ref)
+            WHEN nr <= 0 OR nc <= 0 THEN NULL
+            ELSE {a1('nr', 'nc')} END AS shifted
+FROM (SELECT *, "row" + dr AS nr, col + dc AS nc FROM (
+  SELECT workbook_id, sheet, "row", col,
+         CASE WHEN "row" % 2 = 0 THEN lower({a1('"row"', 'col')}) ELSE {a1('"row"', 'col')} END AS ref,
+         ("row" % 4 - 2)::BIGINT AS dr, ((col % 5 - 2) * 30)::BIGINT AS dc
+  FROM cells))"""
+ORACLE["cell_neighbors"] = W("cells") + f"""
+SELECT c.workbook_id, c.sheet, {a1('c."row"', 'c.col')} AS cell,
+       CASE WHEN c."row" > 1 THEN {a1('c."row" - 1', 'c.col')} END AS up,
+       CASE WHEN c."row" < e.mr THEN {a1('c."row" + 1', 'c.col')} END AS down,
+       CASE WHEN c.col > 1 THEN {a1('c."row"', 'c.col - 1')} END AS "left",
+       CASE WHEN c.col < e.mc THEN {a1('c."row"', 'c.col + 1')} END AS "right"
+FROM cells c JOIN (SELECT workbook_id, sheet, max("row") AS mr, max(col) AS mc FROM cells GROUP BY ALL) e
+  USING (workbook_id, sheet)"""
+ORACLE["formula_conflicts"] = W("schema_fields", "cells", extra=[
+    ("bindings", RESOLVED), ("tsheet", TPL_SHEET), ("tdata", TPL_DATA), ("conf", CONFLICTS)]) + \
+    "SELECT tpl, field, cell FROM conf"
+ORACLE["fill_template"] = W("schema_fields", "cells", extra=[
+    ("bindings", RESOLVED), ("tsheet", TPL_SHEET), ("tdata", TPL_DATA), ("conf", CONFLICTS),
+    ("assigned", """SELECT b.tpl, b."row", b.col, x.value FROM bindings b
+                    JOIN tdata x ON x.tpl = b.tpl AND x.field = b.field
+                    WHERE (b.tpl, b.field) NOT IN (SELECT (tpl, field) FROM conf)""")]) + f"""
+SELECT coalesce(t.tpl, a.tpl) AS tpl, {a1('coalesce(t."row", a."row")', 'coalesce(t.col, a.col)')} AS cell,
+       CASE WHEN a.tpl IS NOT NULL THEN a.value ELSE t.value END AS value, a.tpl IS NOT NULL AS filled
+FROM tsheet t FULL OUTER JOIN assigned a ON a.tpl = t.tpl AND a."row" = t."row" AND a.col = t.col"""
