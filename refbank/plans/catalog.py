@@ -385,3 +385,34 @@ def q_fill_template(spark, d):
     b, (_, cleaned) = _conflicts(spark, d)
     assigned = C.bind_values(b, cleaned)
     return C.fill_template(template_sheet(spark, d), assigned).select("tpl", "cell", "value", "filled")
+
+
+# --- phase 6: layout ----------------------------------------------------------------
+
+from refbank.operators import layout as LY  # noqa: E402
+
+
+@query
+def q_sheet_layout(spark, d):
+    return LY.sheet_layout(X.cells(spark, d))
+
+
+@query
+def q_template_profile(spark, d):
+    return LY.template_profile(X.cells(spark, d))
+
+
+@query
+def q_layout_similarity(spark, d):
+    return LY.layout_similarity(X.cells(spark, d), X.layout_pairs(spark, d))
+
+
+@query
+def q_layout_compat(spark, d):
+    return LY.layout_compat(X.cells(spark, d), X.layout_pairs(spark, d))
+
+
+@query
+def q_layout_routing(spark, d):
+    c = LY.layout_compat(X.cells(spark, d), X.layout_pairs(spark, d))
+    return LY.layout_routing(c).select("x", "y", "compatibility", "route")

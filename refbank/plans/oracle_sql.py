@@ -433,3 +433,71 @@ ORACLE["fill_template"] = W("schema_fields", "cells", extra=[
 SELECT coalesce(t.tpl, a.tpl) AS tpl, {a1('coalesce(t."row", a."row")', 'coalesce(t.col, a.col)')} AS cell,
        CASE WHEN a.tpl IS NOT NULL THEN a.value ELSE t.value END AS value, a.tpl IS NOT NULL AS filled
 FROM tsheet t FULL OUTER JOIN assigned a ON a.tpl = t.tpl AND a."row" = t."row" AND a.col = t.col"""
+
+# --- phase 6: layout -------------------------------------------------------------
+
+NONEMPTY = f"""
+  SELECT workbook_id, sheet, "row", col, {a1('"row"', 'col')} AS cell, v AS value FROM (
+    SELECT *, coalesce(regexp_replace(regexp_replace(value, '^{_WS}+', ''), '{_WS}+$', ''), '') AS v FROM cells)
+  WHERE v <> ''"""
+OCC = """
+  SELECT c.workbook_id, c.sheet, c."row" - m.r0 AS dr, c.col - m.c0 AS dc
+  FROM ne c JOIN (SELECT workbook_id, sheet, min("row") AS r0, min(col) AS c0 FROM ne GROUP BY ALL) m
+    USING (workbook_id, sheet)"""
+LAYOUT = """
+  SELECT e.*, o.occupied_digest FROM
+    (SELECT workbook_id, sheet, min("row") AS min_row, max("row") AS max_row, min(col) AS min_col,
+            max(col) AS max_col, count(*)::BIGINT AS occupied_count FROM ne GROUP BY ALL) e
+  JOIN (SELECT workbook_id, sheet,
+               CAST(sum(('0x' || substr(md5(dr || ':' || dc), 1, 12))::BIGINT) AS VARCHAR) AS occupied_digest
+        FROM occ GROUP BY ALL) o USING (workbook_id, sheet)"""
+PROFILE = """
+  SELECT s.workbook_id, s.n_sheets, s.n_cells, g.n_hashed,
+         sha256(concat_ws('#', s.t, g.t)) AS signature
+  FROM (SELECT workbook_id, count(*)::BIGINT AS n_sheets, sum(occupied_count)::BIGINT AS n_cells,
+               string_agg(concat_ws(',', sheet, max_row, max_col, min_row, max_row, min_col, max_col,
+                                    occupied_count, occupied_digest), ';' ORDER BY sheet) AS t
+        FROM layout GROUP BY workbook_id) s
+  JOIN (SELECT workbook_id, count(*)::BIGINT AS n_hashed,
+               string_agg(sheet || '!' || cell || '=' || value, chr(10) ORDER BY k) AS t
+        FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id ORDER BY sheet, "row", col) AS k FROM ne)
+        WHERE k <= 5000 GROUP BY workbook_id) g USING (workbook_id)"""
+SIMILARITY = """
+  SELECT coalesce(bx.x, cy.x) AS x, coalesce(bx.y, cy.y) AS y, coalesce(bx.sheet, cy.sheet) AS sheet,
+         CASE WHEN bx.sheet IS NULL THEN 'missing_in_base' WHEN cy.sheet IS NULL THEN 'missing_in_candidate'
+              ELSE 'compared' END AS reason,
+         CASE WHEN bx.sheet IS NOT NULL AND cy.sheet IS NOT NULL THEN jac END AS occupancy_jaccard,
+         CASE WHEN bx.sheet IS NOT NULL AND cy.sheet IS NOT NULL THEN shape END AS shape_score,
+         CASE WHEN bx.sheet IS NOT NULL AND cy.sheet IS NOT NULL THEN 0.8 * jac + 0.2 * shape ELSE 0.0 END AS score
+  FROM (SELECT p.x, p.y, l.sheet, l.occupied_count AS a, l.max_row - l.min_row AS h, l.max_col - l.min_col AS w
+        FROM layout_pairs p JOIN layout l ON l.workbook_id = p.x) bx
+  FULL OUTER JOIN
+       (SELECT p.x, p.y, l.sheet, l.occupied_count AS b, l.max_row - l.min_row AS h, l.max_col - l.min_col AS w
+        FROM layout_pairs p JOIN layout l ON l.workbook_id = p.y) cy
+    ON bx.x = cy.x AND bx.y = cy.y AND bx.sheet = cy.sheet
+  LEFT JOIN (SELECT p.x, p.y, o1.sheet, count(*) AS k FROM layout_pairs p
+             JOIN occ o1 ON o1.workbook_id = p.x JOIN occ o2 ON o2.workbook_id = p.y
+               AND o2.sheet = o1.sheet AND o2.dr = o1.dr AND o2.dc = o1.dc
+             GROUP BY ALL) i ON i.x = bx.x AND i.y = bx.y AND i.sheet = bx.sheet,
+  LATERAL (SELECT CASE WHEN bx.a = 0 AND cy.b = 0 THEN 1.0 WHEN bx.a = 0 OR cy.b = 0 THEN 0.0
+                       ELSE coalesce(i.k, 0)::DOUBLE / (bx.a + cy.b - coalesce(i.k, 0)) END AS jac,
+                  greatest(0.0, 1.0 - (abs(bx.h - cy.h)::DOUBLE / CASE WHEN greatest(bx.h, cy.h) = 0 THEN 1 ELSE greatest(bx.h, cy.h) END
+                                     + abs(bx.w - cy.w)::DOUBLE / CASE WHEN greatest(bx.w, cy.w) = 0 THEN 1 ELSE greatest(bx.w, cy.w) END) / 2.0) AS shape)"""
+COMPAT = """
+  SELECT p.x, p.y,
+         CASE WHEN px.signature = py.signature THEN 'exact' WHEN raw >= 0.78 THEN 'compatible' ELSE 'incompatible' END AS compatibility,
+         CASE WHEN px.signature = py.signature THEN 1.0 ELSE round_even(raw * 10000, 0) / 10000.0 END AS score,
+         (coalesce(px.signature = py.signature, false) = false AND raw < 0.78) AS hard_mismatch
+  FROM (SELECT DISTINCT x, y FROM layout_pairs) p
+  LEFT JOIN profile px ON px.workbook_id = p.x LEFT JOIN profile py ON py.workbook_id = p.y
+  LEFT JOIN (SELECT x, y, sum(score) / greatest(count(*), 1) AS raw FROM sim GROUP BY ALL) s USING (x, y)"""
+_LAY = [("ne", NONEMPTY), ("occ", OCC), ("layout", LAYOUT)]
+
+ORACLE["sheet_layout"] = W("cells", extra=_LAY) + "SELECT * FROM layout"
+ORACLE["template_profile"] = W("cells", extra=_LAY + [("profile", PROFILE)]) + "SELECT * FROM profile"
+ORACLE["layout_similarity"] = W("cells", "layout_pairs", extra=_LAY + [("sim", SIMILARITY)]) + "SELECT * FROM sim"
+ORACLE["layout_compat"] = W("cells", "layout_pairs", extra=_LAY + [
+    ("profile", PROFILE), ("sim", SIMILARITY), ("compat", COMPAT)]) + "SELECT * FROM compat"
+ORACLE["layout_routing"] = W("cells", "layout_pairs", extra=_LAY + [
+    ("profile", PROFILE), ("sim", SIMILARITY), ("compat", COMPAT)]) + """
+SELECT x, y, compatibility, CASE WHEN hard_mismatch THEN 'learn' ELSE 'write' END AS route FROM compat"""
