@@ -416,3 +416,142 @@ def q_layout_compat(spark, d):
 def q_layout_routing(spark, d):
     c = LY.layout_compat(X.cells(spark, d), X.layout_pairs(spark, d))
     return LY.layout_routing(c).select("x", "y", "compatibility", "route")
+
+
+# --- phase 7: extraction --------------------------------------------------------------
+
+from refbank.operators import diff as D  # noqa: E402
+from refbank.operators import extract as E  # noqa: E402
+
+LEVEL_ERRORS = ["invalid JSON response", "no anchors-only extractor configured", "no rule matched"]
+
+
+@query
+def q_parse_responses(spark, d):
+    p = E.parse_responses(X.responses(spark, d))
+    return p.select("input_id", "ok", F.explode_outer("data").alias("key", "value"))
+
+
+@query
+def q_rule_extract(spark, d):
+    return E.rule_extract(X.page_inputs(spark, d).drop("content"), X.web_rules(spark)).drop("template_id")
+
+
+def _levels(spark, d):
+    p = E.parse_responses(X.responses(spark, d)).withColumn(
+        "error", F.when(~F.col("ok"), F.lit(LEVEL_ERRORS[0])))
+    pages = X.page_inputs(spark, d)
+    lvl2 = pages.select("input_id", F.lit(False).alias("ok"), F.lit(None).cast("map<string,string>").alias("data"),
+                        F.lit(LEVEL_ERRORS[1]).alias("error"))
+    rx = E.rule_extract(pages.drop("content"), X.web_rules(spark))
+    got = rx.groupBy("input_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("data"))
+    lvl3 = (pages.select("input_id").join(got, "input_id", "left")
+            .select("input_id", F.col("data").isNotNull().alias("ok"), "data",
+                    F.when(F.col("data").isNull(), F.lit(LEVEL_ERRORS[2])).alias("error")))
+    return E.extract_cascade([p, lvl2, lvl3])
+
+
+@query
+def q_extract_cascade(spark, d):
+    c = _levels(spark, d)
+    return c.select("input_id", "level", _ids(F.array_sort(F.map_keys("data"))).alias("fields"), "error")
+
+
+def _page_missing(spark, d, extracted):
+    schema = spark.createDataFrame([(X.WEB_TEMPLATE, f) for f in X.PAGE_SCHEMA_FIELDS], "template_id string, field string")
+    return C.missing_fields(schema, extracted)
+
+
+@query
+def q_missing_fields(spark, d):
+    ex = X.extracted(spark, d).withColumn("template_id", F.lit(X.WEB_TEMPLATE))
+    miss = _page_missing(spark, d, ex)
+    per = miss.groupBy("input_id").agg(_ids(F.array_sort(F.collect_list("field"))).alias("missing"),
+                                       F.count("*").alias("n_missing"))
+    pages = X.page_inputs(spark, d).select("input_id")
+    return (pages.join(per, "input_id", "left")
+            .select("input_id", F.coalesce("missing", F.lit("")).alias("missing"),
+                    F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing")))
+
+
+@query
+def q_run_status(spark, d):
+    c = _levels(spark, d)
+    ex = (c.select("input_id", F.explode("data").alias("field", "value"))
+          .withColumn("template_id", F.lit(X.WEB_TEMPLATE)))
+    keys = c.select("input_id").withColumn("template_id", F.lit(X.WEB_TEMPLATE))
+    schema = spark.createDataFrame([(X.WEB_TEMPLATE, f) for f in X.PAGE_SCHEMA_FIELDS], "template_id string, field string")
+    miss = (keys.join(schema, "template_id")
+            .join(ex.select("input_id", "field"), ["input_id", "field"], "left_anti"))
+    return E.run_status(c, miss).select("input_id", "status", "stage", "level", "missing_fields", "message")
+
+
+@query
+def q_few_shot_text(spark, d):
+    return E.few_shot_block(_retrieved(spark, d), X.inputs(spark, d))
+
+
+@query
+def q_build_prompts(spark, d):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    fs = E.few_shot_block(_retrieved(spark, d), x)
+    a = X.anchors(spark, d)
+    tf = a.groupBy("template_id").agg(
+        F.array_join(F.array_sort(F.collect_list("field")), ", ").alias("fields_txt")).withColumn(
+        "formulas_txt", F.lit("[]"))
+    ta = a.groupBy("template_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("field", F.concat_ws(" ", "type", "role", "pattern").alias("t")))),
+        lambda s: F.concat(s["field"], F.lit(": "), s["t"])), "\n").alias("anchors_txt"))
+    m = R.match_patterns(x.select("template_id", "signature"), X.patterns(spark, d))
+    mt = (x.select("input_id", "template_id", "signature").join(m, ["template_id", "signature"])
+          .groupBy("input_id").agg(F.array_join(F.transform(
+              F.array_sort(F.collect_list(F.struct("rank", "pattern_id", "accuracy"))),
+              lambda s: F.concat(s["pattern_id"], F.lit(" ("), s["accuracy"].cast("string"), F.lit(")"))),
+              ", ").alias("patterns_txt")))
+    inp = x.withColumn("template_signature", F.md5("template_id"))
+    p = E.build_prompts(inp, fs, tf, ta, mt)
+    return p.select("input_id", F.length("prompt").cast("long").alias("prompt_chars"),
+                    F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def q_data_diff(spark, d):
+    gen, bench = X.diff_tables(spark, d)
+    return D.data_diff(gen, bench, "c_custkey").withColumnRenamed("column", "col_name")
+
+
+# --- phase 10: declared checks ---------------------------------------------------------
+
+from refbank.operators import validate as V  # noqa: E402
+
+
+@query
+def q_validate_types(spark, d):
+    pg = X.table(spark, d, "pages").select("page_id", "url", "html")
+    parts = [pg.select(F.col("page_id").alias("input_id"), F.lit(f).alias("field"),
+                       F.regexp_extract(F.col(src), rx, 1).alias("value"), F.lit(t).alias("type"))
+             for f, rx, src, t in X.TYPED_PAGE_FIELDS]
+    vals = parts[0]
+    for p in parts[1:]:
+        vals = vals.unionByName(p)
+    return V.validate_types(vals.where(F.col("value") != ""))
+
+
+@query
+def q_check_formulas(spark, d):
+    li = X.table(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_shipdate", "l_quantity")
+    nums = (li.groupBy(F.col("l_partkey").alias("workbook_id"), F.col("l_linenumber").cast("long").alias("row"),
+                       F.month("l_shipdate").cast("long").alias("col"))
+            .agg(F.sum("l_quantity").alias("num")))
+    return V.check_formulas(C.formula_cells(X.cells(spark, d)), nums)
+
+
+@query
+def q_check_unique(spark, d):
+    x = R.prepare_inputs(X.inputs(spark, d))
+    return V.check_unique(x, ["template_id", "signature"])
+
+
+@query
+def q_list_templates(spark, d):
+    return V.list_templates(X.rules(spark, d), X.patterns(spark, d))

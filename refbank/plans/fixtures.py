@@ -253,3 +253,49 @@ def diff_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
          + F.when(F.col("c_custkey") % 97 == 0, 10.0).otherwise(0.0)).alias("c_acctbal"),
         "c_mktsegment")
     return gen, c
+
+
+# Fixed extraction rule bank of the web-page template (rule_id, field,
+# pattern, source column, confidence): alternates compete per field.
+WEB_TEMPLATE = "web"
+WEB_RULES = [
+    ("W1", "title", "<title>(.*?)</title>", "html", 0.9),
+    ("W2", "title", "<h1[^>]*>(.*?)</h1>", "html", 0.4),
+    ("W3", "h1", "<h1[^>]*>(.*?)</h1>", "html", 0.8),
+    ("W4", "lang", "<html lang=\"([^\"]*)\"", "html", 0.9),
+    ("W5", "lang", "/([a-z][a-z])/", "url", 0.5),
+    ("W6", "utm_source", "[?&]utm_source=([^&#]*)", "url", 0.7),
+]
+# Typed page fields for value validation (field, pattern, source, type).
+TYPED_PAGE_FIELDS = [
+    ("title", "<title>(.*?)</title>", "html", "string"),
+    ("lang", "<html lang=\"([^\"]*)\"", "html", "string"),
+    ("path_id", "/[a-z][a-z]/([^/?#]*)", "url", "number"),
+    ("page", "[?&]page=([^&#]*)", "url", "number"),
+    ("track", "track[(]([^)]*)[)]", "html", "number"),
+]
+
+
+def page_inputs(spark, sf_dir) -> DataFrame:
+    """pages as extraction inputs of the web template."""
+    pg = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pg.select(F.col("page_id").alias("input_id"), F.lit(WEB_TEMPLATE).alias("template_id"),
+                     "url", "html", F.col("html").alias("content"))
+
+
+def web_rules(spark) -> DataFrame:
+    rows = [(WEB_TEMPLATE, rid, f, p, s, c, i + 1) for i, (rid, f, p, s, c) in enumerate(WEB_RULES)]
+    return spark.createDataFrame(
+        rows, "template_id string, rule_id string, field string, pattern string, source string, "
+              "confidence double, ord int")
+
+
+def responses(spark, sf_dir) -> DataFrame:
+    """Model-style JSON responses per page: fenced, plain or truncated."""
+    ex = extracted(spark, sf_dir)
+    js = (ex.groupBy("input_id")
+          .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))).alias("j")))
+    k = F.col("input_id") % 3
+    return js.select("input_id", F.when(k == 0, F.concat(F.lit("```json\n"), F.col("j"), F.lit("\n```")))
+                     .when(k == 1, F.col("j"))
+                     .otherwise(F.expr("substring(j, 1, length(j) - 1)")).alias("response"))

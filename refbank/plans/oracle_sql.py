@@ -501,3 +501,144 @@ ORACLE["layout_compat"] = W("cells", "layout_pairs", extra=_LAY + [
 ORACLE["layout_routing"] = W("cells", "layout_pairs", extra=_LAY + [
     ("profile", PROFILE), ("sim", SIMILARITY), ("compat", COMPAT)]) + """
 SELECT x, y, compatibility, CASE WHEN hard_mismatch THEN 'learn' ELSE 'write' END AS route FROM compat"""
+
+# --- phase 7: extraction ---------------------------------------------------------
+
+from refbank.plans.fixtures import PAGE_SCHEMA_FIELDS, TYPED_PAGE_FIELDS, WEB_RULES  # noqa: E402
+
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+RESPONSES = """
+  SELECT input_id,
+         CASE input_id % 3 WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```'
+                           WHEN 1 THEN j ELSE left(j, length(j) - 1) END AS response
+  FROM (SELECT input_id, CAST(to_json(map_from_entries(list(struct_pack(k := field, v := value) ORDER BY field))) AS VARCHAR) AS j
+        FROM extracted GROUP BY input_id)"""
+PARSED = """
+  SELECT input_id, CASE WHEN json_valid(c) THEN CASE WHEN json_type(c) = 'OBJECT'
+                        THEN CAST(c::JSON AS MAP(VARCHAR, VARCHAR)) END END AS m
+  FROM (SELECT input_id, regexp_replace(regexp_replace(response, '^```json\\s*', ''), '\\s*```$', '') AS c
+        FROM responses)"""
+RULE_HITS = "\n  UNION ALL\n".join(
+    f"""  SELECT page_id AS input_id, {_sq(f)} AS field, {_sq(rid)} AS rule_id, {c}::DOUBLE AS confidence, {i + 1} AS ord,
+         regexp_extract({src}, {_sq(p)}, 1) AS value FROM pages"""
+    for i, (rid, f, p, src, c) in enumerate(WEB_RULES))
+RULE_BEST = """
+  SELECT input_id, field, value, rule_id FROM hits WHERE value <> ''
+  QUALIFY row_number() OVER (PARTITION BY input_id, field ORDER BY confidence DESC, ord) = 1"""
+CASCADE = """
+  SELECT p.page_id AS input_id,
+         CASE WHEN r.m IS NOT NULL THEN 1 WHEN b.n > 0 THEN 3 ELSE 4 END AS level,
+         CASE WHEN r.m IS NOT NULL THEN array_to_string(list_sort(map_keys(r.m)), ',')
+              WHEN b.n > 0 THEN b.fields END AS fields,
+         CASE WHEN r.m IS NULL AND coalesce(b.n, 0) = 0 THEN
+           'All extraction levels failed. Level 1: invalid JSON response, Level 2: no anchors-only extractor configured, Level 3: no rule matched'
+         END AS error
+  FROM pages p LEFT JOIN parsed r ON r.input_id = p.page_id
+  LEFT JOIN (SELECT input_id, count(*) AS n, string_agg(field, ',' ORDER BY field) AS fields FROM best GROUP BY input_id) b
+    ON b.input_id = p.page_id"""
+_SCHEMA = "(VALUES " + ", ".join(f"({_sq(f)})" for f in PAGE_SCHEMA_FIELDS) + ") s(field)"
+_EXTRACT = [("responses", RESPONSES), ("parsed", PARSED), ("hits", RULE_HITS), ("best", RULE_BEST),
+            ("cascade", CASCADE)]
+
+ORACLE["parse_responses"] = W("extracted", extra=[("responses", RESPONSES), ("parsed", PARSED)]) + """
+SELECT input_id, true AS ok, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS value FROM parsed WHERE m IS NOT NULL
+UNION ALL SELECT input_id, false, NULL, NULL FROM parsed WHERE m IS NULL"""
+ORACLE["rule_extract"] = W(extra=[("hits", RULE_HITS), ("best", RULE_BEST)]) + "SELECT * FROM best"
+ORACLE["extract_cascade"] = W("extracted", extra=_EXTRACT) + "SELECT * FROM cascade"
+ORACLE["missing_fields"] = W("extracted") + f"""
+SELECT p.page_id AS input_id, coalesce(m.missing, '') AS missing, coalesce(m.n, 0)::BIGINT AS n_missing
+FROM pages p LEFT JOIN (
+  SELECT q.page_id, string_agg(s.field, ',' ORDER BY s.field) AS missing, count(*) AS n
+  FROM pages q CROSS JOIN {_SCHEMA}
+  WHERE NOT EXISTS (SELECT 1 FROM extracted e WHERE e.input_id = q.page_id AND e.field = s.field)
+  GROUP BY q.page_id) m ON m.page_id = p.page_id"""
+ORACLE["run_status"] = W("extracted", extra=_EXTRACT + [("keys", """
+    SELECT c.input_id, c.level, c.error, s.field
+    FROM cascade c CROSS JOIN """ + _SCHEMA + """
+    WHERE s.field NOT IN (SELECT unnest(string_split(coalesce(c.fields, ''), ',')))""")]) + """
+SELECT c.input_id,
+       CASE WHEN c.level >= 4 OR k.missing IS NOT NULL THEN 'failed' WHEN c.level > 1 THEN 'degraded' ELSE 'success' END AS status,
+       CASE WHEN c.level >= 4 THEN 'exhausted_degradation' WHEN k.missing IS NOT NULL THEN 'validation' END AS stage,
+       c.level, coalesce(k.missing, '') AS missing_fields,
+       CASE WHEN c.level >= 4 THEN c.error WHEN k.missing IS NOT NULL THEN 'Extracted data missing required fields.'
+            WHEN c.level > 1 THEN 'Extraction succeeded at degradation level ' || c.level END AS message
+FROM cascade c LEFT JOIN (SELECT input_id, string_agg(field, ',' ORDER BY field) AS missing FROM keys GROUP BY input_id) k
+  USING (input_id)"""
+
+FEW_SHOT = """
+  SELECT i.input_id,
+         CASE WHEN f.body IS NULL THEN '暂无规则' ELSE '## 提取规则（按置信度排序）' || chr(10) || f.body END AS few_shot
+  FROM input_types i LEFT JOIN (
+    SELECT input_id, string_agg(
+      chr(10) || '规则 ' || id || ' [置信度: ' || CAST(confidence AS VARCHAR) || ', 成功次数: ' || CAST(support AS VARCHAR)
+      || CASE source WHEN 'via_kg' THEN ', 来源: 知识图谱关联' WHEN 'via_signature' THEN ', 来源: 签名匹配' ELSE '' END
+      || ']:' || chr(10) || '- 触发条件: 提取 ' || coalesce(field, '未知字段') || ' 字段时' || chr(10) || '- 操作: 未定义操作',
+      chr(10) ORDER BY confidence DESC, rank) AS body
+    FROM retrieved GROUP BY input_id) f USING (input_id)"""
+ORACLE["few_shot_text"] = W(*RETRIEVAL_VIEWS, extra=_retrieval_ctes() + [("fs", FEW_SHOT)]) + \
+    "SELECT input_id, few_shot FROM fs"
+NL = "chr(10)"
+ORACLE["build_prompts"] = W(*RETRIEVAL_VIEWS, "anchors", extra=_retrieval_ctes() + [("fs", FEW_SHOT), ("prompts", f"""
+  SELECT i.input_id,
+         '## 目标模板签名' || {NL} || md5(i.template_id) || {NL} || {NL}
+         || '## 字段定义' || {NL} || coalesce(tf.fields_txt, '') || {NL} || {NL}
+         || '## 公式约束' || {NL} || '[]' || {NL} || '说明：以上单元格包含公式，请勿填充，但可用于验证。' || {NL} || {NL}
+         || '## 锚点参考' || {NL} || coalesce(tf.anchors_txt, '') || {NL} || {NL}
+         || fs.few_shot || {NL} || {NL}
+         || '## 成功案例参考' || {NL} || coalesce(mt.patterns_txt, '') || {NL} || {NL}
+         || '## 输入文档' || {NL} || i.content || {NL} AS prompt
+  FROM input_types i JOIN fs USING (input_id)
+  LEFT JOIN (SELECT template_id, string_agg(field, ', ' ORDER BY field) AS fields_txt,
+                    string_agg(field || ': ' || concat_ws(' ', type, role, pattern), {NL}
+                               ORDER BY field, concat_ws(' ', type, role, pattern)) AS anchors_txt
+             FROM anchors GROUP BY template_id) tf USING (template_id)
+  LEFT JOIN (SELECT input_id, string_agg(pattern_id || ' (' || CAST(accuracy AS VARCHAR) || ')', ', ' ORDER BY rank)
+                    AS patterns_txt FROM matched GROUP BY input_id) mt USING (input_id)""")]) + """
+SELECT input_id, length(prompt)::BIGINT AS prompt_chars, md5(prompt) AS prompt_md5 FROM prompts"""
+
+_NUM = "CAST(round_even(CAST({c} AS DOUBLE) * 100, 0) / 100.0 AS VARCHAR)"
+_STR = f"regexp_replace(regexp_replace({{c}}, '^{_WS}+', ''), '{_WS}+$', '')"
+_DIFF_COLS = [("c_name", _STR), ("c_nationkey", _NUM), ("c_acctbal", _NUM), ("c_mktsegment", _STR)]
+ORACLE["data_diff"] = W("diff_gen", "diff_bench") + "\nUNION ALL\n".join(
+    f"""SELECT c_custkey, '{c}' AS col_name, g AS generated, b AS benchmark FROM (
+  SELECT coalesce(x.c_custkey, y.c_custkey) AS c_custkey, {f.replace('{c}', 'x.' + c)} AS g, {f.replace('{c}', 'y.' + c)} AS b
+  FROM diff_gen x FULL OUTER JOIN diff_bench y USING (c_custkey)) WHERE g IS DISTINCT FROM b"""
+    for c, f in _DIFF_COLS)
+
+# --- phase 10: declared checks ---------------------------------------------------------
+
+_TYPED = "\nUNION ALL\n".join(
+    f"""SELECT * FROM (SELECT page_id AS input_id, {_sq(f)} AS field, regexp_extract({src}, {_sq(p)}, 1) AS value,
+       {_sq(t)} AS type FROM pages) WHERE value <> ''""" for f, p, src, t in TYPED_PAGE_FIELDS)
+ORACLE["validate_types"] = f"""
+SELECT *, CASE WHEN type = 'number' THEN TRY_CAST(replace(value, ',', '') AS DOUBLE) IS NOT NULL
+               ELSE regexp_replace(regexp_replace(value, '^{_WS}+', ''), '{_WS}+$', '') <> '' END AS valid
+FROM ({_TYPED})"""
+
+ORACLE["check_formulas"] = W("cells", extra=[
+    ("nums", """SELECT l_partkey AS workbook_id, l_linenumber::BIGINT AS "row", month(l_shipdate)::BIGINT AS col,
+                       sum(l_quantity) AS num FROM lineitem GROUP BY ALL"""),
+    ("f", f"""SELECT workbook_id, "row", col, {a1('"row"', 'col')} AS cell,
+                     {letters_to_num("regexp_extract(value, '([A-Z]+)[0-9]+:', 1)")} AS c1,
+                     CAST(regexp_extract(value, '[A-Z]+([0-9]+):', 1) AS BIGINT) AS r1,
+                     {letters_to_num("regexp_extract(value, ':([A-Z]+)', 1)")} AS c2,
+                     CAST(regexp_extract(value, ':[A-Z]+([0-9]+)', 1) AS BIGINT) AS r2
+              FROM cells WHERE value LIKE '=%'""")]) + """
+SELECT f.workbook_id, f.cell, coalesce(sum(n.num), 0.0) AS expected, any_value(t.num) AS target,
+       coalesce(abs(coalesce(sum(n.num), 0.0) - any_value(t.num)) <= 1e-6, false) AS consistent
+FROM f LEFT JOIN nums n ON n.workbook_id = f.workbook_id AND n.col BETWEEN f.c1 AND f.c2 AND n."row" BETWEEN f.r1 AND f.r2
+LEFT JOIN nums t ON t.workbook_id = f.workbook_id AND t."row" = f."row" AND t.col = f.col
+GROUP BY f.workbook_id, f.cell"""
+
+ORACLE["check_unique"] = W("input_types") + """
+SELECT template_id, signature, count(*)::BIGINT AS n FROM input_types GROUP BY ALL HAVING count(*) > 1"""
+ORACLE["list_templates"] = W("rules", "input_types", "patterns") + """
+SELECT coalesce(r.template_id, p.template_id) AS template_id, coalesce(r.n_rules, 0)::BIGINT AS n_rules,
+       coalesce(p.n_variants, 0)::BIGINT AS n_variants, strftime(r.last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated
+FROM (SELECT template_id, count(*) AS n_rules, max(last_used) AS last_updated FROM rules GROUP BY ALL) r
+FULL OUTER JOIN (SELECT template_id, count(DISTINCT input_signature) AS n_variants FROM patterns GROUP BY ALL) p
+  USING (template_id)"""

@@ -144,4 +144,4 @@ def with_views(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in _order(list(names))]
     for n, body in extra or []:
         parts.append(f"{n} AS ({body})")
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH " + ",\n".join(parts) + "\n") if parts else ""
