@@ -120,13 +120,9 @@ def outcome_summary(outcomes: DataFrame, chunk: str = "hour") -> DataFrame:
     )
 
 
-def replay_outcomes(rules: DataFrame, outcomes: DataFrame, chunk: str = "hour") -> DataFrame:
-    """L2: every rule after replaying its template's outcome log in order.
-
-    Output keeps all rule columns with updated ``confidence`` / ``support``
-    and an ``archived`` flag.  Equal to applying L1 once per event.
-    """
-    summ = outcome_summary(outcomes, chunk)
+def apply_summary(rules: DataFrame, summ: DataFrame) -> DataFrame:
+    """Rules after their template's outcome log, given its summary (see
+    :func:`outcome_summary`); templates without events keep their rules."""
     x = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
     g0 = F.rint(x * 100.0)   # start on the grid (first move rounds anyway)
     r = rules.join(summ, "template_id", "left")
@@ -147,6 +143,15 @@ def replay_outcomes(rules: DataFrame, outcomes: DataFrame, chunk: str = "hour")
                     arch.alias("archived"))
 
 
+def replay_outcomes(rules: DataFrame, outcomes: DataFrame, chunk: str = "hour") -> DataFrame:
+    """L2: every rule after replaying its template's outcome log in order.
+
+    Output keeps all rule columns with updated ``confidence`` / ``support``
+    and an ``archived`` flag.  Equal to applying L1 once per event.
+    """
+    return apply_summary(rules, outcome_summary(outcomes, chunk))
+
+
 # --- touch (L4) --------------------------------------------------------------
 
 def touch_rules(rules: DataFrame, retrieved: DataFrame, as_of) -> DataFrame:

@@ -555,3 +555,24 @@ def q_check_unique(spark, d):
 @query
 def q_list_templates(spark, d):
     return V.list_templates(X.rules(spark, d), X.patterns(spark, d))
+
+
+# --- phase 9: streaming ------------------------------------------------------------
+
+from refbank.streaming import jobs as ST  # noqa: E402
+
+
+@query
+def q_stream_ingest(spark, d):
+    return ST.stream_ingest(spark, d).select("event_id", "cluster_key")
+
+
+@query
+def q_stream_clusters(spark, d):
+    return ST.stream_clusters(spark, d).select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "cluster_key", "samples")
+
+
+@query
+def q_stream_lifecycle(spark, d):
+    return ST.stream_lifecycle(spark, d).select("template_id", "id", "confidence", "support", "archived")

@@ -642,3 +642,11 @@ SELECT coalesce(r.template_id, p.template_id) AS template_id, coalesce(r.n_rules
 FROM (SELECT template_id, count(*) AS n_rules, max(last_used) AS last_updated FROM rules GROUP BY ALL) r
 FULL OUTER JOIN (SELECT template_id, count(DISTINCT input_signature) AS n_variants FROM patterns GROUP BY ALL) p
   USING (template_id)"""
+
+# --- phase 9: streaming (same results as the batch forms) ------------------------------
+
+ORACLE["stream_ingest"] = ORACLE["cluster_key"]
+ORACLE["stream_clusters"] = W("exec_log", extra=[("log", LOG)]) + """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, cluster_key, count(*)::BIGINT AS samples
+FROM log GROUP BY ALL"""
+ORACLE["stream_lifecycle"] = ORACLE["replay_outcomes"]
