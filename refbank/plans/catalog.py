@@ -576,3 +576,49 @@ def q_stream_clusters(spark, d):
 @query
 def q_stream_lifecycle(spark, d):
     return ST.stream_lifecycle(spark, d).select("template_id", "id", "confidence", "support", "archived")
+
+
+# --- phase 7/8: batch run and learning loop (rows-only) ---------------------------------
+
+from refbank.plans import batch as B  # noqa: E402
+from refbank.plans import learning as LN  # noqa: E402
+
+
+def _web_schema(spark, templates: DataFrame | None = None):
+    """Required fields of the web template(s): the fixed page field list."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).cast("long").alias("ord"))
+                       for i, f in enumerate(X.PAGE_SCHEMA_FIELDS)])
+    t = templates if templates is not None else spark.range(1).select(F.lit(X.WEB_TEMPLATE).alias("template_id"))
+    return t.select("template_id", F.explode(fields).alias("f")).select("template_id", "f.field", "f.ord")
+
+
+@query
+def q_run_batch(spark, d):
+    pages = X.page_inputs(spark, d).withColumn("path", F.col("url"))
+    res = B.run_batch(spark, pages, B.web_bank(spark), _web_schema(spark).select("template_id", "field"),
+                      as_of=X.AS_OF)
+    return res.status.select("input_id", "status", "level", "missing_fields")
+
+
+def web_catalogue(spark):
+    """Candidate patterns per field, best confidence first (cand 0, 1, ...)."""
+    rows = sorted(X.WEB_RULES, key=lambda r: (r[1], -r[4], r[0]))
+    out, seen = [], {}
+    for rid, f, p, src, c in rows:
+        k = seen.get(f, 0)
+        seen[f] = k + 1
+        out.append((f, k, p, src))
+    return spark.createDataFrame(out, "field string, cand int, pattern string, source string")
+
+
+@query
+def q_learn_cycle(spark, d):
+    pg = X.table(spark, d, "pages").select("page_id", "url", "html")
+    lang = F.regexp_extract("html", "<html lang=\"([^\"]*)\"", 1)
+    tagged = pg.withColumn("template_id", F.concat(F.lit("web_"), lang))
+    first = tagged.groupBy("template_id").agg(F.min("page_id").alias("page_id"))
+    samples = (tagged.join(first, ["template_id", "page_id"])
+               .select("template_id", F.col("page_id").alias("input_id"), "url", "html"))
+    schema = _web_schema(spark, first.select("template_id"))
+    res = LN.learn_cycle(spark, samples, schema, LN.rule_catalogue_tester(web_catalogue(spark)), as_of=X.AS_OF)
+    return res.status
