@@ -62,7 +62,7 @@ def expand_formula_ranges(formula) -> F.Column:
 
     def expand(rng):
         a = F.split(rng, ":")
-        lo, hi = F.element_at(a, 1), F.coalesce(F.element_at(a, 2), F.element_at(a, 1))
+        lo, hi = F.element_at(a, 1), F.coalesce(F.try_element_at(a, F.lit(2)), F.element_at(a, 1))
         r1, r2 = S.cell_row(lo), S.cell_row(hi)
         c1, c2 = S.cell_col(lo), S.cell_col(hi)
         rows = F.sequence(F.least(r1, r2), F.greatest(r1, r2))
