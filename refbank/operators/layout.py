@@ -57,6 +57,11 @@ def template_profile(cells: DataFrame, max_cells: int = MAX_HASHED_CELLS) -> Dat
     WindowGroupLimit, so map tasks already drop rows beyond the first k per
     workbook before the shuffle.
     """
+    spark = cells.sparkSession
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key, "1000")) < max_cells:
+        # let row_number() <= max_cells plan as a (map-side) WindowGroupLimit
+        spark.conf.set(key, str(max_cells))
     lay = sheet_layout(cells)
     sheet_txt = F.concat_ws(",", *[F.col(c).cast("string") for c in (
         "sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",

@@ -160,7 +160,11 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
     """
     x = prepare_inputs(inputs) if "signature" not in inputs.columns else inputs
     bank = L.decay_rules(rules, as_of) if as_of is not None else rules
-    type_ctx = x.select("template_id", "input_type").distinct()
+    # One distinct pass over the inputs; the smaller contexts derive from it
+    # (the same exchange is reused), so documents are hashed twice at most:
+    # here and for the final join back to input ids.
+    full_ctx = x.select("template_id", "input_type", "signature").distinct()
+    type_ctx = full_ctx.select("template_id", "input_type").distinct()
     direct = _dedupe_by_id(direct_rules(type_ctx, bank, trigger), ["template_id", "input_type"])
     via_kg = _dedupe_by_id(kg_expand(direct, edges, bank), ["template_id", "input_type"])
     # list rank: 0 = direct, 1 = via_kg, 2 = via_signature (reference list order)
@@ -172,10 +176,9 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
         F.coalesce(F.col("confidence"), F.lit(0.0)).desc(), "list_rank", "ord")
     typed = typed.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= top_k).drop("_r")
 
-    full_ctx = x.select("template_id", "input_type", "signature").distinct()
     cand = full_ctx.join(typed, ["template_id", "input_type"])
     if use_signature:
-        sig_ctx = x.select("template_id", "signature").distinct()
+        sig_ctx = full_ctx.select("template_id", "signature").distinct()
         matched = match_patterns(sig_ctx, patterns)
         via_sig = _dedupe_by_id(via_signature(matched, bank), ["template_id", "signature"])
         cand = cand.unionByName(

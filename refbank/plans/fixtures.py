@@ -52,7 +52,7 @@ def inputs(spark, sf_dir) -> DataFrame:
     )
 
 
-def rules(spark, sf_dir) -> DataFrame:
+def _build_rules(spark, sf_dir) -> DataFrame:
     """Flat rule table: one row per rule of every template's bank."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     lu = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate")
@@ -77,7 +77,7 @@ def rules(spark, sf_dir) -> DataFrame:
             ))
 
 
-def edges(spark, sf_dir) -> DataFrame:
+def _build_edges(spark, sf_dir) -> DataFrame:
     """edges(template_id, src, dst, relation, weight)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
@@ -101,7 +101,7 @@ def edges(spark, sf_dir) -> DataFrame:
     return uses.unionByName(follows).withColumn("weight", F.lit(1.0))
 
 
-def anchors(spark, sf_dir) -> DataFrame:
+def _build_anchors(spark, sf_dir) -> DataFrame:
     """anchors(template_id, anchor_id, field, type, role, pattern): one per
     anchor referenced by a template's ``uses_anchor`` edges."""
     e = edges(spark, sf_dir).where(F.col("relation") == "uses_anchor").select(
@@ -118,7 +118,7 @@ def anchors(spark, sf_dir) -> DataFrame:
                     F.concat(F.col("s_name"), F.lit(":")).alias("pattern")))
 
 
-def patterns(spark, sf_dir) -> DataFrame:
+def _build_patterns(spark, sf_dir) -> DataFrame:
     """Success patterns: one per order of an input-customer (custkey % 3 <> 0)."""
     o = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
          .where(F.col("o_custkey") % 3 != 0))
@@ -193,7 +193,7 @@ def schema_fields(spark, sf_dir) -> DataFrame:
     )
 
 
-def cells(spark, sf_dir) -> DataFrame:
+def _build_cells(spark, sf_dir) -> DataFrame:
     """Worksheet cells(workbook_id, sheet, row, col, value) from ``lineitem``."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_returnflag", "l_linenumber", "l_shipdate", "l_linestatus")
@@ -299,3 +299,59 @@ def responses(spark, sf_dir) -> DataFrame:
     return js.select("input_id", F.when(k == 0, F.concat(F.lit("```json\n"), F.col("j"), F.lit("\n```")))
                      .when(k == 1, F.col("j"))
                      .otherwise(F.expr("substring(j, 1, length(j) - 1)")).alias("response"))
+
+
+# --- stored bank tables ---------------------------------------------------------
+#
+# In a deployment the bank (rules, edges, patterns, anchors) and the cell
+# store are Parquet tables.  The fixtures derive them from the driver tables,
+# so derive each once per session and store it under the shared checkpoint
+# folder; every query then scans the stored table (with pruning/pushdown)
+# instead of re-deriving it in each plan branch.
+
+import hashlib as _hashlib
+import os as _os
+
+MATERIALIZE = _os.environ.get("REFBANK_MATERIALIZE_FIXTURES", "1") != "0"
+
+
+def _stored(spark, sf_dir, name, builder) -> DataFrame:
+    if not MATERIALIZE:
+        return builder(spark, sf_dir)
+    from refbank.session import checkpoint_dir
+    from refbank.sources.bank_io import _exists
+
+    key = _hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/refbank-bank/{key}/{name}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        try:
+            builder(spark, sf_dir).write.mode("overwrite").parquet(path)
+        except Exception:  # noqa: BLE001 - a concurrent writer finished first
+            if not _exists(spark, f"{path}/_SUCCESS"):
+                raise
+    return spark.read.parquet(path)
+
+
+def rules(spark, sf_dir) -> DataFrame:
+    """Flat rule table: one row per rule of every template's bank."""
+    return _stored(spark, sf_dir, "rules", _build_rules)
+
+
+def edges(spark, sf_dir) -> DataFrame:
+    """edges(template_id, src, dst, relation, weight)."""
+    return _stored(spark, sf_dir, "edges", _build_edges)
+
+
+def patterns(spark, sf_dir) -> DataFrame:
+    """Success patterns: one per order of an input-customer (custkey % 3 <> 0)."""
+    return _stored(spark, sf_dir, "patterns", _build_patterns)
+
+
+def anchors(spark, sf_dir) -> DataFrame:
+    """anchors(template_id, anchor_id, field, type, role, pattern)."""
+    return _stored(spark, sf_dir, "anchors", _build_anchors)
+
+
+def cells(spark, sf_dir) -> DataFrame:
+    """Worksheet cells(workbook_id, sheet, row, col, value) from ``lineitem``."""
+    return _stored(spark, sf_dir, "cells", _build_cells)

@@ -55,7 +55,8 @@ def rule_catalogue_tester(catalogue: DataFrame):
 
 
 def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, tester,
-                analyse=default_analyse, max_retries: int = 5, as_of=None) -> LearnResult:
+                analyse=default_analyse, draft=None, reflect=None,
+                max_retries: int = 5, as_of=None) -> LearnResult:
     """Learn rules for every template.
 
     ``samples(template_id, input_id, <source columns>)`` (one sample input per
@@ -66,8 +67,11 @@ def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, test
     checkpoint_dir(spark)
     specs = analyse(samples, schema)
     base = specs.select("template_id").distinct().withColumn("max_id", F.lit(0).cast("long"))
-    rules = (L.add_rules(specs.withColumn("input_type", F.lit("md")), base, "semantic_extract", 0.5, as_of)
-             .withColumn("cand", F.lit(0)))
+    if draft is not None:                       # H3 replaces the default draft
+        rules = draft(specs, base)
+    else:
+        rules = (L.add_rules(specs.withColumn("input_type", F.lit("md")), base, "semantic_extract", 0.5, as_of)
+                 .withColumn("cand", F.lit(0)))
     rules = rules.checkpoint()
     status = samples.select("template_id").distinct().withColumn("status", F.lit("reflected")) \
         .withColumn("attempts", F.lit(0))
@@ -92,8 +96,14 @@ def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, test
                   .withColumn("input_type", F.lit("md"))
                   .withColumn("ord", F.xxhash64("field")))
         ids = rules.groupBy("template_id").agg(F.max(F.regexp_extract("id", "([0-9]+)$", 1).cast("long")).alias("max_id"))
-        repairs = L.add_rules(miss_f, ids, "retry_extract", 0.6, as_of).join(
-            miss_f.select("template_id", "field", "cand"), ["template_id", "field"])
+        if reflect is not None:
+            # H5 sees the already-penalised rules; its repairs are merged by
+            # id, existing rules win
+            repairs = reflect(rules, missing).join(rules.select("template_id", "id"),
+                                                   ["template_id", "id"], "left_anti")
+        else:
+            repairs = L.add_rules(miss_f, ids, "retry_extract", 0.6, as_of).join(
+                miss_f.select("template_id", "field", "cand"), ["template_id", "field"])
         rules = rules.unionByName(repairs.select(*rules.columns)).checkpoint()
         open_tpl = failing.checkpoint()
         if open_tpl.isEmpty():

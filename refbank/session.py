@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     # Rule / template side tables are small per key; let the planner
     # broadcast them only when its size estimate says so (10 MB).
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # top-k windows up to the profile cell cap get a map-side group limit
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 
@@ -44,23 +46,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables (stable path).
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
     as is.  Only when it is unset (local tests) do we create a scratch one.
+    The SparkContext checkpoint directory is set once; later calls return
+    the same base path.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         try:
-            path = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset key raises
+            path = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
             path = None
     if not path:
         path = tempfile.mkdtemp(prefix="refbank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -79,3 +79,29 @@ def test_stream_lifecycle_equals_batch(spark):
     a = sorted(map(tuple, REGISTRY["stream_lifecycle"](spark, d).collect()))
     b = sorted(map(tuple, REGISTRY["replay_outcomes"](spark, d).collect()))
     assert a == b
+
+
+def test_formula_constraints_and_append(spark, tmp_dir):
+    docs = spark.createDataFrame([("t", '{"formula_constraints": [{"cell": "D5", "formula": "=SUM(D2:D4)", '
+                                        '"depends_on": ["D2", "D4"], "description": "Sum"}]}')],
+                                 "tpl string, value string")
+    f = IO.formula_constraints_from_json(docs).first()
+    assert (f.cell, f.formula, f.depends_on) == ("D5", "=SUM(D2:D4)", ["D2", "D4"])
+    ev = spark.createDataFrame([("e1", "2024-01-02 03:04:05", "row_misalignment")], "event_id string, ts string, error_type string")
+    IO.append_events(ev, f"{tmp_dir}/log")
+    IO.append_events(ev, f"{tmp_dir}/log")
+    back = spark.read.json(f"{tmp_dir}/log")
+    assert back.count() == 2 and "dt" in back.columns
+
+
+def test_learn_cycle_commits_and_reflects(spark):
+    from refbank.plans import learning as LN
+    samples = spark.createDataFrame([("a", 1, "Invoice #1 Vendor: X"), ("b", 2, "nothing here")],
+                                    "template_id string, input_id long, content string")
+    schema = spark.createDataFrame([("a", "inv", 0), ("b", "inv", 0)], "template_id string, field string, ord long")
+    cat = spark.createDataFrame([("inv", 0, "Bill #(\\d+)", "content"), ("inv", 1, "Invoice #(\\d+)", "content")],
+                                "field string, cand int, pattern string, source string")
+    res = LN.learn_cycle(spark, samples, schema, LN.rule_catalogue_tester(cat), max_retries=3,
+                         as_of="2024-01-01 00:00:00")
+    got = {r.template_id: (r.status, r.attempts) for r in res.status.collect()}
+    assert got == {"a": ("committed", 2), "b": ("reflected", 3)}
