@@ -165,32 +165,28 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
     # here and for the final join back to input ids.
     full_ctx = x.select("template_id", "input_type", "signature").distinct()
     type_ctx = full_ctx.select("template_id", "input_type").distinct()
-    direct = _dedupe_by_id(direct_rules(type_ctx, bank, trigger), ["template_id", "input_type"])
-    via_kg = _dedupe_by_id(kg_expand(direct, edges, bank), ["template_id", "input_type"])
+    direct = direct_rules(type_ctx, bank, trigger)
+    via_kg = kg_expand(direct, edges, bank)
     # list rank: 0 = direct, 1 = via_kg, 2 = via_signature (reference list order)
-    typed = (direct.withColumn("list_rank", F.lit(0)).withColumn("prec", F.lit(2))
-             .unionByName(via_kg.withColumn("list_rank", F.lit(1)).withColumn("prec", F.lit(1))))
+    tkeys = ["template_id", "input_type"]
+    typed = _fold_copies(
+        direct.withColumn("list_rank", F.lit(0)).withColumn("prec", F.lit(2))
+        .unionByName(via_kg.withColumn("list_rank", F.lit(1)).withColumn("prec", F.lit(1))), tkeys)
     # A candidate outside its type context's top-k can never reach the final
     # top-k (signature copies only rank later), so cut here.
-    wt = Window.partitionBy("template_id", "input_type").orderBy(
-        F.coalesce(F.col("confidence"), F.lit(0.0)).desc(), "list_rank", "ord")
-    typed = typed.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= top_k).drop("_r")
-
-    cand = full_ctx.join(typed, ["template_id", "input_type"])
+    typed = (typed.withColumn("_r", F.row_number().over(Window.partitionBy(*tkeys).orderBy("pos")))
+             .where(F.col("_r") <= top_k).drop("_r"))
+    cand = full_ctx.join(typed, tkeys)
     if use_signature:
         sig_ctx = full_ctx.select("template_id", "signature").distinct()
-        matched = match_patterns(sig_ctx, patterns)
-        via_sig = _dedupe_by_id(via_signature(matched, bank), ["template_id", "signature"])
-        cand = cand.unionByName(
-            full_ctx.join(via_sig.withColumn("list_rank", F.lit(2)).withColumn("prec", F.lit(3)),
-                          ["template_id", "signature"]))
+        via_sig = (via_signature(match_patterns(sig_ctx, patterns), bank)
+                   .withColumn("list_rank", F.lit(2)).withColumn("prec", F.lit(3)))
+        cand = cand.unionByName(full_ctx.join(_copy_keys(via_sig), ["template_id", "signature"])
+                                .select(*cand.columns))
     keys = ["template_id", "input_type", "signature"]
-    conf0 = F.coalesce(F.col("confidence"), F.lit(0.0))
-    per_rule = (cand.groupBy(*keys, "id").agg(
-        F.min(F.struct((-conf0).alias("nc"), "list_rank", "ord")).alias("pos"),
-        F.max(F.struct("prec", conf0.alias("c"), (-F.col("list_rank")).alias("nl"),
-                       (-F.col("ord")).alias("no"),
-                       F.struct(*RULE_BODY).alias("body"))).alias("best")))
+    # min(pos) / max(best) are associative, so folding per type context
+    # first and per full context afterwards gives the one-pass result.
+    per_rule = cand.groupBy(*keys, "id").agg(F.min("pos").alias("pos"), F.max("best").alias("best"))
     wr = Window.partitionBy(*keys).orderBy("pos")
     ranked = (per_rule.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= top_k)
               .select(*keys, "rank",
@@ -204,6 +200,23 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
             .select("input_id", "template_id", "rank", "id", "source", "confidence", "support", "field"))
 
 
+def _copy_keys(df: DataFrame) -> DataFrame:
+    """Position key and body key of each rule copy (see :func:`_fold_copies`)."""
+    conf0 = F.coalesce(F.col("confidence"), F.lit(0.0))
+    return df.select(
+        *[c for c in df.columns if c not in RULE_BODY + ["list_rank", "prec"]], "id",
+        F.struct((-conf0).alias("nc"), "list_rank", "ord").alias("pos"),
+        F.struct("prec", conf0.alias("c"), (-F.col("list_rank")).alias("nl"), (-F.col("ord")).alias("no"),
+                 F.struct(*RULE_BODY).alias("body")).alias("best"))
+
+
+def _fold_copies(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per (keys, id): the position of the best copy (confidence desc, list
+    order, file order) and the body of the strongest-source copy (Q10)."""
+    k = _copy_keys(df)
+    return k.groupBy(*keys, "id").agg(F.min("pos").alias("pos"), F.max("best").alias("best"))
+
+
 def retrieval_context(inputs: DataFrame, rules: DataFrame, edges: DataFrame,
                       patterns: DataFrame, anchors: DataFrame, as_of=None,
                       top_k: int = 10) -> DataFrame:
