@@ -22,8 +22,18 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__.removeprefix("q_")] = fn
-    return fn
+    """Register ``fn``; the bank's instants are UTC wall-clock times, so the
+    session time zone is pinned to UTC before the plan is built."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str, *a, **kw) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir, *a, **kw)
+
+    REGISTRY[fn.__name__.removeprefix("q_")] = run
+    return run
 
 
 def _ids(arr) -> F.Column:
