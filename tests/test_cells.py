@@ -68,3 +68,20 @@ def test_formula_cells_and_neighbors(spark):
     assert fx.depends_on == ["D2", "D3", "D4", "A1"]
     n = {r.cell: (r.up, r.down, r.left, r.right) for r in C.cell_neighbors(cells).collect()}
     assert n == {"A1": (None, "A2", None, "B1"), "D5": ("D4", None, "C5", None)}
+
+
+def test_check_formulas_range_join(spark):
+    from refbank.operators import cells as C2
+    from refbank.operators import validate as V
+    cells = spark.createDataFrame([(1, "S", 5, 4, "=SUM(D2:D4)+A1"), (1, "S", 9, 1, "=SUM(A1:Z100000)"),
+                                   (2, "S", 1, 1, "=B700")],
+                                  "workbook_id long, sheet string, row long, col long, value string")
+    nums = spark.createDataFrame([(1, 2, 4, 1.0), (1, 3, 4, 2.0), (1, 4, 4, 3.0), (1, 1, 1, 10.0), (1, 5, 4, 16.0),
+                                  (1, 99999, 26, 5.0), (1, 9, 1, 31.0), (2, 700, 2, 7.0), (2, 1, 1, 7.0)],
+                                 "workbook_id long, row long, col long, num double")
+    got = {(r.workbook_id, r.cell): (r.expected, r.target, r.consistent)
+           for r in V.check_formulas(C2.formula_cells(cells), nums).collect()}
+    assert got[(1, "D5")] == (16.0, 16.0, True)
+    # the huge range covers every number of workbook 1, its own cell A9 included
+    assert got[(1, "A9")][0] == 1.0 + 2.0 + 3.0 + 10.0 + 16.0 + 5.0 + 31.0
+    assert got[(2, "A1")] == (7.0, 7.0, True)
