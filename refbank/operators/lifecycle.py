@@ -67,14 +67,14 @@ def apply_template_outcomes(rules: DataFrame, per_template: DataFrame) -> DataFr
 # steps, the state after t events is  min(G + S_t, 100 + S_t - max_{u<=t} S_u)
 # and a rule is archived iff  G + min_t S_t < 30  or the largest drawdown
 # max_{u<=t}(S_u - S_t) exceeds 70.  Those are associative summaries, so the
-# log is summarised per (template, time chunk) in parallel and the chunks
+# log is summarised per (template, minute) in parallel and the chunks
 # are combined in order -- no template's log is ever collected in one row.
 
 def _step(v):
     return (F.when(v > 0, F.lit(2)).when(v < 0, F.lit(-5)).otherwise(F.lit(0))).cast("long")
 
 
-def outcome_summary(outcomes: DataFrame, chunk: str = "hour") -> DataFrame:
+def outcome_summary(outcomes: DataFrame, chunk: str = "minute") -> DataFrame:
     """Per template: n, n_plus, n_moves, first_neutral, total, min_prefix,
     max_prefix, max_drawdown of the time-ordered step sequence.
 
@@ -143,7 +143,7 @@ def apply_summary(rules: DataFrame, summ: DataFrame) -> DataFrame:
                     arch.alias("archived"))
 
 
-def replay_outcomes(rules: DataFrame, outcomes: DataFrame, chunk: str = "hour") -> DataFrame:
+def replay_outcomes(rules: DataFrame, outcomes: DataFrame, chunk: str = "minute") -> DataFrame:
     """L2: every rule after replaying its template's outcome log in order.
 
     Output keeps all rule columns with updated ``confidence`` / ``support``
