@@ -20,14 +20,22 @@ SHAPE_WEIGHT = 0.2
 MAX_HASHED_CELLS = 5000
 
 
-def occupied(cells: DataFrame) -> DataFrame:
-    """Normalised occupied coordinates per sheet."""
-    c = collect_cells(cells)
-    # min over a sheet: a partial aggregate joined back, not a sort
-    mins = c.groupBy("workbook_id", "sheet").agg(F.min("row").alias("r0"), F.min("col").alias("c0"))
-    return (c.join(mins, ["workbook_id", "sheet"])
-            .select("workbook_id", "sheet", (F.col("row") - F.col("r0")).alias("dr"),
-                    (F.col("col") - F.col("c0")).alias("dc")))
+def extents(cells: DataFrame) -> DataFrame:
+    """Per sheet: used row / column range and occupied count (one aggregation)."""
+    return (collect_cells(cells).groupBy("workbook_id", "sheet").agg(
+        F.min("row").alias("min_row"), F.max("row").alias("max_row"),
+        F.min("col").alias("min_col"), F.max("col").alias("max_col"),
+        F.count("*").cast("long").alias("occupied_count")))
+
+
+def occupied(cells: DataFrame, ext: DataFrame | None = None) -> DataFrame:
+    """Normalised occupied coordinates per sheet (relative to the sheet's
+    top-left used cell), from the per-sheet extents joined back."""
+    ext = ext if ext is not None else extents(cells)
+    return (collect_cells(cells).join(ext.select("workbook_id", "sheet", "min_row", "min_col"),
+                                      ["workbook_id", "sheet"])
+            .select("workbook_id", "sheet", (F.col("row") - F.col("min_row")).alias("dr"),
+                    (F.col("col") - F.col("min_col")).alias("dc")))
 
 
 def _cell_hash(dr, dc) -> F.Column:
@@ -36,20 +44,18 @@ def _cell_hash(dr, dc) -> F.Column:
                   16, 10).cast("decimal(38,0)")
 
 
-def sheet_layout(cells: DataFrame) -> DataFrame:
+def sheet_layout(cells: DataFrame, occ: DataFrame | None = None, ext: DataFrame | None = None) -> DataFrame:
     """A5: per sheet extents, occupied count and an order-independent digest
     of the occupied set (sum of per-cell hashes, partial-aggregated)."""
-    c = collect_cells(cells)
-    ext = c.groupBy("workbook_id", "sheet").agg(
-        F.min("row").alias("min_row"), F.max("row").alias("max_row"),
-        F.min("col").alias("min_col"), F.max("col").alias("max_col"),
-        F.count("*").cast("long").alias("occupied_count"))
-    occ = (occupied(cells).groupBy("workbook_id", "sheet")
-           .agg(F.sum(_cell_hash(F.col("dr"), F.col("dc"))).cast("string").alias("occupied_digest")))
-    return ext.join(occ, ["workbook_id", "sheet"])
+    ext = ext if ext is not None else extents(cells)
+    occ = occ if occ is not None else occupied(cells, ext)
+    dig = occ.groupBy("workbook_id", "sheet").agg(
+        F.sum(_cell_hash(F.col("dr"), F.col("dc"))).cast("string").alias("occupied_digest"))
+    return ext.join(dig, ["workbook_id", "sheet"])
 
 
-def template_profile(cells: DataFrame, max_cells: int = MAX_HASHED_CELLS) -> DataFrame:
+def template_profile(cells: DataFrame, max_cells: int = MAX_HASHED_CELLS,
+                     layout: DataFrame | None = None) -> DataFrame:
     """A6 + W5: per workbook the SHA-256 over its sheet layouts and its first
     ``max_cells`` non-empty cells in (sheet, row, col) order.
 
@@ -62,7 +68,7 @@ def template_profile(cells: DataFrame, max_cells: int = MAX_HASHED_CELLS) -> Dat
     if int(spark.conf.get(key, "1000")) < max_cells:
         # let row_number() <= max_cells plan as a (map-side) WindowGroupLimit
         spark.conf.set(key, str(max_cells))
-    lay = sheet_layout(cells)
+    lay = layout if layout is not None else sheet_layout(cells)
     sheet_txt = F.concat_ws(",", *[F.col(c).cast("string") for c in (
         "sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",
         "occupied_count", "occupied_digest")])
@@ -84,11 +90,16 @@ def template_profile(cells: DataFrame, max_cells: int = MAX_HASHED_CELLS) -> Dat
                     F.sha2(F.concat_ws("#", "sheets_txt", "cells_txt"), 256).alias("signature")))
 
 
-def layout_similarity(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+def layout_similarity(cells: DataFrame, pairs: DataFrame, layout: DataFrame | None = None,
+                      occ: DataFrame | None = None) -> DataFrame:
     """A7 + P15 + J13: per requested pair (x = base, y = candidate) and sheet
     name of either side: Jaccard of occupied sets, shape score, weighted
     score; a sheet missing on one side scores 0 with a reason."""
-    lay = sheet_layout(cells).select(
+    if occ is None:
+        ext = extents(cells)
+        occ = occupied(cells, ext)
+        layout = layout if layout is not None else sheet_layout(cells, occ, ext)
+    lay = (layout if layout is not None else sheet_layout(cells, occ)).select(
         "workbook_id", "sheet", "occupied_count",
         (F.col("max_row") - F.col("min_row")).alias("h"), (F.col("max_col") - F.col("min_col")).alias("w"))
     bx = lay.select(F.col("workbook_id").alias("x"), "sheet", F.col("occupied_count").alias("a"),
@@ -101,7 +112,6 @@ def layout_similarity(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     sheets = sx.join(sy, ["x", "y", "sheet"], "full_outer")
     # candidate cells -> their pair (one base per candidate), then probe the
     # base's cells on the full key; a hot base spreads over its coordinates
-    occ = occupied(cells)
     cand = (occ.withColumnRenamed("workbook_id", "y").join(p, "y")
             .select("x", "y", "sheet", "dr", "dc"))
     base = occ.select(F.col("workbook_id").alias("x"), "sheet", "dr", "dc")
@@ -125,9 +135,12 @@ def layout_compat(cells: DataFrame, pairs: DataFrame, threshold: float = COMPATI
                   profiles: DataFrame | None = None) -> DataFrame:
     """Exact (same signature) -> 1.0; else the mean sheet score over the
     union of sheet names, rounded to 4 places, compatible at >= threshold."""
-    prof = profiles if profiles is not None else template_profile(cells)
+    ext = extents(cells)
+    occ = occupied(cells, ext)
+    lay = sheet_layout(cells, occ, ext)
+    prof = profiles if profiles is not None else template_profile(cells, layout=lay)
     sig = prof.select("workbook_id", "signature")
-    sim = layout_similarity(cells, pairs)
+    sim = layout_similarity(cells, pairs, layout=lay, occ=occ)
     agg = sim.groupBy("x", "y").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
     p = (pairs.select("x", "y").distinct()
          .join(sig.withColumnRenamed("workbook_id", "x").withColumnRenamed("signature", "sx"), "x", "left")
