@@ -105,3 +105,17 @@ def test_learn_cycle_commits_and_reflects(spark):
                          as_of="2024-01-01 00:00:00")
     got = {r.template_id: (r.status, r.attempts) for r in res.status.collect()}
     assert got == {"a": ("committed", 2), "b": ("reflected", 3)}
+
+
+def test_rules_export_roundtrip(spark, tmp_dir):
+    rules = spark.createDataFrame(
+        [("tplZ", "R007", "pdf", "field_extraction", "total", "find_by_regex", None, "Total: (\\\\d+)", 0.7, 3,
+          None, 0)],
+        "template_id string, id string, input_type string, trigger string, field string, action string, "
+        "anchor string, pattern string, confidence double, support long, last_used timestamp, ord long")
+    out = f"{tmp_dir}/tplZ/bank/rules.jsonl"
+    IO.write_rules(rules, out)
+    back = IO.read_rules(spark, out, template_level=3).first()
+    assert (back.template_id, back.id, back.input_type, back.trigger, back.field, back.action,
+            back.pattern, back.confidence, back.support) == \
+        ("tplZ", "R007", "pdf", "field_extraction", "total", "find_by_regex", "Total: (\\\\d+)", 0.7, 3)
