@@ -199,6 +199,24 @@ def read_exec_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_exec_log_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S8 variant: PERMISSIVE read keeping the good rows and returning the
+    rejected raw lines (with their file) so they can be counted or kept."""
+    if not _exists(spark, path):
+        return _empty(spark, EVENT_SCHEMA), spark.createDataFrame([], "line string, file string")
+    schema = T.StructType(EVENT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+           .withColumn("_file", F.col("_metadata.file_path")))
+    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_file")
+    # a malformed JSON line parses to all-null fields; testing a data column
+    # too keeps the scan from touching only the corrupt-record column (which
+    # Spark rejects on raw files)
+    bad = raw.where(F.col("_corrupt_record").isNotNull() & F.col("event_id").isNull()).select(
+        F.col("_corrupt_record").alias("line"), F.col("_file").alias("file"))
+    return good, bad
+
+
 def append_events(events: DataFrame, path: str, partition_col: str = "dt") -> None:
     """Append-only event log, partitioned by day."""
     out = events.withColumn(partition_col, F.to_date(F.col("ts").cast("timestamp")))

@@ -119,3 +119,25 @@ def test_rules_export_roundtrip(spark, tmp_dir):
     assert (back.template_id, back.id, back.input_type, back.trigger, back.field, back.action,
             back.pattern, back.confidence, back.support) == \
         ("tplZ", "R007", "pdf", "field_extraction", "total", "find_by_regex", "Total: (\\\\d+)", 0.7, 3)
+
+
+def test_lenient_log_counts_rejects(spark, tmp_dir):
+    p = f"{tmp_dir}/mem2/execution_log.jsonl"
+    write(p, '{"error_type": "e"}\nnot json\n{"error_type": "f"}\n{broken\n')
+    good, bad = IO.read_exec_log_with_rejects(spark, p)
+    assert sorted(r.error_type for r in good.collect()) == ["e", "f"]
+    assert bad.count() == 2
+
+
+def test_stream_ingest_drops_duplicate_events(spark, tmp_dir):
+    import pandas as pd
+
+    from refbank.streaming import jobs as ST
+    ts = pd.to_datetime(["2024-01-01 00:00:01", "2024-01-01 00:00:02", "2024-01-01 00:00:01", "2024-01-01 00:00:03"])
+    pdf = pd.DataFrame({"event_id": [1, 2, 1, 3], "ts": ts, "user_id": [4, 5, 4, 6],
+                        "event_type": ["error", "error", "error", "click"], "value": [1.0, 2.0, 1.0, 3.0],
+                        "props": ['{"k": 1}', '{"k": 2}', '{"k": 1}', '{"k": 3}']})
+    os.makedirs(f"{tmp_dir}/src", exist_ok=True)
+    pdf.to_parquet(f"{tmp_dir}/src/events.parquet", index=False, coerce_timestamps="us")
+    got = sorted(r.event_id for r in ST.stream_ingest(spark, f"{tmp_dir}/src").collect())
+    assert got == ["1", "2"]
