@@ -150,7 +150,7 @@ def new_variants(inputs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patterns: DataFrame,
                    as_of=None, trigger: str = S.DEFAULT_TRIGGER, top_k: int = 10,
-                   use_signature: bool = True) -> DataFrame:
+                   use_signature: bool = True, matched: DataFrame | None = None) -> DataFrame:
     """X1 for every input: (input_id, rank, id, source, confidence, support, field).
 
     Decay (L3) runs first when ``as_of`` is given.  Provenance: a rule keeps
@@ -179,7 +179,8 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
     cand = full_ctx.join(typed, tkeys)
     if use_signature:
         sig_ctx = full_ctx.select("template_id", "signature").distinct()
-        via_sig = (via_signature(match_patterns(sig_ctx, patterns), bank)
+        m = matched if matched is not None else match_patterns(sig_ctx, patterns)
+        via_sig = (via_signature(m, bank)
                    .withColumn("list_rank", F.lit(2)).withColumn("prec", F.lit(3)))
         cand = cand.unionByName(full_ctx.join(_copy_keys(via_sig), ["template_id", "signature"])
                                 .select(*cand.columns))
@@ -223,12 +224,12 @@ def retrieval_context(inputs: DataFrame, rules: DataFrame, edges: DataFrame,
     """Per input signature, type, retrieved rule ids, matched patterns,
     anchor count and the new-variant flag."""
     x = prepare_inputs(inputs)
-    got = retrieve_rules(x, rules, edges, patterns, as_of=as_of, top_k=top_k)
+    matched = match_patterns(x.select("template_id", "signature").distinct(), patterns)
+    got = retrieve_rules(x, rules, edges, patterns, as_of=as_of, top_k=top_k, matched=matched)
     rule_list = (got.groupBy("input_id")
                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))),
                                                lambda s: s["id"]), ",").alias("rule_ids"),
                       F.count("*").alias("n_rules")))
-    matched = match_patterns(x.select("template_id", "signature"), patterns)
     mlist = (matched.groupBy("template_id", "signature")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pattern_id"))),
                                            lambda s: s["pattern_id"]), ",").alias("matched_patterns")))
