@@ -128,15 +128,26 @@ def bind_values(bindings: DataFrame, data: DataFrame, names: DataFrame | None =
     return b.where(present).select("tpl", "field", "cell", "row", "col", value.alias("value"))
 
 
-def formula_conflicts(bindings: DataFrame, template_cells: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+def formula_conflicts(bindings: DataFrame, template_cells: DataFrame, data: DataFrame,
+                      strict_reference: bool = False) -> tuple[DataFrame, DataFrame]:
     """J9 + U4: fields bound to a formula cell of the template and present in
     the data are reported, and removed from the data.
 
-    ``template_cells(tpl, row, col, value)`` is the sheet written to; the
-    check uses the *resolved* binding (Q5).  Returns (conflicts, cleaned).
+    ``template_cells(tpl, row, col, value[, sheet])`` is the sheet written to;
+    by default the check uses the *resolved* binding (Q5).  With
+    ``strict_reference`` only fields whose spec names a raw upper-case
+    ``cell`` count (``bindings`` then needs ``raw_cell``), matched against
+    formula coordinates of any sheet, as the original check did.
+    Returns (conflicts, cleaned).
     """
-    formulas = template_cells.where(S.is_formula(F.col("value"))).select("tpl", "row", "col")
+    formulas = template_cells.where(S.is_formula(F.col("value"))).select("tpl", "row", "col").distinct()
     present = data.select("tpl", "field").distinct()
+    if strict_reference:
+        bindings = (bindings.where(F.col("raw_cell").isNotNull() & S.is_cell_ref(F.col("raw_cell"))
+                                   & (F.col("raw_cell") == F.upper(F.col("raw_cell"))))
+                    .withColumn("row", S.cell_row(F.col("raw_cell")))
+                    .withColumn("col", S.cell_col(F.col("raw_cell")))
+                    .withColumn("cell", F.col("raw_cell")))
     conflicts = (bindings.join(formulas, ["tpl", "row", "col"], "left_semi")
                  .join(present, ["tpl", "field"], "left_semi")
                  .select("tpl", "field", "cell"))

@@ -23,8 +23,10 @@ def enrich_events(events: DataFrame, as_of=None) -> DataFrame:
                      F.col("missing_fields"), F.col("repair_action"))
     e = e.withColumn("event_id", F.coalesce(F.col("event_id").cast("string"), eid)) if "event_id" in e.columns \
         else e.withColumn("event_id", eid)
-    return e.withColumn("cluster_key", S.cluster_key(F.col("error_type"), F.col("missing_fields"),
-                                                     F.col("template_signature")))
+    key = S.cluster_key(F.col("error_type"), F.col("missing_fields"), F.col("template_signature"))
+    if "cluster_key" in e.columns:          # a stored key wins, as in the log
+        key = F.coalesce(F.when(F.col("cluster_key") != "", F.col("cluster_key")), key)
+    return e.withColumn("cluster_key", key)
 
 
 def _failures(log: DataFrame) -> DataFrame:

@@ -156,12 +156,13 @@ def schema_fields_from_json(docs: DataFrame) -> DataFrame:
     New layout ``{"fields": {name: spec}}`` (non-object specs skipped) and the
     legacy cell-keyed layout ``{"B2": {"name": ...}}`` are both accepted."""
     fields_txt = F.get_json_object("value", "$.fields")
-    new = (docs.where(fields_txt.isNotNull())
+    is_new = F.coalesce(F.ltrim(fields_txt).startswith("{"), F.lit(False))
+    new = (docs.where(is_new)
            .select("tpl", F.explode(F.from_json(fields_txt, "map<string,string>")).alias("field", "raw"))
            .where(F.col("raw").startswith("{"))
            .withColumn("spec", F.from_json("raw", FIELD_SPEC)))
-    ref = F.coalesce(F.col("spec.cell"), F.col("spec.address"))
-    ref = F.when(ref != "", ref)
+    # ``cell`` unless empty, else ``address``
+    ref = F.coalesce(F.when(F.col("spec.cell") != "", F.col("spec.cell")), F.col("spec.address"))
     absolute = S.is_cell_ref(ref)
     new = new.select(
         "tpl", "field",
@@ -172,7 +173,7 @@ def schema_fields_from_json(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("spec.col_offset"), F.lit(0)).cast("long").alias("dc"),
         F.col("spec.name").alias("name"), F.col("spec.type").alias("type"),
         F.col("spec.required").alias("required"))
-    legacy = (docs.where(fields_txt.isNull())
+    legacy = (docs.where(~is_new)
               .select("tpl", F.explode(F.from_json("value", "map<string,string>")).alias("field", "raw"))
               .where(~F.col("field").isin("fields", "meta", "version") & S.is_cell_ref(F.col("field")))
               .withColumn("spec", F.from_json("raw", FIELD_SPEC))

@@ -85,3 +85,21 @@ def test_check_formulas_range_join(spark):
     # the huge range covers every number of workbook 1, its own cell A9 included
     assert got[(1, "A9")][0] == 1.0 + 2.0 + 3.0 + 10.0 + 16.0 + 5.0 + 31.0
     assert got[(2, "A1")] == (7.0, 7.0, True)
+
+
+def test_cell_falls_back_to_address_and_strict_conflicts(spark):
+    docs = spark.createDataFrame([("t", '{"fields": {"A": {"cell": "", "address": "D5"}, "B": {"cell": "d5"}}}')],
+                                 "tpl string, value string")
+    f = IO.schema_fields_from_json(docs)
+    b = C.resolve_bindings(f)
+    got = {r.field: r.cell for r in b.collect()}
+    assert got == {"A": "D5", "B": "D5"}
+    cells = spark.createDataFrame([("t", 5, 4, "=SUM(D2:D4)")], "tpl string, row long, col long, value string")
+    data = spark.createDataFrame([("t", "A", "x"), ("t", "B", "y")], "tpl string, field string, value string")
+    conf, _ = C.formula_conflicts(b, cells, data)
+    assert sorted(r.field for r in conf.collect()) == ["A", "B"]
+    # the original check only saw a raw upper-case `cell`: neither field qualifies
+    raw = b.join(spark.createDataFrame([("t", "A", None), ("t", "B", "d5")], "tpl string, field string, raw_cell string"),
+                 ["tpl", "field"])
+    strict, _ = C.formula_conflicts(raw, cells, data, strict_reference=True)
+    assert strict.count() == 0
