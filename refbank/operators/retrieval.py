@@ -187,7 +187,10 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
     keys = ["template_id", "input_type", "signature"]
     # min(pos) / max(best) are associative, so folding per type context
     # first and per full context afterwards gives the one-pass result.
-    per_rule = cand.groupBy(*keys, "id").agg(F.min("pos").alias("pos"), F.max("best").alias("best"))
+    # A full context holds at most top_k + |signature rules| candidates, so
+    # one shuffle on the context serves both the fold and the ranking window.
+    per_rule = (cand.repartition(*keys)
+                .groupBy(*keys, "id").agg(F.min("pos").alias("pos"), F.max("best").alias("best")))
     wr = Window.partitionBy(*keys).orderBy("pos")
     ranked = (per_rule.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= top_k)
               .select(*keys, "rank",
