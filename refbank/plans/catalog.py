@@ -504,7 +504,10 @@ def q_few_shot_text(spark, d):
 @query
 def q_build_prompts(spark, d):
     x = R.prepare_inputs(X.inputs(spark, d))
-    fs = E.few_shot_block(_retrieved(spark, d), x)
+    m = R.match_patterns(x.select("template_id", "signature").distinct(), X.patterns(spark, d))
+    got = R.retrieve_rules(x, X.rules(spark, d), X.edges(spark, d), X.patterns(spark, d),
+                           as_of=X.as_of(), matched=m)
+    fs = E.few_shot_block(got, x)
     a = X.anchors(spark, d)
     tf = a.groupBy("template_id").agg(
         F.array_join(F.array_sort(F.collect_list("field")), ", ").alias("fields_txt")).withColumn(
@@ -512,7 +515,6 @@ def q_build_prompts(spark, d):
     ta = a.groupBy("template_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("field", F.concat_ws(" ", "type", "role", "pattern").alias("t")))),
         lambda s: F.concat(s["field"], F.lit(": "), s["t"])), "\n").alias("anchors_txt"))
-    m = R.match_patterns(x.select("template_id", "signature"), X.patterns(spark, d))
     mt = (x.select("input_id", "template_id", "signature").join(m, ["template_id", "signature"])
           .groupBy("input_id").agg(F.array_join(F.transform(
               F.array_sort(F.collect_list(F.struct("rank", "pattern_id", "accuracy"))),
