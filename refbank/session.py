@@ -39,12 +39,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("REFBANK_DRIVER_MEM", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("REFBANK_DRIVER_MEM", _local_heap()))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _local_heap() -> str:
+    """Local-mode driver heap: 60 % of physical memory, between 2 and 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gb = int(total * 0.6 / 2**30)
+    return f"{max(2, min(16, gb))}g"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables (stable path).
 
