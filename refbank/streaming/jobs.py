@@ -121,6 +121,10 @@ SUMMARY_SCHEMA = T.StructType([
     T.StructField("n_moves", T.LongType()), T.StructField("first_neutral", T.BooleanType()),
     T.StructField("total", T.LongType()), T.StructField("min_prefix", T.LongType()),
     T.StructField("max_prefix", T.LongType()), T.StructField("max_drawdown", T.LongType())])
+# streaming state = summary + position of the last folded event + late count
+STATE_SCHEMA = T.StructType(SUMMARY_SCHEMA.fields + [
+    T.StructField("last_ts_us", T.LongType()), T.StructField("last_id", T.LongType()),
+    T.StructField("n_late", T.LongType())])
 
 
 def _combine(a: tuple | None, steps: pd.Series) -> tuple:
@@ -136,13 +140,34 @@ def _combine(a: tuple | None, steps: pd.Series) -> tuple:
             max(dd, b[7], mx - (tot + b[5])))
 
 
+def fold_batch(state: tuple | None, batch: pd.DataFrame) -> tuple | None:
+    """One micro-batch of one template onto its state.
+
+    ``batch`` has ``ts`` (datetime64), ``event_id`` and ``v``.  Events at or
+    before the last folded (ts, event_id) arrived late: they are counted in
+    ``n_late`` and not folded, so the state never depends on arrival order
+    beyond that point."""
+    b = batch.assign(ts_us=batch["ts"].astype("int64") // 1000).sort_values(["ts_us", "event_id"])
+    summ, last, late = None, None, 0
+    if state is not None:
+        summ, last, late = tuple(state[:8]), (state[8], state[9]), state[10]
+        newer = (b["ts_us"] > last[0]) | ((b["ts_us"] == last[0]) & (b["event_id"] > last[1]))
+        late += int((~newer).sum())
+        b = b[newer]
+    if b.empty:
+        return None if state is None else (*summ, *last, late)
+    steps = b["v"].map(lambda v: 2 if v > 0 else (-5 if v < 0 else 0)).astype("int64")
+    summ = _combine(summ, steps)
+    return (*summ, int(b["ts_us"].iloc[-1]), int(b["event_id"].iloc[-1]), late)
+
+
 def _lifecycle_state(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    batch = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    steps = batch["v"].map(lambda v: 2 if v > 0 else (-5 if v < 0 else 0)).astype("int64")
     cur = tuple(state.get) if state.exists else None
-    new = _combine(cur, steps)
+    new = fold_batch(cur, pd.concat(list(pdfs)))
+    if new is None:
+        return
     state.update(new)
-    yield pd.DataFrame([dict(zip(["template_id"] + SUMMARY_FIELDS, (key[0], *new)))])
+    yield pd.DataFrame([dict(zip(["template_id"] + SUMMARY_FIELDS + ["n_late"], (key[0], *new[:8], new[10])))])
 
 
 def stream_lifecycle(spark: SparkSession, sf_dir: str, rules: DataFrame | None = None) -> DataFrame:
@@ -157,9 +182,10 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str, rules: DataFrame | None =
         F.col("ts").cast("timestamp").alias("ts"), "event_id",
         F.when(F.col("event_type").isin("purchase", "signup"), 1)
          .when(F.col("event_type") == "error", -1).otherwise(0).alias("v"))
-    out_schema = T.StructType([T.StructField("template_id", T.StringType())] + SUMMARY_SCHEMA.fields)
+    out_schema = T.StructType([T.StructField("template_id", T.StringType())] + SUMMARY_SCHEMA.fields
+                              + [T.StructField("n_late", T.LongType())])
     summ = (ev.groupBy("template_id")
-            .applyInPandasWithState(_lifecycle_state, out_schema, SUMMARY_SCHEMA, "update",
+            .applyInPandasWithState(_lifecycle_state, out_schema, STATE_SCHEMA, "update",
                                     GroupStateTimeout.NoTimeout))
 
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -141,3 +141,20 @@ def test_stream_ingest_drops_duplicate_events(spark, tmp_dir):
     pdf.to_parquet(f"{tmp_dir}/src/events.parquet", index=False, coerce_timestamps="us")
     got = sorted(r.event_id for r in ST.stream_ingest(spark, f"{tmp_dir}/src").collect())
     assert got == ["1", "2"]
+
+
+def test_stream_fold_batches_and_late_events():
+    import pandas as pd
+
+    from refbank.streaming.jobs import fold_batch
+    t = pd.to_datetime
+    b1 = pd.DataFrame({"ts": t(["2024-01-01 00:00:02", "2024-01-01 00:00:01"]), "event_id": [2, 1], "v": [-1, 1]})
+    b2 = pd.DataFrame({"ts": t(["2024-01-01 00:00:00", "2024-01-01 00:00:03"]), "event_id": [9, 3], "v": [1, 1]})
+    s1 = fold_batch(None, b1)
+    s2 = fold_batch(s1, b2)
+    # steps in order: +2 (id 1), -5 (id 2), then +2 (id 3); id 9 is late
+    assert s2[:8] == (3, 2, 3, False, -1, -3, 2, 5)
+    assert s2[10] == 1
+    # the same events in one batch (minus the late one) give the same summary
+    one = fold_batch(None, pd.concat([b1, b2[b2.event_id == 3]]))
+    assert one[:8] == s2[:8]
