@@ -17,5 +17,49 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", S.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_simhash": op8_simhash}
-SQL: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refbank.llm.lines import LineIndex
+
+    docs = table(spark, sf_dir, "documents")
+    kept = LineIndex(spark, min_chars=40, min_docs=5).insert(docs).dedupe(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT doc_id, i, line,
+             translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, count(*) AS n_lines,
+       count(*) FILTER (f.key IS NOT NULL AND k.doc_id <> f.keeper) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL OR k.doc_id = f.keeper), ''))
+           AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id
+"""
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refbank.llm import tokens as T
+
+    return T.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
+    "op8_simhash": op8_simhash,
+    "op10_token_output": op10_token_output,
+}
+SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
