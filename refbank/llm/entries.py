@@ -17,6 +17,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", S.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refbank.llm import toxicity as X
+
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id") == HELD_OUT_FOLD
+    model = X.learn(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = docs.select("doc_id", held.alias("held_out"), X.score(F.col("text"), model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= X.THRESHOLD).cast("int"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refbank.llm.lines import LineIndex
 
@@ -40,6 +50,16 @@ SELECT k.doc_id, count(*) AS n_lines,
 FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id
 """
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refbank.llm import langid as L
+
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id") == HELD_OUT_FOLD
+    filters = L.learn(docs.where(~held))
+    found = docs.select("doc_id", held.alias("held_out"), L.predict(F.col("text"), filters, spark).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -56,8 +76,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
 }
 SQL: dict[str, str] = {

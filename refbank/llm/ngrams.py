@@ -12,29 +12,29 @@ boundaries; memory per task is bounded by the piece, not by a document.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 PIECE = 1 << 20
-FOLDED = 32  # symbols of the folded alphabet: boundary, a-z, digit, 4 for other letters
+SYMBOLS = 64  # boundary, a-z, digit, 36 classes for other letters
+BITS = 6
 
 
 @lru_cache(maxsize=1)
-def fold_table() -> np.ndarray:
-    """BMP code point -> folded symbol: letters lose case and accents."""
-    t = np.zeros(65536, np.uint8)
+def symbol_table() -> np.ndarray:
+    """BMP code point -> symbol of the 64-letter alphabet, without case."""
+    t = np.zeros(65536, np.uint32)
     for cp in range(65536):
-        ch = chr(cp)
         if 0xD800 <= cp < 0xE000:
             continue
+        ch = chr(cp)
         if ch.isdigit():
             t[cp] = 27
         elif ch.isalpha():
-            base = unicodedata.normalize("NFKD", ch.lower())[0]
-            t[cp] = ord(base) - 96 if "a" <= base <= "z" else 28 + cp % 4
+            low = ch.lower()[0]
+            t[cp] = ord(low) - 96 if "a" <= low <= "z" else 28 + ord(low) % 36
     return t
 
 
@@ -88,12 +88,12 @@ def batches(texts: Iterable[str | None], size: int = PIECE) -> Iterator[tuple[np
         yield flush()
 
 
-def folded(cps: np.ndarray) -> np.ndarray:
-    """Folded symbols of code points."""
-    out = fold_table()[np.minimum(cps, 65535)]
+def symbols(cps: np.ndarray) -> np.ndarray:
+    """Symbols of code points in the 64-letter alphabet."""
+    out = symbol_table()[np.minimum(cps, 65535)]
     astral = cps > 65535
     if astral.any():
-        out[astral] = 28 + cps[astral] % 4
+        out[astral] = 28 + cps[astral] % 36
     return out
 
 
@@ -106,29 +106,30 @@ def lowered(cps: np.ndarray) -> np.ndarray:
     return out
 
 
-def in_word(symbols: np.ndarray) -> np.ndarray:
+def in_word(syms: np.ndarray) -> np.ndarray:
     """Symbols since the last boundary (0 at a word's first letter; at a
     boundary, the length of the word it ends)."""
-    idx = np.arange(len(symbols), dtype=np.int32)
-    last = np.maximum.accumulate(np.where(symbols == 0, idx, np.int32(-1)))
+    idx = np.arange(len(syms), dtype=np.int32)
+    last = np.maximum.accumulate(np.where(syms == 0, idx, np.int32(-1)))
     prev = np.empty_like(last)
     prev[0] = -1
     prev[1:] = last[:-1]
     return idx - prev - 1
 
 
-def packed(symbols: np.ndarray, depth: np.ndarray, order: int, bits: int = 5) -> np.ndarray:
-    """N-gram codes ending at each position, boundary-masked context."""
-    dtype = np.uint32 if order * bits <= 32 else np.uint64
-    s = symbols.astype(dtype)
+def packed(syms: np.ndarray, depth: np.ndarray, order: int) -> np.ndarray:
+    """N-gram codes ending at each position, newest symbol in the low bits;
+    context beyond the word's start reads as boundary."""
+    s = syms.astype(np.uint32)
     code = s.copy()
     for k in range(1, order):
         lag = np.zeros_like(s)
-        lag[k:] = s[:-k] if k < len(s) else 0
-        code |= np.where(depth >= k, lag, 0).astype(dtype) << dtype(bits * k)
+        if k < len(s):
+            lag[k:] = s[:-k]
+        code |= np.where(depth >= k, lag, np.uint32(0)) << np.uint32(BITS * k)
     return code
 
 
-def events(symbols: np.ndarray, depth: np.ndarray) -> np.ndarray:
+def events(syms: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Mask of positions that count: letters, and the boundary after a word."""
-    return (symbols > 0) | (depth > 0)
+    return (syms > 0) | (depth > 0)
