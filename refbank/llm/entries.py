@@ -10,6 +10,69 @@ from pyspark.sql import functions as F
 from refbank.llm.common import fold, table, HELD_OUT_FOLD
 
 
+#: The mixing tree over ``documents``: five sources make a domain.
+MIX_WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 3.0}, "source": {}}
+MIX_BUDGET_SHARE = 1.0
+MIX_EPOCHS = 2
+MIX_SEED = 17
+
+
+def mix_levels() -> dict:
+    number = F.regexp_extract("source", r"([0-9]{1,9})$", 1)
+    return {"domain": F.when(number != "", F.concat(F.lit("d"), F.floor(number.cast("long") / 5))).otherwise("other"),
+            "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixed(docs: DataFrame, epoch_col: str | None = None) -> DataFrame:
+    from refbank.llm import mixing as M
+
+    return M.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_BUDGET_SHARE, MIX_EPOCHS, MIX_SEED, epoch_col=epoch_col)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "epoch").select(
+        "doc_id", "lang", "source", "epoch")
+
+
+def _deal(key: list[str], on: list[str], weight: str, parent: str) -> str:
+    """SQL of one level of the tree: parent budgets to child budgets."""
+    k, o = ", ".join(key), ", ".join(on)
+    part = f"PARTITION BY {o}" if on else ""
+    join = f"JOIN {parent} USING ({o})" if on else f"CROSS JOIN {parent}"
+    return f"""SELECT {k}, greatest(0, least(cap, CAST(floor(top * w) AS BIGINT))) AS budget FROM (
+  SELECT *, max(lam) OVER ({part}) AS top FROM (
+    SELECT *, CAST(budget - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {key[-1]}
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+              / sum(w) OVER ({part} ORDER BY cap / w, {key[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam
+    FROM (SELECT {k}, CAST(sum(total) * {MIX_EPOCHS} AS BIGINT) AS cap, CAST({weight} AS DOUBLE) AS w FROM leaves GROUP BY {k}) n
+    {join}))"""
+
+
+OP7_SQL = f"""
+WITH d AS (
+  SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+         CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) <> ''
+              THEN 'd' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) // 5 AS VARCHAR) ELSE 'other' END AS domain,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS total FROM d GROUP BY ALL),
+root AS (SELECT CAST(floor(sum(total) * {MIX_BUDGET_SHARE}) AS BIGINT) AS budget FROM leaves),
+l1 AS ({_deal(["domain"], [], "CASE domain WHEN 'd0' THEN 2 ELSE 1 END", "root")}),
+l2 AS ({_deal(["domain", "lang"], ["domain"], "CASE lang WHEN 'en' THEN 3 ELSE 1 END", "l1")}),
+l3 AS ({_deal(["domain", "lang", "source"], ["domain", "lang"], "1", "l2")}),
+s AS (SELECT domain, lang, source, total, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS whole,
+             budget - CASE WHEN total > 0 THEN budget // total ELSE 0 END * total AS rest
+      FROM leaves JOIN l3 USING (domain, lang, source)),
+o AS (SELECT d.*, total, whole, rest,
+             sum(tokens) OVER (PARTITION BY domain, lang, source
+               ORDER BY md5('{MIX_SEED}:' || CAST(whole + 1 AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS upto
+      FROM d JOIN s USING (domain, lang, source)),
+n AS (SELECT *, CASE WHEN total = 0 THEN 1
+                     ELSE whole + CASE WHEN whole < {MIX_EPOCHS} AND upto <= rest THEN 1 ELSE 0 END END AS n FROM o)
+SELECT doc_id, lang0 AS lang, source0 AS source, CAST(e.epoch AS INTEGER) AS epoch
+FROM n JOIN (SELECT unnest(range(1, {MIX_EPOCHS} + 1)) AS epoch) e ON e.epoch <= n.n
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refbank.llm import simhash as S
 
@@ -103,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
@@ -110,4 +174,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_embedding_dedup": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op7_mixing": OP7_SQL,
 }
