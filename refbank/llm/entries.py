@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from refbank.llm.common import fold, table, HELD_OUT_FOLD
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refbank.llm import decontaminate as D
+
+    return D.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8).drop("k1", "k2")
+
+
 #: The mixing tree over ``documents``: five sources make a domain.
 MIX_WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 3.0}, "source": {}}
 MIX_BUDGET_SHARE = 1.0
@@ -166,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
