@@ -40,6 +40,12 @@ def fresh(columns: list[str], stem: str) -> str:
     return name
 
 
+def sized(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """``df`` to be broadcast when it is counted to be small, else as it is
+    (its joins are then ordinary shuffles)."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): smallest node reachable over undirected links.
 

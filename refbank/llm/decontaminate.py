@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refbank.llm.common import fresh, store
+from refbank.llm.common import fresh, sized, store
 
 SHINGLE = 5
 RADIUS = 19
@@ -126,8 +126,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
               .select("k1", "k2", "k", "n", "pos").distinct()
               .groupBy("k1", "k2", "k", "n").agg(F.collect_list("pos").alias("at")))  # positions in one document
     wanted = store(starts, "bench-starts")
-    few = wanted.select("k1", "k2").distinct()
-    few = F.broadcast(few) if few.count() <= BROADCAST_DOCS else few
+    few = sized(wanted.select("k1", "k2").distinct(), BROADCAST_DOCS)
     sh = " ".join(f"WHEN k = {k} THEN {_shingles('words', k)}" for k in ks)
     texts = (keyed.join(few, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
              .select("doc_id", "k1", "k2", F.expr(_words("text")).alias("words")))
@@ -158,7 +157,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
     """The documents in which no item was found, all columns kept."""
     bad = store(leaks(docs, items, threshold, id_col, text_col).select("k1", "k2").distinct(), "bench-leaks")
     n1, n2 = fresh(docs.columns, "doc_key1"), fresh(docs.columns, "doc_key2")
-    bad = (F.broadcast(bad) if bad.count() <= BROADCAST_DOCS else bad).withColumnsRenamed({"k1": n1, "k2": n2})
+    bad = sized(bad.withColumnsRenamed({"k1": n1, "k2": n2}), BROADCAST_DOCS)
     tagged = docs.select("*", F.expr(f"xxhash64(`{id_col}`, `{text_col}`)").alias(n1),
                          F.expr(f"xxhash64(`{text_col}`, 'doc', `{id_col}`)").alias(n2))
     return tagged.join(bad, [n1, n2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

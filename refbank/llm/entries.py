@@ -16,6 +16,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8).drop("k1", "k2")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refbank.llm import licenses as L
+
+    return L.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 #: The mixing tree over ``documents``: five sources make a domain.
 MIX_WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 3.0}, "source": {}}
 MIX_BUDGET_SHARE = 1.0
@@ -120,6 +126,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= X.THRESHOLD).cast("int"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no URLs: a source is a host, its languages are its paths."""
+    from refbank.llm import quality as Q
+
+    held = fold("doc_id") == HELD_OUT_FOLD
+    scored = Q.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held, F.col("source"), F.col("lang"))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refbank.llm.lines import LineIndex
 
@@ -171,8 +186,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refbank.llm.common import fresh, store
+from refbank.llm.common import fresh, sized, store
 
 BUCKET_DIGITS = 3
 BROADCAST_LEAVES = 20_000  # about 2 MB; more leaves are joined by a shuffle
@@ -123,8 +123,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
                        F.col("key").alias("_key"), F.col("id").alias("_id"))
     small = small.select(*helper.values(), F.struct("_whole", "_total", "_key", "_id").alias(fresh(docs.columns, "cut")))
     c = small.columns[-1]
-    if cut.count() <= BROADCAST_LEAVES:
-        small = F.broadcast(small)
+    small = sized(small, BROADCAST_LEAVES)
     tagged = docs.withColumns({helper[n]: F.coalesce(levels[n].cast("string"), F.lit("unknown")) for n in names})
     joined = tagged.join(small, list(helper.values()))
     key = order_key(seed, F.col(f"{c}._whole") + 1, F.col(id_col))
