@@ -198,7 +198,7 @@ SEGMENTS = ("shard int, seq int, local_start long, n_ids long, doc_ids array<lon
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-          end_id: int = 2) -> None:
+          end_id: int = 2, segment_ids: int = SEGMENT) -> None:
     """Encode every document, append ``end_id``, and write the segment table."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -222,7 +222,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                     raw += [code, end]
                     lens.append(len(code) // 4 + 1)
                     held += lens[-1]
-                    if held >= SEGMENT:
+                    if held >= segment_ids:
                         yield segment()
                         seq, start, held, ids, lens, raw = seq + 1, start + held, 0, [], [], []
         if ids:
