@@ -28,8 +28,8 @@ Defined results: items and documents without words match nothing; documents
 with fewer words than an item are compared as one shorter window, if they
 have as many words as a shingle; rows with one id but different texts are
 separate documents (equal rows count once in :func:`leaks`, and all go in
-:func:`drop_contaminated`); null ids are returned as null; items that repeat are
-each reported; extra columns are kept by :func:`drop_contaminated`.
+:func:`drop_contaminated`); null ids are returned as null; items of one id but
+different texts are each reported; extra columns are kept by :func:`drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -56,11 +56,12 @@ def _shingles(words: str, k: int) -> str:
 
 
 def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, k, n_words, n, sh): shingle hashes of every item with words."""
+    """(item, item_id, k, n_words, n, sh): shingle hashes of every item with
+    words; ``item`` names it (ids may be null or repeat)."""
     w = items.select(F.col(item_id).alias("item_id"), F.expr(_words(f"`{text}`")).alias("words")).where("size(words) > 0")
     sh = " ".join(f"WHEN size(words) {'=' if k < SHINGLE else '>='} {k} THEN {_shingles('words', k)}" for k in range(1, SHINGLE + 1))
-    return w.selectExpr("item_id", f"least(size(words), {SHINGLE}) AS k", "size(words) AS n_words", f"CASE {sh} END AS sh").withColumn(
-        "n", F.size("sh"))
+    return w.selectExpr("item_id", f"least(size(words), {SHINGLE}) AS k", "size(words) AS n_words", f"CASE {sh} END AS sh").select(
+        F.xxhash64("item_id", "sh").alias("item"), "*", F.size("sh").alias("n")).dropDuplicates(["item"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,12 +117,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
     hashes = item.select(F.explode("sh").alias("h")).distinct()
     hits = store(_hits(keyed, hashes, ks), "bench-hits")
     # documents with enough hits on an item, and the sizes of their windows
-    posting = item.select("k", "n", "n_words", "item_id", F.explode(F.array_distinct("sh")).alias("h"))
+    posting = item.select("k", "n", "n_words", "item", F.explode(F.array_distinct("sh")).alias("h"))
     enough = F.ceil(F.col("n") * threshold - 1e-9)
-    pairs = (hits.join(posting, ["k", "h"]).groupBy("k1", "k2", "item_id", "k", "n", "n_words")
-             .agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("k1", "k2", "item_id", "k", "n"))
+    pairs = (hits.join(posting, ["k", "h"]).groupBy("k1", "k2", "item", "k", "n", "n_words")
+             .agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("k1", "k2", "item", "k", "n"))
     pairs = store(pairs, "bench-pairs")
-    starts = (pairs.join(item.select("item_id", F.explode(F.array_distinct("sh")).alias("h")), "item_id")
+    starts = (pairs.join(item.select("item", F.explode(F.array_distinct("sh")).alias("h")), "item")
               .join(hits.select("k1", "k2", "k", "pos", "h"), ["k1", "k2", "k", "h"])
               .select("k1", "k2", "k", "n", "pos").distinct()
               .groupBy("k1", "k2", "k", "n").agg(F.collect_list("pos").alias("at")))  # positions in one document
@@ -136,20 +137,20 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
     windows = store(windows, "bench-windows")
     key = ["k1", "k2", "k", "n", "start"]
     prints = store(simhash_of(windows, key, "win"), "bench-prints")
-    mine = store(simhash_of(item, ["item_id", "k", "n"], "sh").withColumnRenamed("fp", "fp2"), "bench-item-prints")
+    mine = store(simhash_of(item, ["item", "k", "n"], "sh").withColumnRenamed("fp", "fp2"), "bench-item-prints")
     mine_blocks = _block_rows(mine.withColumnRenamed("fp2", "fp")).withColumnRenamed("fp", "fp2")
     near = (_block_rows(prints).join(mine_blocks, ["k", "n", "block", "value"])
-            .where(F.expr(f"bit_count(fp ^ fp2) <= {RADIUS}")).select(*key, "item_id").distinct())
-    cand = near.join(windows, key).join(item.select("item_id", "n_words", "sh"), "item_id")
+            .where(F.expr(f"bit_count(fp ^ fp2) <= {RADIUS}")).select(*key, "item").distinct())
+    cand = near.join(windows, key).join(item.select("item", "item_id", "n_words", "sh"), "item")
     plain = F.expr("size(array_distinct(win)) = size(win) AND size(array_distinct(sh)) = size(sh)")
     bag = F.expr("aggregate(array_distinct(array_intersect(win, sh)), 0, (a, x) -> a + "
                  "least(size(filter(win, y -> y = x)), size(filter(sh, y -> y = x))))")
     both = F.when(plain, F.size(F.array_intersect("win", "sh"))).otherwise(bag)
     scored = cand.withColumn("both", both).withColumn(
         "similarity", F.col("both") / (F.size("win") + F.size("sh") - F.col("both"))).where(F.col("similarity") >= threshold)
-    best = F.max_by(F.struct("doc_id", "similarity", "start", "n_words"), F.struct(F.col("similarity"), -F.col("start"))).alias("b")
-    return scored.groupBy("k1", "k2", "item_id").agg(best).select(
-        "b.doc_id", "item_id", "b.similarity", "b.start", "b.n_words", "k1", "k2")
+    best = F.max_by(F.struct("doc_id", "item_id", "similarity", "start", "n_words"), F.struct(F.col("similarity"), -F.col("start"))).alias("b")
+    return scored.groupBy("k1", "k2", "item").agg(best).select(
+        "b.doc_id", "b.item_id", "b.similarity", "b.start", "b.n_words", "k1", "k2")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
