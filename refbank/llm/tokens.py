@@ -40,7 +40,8 @@ from refbank.session import scratch_path
 MAGIC = b"DAC1"
 BLOCK = 512  # bits per rank directory entry
 SEGMENT = 1 << 18
-CACHE = 600_000  # distinct pieces a worker remembers
+CACHE = 800_000  # distinct pieces a worker remembers
+CALL = 256  # texts encoded together
 PIECES = {}  # tokenizer path -> (tokenizer, piece -> ids); one per worker process
 
 
@@ -120,17 +121,20 @@ class Codes:
 
 # ---- tokenizing ------------------------------------------------------------
 
-_ROUGH = re.compile(r"\s\s|[\x1c-\x1f\x85]")
-_SPACE = re.compile(r"\s")
+_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _pieces(text: str) -> list[str]:
-    """The text cut before single blanks between visible characters.  The
-    byte-level pattern always starts a new token there, so pieces can be
+    """The text cut at single blanks between visible characters; every piece
+    but the first stands for itself with its blank before it.  The byte-level
+    pattern always starts a new token at such a blank, so pieces can be
     encoded one by one."""
-    parts = text.split(" ") if not _ROUGH.search(text) else _SAFE.split(text)
-    return parts[:1] + [" " + p for p in parts[1:]]
+    odd = any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text)
+    if odd or "  " in text or "\n " in text or " \n" in text:
+        return _SAFE.split(text)
+    return text.split(" ")
 
 
 class Encoder:
@@ -145,45 +149,59 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.newline = self._ids(["\n"])[0]
-        self.known: dict[str, bytes] = {}
+        self.marks = {c: self._raw(c) for c in ".,"}
+        self.known: dict[str, bytes] = {}  # piece -> ids of a blank and the piece
+        self.again: set[str] = set()  # pieces met in more than one call
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if len(p) > 1 and p[0] != "\n" and not _SPACE.search(p, 1)]
-        done = 0
-        if len(self.newline) == 1:
-            # many pieces in one call, with a line break between: it is a token of its own
-            for at in range(0, len(plain), 4096):
-                part = plain[at:at + 4096]
-                ids = np.array(self._ids(["\n".join(part)])[0], "<u4")
-                stops = np.flatnonzero(ids == self.newline[0])
-                if len(stops) != len(part) - 1:
-                    break
-                lo = 0
-                raw = ids.tobytes()
-                for p, hi in zip(part, [*stops.tolist(), len(ids)]):
-                    self.known[p] = raw[4 * lo:4 * hi]
-                    lo = hi + 1
-                done = at + len(part)
-        fast = set(plain[:done])
-        rest = [p for p in new if p not in fast]
-        for p, ids in zip(rest, self._ids(rest)):
+    def _raw(self, text: str) -> bytes:
+        return np.array(self._ids([text])[0], "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        # a single dot or comma after a letter is a token run of its own
+        ends = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
+        todo = {p[:-1] for p in ends}.union(new).difference(ends).difference(self.known)
+        plain, rest = [], []
+        for p in todo:
+            (plain if p.split() == [p] else rest).append(p)
+        if len(self.newline) != 1:
+            plain, rest = [], [*plain, *rest]
+        # many pieces in one call, with a line break between: it is a token of its own
+        for at in range(0, len(plain), 4096):
+            part = plain[at:at + 4096]
+            ids = np.array(self._ids([" " + "\n ".join(part)])[0], "<u4")
+            stops = (4 * np.flatnonzero(ids == self.newline[0])).tolist()
+            if len(stops) != len(part) - 1:
+                rest += part
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *[x + 4 for x in stops]], [*stops, len(raw)])]))
+        for p, ids in zip(rest, self._ids([" " + p for p in rest])):
             self.known[p] = np.array(ids, "<u4").tobytes()
+        for p in ends:
+            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if any(s in t for s in self.specials) else _pieces(t) for t in texts]
-        used = set().union(*(c for c in cut if c))
-        new = [p for p in used if p not in self.known]
+        out = [None if any(s in t for s in self.specials) else _pieces(t) for t in texts]
+        heads = [c.pop(0) if c else None for c in out]
+        used = set().union(*(c for c in out if c))
+        new = used.difference(self.known)
         if new:
-            if len(self.known) + len(new) > CACHE:  # one call's own pieces may go beyond it
-                self.known.clear()
-                new = list(used)
+            if len(self.known) + 2 * len(new) > CACHE:
+                # what came once may go; one call's own pieces may go beyond the bound
+                kept = self.again if 2 * len(self.again) < CACHE else set()
+                self.known = {p: self.known[p] for p in kept}
+                self.again = set()
+                new = used.difference(self.known)
             self._learn(new)
-        return [b"".join(map(self.known.__getitem__, c)) if c else np.array(self._ids([t])[0], "<u4").tobytes()
-                for t, c in zip(texts, cut)]
+        if 2 * len(self.known) > CACHE:
+            self.again |= used - new
+        first = self._ids([t if h is None else h for t, h in zip(texts, heads)])  # whole texts with special strings, else heads
+        known = self.known.__getitem__
+        return [np.array(f, "<u4").tobytes() + (b"".join(map(known, c)) if c else b"") for f, c in zip(first, out)]
 
 
 def _encoder(path: str) -> Encoder:
@@ -215,8 +233,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                                  "payload": [encode(np.frombuffer(b"".join(raw), "<u4"))]})
 
         for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at:at + 64]
+            for at in range(0, len(pdf), CALL):
+                part = pdf.iloc[at:at + CALL]
                 for i, code in zip(part["id"], enc([t or "" for t in part["text"]])):
                     ids.append(None if pd.isna(i) else int(i))
                     raw += [code, end]
