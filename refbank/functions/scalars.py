@@ -117,7 +117,8 @@ def col_letters_to_number(letters) -> Column:
 
 
 def number_to_col_letters(n) -> Column:
-    """Base-26 encode (1 -> A, 27 -> AA, 16384 -> XFD); null beyond ZZZ."""
+    """Base-26 encode (1 -> A, 27 -> AA, 16384 -> XFD, 18279 -> AAAA);
+    null at or below zero."""
     n = _col(n).cast("long")
     d1 = F.pmod(n - 1, 26)
     q1 = F.floor((n - 1) / 26)
@@ -128,10 +129,21 @@ def number_to_col_letters(n) -> Column:
     def ch(d):
         return F.char(d + 65)
 
-    return (F.when((n <= 0) | (n > 18278), F.lit(None).cast("string"))
+    def longer():
+        # one letter per step, the last one first; a long has at most 14
+        def step(acc, _):
+            return F.when(acc["n"] > 0, F.struct(
+                F.call_function("div", acc["n"] - 1, F.lit(26).cast("long")).alias("n"),
+                F.concat(ch(F.pmod(acc["n"] - 1, F.lit(26))), acc["s"]).alias("s"))).otherwise(acc)
+
+        start = F.struct(n.alias("n"), F.lit("").alias("s"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["s"])
+
+    return (F.when(n <= 0, F.lit(None).cast("string"))
             .when(n <= 26, ch(d1))
             .when(n <= 702, F.concat(ch(d2), ch(d1)))
-            .otherwise(F.concat(ch(d3), ch(d2), ch(d1))))
+            .when(n <= 18278, F.concat(ch(d3), ch(d2), ch(d1)))
+            .otherwise(longer()))
 
 
 def cell_row(ref) -> Column:

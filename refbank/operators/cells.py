@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refbank.functions import scalars as S
-from refbank.session import checkpoint_dir
+from refbank.session import scratch_path
 
 
 def collect_cells(cells: DataFrame) -> DataFrame:
@@ -72,41 +72,52 @@ def expand_formula_ranges(formula) -> F.Column:
     return F.flatten(F.transform(ranges, expand))
 
 
-def resolve_bindings(fields: DataFrame, max_depth: int = 100) -> DataFrame:
+def resolve_bindings(fields: DataFrame) -> DataFrame:
     """Field -> cell for absolute fields and chains of relative ones.
 
-    Seeds from absolute cells, then repeatedly joins the newest frontier to
-    the relative specs that point at it (one join per chain level, so the
-    work is linear in the number of fields).  Cycles and unknown anchors are
-    never reached from a seed and drop out; a shift off the sheet drops the
-    field and everything chained to it.  Each level is checkpointed.
-    Returns (tpl, field, cell, row, col, depth).
+    Pointer doubling: every relative field holds a pointer up its chain with
+    the offset between both and the smallest row / column offset on the way
+    (a chain that leaves the sheet anywhere drops out, with all that hangs on
+    it).  Each round joins pointers with pointers, so a chain of n fields is
+    resolved in log2(n) rounds, of any length.  A pointer into a cycle never
+    reaches an absolute field; after log2(number of relative fields) rounds
+    only such pointers are left.  Unknown anchors drop out.  Each round is a
+    stored table.  Returns (tpl, field, row, col, depth, cell).
     """
     spark = fields.sparkSession
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "bindings")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     absolute = fields.where(F.col("r0").isNotNull() & F.col("c0").isNotNull())
-    frontier = absolute.select("tpl", "field", F.col("r0").alias("row"), F.col("c0").alias("col"),
-                               F.lit(0).alias("depth"))
-    relative = (fields.where((F.col("r0").isNull() | F.col("c0").isNull()) & F.col("rel").isNotNull())
-                .select("tpl", "field", "rel", "dr", "dc"))
-    resolved = frontier
-    for level in range(1, max_depth + 1):
-        nxt = (frontier.select("tpl", F.col("field").alias("rel"), F.col("row").alias("ar"),
-                               F.col("col").alias("ac"))
-               .join(relative, ["tpl", "rel"])
-               .select("tpl", "field",
-                       (F.col("ar") + F.coalesce(F.col("dr"), F.lit(0))).alias("row"),
-                       (F.col("ac") + F.coalesce(F.col("dc"), F.lit(0))).alias("col"),
-                       F.lit(level).alias("depth"))
-               .where((F.col("row") > 0) & (F.col("col") > 0)))
-        # materialise each level once (shared checkpoint dir) so the
-        # emptiness test and the next level do not recompute the chain
-        checkpoint_dir(spark)
-        nxt = nxt.checkpoint()
-        if nxt.isEmpty():
+    done = absolute.select("tpl", "field", F.col("r0").cast("long").alias("row"), F.col("c0").cast("long").alias("col"),
+                           F.lit(0).cast("long").alias("depth"))
+    dr, dc = F.coalesce(F.col("dr"), F.lit(0)).cast("long"), F.coalesce(F.col("dc"), F.lit(0)).cast("long")
+    open_ = stored(fields.where((F.col("r0").isNull() | F.col("c0").isNull()) & F.col("rel").isNotNull())
+                   .select("tpl", "field", F.col("rel").alias("to"), dr.alias("dr"), dc.alias("dc"),
+                           dr.alias("low_r"), dc.alias("low_c"), F.lit(1).cast("long").alias("steps")))
+    seeds = done.select("tpl", F.col("field").alias("to"), F.col("row").alias("r"), F.col("col").alias("c"))
+    resolved = [done]
+    for _ in range(max(1, open_.count()).bit_length() + 1):
+        hit = open_.join(seeds, ["tpl", "to"])
+        resolved.append(hit.where((F.col("r") + F.col("low_r") > 0) & (F.col("c") + F.col("low_c") > 0)).select(
+            "tpl", "field", (F.col("r") + F.col("dr")).alias("row"), (F.col("c") + F.col("dc")).alias("col"),
+            F.col("steps").alias("depth")))
+        up = open_.select("tpl", F.col("field").alias("to"), F.col("to").alias("up"), F.col("dr").alias("ur"),
+                          F.col("dc").alias("uc"), F.col("low_r").alias("ulr"), F.col("low_c").alias("ulc"),
+                          F.col("steps").alias("us"))
+        open_ = stored(open_.join(up, ["tpl", "to"]).select(
+            "tpl", "field", F.col("up").alias("to"), (F.col("ur") + F.col("dr")).alias("dr"), (F.col("uc") + F.col("dc")).alias("dc"),
+            F.least("ulr", F.col("ur") + F.col("low_r")).alias("low_r"), F.least("ulc", F.col("uc") + F.col("low_c")).alias("low_c"),
+            (F.col("us") + F.col("steps")).alias("steps")))
+        if open_.isEmpty():
             break
-        resolved = resolved.unionByName(nxt)
-        frontier = nxt
-    return resolved.withColumn("cell", S.a1(F.col("row"), F.col("col")))
+    out = resolved[0]
+    for r in resolved[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("cell", S.a1(F.col("row"), F.col("col")))
 
 
 def bind_values(bindings: DataFrame, data: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,6 @@ from refbank.operators.cells import collect_cells
 COMPATIBLE_THRESHOLD = 0.78     # fixed value: 0.8 * jaccard + 0.2 * shape
 JACCARD_WEIGHT = 0.8
 SHAPE_WEIGHT = 0.2
-MAX_HASHED_CELLS = 5000
 
 
 def extents(cells: DataFrame) -> DataFrame:
@@ -54,37 +53,39 @@ def sheet_layout(cells: DataFrame, occ: DataFrame | None = None, ext: DataFrame
     return ext.join(dig, ["workbook_id", "sheet"])
 
 
-def template_profile(cells: DataFrame, max_cells: int = MAX_HASHED_CELLS,
+def _framed(*cols) -> F.Column:
+    """Values with their lengths before them: no value can imitate a border."""
+    return F.concat(*[F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))
+                      for c in cols])
+
+
+def template_profile(cells: DataFrame, max_cells: int | None = None,
                      layout: DataFrame | None = None) -> DataFrame:
-    """A6 + W5: per workbook the SHA-256 over its sheet layouts and its first
-    ``max_cells`` non-empty cells in (sheet, row, col) order.
+    """A6 + W5: per workbook the SHA-256 over its sheet layouts and its
+    non-empty cells in (sheet, row, col) order.
 
-    The cap is the reference's own feature; ``row_number() <= k`` becomes a
-    WindowGroupLimit, so map tasks already drop rows beyond the first k per
-    workbook before the shuffle.
+    Every cell is hashed on its own (sheet, reference and value framed by
+    their lengths); a workbook's digest is over the ordered list of those hashes, 16 bytes
+    per cell.  ``max_cells`` limits the cells to the first so many; by
+    default all count.
     """
-    spark = cells.sparkSession
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key, "1000")) < max_cells:
-        # let row_number() <= max_cells plan as a (map-side) WindowGroupLimit
-        spark.conf.set(key, str(max_cells))
     lay = layout if layout is not None else sheet_layout(cells)
-    sheet_txt = F.concat_ws(",", *[F.col(c).cast("string") for c in (
-        "sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",
-        "occupied_count", "occupied_digest")])
+    sheet_txt = _framed("sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",
+                        "occupied_count", "occupied_digest")
     sheets = lay.groupBy("workbook_id").agg(
         F.count("*").cast("long").alias("n_sheets"),
         F.sum("occupied_count").cast("long").alias("n_cells"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", sheet_txt.alias("t")))),
                                  lambda s: s["t"]), ";").alias("sheets_txt"))
     c = collect_cells(cells)
-    w = Window.partitionBy("workbook_id").orderBy("sheet", "row", "col")
-    first = c.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_cells)
-    cell_txt = F.concat(F.col("sheet"), F.lit("!"), F.col("cell"), F.lit("="), F.col("value"))
-    graph = first.groupBy("workbook_id").agg(
+    if max_cells is not None:
+        w = Window.partitionBy("workbook_id").orderBy("sheet", "row", "col")
+        c = c.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_cells)
+    digest = F.md5(_framed("sheet", "cell", "value"))
+    graph = c.groupBy("workbook_id").agg(
         F.count("*").cast("long").alias("n_hashed"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", cell_txt.alias("t")))),
-                                 lambda s: s["t"]), "\n").alias("cells_txt"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "row", "col", digest.alias("t")))),
+                                 lambda s: s["t"]), "").alias("cells_txt"))
     return (sheets.join(graph, "workbook_id")
             .select("workbook_id", "n_sheets", "n_cells", "n_hashed",
                     F.sha2(F.concat_ws("#", "sheets_txt", "cells_txt"), 256).alias("signature")))

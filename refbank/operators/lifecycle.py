@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refbank.functions import scalars as S
+from refbank.session import scratch_path
 
 
 def _as_of(as_of):
@@ -194,14 +195,18 @@ def next_ids(rules: DataFrame, patterns: DataFrame, edges: DataFrame) -> DataFra
             .withColumn("next_id", F.format_string("R%03d", F.col("max_id") + 1)))
 
 
-def sequence_numbers(df: DataFrame, part_col: str, order_col: str,
-                     chunk_width: int = 100_000) -> DataFrame:
-    """Dense 1-based numbers per ``part_col`` in ``order_col`` order.
+def sequence_numbers(df: DataFrame, part_col: str, order_col: str) -> DataFrame:
+    """Dense 1-based numbers per ``part_col`` in ``order_col`` order (any
+    ordered type).
 
-    Two levels so no single task sorts a whole hot key: number rows inside
-    (key, order_col // chunk_width) buckets, then add the counts of earlier
-    buckets."""
-    b = df.withColumn("_bucket", F.floor(F.col(order_col) / chunk_width))
+    Two levels so no single task sorts a whole hot key: rows are dealt by
+    ranges of (key, order), numbered inside their range, and the counts of
+    earlier ranges of the key are added.  The dealt table is stored once:
+    range borders are sampled, and both levels must see the same ones."""
+    path = scratch_path(df.sparkSession, "sequence")
+    dealt = df.repartitionByRange(part_col, order_col).withColumn("_bucket", F.spark_partition_id())
+    dealt.write.parquet(path)
+    b = df.sparkSession.read.schema(dealt.schema).parquet(path)
     w = Window.partitionBy(part_col, "_bucket").orderBy(order_col)
     b = b.withColumn("_local", F.row_number().over(w))
     counts = b.groupBy(part_col, "_bucket").agg(F.count("*").alias("_cnt"))
@@ -269,11 +274,10 @@ def reflect_rules(rules: DataFrame, missing: DataFrame, base: DataFrame, as_of)
     failing = missing.select("template_id").distinct().withColumn("outcome", F.lit(S.OUTCOME_VALUE["FAILURE"]))
     penalised = apply_template_outcomes(rules, failing)
     repairs = add_rules(missing, base, "retry_extract", 0.6, as_of)
-    cols = ["template_id", "id", "input_type", "trigger", "field", "confidence", "support", "ord"]
-    old = penalised.select(*cols).withColumn("action", F.lit(None).cast("string"))
-    new = (repairs.select(*cols, "action")
-           .join(old.select("template_id", "id"), ["template_id", "id"], "left_anti"))
-    return old.unionByName(new)
+    # old rules keep their whole bodies; a repair has what it was given
+    old = penalised.select(*rules.columns)
+    new = repairs.join(old.select("template_id", "id"), ["template_id", "id"], "left_anti")
+    return old.unionByName(new, allowMissingColumns=True)
 
 
 def _pattern_num(c):

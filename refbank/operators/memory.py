@@ -29,7 +29,7 @@ def enrich_events(events: DataFrame, as_of=None) -> DataFrame:
     return e.withColumn("cluster_key", key)
 
 
-def _failures(log: DataFrame) -> DataFrame:
+def failures(log: DataFrame) -> DataFrame:
     """events with a non-empty error type."""
     return log.where(F.col("error_type").isNotNull() & (F.col("error_type") != ""))
 
@@ -41,7 +41,7 @@ def _seq(log: DataFrame) -> F.Column:
 def failure_clusters(log: DataFrame) -> DataFrame:
     """A1: one row per cluster key with samples, first / last event, last ts
     (in log order) and the cluster's descriptive fields."""
-    f = _failures(enrich_events(log) if "cluster_key" not in log.columns else log)
+    f = failures(enrich_events(log) if "cluster_key" not in log.columns else log)
     seq = _seq(f)
     return f.groupBy("cluster_key").agg(
         F.count("*").cast("long").alias("samples"),
@@ -57,14 +57,14 @@ def failure_clusters(log: DataFrame) -> DataFrame:
 
 def cluster_events(log: DataFrame) -> DataFrame:
     """Membership of events in clusters as a long table (never collected)."""
-    f = _failures(enrich_events(log) if "cluster_key" not in log.columns else log)
+    f = failures(enrich_events(log) if "cluster_key" not in log.columns else log)
     return f.select("cluster_key", "event_id", "ts", "seq_ts", "seq_id")
 
 
 def top_repair(log: DataFrame) -> DataFrame:
     """A2: per cluster the most voted non-empty repair action; ties go to the
     action seen first."""
-    f = _failures(enrich_events(log) if "cluster_key" not in log.columns else log)
+    f = failures(enrich_events(log) if "cluster_key" not in log.columns else log)
     votes = (f.where(F.col("repair_action").isNotNull() & (F.col("repair_action") != ""))
              .groupBy("cluster_key", "repair_action")
              .agg(F.count("*").cast("long").alias("votes"), F.min(_seq(f)).alias("first")))

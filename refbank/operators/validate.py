@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from refbank.functions import scalars as S
 
+# a decimal number, thousands separated by commas or not at all
+NUMBER_PATTERN = ("^[+-]?([0-9]+([.][0-9]*)?|[0-9]{1,3}(,[0-9]{3})+([.][0-9]*)?|[.][0-9]+)"
+                  "([eE][+-]?[0-9]+)?$")
 DATE_PATTERN = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"   # fixed value: YYYY-MM-DD
 
 
@@ -15,7 +18,7 @@ def validate_types(values: DataFrame) -> DataFrame:
     """``values(input_id, field, value, type)`` with type in
     {string, number, date}; adds ``valid``."""
     v = F.col("value")
-    num = F.expr("try_cast(regexp_replace(value, ',', '') AS DOUBLE)")
+    num = F.when(S.py_strip(v).rlike(NUMBER_PATTERN), F.lit(1))
     date = F.when(v.rlike(DATE_PATTERN), F.expr("try_to_timestamp(value, 'yyyy-MM-dd')"))
     ok = (F.when(F.col("type") == "number", num.isNotNull())
           .when(F.col("type") == "date", date.isNotNull())
@@ -28,11 +31,11 @@ def formula_rectangles(formulas: DataFrame) -> DataFrame:
     ``(r1, r2, c1, c2)`` (a single reference is 1 x 1)."""
     body = F.regexp_replace(F.regexp_replace(F.col("formula"), "^=", ""), "[$]", "")
     toks = F.regexp_extract_all(body, F.lit("[A-Z]+[0-9]+(?::[A-Z]+[0-9]+)?"), 0)
-    t = formulas.select("workbook_id", "cell", "row", "col", F.posexplode(toks).alias("k", "tok"))
+    t = formulas.select("workbook_id", "sheet", "cell", "row", "col", F.posexplode(toks).alias("k", "tok"))
     parts = F.split(F.col("tok"), ":")
     lo = F.element_at(parts, 1)
     hi = F.coalesce(F.try_element_at(parts, F.lit(2)), lo)
-    return t.select("workbook_id", "cell", "row", "col", "k",
+    return t.select("workbook_id", "sheet", "cell", "row", "col", "k",
                     F.least(S.cell_row(lo), S.cell_row(hi)).alias("r1"),
                     F.greatest(S.cell_row(lo), S.cell_row(hi)).alias("r2"),
                     F.least(S.cell_col(lo), S.cell_col(hi)).alias("c1"),
@@ -46,24 +49,26 @@ def check_formulas(formulas: DataFrame, nums: DataFrame, tol: float = 1e-6,
 
     Range join without enumerating empty cells: a rectangle is exploded over
     row *blocks* of ``block_rows`` rows, joined to the numeric cells of the
-    same (workbook, block) and filtered to its exact bounds, so the work
+    same (workbook, sheet, block) and filtered to its exact bounds, so the work
     follows the non-empty cells, not the range area.  A cell named twice is
     counted twice, as the formula would.
-    ``formulas`` from :func:`formula_cells`; ``nums(workbook_id, row, col, num)``.
+    References without a sheet name mean the formula's own sheet.
+    ``formulas`` from :func:`formula_cells`; ``nums(workbook_id, sheet, row, col, num)``.
     """
     rect = formula_rectangles(formulas)
     rect = rect.withColumn("blk", F.explode(F.sequence(F.floor(F.col("r1") / block_rows),
                                                        F.floor(F.col("r2") / block_rows))))
-    n = nums.select("workbook_id", F.floor(F.col("row") / block_rows).alias("blk"),
+    n = nums.select("workbook_id", "sheet", F.floor(F.col("row") / block_rows).alias("blk"),
                     F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("num").alias("v"))
-    hits = (rect.join(n, ["workbook_id", "blk"])
+    hits = (rect.join(n, ["workbook_id", "sheet", "blk"])
             .where(F.col("nr").between(F.col("r1"), F.col("r2")) & F.col("nc").between(F.col("c1"), F.col("c2"))))
-    expected = (formulas.select("workbook_id", "cell", "row", "col")
-                .join(hits.groupBy("workbook_id", "cell").agg(F.sum("v").alias("s")), ["workbook_id", "cell"], "left")
+    expected = (formulas.select("workbook_id", "sheet", "cell", "row", "col")
+                .join(hits.groupBy("workbook_id", "sheet", "cell").agg(F.sum("v").alias("s")),
+                      ["workbook_id", "sheet", "cell"], "left")
                 .withColumn("expected", F.coalesce(F.col("s"), F.lit(0.0))))
-    target = nums.select("workbook_id", "row", "col", F.col("num").alias("target"))
-    out = expected.join(target, ["workbook_id", "row", "col"], "left")
-    return out.select("workbook_id", "cell", "expected", "target",
+    target = nums.select("workbook_id", "sheet", "row", "col", F.col("num").alias("target"))
+    out = expected.join(target, ["workbook_id", "sheet", "row", "col"], "left")
+    return out.select("workbook_id", "sheet", "cell", "expected", "target",
                       F.coalesce(F.abs(F.col("expected") - F.col("target")) <= tol, F.lit(False)).alias("consistent"))
 
 

@@ -371,10 +371,9 @@ def template_sheet(spark, d):
 
 
 def template_data(spark, d):
-    """Extracted values per template field (a third of the fields absent)."""
+    """Extracted values per template field."""
     p = X.table(spark, d, "part").select("p_partkey", "p_name")
-    return (p.where(F.col("p_partkey") % 3 != 0)
-            .select(F.concat(F.lit("tpl"), F.floor(F.col("p_partkey") / 100).cast("string")).alias("tpl"),
+    return (p.select(F.concat(F.lit("tpl"), F.floor(F.col("p_partkey") / 100).cast("string")).alias("tpl"),
                     F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("field"),
                     F.col("p_name").alias("value")))
 
@@ -551,8 +550,8 @@ def q_validate_types(spark, d):
 
 @query
 def q_check_formulas(spark, d):
-    li = X.table(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_shipdate", "l_quantity")
-    nums = (li.groupBy(F.col("l_partkey").alias("workbook_id"), F.col("l_linenumber").cast("long").alias("row"),
+    li = X.table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linenumber", "l_shipdate", "l_quantity")
+    nums = (li.groupBy(F.col("l_partkey").alias("workbook_id"), F.col("l_returnflag").alias("sheet"), F.col("l_linenumber").cast("long").alias("row"),
                        F.month("l_shipdate").cast("long").alias("col"))
             .agg(F.sum("l_quantity").alias("num")))
     return V.check_formulas(C.formula_cells(X.cells(spark, d)), nums)

@@ -81,8 +81,7 @@ def _build_edges(spark, sf_dir) -> DataFrame:
     """edges(template_id, src, dst, relation, weight)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    uses = (li.where(F.col("l_quantity") == 50)
-            .select(_template_of_part(F.col("l_partkey")).alias("template_id"),
+    uses = (li.select(_template_of_part(F.col("l_partkey")).alias("template_id"),
                     _rid(F.col("l_partkey")).alias("src"),
                     F.concat(F.lit("A"), F.col("l_suppkey").cast("string")).alias("dst"),
                     F.lit("uses_anchor").alias("relation"))
@@ -119,9 +118,8 @@ def _build_anchors(spark, sf_dir) -> DataFrame:
 
 
 def _build_patterns(spark, sf_dir) -> DataFrame:
-    """Success patterns: one per order of an input-customer (custkey % 3 <> 0)."""
-    o = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-         .where(F.col("o_custkey") % 3 != 0))
+    """Success patterns: one per order of an input-customer."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     i = inputs(spark, sf_dir).select("input_id", "template_id", "path", "content")
     base = o.join(i, o.o_custkey == i.input_id)
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
@@ -141,11 +139,15 @@ def _build_patterns(spark, sf_dir) -> DataFrame:
 
 
 def exec_log(spark, sf_dir) -> DataFrame:
-    """Raw failure/execution events (fields not yet normalised)."""
-    ev = (table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-          .where(F.col("event_type") == "error")
-          .withColumn("k", F.get_json_object("props", "$.k").cast("long")))
-    k = F.col("k")
+    """Raw execution events, successes and failures (fields not yet normalised)."""
+    return log_events(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+
+
+def log_events(events: DataFrame) -> DataFrame:
+    """Log rows of driver events (also of a stream of them): an ``error`` is a
+    failure with its type, missing fields and repair; anything else a success."""
+    ev = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    k, failed = F.col("k"), F.col("event_type") == "error"
     fields = (F.when(k % 4 == 0, F.array().cast("array<string>"))
               .when(k % 4 == 1, F.array(F.lit("Field_A")))
               .when(k % 4 == 2, F.array(F.lit("Field_B"), F.lit("Field_A")))
@@ -154,10 +156,9 @@ def exec_log(spark, sf_dir) -> DataFrame:
         F.col("event_id").cast("string").alias("event_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("sig"), (F.col("user_id") % 10).cast("string")).alias("template_signature"),
-        F.element_at(F.array(*[F.lit(x) for x in ERROR_TYPES]), (k % 3 + 1).cast("int")).alias("error_type"),
-        fields.alias("missing_fields"),
-        F.when(k % 5 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("repair_"), (k % 7).cast("string"))).alias("repair_action"),
+        F.when(failed, F.element_at(F.array(*[F.lit(x) for x in ERROR_TYPES]), (k % 3 + 1).cast("int"))).alias("error_type"),
+        F.when(failed, fields).alias("missing_fields"),
+        F.when(failed & (k % 5 != 0), F.concat(F.lit("repair_"), (k % 7).cast("string"))).alias("repair_action"),
         # ingest order = (ts, event id); kept as two sortable columns
         F.col("ts").cast("timestamp").alias("seq_ts"),
         F.col("event_id").alias("seq_id"),
@@ -166,9 +167,12 @@ def exec_log(spark, sf_dir) -> DataFrame:
 
 def outcomes(spark, sf_dir) -> DataFrame:
     """outcomes(template_id, ts, event_id, v) with v in {+1, -1, 0}."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    return (ev.where(F.col("user_id") < 40)
-            .select(F.concat(F.lit("src"), (F.col("user_id") % N_TEMPLATES).cast("string")).alias("template_id"),
+    return outcome_events(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+
+
+def outcome_events(events: DataFrame) -> DataFrame:
+    """Outcomes of driver events (also of a stream of them)."""
+    return (events.select(F.concat(F.lit("src"), (F.col("user_id") % N_TEMPLATES).cast("string")).alias("template_id"),
                     F.col("ts").cast("timestamp").alias("ts"),
                     F.col("event_id"),
                     F.when(F.col("event_type").isin("purchase", "signup"), 1)
@@ -343,7 +347,7 @@ def edges(spark, sf_dir) -> DataFrame:
 
 
 def patterns(spark, sf_dir) -> DataFrame:
-    """Success patterns: one per order of an input-customer (custkey % 3 <> 0)."""
+    """Success patterns: one per order of an input-customer."""
     return _stored(spark, sf_dir, "patterns", _build_patterns)
 
 

@@ -352,7 +352,7 @@ def col_letters(n: str) -> str:
     d2 = f"chr(CAST(65 + ({q1} - 1) % 26 AS INTEGER))"
     q2 = f"(({q1} - 1) // 26)"
     d3 = f"chr(CAST(65 + ({q2} - 1) % 26 AS INTEGER))"
-    return (f"CASE WHEN ({n}) <= 0 OR ({n}) > 18278 THEN NULL WHEN ({n}) <= 26 THEN {d1} "
+    return (f"CASE WHEN ({n}) <= 0 THEN NULL WHEN ({n}) <= 26 THEN {d1} "
             f"WHEN ({n}) <= 702 THEN {d2} || {d1} ELSE {d3} || {d2} || {d1} END")
 
 
@@ -378,7 +378,7 @@ TPL_SHEET = """
   WHERE sheet = 'R' AND 'tpl' || workbook_id IN (SELECT tpl FROM schema_fields)"""
 TPL_DATA = """
   SELECT 'tpl' || (p_partkey // 100) AS tpl, 'F' || p_partkey AS field, p_name AS value
-  FROM part WHERE p_partkey % 3 <> 0"""
+  FROM part"""
 CONFLICTS = """
   SELECT b.tpl, b.field, b.cell FROM bindings b
   WHERE EXISTS (SELECT 1 FROM tsheet t WHERE t.tpl = b.tpl AND t."row" = b."row" AND t.col = b.col AND t.value LIKE '=%')
@@ -451,17 +451,23 @@ LAYOUT = """
   JOIN (SELECT workbook_id, sheet,
                CAST(sum(('0x' || substr(md5(dr || ':' || dc), 1, 12))::BIGINT) AS VARCHAR) AS occupied_digest
         FROM occ GROUP BY ALL) o USING (workbook_id, sheet)"""
+
+
+def framed(*cols: str) -> str:
+    """Values with their lengths before them."""
+    return " || ".join(f"length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR)" for c in cols)
+
+
 PROFILE = """
   SELECT s.workbook_id, s.n_sheets, s.n_cells, g.n_hashed,
          sha256(concat_ws('#', s.t, g.t)) AS signature
   FROM (SELECT workbook_id, count(*)::BIGINT AS n_sheets, sum(occupied_count)::BIGINT AS n_cells,
-               string_agg(concat_ws(',', sheet, max_row, max_col, min_row, max_row, min_col, max_col,
-                                    occupied_count, occupied_digest), ';' ORDER BY sheet) AS t
+               string_agg(""" + framed("sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",
+                                       "occupied_count", "occupied_digest") + """, ';' ORDER BY sheet) AS t
         FROM layout GROUP BY workbook_id) s
   JOIN (SELECT workbook_id, count(*)::BIGINT AS n_hashed,
-               string_agg(sheet || '!' || cell || '=' || value, chr(10) ORDER BY k) AS t
-        FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id ORDER BY sheet, "row", col) AS k FROM ne)
-        WHERE k <= 5000 GROUP BY workbook_id) g USING (workbook_id)"""
+               string_agg(md5(""" + framed("sheet", "cell", "value") + """), '' ORDER BY sheet, "row", col) AS t
+        FROM ne GROUP BY workbook_id) g USING (workbook_id)"""
 SIMILARITY = """
   SELECT coalesce(bx.x, cy.x) AS x, coalesce(bx.y, cy.y) AS y, coalesce(bx.sheet, cy.sheet) AS sheet,
          CASE WHEN bx.sheet IS NULL THEN 'missing_in_base' WHEN cy.sheet IS NULL THEN 'missing_in_candidate'
@@ -615,24 +621,24 @@ _TYPED = "\nUNION ALL\n".join(
     f"""SELECT * FROM (SELECT page_id AS input_id, {_sq(f)} AS field, regexp_extract({src}, {_sq(p)}, 1) AS value,
        {_sq(t)} AS type FROM pages) WHERE value <> ''""" for f, p, src, t in TYPED_PAGE_FIELDS)
 ORACLE["validate_types"] = f"""
-SELECT *, CASE WHEN type = 'number' THEN TRY_CAST(replace(value, ',', '') AS DOUBLE) IS NOT NULL
+SELECT *, CASE WHEN type = 'number' THEN regexp_full_match(value, '\\s*[+-]?([0-9]+([.][0-9]*)?|[0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*')
                ELSE regexp_replace(regexp_replace(value, '^{_WS}+', ''), '{_WS}+$', '') <> '' END AS valid
 FROM ({_TYPED})"""
 
 ORACLE["check_formulas"] = W("cells", extra=[
-    ("nums", """SELECT l_partkey AS workbook_id, l_linenumber::BIGINT AS "row", month(l_shipdate)::BIGINT AS col,
+    ("nums", """SELECT l_partkey AS workbook_id, l_returnflag AS sheet, l_linenumber::BIGINT AS "row", month(l_shipdate)::BIGINT AS col,
                        sum(l_quantity) AS num FROM lineitem GROUP BY ALL"""),
-    ("f", f"""SELECT workbook_id, "row", col, {a1('"row"', 'col')} AS cell,
+    ("f", f"""SELECT workbook_id, sheet, "row", col, {a1('"row"', 'col')} AS cell,
                      {letters_to_num("regexp_extract(value, '([A-Z]+)[0-9]+:', 1)")} AS c1,
                      CAST(regexp_extract(value, '[A-Z]+([0-9]+):', 1) AS BIGINT) AS r1,
                      {letters_to_num("regexp_extract(value, ':([A-Z]+)', 1)")} AS c2,
                      CAST(regexp_extract(value, ':[A-Z]+([0-9]+)', 1) AS BIGINT) AS r2
               FROM cells WHERE value LIKE '=%'""")]) + """
-SELECT f.workbook_id, f.cell, coalesce(sum(n.num), 0.0) AS expected, any_value(t.num) AS target,
+SELECT f.workbook_id, f.sheet, f.cell, coalesce(sum(n.num), 0.0) AS expected, any_value(t.num) AS target,
        coalesce(abs(coalesce(sum(n.num), 0.0) - any_value(t.num)) <= 1e-6, false) AS consistent
-FROM f LEFT JOIN nums n ON n.workbook_id = f.workbook_id AND n.col BETWEEN f.c1 AND f.c2 AND n."row" BETWEEN f.r1 AND f.r2
-LEFT JOIN nums t ON t.workbook_id = f.workbook_id AND t."row" = f."row" AND t.col = f.col
-GROUP BY f.workbook_id, f.cell"""
+FROM f LEFT JOIN nums n ON n.workbook_id = f.workbook_id AND n.sheet = f.sheet AND n.col BETWEEN f.c1 AND f.c2 AND n."row" BETWEEN f.r1 AND f.r2
+LEFT JOIN nums t ON t.workbook_id = f.workbook_id AND t.sheet = f.sheet AND t."row" = f."row" AND t.col = f.col
+GROUP BY f.workbook_id, f.sheet, f.cell"""
 
 ORACLE["check_unique"] = W("input_types") + """
 SELECT template_id, signature, count(*)::BIGINT AS n FROM input_types GROUP BY ALL HAVING count(*) > 1"""
@@ -648,5 +654,5 @@ FULL OUTER JOIN (SELECT template_id, count(DISTINCT input_signature) AS n_varian
 ORACLE["stream_ingest"] = ORACLE["cluster_key"]
 ORACLE["stream_clusters"] = W("exec_log", extra=[("log", LOG)]) + """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, cluster_key, count(*)::BIGINT AS samples
-FROM log GROUP BY ALL"""
+FROM log WHERE error_type IS NOT NULL GROUP BY ALL"""
 ORACLE["stream_lifecycle"] = ORACLE["replay_outcomes"]

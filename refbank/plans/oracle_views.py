@@ -44,7 +44,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, 1.0::DOUBLE AS weight FROM (
           SELECT DISTINCT 'src' || (l_partkey % 20) AS template_id, printf('R%03d', l_partkey) AS src,
                  'A' || l_suppkey AS dst, 'uses_anchor' AS relation
-          FROM lineitem WHERE l_quantity = 50
+          FROM lineitem
           UNION ALL
           SELECT DISTINCT 'src' || (a.l_partkey % 20), printf('R%03d', a.l_partkey),
                  printf('R%03d', b.l_partkey), 'often_follows'
@@ -68,24 +68,23 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           SELECT o2.o_orderkey, list_sort(list(DISTINCT printf('R%03d', l.l_partkey))) AS rules_used
           FROM orders o2 JOIN input_types i2 ON i2.input_id = o2.o_custkey
           JOIN lineitem l ON l.l_orderkey = o2.o_orderkey
-          WHERE o2.o_custkey % 3 <> 0 AND 'src' || (l.l_partkey % 20) = i2.template_id
-          GROUP BY o2.o_orderkey) u ON u.o_orderkey = o.o_orderkey
-        WHERE o.o_custkey % 3 <> 0"""),
+          WHERE 'src' || (l.l_partkey % 20) = i2.template_id
+          GROUP BY o2.o_orderkey) u ON u.o_orderkey = o.o_orderkey"""),
     "exec_log": ((), """
         SELECT CAST(event_id AS VARCHAR) AS event_id, ts::TIMESTAMP AS ts,
                'sig' || (user_id % 10) AS template_signature,
-               ['row_misalignment','semantic_mismatch','missing_fields'][k % 3 + 1] AS error_type,
-               CASE k % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['Field_A']
-                          WHEN 2 THEN ['Field_B','Field_A'] ELSE ['Field_C'] END AS missing_fields,
-               CASE WHEN k % 5 = 0 THEN NULL ELSE 'repair_' || (k % 7) END AS repair_action,
+               CASE WHEN failed THEN ['row_misalignment','semantic_mismatch','missing_fields'][k % 3 + 1] END AS error_type,
+               CASE WHEN failed THEN CASE k % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['Field_A']
+                          WHEN 2 THEN ['Field_B','Field_A'] ELSE ['Field_C'] END END AS missing_fields,
+               CASE WHEN failed AND k % 5 <> 0 THEN 'repair_' || (k % 7) END AS repair_action,
                ts::TIMESTAMP AS seq_ts, event_id AS seq_id
-        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
-              FROM events WHERE event_type = 'error')"""),
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type = 'error' AS failed
+              FROM events)"""),
     "outcomes": ((), """
         SELECT 'src' || (user_id % 20) AS template_id, ts::TIMESTAMP AS ts, event_id,
                CASE WHEN event_type IN ('purchase','signup') THEN 1
                     WHEN event_type = 'error' THEN -1 ELSE 0 END AS v
-        FROM events WHERE user_id < 40"""),
+        FROM events"""),
     "schema_fields": ((), """
         SELECT 'tpl' || (p_partkey // 100) AS tpl, 'F' || p_partkey AS field,
                CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'F' || (p_partkey - 1) END AS rel,

@@ -21,8 +21,6 @@ DEFAULT_CONF = {
     # Rule / template side tables are small per key; let the planner
     # broadcast them only when its size estimate says so (10 MB).
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
-    # top-k windows up to the profile cell cap get a map-side group limit
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 

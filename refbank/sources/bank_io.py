@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from refbank.functions import scalars as S
 
@@ -76,6 +75,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.globStatus(p))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory())
+
+
 def read_rules(spark: SparkSession, path: str, template_level: int = 2) -> DataFrame:
     """Rules JSONL -> flat rule table.  Blank lines are skipped, a
     malformed line fails the read (FAILFAST), a missing path yields no rows."""
@@ -126,16 +131,22 @@ def read_patterns(spark: SparkSession, path: str, template_level: int = 2) -> Da
 def read_anchors(spark: SparkSession, path: str, template_level: int = 2) -> DataFrame:
     """Anchors document, flat ``{field: spec}`` or wrapped
     ``{schema_version, anchors: {...}}`` (Q3) -> one row per field."""
-    cols = "template_id string, field string, type string, role string, pattern string, patterns array<string>, relative_to string"
+    cols = ("template_id string, field string, type string, role string, pattern string, patterns array<string>, "
+            "relative_to string, offset map<string,int>")
     if not _exists(spark, path):
         return spark.createDataFrame([], cols)
     doc = spark.read.text(path, wholetext=True).select(
         _template_from_path(template_level).alias("template_id"), F.col("value"))
     body = F.coalesce(F.get_json_object("value", "$.anchors"), F.col("value"))
-    m = F.from_json(body, f"map<string,{ANCHOR_SPEC}>")
+    m = _parsed(F.from_json(body, f"map<string,{ANCHOR_SPEC}>"), "anchors")
     return (doc.select("template_id", F.explode(m).alias("field", "spec"))
             .select("template_id", "field", "spec.type", "spec.role", "spec.pattern", "spec.patterns",
-                    "spec.relative_to"))
+                    "spec.relative_to", "spec.offset"))
+
+
+def _parsed(value, what: str):
+    """A document that is no JSON object of its kind fails the read."""
+    return F.coalesce(value, F.raise_error(F.lit(f"malformed {what} document")))
 
 
 def read_edges(spark: SparkSession, path: str, template_level: int = 2) -> DataFrame:
@@ -143,7 +154,8 @@ def read_edges(spark: SparkSession, path: str, template_level: int = 2) -> DataF
     if not _exists(spark, path):
         return spark.createDataFrame([], "template_id string, src string, dst string, relation string, weight double")
     doc = spark.read.text(path, wholetext=True).select(
-        _template_from_path(template_level).alias("template_id"), F.from_json("value", EDGE_DOC).alias("g"))
+        _template_from_path(template_level).alias("template_id"), 
+        _parsed(F.from_json("value", EDGE_DOC, {"mode": "FAILFAST"}), "graph").alias("g"))
     return (doc.select("template_id", F.explode_outer("g.edges").alias("e")).where(F.col("e").isNotNull())
             .select("template_id", F.col("e.from").alias("src"), F.col("e.to").alias("dst"),
                     F.col("e.relation").alias("relation"), F.coalesce("e.weight", F.lit(1.0)).alias("weight")))
@@ -193,29 +205,41 @@ def formula_constraints_from_json(docs: DataFrame) -> DataFrame:
     return docs.select("tpl", F.explode(arr).alias("f")).select("tpl", "f.*")
 
 
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line that is not blank, with its JSON object in ``e`` (null if it is none).
+
+    Fields are read as text first: an odd type in one field must not cost the line."""
+    loose = T.StructType([T.StructField(f.name, T.StringType()) for f in EVENT_SCHEMA] + [T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(S.py_strip("value") != "")
+    e = F.from_json("value", loose, {"columnNameOfCorruptRecord": "_bad"})
+    return lines.withColumn("e", e).withColumn("e", F.when(F.col("e._bad").isNull(), F.col("e")))
+
+
+def _typed_events(lines: DataFrame) -> DataFrame:
+    def typed(f):
+        c = F.col(f"e.{f.name}")
+        if isinstance(f.dataType, T.ArrayType):
+            return F.from_json(c, f.dataType).alias(f.name)
+        return c.try_cast(f.dataType).alias(f.name)
+
+    return lines.where(F.col("e").isNotNull()).select(*[typed(f) for f in EVENT_SCHEMA])
+
+
 def read_exec_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lenient event log: blank and malformed lines are dropped."""
+    """Lenient event log: blank lines and lines that are no JSON object
+    are dropped; a field of another type is cast, or null where it cannot be."""
     if not _exists(spark, path):
         return _empty(spark, EVENT_SCHEMA)
-    return spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return _typed_events(_log_lines(spark, path))
 
 
 def read_exec_log_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S8 variant: PERMISSIVE read keeping the good rows and returning the
-    rejected raw lines (with their file) so they can be counted or kept."""
+    """S8 variant: the good rows, and the rejected raw lines (with their
+    file) so they can be counted or kept."""
     if not _exists(spark, path):
         return _empty(spark, EVENT_SCHEMA), spark.createDataFrame([], "line string, file string")
-    schema = T.StructType(EVENT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .withColumn("_file", F.col("_metadata.file_path")))
-    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_file")
-    # a malformed JSON line parses to all-null fields; testing a data column
-    # too keeps the scan from touching only the corrupt-record column (which
-    # Spark rejects on raw files)
-    bad = raw.where(F.col("_corrupt_record").isNotNull() & F.col("event_id").isNull()).select(
-        F.col("_corrupt_record").alias("line"), F.col("_file").alias("file"))
-    return good, bad
+    lines = _log_lines(spark, path)
+    return _typed_events(lines), lines.where(F.col("e").isNull()).select(F.col("value").alias("line"), "file")
 
 
 def append_events(events: DataFrame, path: str, partition_col: str = "dt") -> None:
@@ -238,7 +262,9 @@ def latest_snapshot(spark: SparkSession, root: str) -> str | None:
     p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/snapshot=*")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(p) or []
-    names = sorted(str(s.getPath().toString()) for s in found)
+    # a folder without the commit mark is unfinished
+    names = sorted(str(s.getPath().toString()) for s in found
+                   if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     return names[-1] if names else None
 
 
@@ -249,9 +275,8 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
 
 def scan_documents(spark: SparkSession, path: str, template_level: int = 1) -> DataFrame:
     """Every file as one text value with its path (and template dir)."""
-    try:
-        d = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    if not _exists(spark, path):
         return spark.createDataFrame([], "template_id string, path string, content string")
+    d = spark.read.text(path, wholetext=True)
     return d.select(_template_from_path(template_level).alias("template_id"),
                     F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))

@@ -1,69 +1,44 @@
 """Structured Streaming forms of the event-log operators.
 
-* T1 ``stream_ingest``: file stream of raw events -> enriched failure events,
-  de-duplicated on ``event_id`` within a watermark.
+* T1 ``stream_ingest``: file stream of raw events -> enriched events,
+  de-duplicated on ``event_id``.
 * T2 ``stream_clusters``: failure counts per (day, cluster key), kept current.
-* T3 ``stream_lifecycle``: per-template outcome summary kept as streaming
-  state (``applyInPandasWithState``).  The state is the constant-size
-  associative summary of :func:`refbank.operators.lifecycle.outcome_summary`,
-  so memory per template does not grow with its log.
+* T3 ``stream_lifecycle``: outcomes collected by the stream, folded per
+  template with the associative summary of
+  :func:`refbank.operators.lifecycle.outcome_summary`.
 
 Every job runs with ``Trigger.AvailableNow`` into a sink under the shared
-checkpoint folder and returns the sink's content as a batch DataFrame.
+checkpoint folder and returns the sink's content as a batch DataFrame.  Late
+events are never dropped unless a caller asks for a watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from refbank.operators import lifecycle as L
 from refbank.operators import memory as M
 from refbank.plans import fixtures as X
 from refbank.session import scratch_path
-
-WATERMARK = "1 day"
-
+from refbank.sources.bank_io import _exists, is_folder
 
 MAX_FILES_PER_TRIGGER = 64
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events",
                  max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """File stream over one driver table (schema taken from the parquet footer).
+    """File stream over one driver table, a single Parquet file or a folder of
+    part files (schema taken from the footers).
 
     ``maxFilesPerTrigger`` bounds every micro-batch (AvailableNow splits a
-    backlog into several batches), which bounds what a stateful function
-    sees per key and batch."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(sf_dir))
-
-
-def _failure_events(raw: DataFrame) -> DataFrame:
-    """Same projection as the ``exec_log`` view, on a stream."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    ev = raw.where(F.col("event_type") == "error").withColumn("k", k)
-    kk = F.col("k")
-    fields = (F.when(kk % 4 == 0, F.array().cast("array<string>"))
-              .when(kk % 4 == 1, F.array(F.lit("Field_A")))
-              .when(kk % 4 == 2, F.array(F.lit("Field_B"), F.lit("Field_A")))
-              .otherwise(F.array(F.lit("Field_C"))))
-    return ev.select(
-        F.col("event_id").cast("string").alias("event_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.lit("sig"), (F.col("user_id") % 10).cast("string")).alias("template_signature"),
-        F.element_at(F.array(*[F.lit(x) for x in X.ERROR_TYPES]), (kk % 3 + 1).cast("int")).alias("error_type"),
-        fields.alias("missing_fields"),
-        F.when(kk % 5 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("repair_"), (kk % 7).cast("string"))).alias("repair_action"),
-        F.col("ts").cast("timestamp").alias("seq_ts"), F.col("event_id").alias("seq_id"))
+    backlog into several batches); no result depends on it."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    stream = (spark.readStream.schema(spark.read.parquet(path).schema)
+              .option("maxFilesPerTrigger", max_files_per_trigger))
+    if is_folder(spark, path):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _run(query_builder, spark: SparkSession, name: str) -> str:
@@ -77,128 +52,75 @@ def _run(query_builder, spark: SparkSession, name: str) -> str:
     return out
 
 
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enriched failure events, de-duplicated within the watermark."""
-    ev = M.enrich_events(_failure_events(event_stream(spark, sf_dir)))
-    ev = ev.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+def stream_ingest(spark: SparkSession, sf_dir: str, watermark: str | None = None) -> DataFrame:
+    """Enriched events, each event id once.
+
+    By default ids are remembered for good, so no event is lost however late
+    it comes.  A ``watermark`` bounds that memory; events beyond it are dropped."""
+    ev = M.enrich_events(X.log_events(event_stream(spark, sf_dir)))
+    ev = (ev.dropDuplicates(["event_id"]) if watermark is None
+          else ev.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"]))
 
     def build(out):
         return (ev.writeStream.format("parquet").option("path", f"{out}/data")
                 .option("checkpointLocation", f"{out}/_checkpoint")
                 .outputMode("append").trigger(availableNow=True).start())
 
-    return spark.read.parquet(f"{_run(build, spark, 'ingest')}/data")
+    return spark.read.schema(ev.schema).parquet(f"{_run(build, spark, 'ingest')}/data")
 
 
-def stream_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_clusters(spark: SparkSession, sf_dir: str, watermark: str | None = None) -> DataFrame:
     """Failure counts per (1-day window, cluster key), updated per batch;
-    the latest value of every window is the result."""
-    ev = M.enrich_events(_failure_events(event_stream(spark, sf_dir))).withWatermark("ts", WATERMARK)
+    the latest value of every window is the result.  Late events update their
+    window; a ``watermark`` closes windows and drops what comes after."""
+    ev = M.enrich_events(M.failures(X.log_events(event_stream(spark, sf_dir))))
+    if watermark is not None:
+        ev = ev.withWatermark("ts", watermark)
     counts = (ev.groupBy(F.window("ts", "1 day").alias("w"), "cluster_key")
               .agg(F.count("*").alias("samples")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("day"), "cluster_key", "samples", F.lit(batch_id).alias("batch_id"))
-         .write.mode("append").parquet(sink.path))
+        (batch.select(F.col("w.start").alias("day"), "cluster_key", "samples", F.lit(batch_id).cast("long").alias("batch_id"))
+         .write.mode("overwrite").parquet(f"{sink.path}/batch={batch_id}"))  # a repeated batch replaces itself
 
     def build(out):
         sink.path = f"{out}/data"
         return (counts.writeStream.outputMode("update").foreachBatch(sink)
                 .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
 
-    out = _run(build, spark, "clusters")
-    try:
-        got = spark.read.parquet(f"{out}/data")
-    except Exception:  # noqa: BLE001 - no failure events at all
-        return spark.createDataFrame([], "day timestamp, cluster_key string, samples long")
+    schema = "day timestamp, cluster_key string, samples long, batch_id long"
+    got = _batches(spark, f"{_run(build, spark, 'clusters')}/data", schema)
     return (got.groupBy("day", "cluster_key")
             .agg(F.max_by("samples", "batch_id").cast("long").alias("samples")))
 
 
-SUMMARY_FIELDS = ["n", "n_plus", "n_moves", "first_neutral", "total", "min_prefix", "max_prefix", "max_drawdown"]
-SUMMARY_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("n_plus", T.LongType()),
-    T.StructField("n_moves", T.LongType()), T.StructField("first_neutral", T.BooleanType()),
-    T.StructField("total", T.LongType()), T.StructField("min_prefix", T.LongType()),
-    T.StructField("max_prefix", T.LongType()), T.StructField("max_drawdown", T.LongType())])
-# streaming state = summary + position of the last folded event + late count
-STATE_SCHEMA = T.StructType(SUMMARY_SCHEMA.fields + [
-    T.StructField("last_ts_us", T.LongType()), T.StructField("last_id", T.LongType()),
-    T.StructField("n_late", T.LongType())])
-
-
-def _combine(a: tuple | None, steps: pd.Series) -> tuple:
-    """Fold one batch's ordered steps onto a summary (a then b)."""
-    p = steps.cumsum()
-    runmax = p.cummax()
-    b = (len(steps), int((steps > 0).sum()), int((steps != 0).sum()), bool(steps.iloc[0] == 0),
-         int(p.iloc[-1]), int(p.min()), int(p.max()), int((runmax - p).max()))
-    if a is None:
-        return b
-    n, npl, nmv, fneu, tot, mn, mx, dd = a
-    return (n + b[0], npl + b[1], nmv + b[2], fneu, tot + b[4], min(mn, tot + b[5]), max(mx, tot + b[6]),
-            max(dd, b[7], mx - (tot + b[5])))
-
-
-def fold_batch(state: tuple | None, batch: pd.DataFrame) -> tuple | None:
-    """One micro-batch of one template onto its state.
-
-    ``batch`` has ``ts`` (datetime64), ``event_id`` and ``v``.  Events at or
-    before the last folded (ts, event_id) arrived late: they are counted in
-    ``n_late`` and not folded, so the state never depends on arrival order
-    beyond that point."""
-    b = batch.assign(ts_us=batch["ts"].astype("int64") // 1000).sort_values(["ts_us", "event_id"])
-    summ, last, late = None, None, 0
-    if state is not None:
-        summ, last, late = tuple(state[:8]), (state[8], state[9]), state[10]
-        newer = (b["ts_us"] > last[0]) | ((b["ts_us"] == last[0]) & (b["event_id"] > last[1]))
-        late += int((~newer).sum())
-        b = b[newer]
-    if b.empty:
-        return None if state is None else (*summ, *last, late)
-    steps = b["v"].map(lambda v: 2 if v > 0 else (-5 if v < 0 else 0)).astype("int64")
-    summ = _combine(summ, steps)
-    return (*summ, int(b["ts_us"].iloc[-1]), int(b["event_id"].iloc[-1]), late)
-
-
-def _lifecycle_state(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    cur = tuple(state.get) if state.exists else None
-    new = fold_batch(cur, pd.concat(list(pdfs)))
-    if new is None:
-        return
-    state.update(new)
-    yield pd.DataFrame([dict(zip(["template_id"] + SUMMARY_FIELDS + ["n_late"], (key[0], *new[:8], new[10])))])
+def _batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the micro-batches wrote; nothing, if there was no batch at all."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
 
 
 def stream_lifecycle(spark: SparkSession, sf_dir: str, rules: DataFrame | None = None) -> DataFrame:
-    """Replay the outcome stream into per-template state, then apply the
-    current summary to the rules (same result as batch L2).
-
-    Within a micro-batch events are ordered by (ts, event_id); across batches
-    the fold follows arrival order, so events must arrive in event-time order
-    per template (as an append-only log does)."""
-    ev = event_stream(spark, sf_dir).where(F.col("user_id") < 40).select(
-        F.concat(F.lit("src"), (F.col("user_id") % X.N_TEMPLATES).cast("string")).alias("template_id"),
-        F.col("ts").cast("timestamp").alias("ts"), "event_id",
-        F.when(F.col("event_type").isin("purchase", "signup"), 1)
-         .when(F.col("event_type") == "error", -1).otherwise(0).alias("v"))
-    out_schema = T.StructType([T.StructField("template_id", T.StringType())] + SUMMARY_SCHEMA.fields
-                              + [T.StructField("n_late", T.LongType())])
-    summ = (ev.groupBy("template_id")
-            .applyInPandasWithState(_lifecycle_state, out_schema, STATE_SCHEMA, "update",
-                                    GroupStateTimeout.NoTimeout))
+    """Collect the outcome stream, then apply its summary to the rules.
+
+    The stream's state is the outcomes themselves, four narrow columns per
+    event appended batch by batch.  The fold (:func:`refbank.operators.lifecycle.outcome_summary`)
+    orders them by (ts, event id) when it is read: per (template, minute) in
+    parallel, then minute summaries in order.  An event that arrives late
+    only changes its own minute, so the result is L2's for any arrival order,
+    any split into files and any batch size."""
+    ev = X.outcome_events(event_stream(spark, sf_dir))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink.path)
+        batch.write.mode("overwrite").parquet(f"{sink.path}/batch={batch_id}")
 
     def build(out):
         sink.path = f"{out}/data"
-        return (summ.writeStream.outputMode("update").foreachBatch(sink)
+        return (ev.writeStream.outputMode("append").foreachBatch(sink)
                 .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
 
-    out = _run(build, spark, "lifecycle")
-    got = spark.read.parquet(f"{out}/data")
-    latest = got.groupBy("template_id").agg(
-        *[F.max_by(c, "batch_id").alias(c) for c in SUMMARY_FIELDS])
+    got = _batches(spark, f"{_run(build, spark, 'lifecycle')}/data",
+                   "template_id string, ts timestamp, event_id long, v int")
     r = rules if rules is not None else X.rules(spark, sf_dir)
-    return L.apply_summary(r, latest)
+    return L.replay_outcomes(r, got)

@@ -30,18 +30,18 @@ def test_schema_json_new_and_legacy(spark):
 
 
 def test_formula_conflict_and_fill(spark):
-    b = spark.createDataFrame([("t", "Field_A", 2, 1, "A2"), ("t", "Field_B", 5, 4, "D5"),
+    b = spark.createDataFrame([("t", "Field_A", 2, 1, "A2"), ("t", "Field_B", 7, 3, "C7"),
                                ("t", "Field_C", 6, 4, "D6")],
                               "tpl string, field string, row long, col long, cell string")
-    cells = spark.createDataFrame([("t", 5, 4, "=SUM(D2:D4)"), ("t", 1, 1, "Header"), ("t", 6, 4, "=D5*2")],
+    cells = spark.createDataFrame([("t", 7, 3, "=MAX(C4:C6)"), ("t", 1, 1, "Header"), ("t", 8, 3, "=C7*2")],
                                   "tpl string, row long, col long, value string")
     data = spark.createDataFrame([("t", "Field_A", "x"), ("t", "Field_B", "y")], "tpl string, field string, value string")
     conf, cleaned = C.formula_conflicts(b, cells, data)
-    assert [(r.field, r.cell) for r in conf.collect()] == [("Field_B", "D5")]
+    assert [(r.field, r.cell) for r in conf.collect()] == [("Field_B", "C7")]
     assert sorted(r.field for r in cleaned.collect()) == ["Field_A"]
     filled = {r.cell: (r.value, r.filled) for r in C.fill_template(cells, C.bind_values(b, cleaned)).collect()}
-    assert filled == {"A1": ("Header", False), "A2": ("x", True), "D5": ("=SUM(D2:D4)", False),
-                      "D6": ("=D5*2", False)}
+    assert filled == {"A1": ("Header", False), "A2": ("x", True), "C7": ("=MAX(C4:C6)", False),
+                      "C8": ("=C7*2", False)}
 
 
 def test_legacy_name_binding(spark):
@@ -60,46 +60,49 @@ def test_missing_fields_counts_null_as_present(spark):
 
 
 def test_formula_cells_and_neighbors(spark):
-    cells = spark.createDataFrame([(1, "S", 1, 1, "a"), (1, "S", 5, 4, "=SUM(D2:D4)+A1"), (1, "S", 2, 2, " ")],
+    cells = spark.createDataFrame([(1, "S", 1, 1, "a"), (1, "S", 7, 3, "=MAX(C4:C6)*A1"), (1, "S", 2, 2, " ")],
                                   "workbook_id long, sheet string, row long, col long, value string")
     f = C.formula_cells(cells).first()
-    assert (f.cell, f.depends_on) == ("D5", ["D2", "D4", "A1"])
+    assert (f.cell, f.depends_on) == ("C7", ["C4", "C6", "A1"])
     fx = C.formula_cells(cells, expand_ranges=True).first()
-    assert fx.depends_on == ["D2", "D3", "D4", "A1"]
+    assert fx.depends_on == ["C4", "C5", "C6", "A1"]
     n = {r.cell: (r.up, r.down, r.left, r.right) for r in C.cell_neighbors(cells).collect()}
-    assert n == {"A1": (None, "A2", None, "B1"), "D5": ("D4", None, "C5", None)}
+    assert n == {"A1": (None, "A2", None, "B1"), "C7": ("C6", None, "B7", None)}
 
 
 def test_check_formulas_range_join(spark):
     from refbank.operators import cells as C2
     from refbank.operators import validate as V
-    cells = spark.createDataFrame([(1, "S", 5, 4, "=SUM(D2:D4)+A1"), (1, "S", 9, 1, "=SUM(A1:Z100000)"),
-                                   (2, "S", 1, 1, "=B700")],
+    cells = spark.createDataFrame([(1, "S", 7, 3, "=MAX(C4:C6)+A1"), (1, "S", 9, 1, "=SUM(A1:Z100000)"),
+                                   (2, "S", 1, 1, "=B700"), (1, "T", 7, 3, "=MAX(C4:C6)+A1")],
                                   "workbook_id long, sheet string, row long, col long, value string")
-    nums = spark.createDataFrame([(1, 2, 4, 1.0), (1, 3, 4, 2.0), (1, 4, 4, 3.0), (1, 1, 1, 10.0), (1, 5, 4, 16.0),
-                                  (1, 99999, 26, 5.0), (1, 9, 1, 31.0), (2, 700, 2, 7.0), (2, 1, 1, 7.0)],
-                                 "workbook_id long, row long, col long, num double")
-    got = {(r.workbook_id, r.cell): (r.expected, r.target, r.consistent)
+    nums = spark.createDataFrame([(1, "S", 4, 3, 1.0), (1, "S", 5, 3, 2.0), (1, "S", 6, 3, 3.0), (1, "S", 1, 1, 10.0), (1, "S", 7, 3, 16.0),
+                                  (1, "S", 99999, 26, 5.0), (1, "S", 9, 1, 31.0), (2, "S", 700, 2, 7.0), (2, "S", 1, 1, 7.0),
+                                  (1, "T", 4, 3, 8.0), (1, "T", 7, 3, 8.0)],
+                                 "workbook_id long, sheet string, row long, col long, num double")
+    got = {(r.workbook_id, r.sheet, r.cell): (r.expected, r.target, r.consistent)
            for r in V.check_formulas(C2.formula_cells(cells), nums).collect()}
-    assert got[(1, "D5")] == (16.0, 16.0, True)
+    assert got[(1, "S", "C7")] == (16.0, 16.0, True)
     # the huge range covers every number of workbook 1, its own cell A9 included
-    assert got[(1, "A9")][0] == 1.0 + 2.0 + 3.0 + 10.0 + 16.0 + 5.0 + 31.0
-    assert got[(2, "A1")] == (7.0, 7.0, True)
+    assert got[(1, "S", "A9")][0] == 1.0 + 2.0 + 3.0 + 10.0 + 16.0 + 5.0 + 31.0
+    assert got[(2, "S", "A1")] == (7.0, 7.0, True)
+    # the same formula on another sheet sums that sheet
+    assert got[(1, "T", "C7")] == (8.0, 8.0, True)
 
 
 def test_cell_falls_back_to_address_and_strict_conflicts(spark):
-    docs = spark.createDataFrame([("t", '{"fields": {"A": {"cell": "", "address": "D5"}, "B": {"cell": "d5"}}}')],
+    docs = spark.createDataFrame([("t", '{"fields": {"A": {"cell": "", "address": "G3"}, "B": {"cell": "g3"}}}')],
                                  "tpl string, value string")
     f = IO.schema_fields_from_json(docs)
     b = C.resolve_bindings(f)
     got = {r.field: r.cell for r in b.collect()}
-    assert got == {"A": "D5", "B": "D5"}
-    cells = spark.createDataFrame([("t", 5, 4, "=SUM(D2:D4)")], "tpl string, row long, col long, value string")
+    assert got == {"A": "G3", "B": "G3"}
+    cells = spark.createDataFrame([("t", 3, 7, "=MIN(G5:G9)")], "tpl string, row long, col long, value string")
     data = spark.createDataFrame([("t", "A", "x"), ("t", "B", "y")], "tpl string, field string, value string")
     conf, _ = C.formula_conflicts(b, cells, data)
     assert sorted(r.field for r in conf.collect()) == ["A", "B"]
     # the original check only saw a raw upper-case `cell`: neither field qualifies
-    raw = b.join(spark.createDataFrame([("t", "A", None), ("t", "B", "d5")], "tpl string, field string, raw_cell string"),
+    raw = b.join(spark.createDataFrame([("t", "A", None), ("t", "B", "g3")], "tpl string, field string, raw_cell string"),
                  ["tpl", "field"])
     strict, _ = C.formula_conflicts(raw, cells, data, strict_reference=True)
     assert strict.count() == 0

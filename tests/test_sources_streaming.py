@@ -82,11 +82,11 @@ def test_stream_lifecycle_equals_batch(spark):
 
 
 def test_formula_constraints_and_append(spark, tmp_dir):
-    docs = spark.createDataFrame([("t", '{"formula_constraints": [{"cell": "D5", "formula": "=SUM(D2:D4)", '
-                                        '"depends_on": ["D2", "D4"], "description": "Sum"}]}')],
+    docs = spark.createDataFrame([("t", '{"formula_constraints": [{"cell": "C7", "formula": "=MAX(C4:C6)", '
+                                        '"depends_on": ["C4", "C6"], "description": "Sum"}]}')],
                                  "tpl string, value string")
     f = IO.formula_constraints_from_json(docs).first()
-    assert (f.cell, f.formula, f.depends_on) == ("D5", "=SUM(D2:D4)", ["D2", "D4"])
+    assert (f.cell, f.formula, f.depends_on) == ("C7", "=MAX(C4:C6)", ["C4", "C6"])
     ev = spark.createDataFrame([("e1", "2024-01-02 03:04:05", "row_misalignment")], "event_id string, ts string, error_type string")
     IO.append_events(ev, f"{tmp_dir}/log")
     IO.append_events(ev, f"{tmp_dir}/log")
@@ -139,22 +139,50 @@ def test_stream_ingest_drops_duplicate_events(spark, tmp_dir):
                         "props": ['{"k": 1}', '{"k": 2}', '{"k": 1}', '{"k": 3}']})
     os.makedirs(f"{tmp_dir}/src", exist_ok=True)
     pdf.to_parquet(f"{tmp_dir}/src/events.parquet", index=False, coerce_timestamps="us")
-    got = sorted(r.event_id for r in ST.stream_ingest(spark, f"{tmp_dir}/src").collect())
-    assert got == ["1", "2"]
+    got = sorted((r.event_id, r.error_type) for r in ST.stream_ingest(spark, f"{tmp_dir}/src").collect())
+    assert got == [("1", "semantic_mismatch"), ("2", "missing_fields"), ("3", None)]
 
 
-def test_stream_fold_batches_and_late_events():
-    import pandas as pd
+def test_streams_do_not_depend_on_files_or_arrival_order(spark, tmp_dir):
+    from refbank.operators import lifecycle as L
+    from refbank.plans import fixtures as X
+    from refbank.streaming import jobs as ST
 
-    from refbank.streaming.jobs import fold_batch
-    t = pd.to_datetime
-    b1 = pd.DataFrame({"ts": t(["2024-01-01 00:00:02", "2024-01-01 00:00:01"]), "event_id": [2, 1], "v": [-1, 1]})
-    b2 = pd.DataFrame({"ts": t(["2024-01-01 00:00:00", "2024-01-01 00:00:03"]), "event_id": [9, 3], "v": [1, 1]})
-    s1 = fold_batch(None, b1)
-    s2 = fold_batch(s1, b2)
-    # steps in order: +2 (id 1), -5 (id 2), then +2 (id 3); id 9 is late
-    assert s2[:8] == (3, 2, 3, False, -1, -3, 2, 5)
-    assert s2[10] == 1
-    # the same events in one batch (minus the late one) give the same summary
-    one = fold_batch(None, pd.concat([b1, b2[b2.event_id == 3]]))
-    assert one[:8] == s2[:8]
+    one = "/root/testdata/sf0.001"
+    many = f"{tmp_dir}/many"
+    # seven files in shuffled time order, read one per batch
+    spark.read.parquet(f"{one}/events.parquet").repartition(7, "event_id").write.parquet(f"{many}/events.parquet")
+    stream = ST.event_stream
+    rules = X.rules(spark, one)
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = [rows(ST.stream_ingest(spark, one)), rows(ST.stream_clusters(spark, one)), rows(ST.stream_lifecycle(spark, one, rules))]
+    try:
+        ST.event_stream = lambda s, d: stream(s, d, max_files_per_trigger=1)
+        parts = [rows(ST.stream_ingest(spark, many)), rows(ST.stream_clusters(spark, many)), rows(ST.stream_lifecycle(spark, many, rules))]
+    finally:
+        ST.event_stream = stream
+    assert parts == whole and all(whole)
+    assert whole[2] == rows(L.replay_outcomes(rules, X.outcomes(spark, one)))
+
+
+def test_odd_types_in_log_lines_are_kept(spark, tmp_dir):
+    p = f"{tmp_dir}/mem3/execution_log.jsonl"
+    write(p, '{"event_id": "e1", "error_type": "x", "confidence": "high"}\n{"event_id": 7, "confidence": "0.5", "missing_fields": "A"}\n'
+             '{"event_id": "e3", "human_confirmed": "true", "missing_fields": ["A", 1]}\n\n5\n{oops\n')
+    good, bad = IO.read_exec_log_with_rejects(spark, p)
+    got = {r.event_id: r for r in good.collect()}
+    assert set(got) == {"e1", "7", "e3"}
+    assert (got["e1"].confidence, got["7"].confidence, got["e3"].human_confirmed) == (None, 0.5, True)
+    assert got["e3"].missing_fields == ["A", "1"] and got["7"].missing_fields is None
+    assert bad.count() == 2 and IO.read_exec_log(spark, p).count() == 3
+
+
+def test_malformed_documents_fail_and_unfinished_snapshots_are_skipped(spark, tmp_dir):
+    write(f"{tmp_dir}/bad/bank/anchors.json", "{no json")
+    write(f"{tmp_dir}/bad/bank/graph.json", "{no json")
+    for reader, name in ((IO.read_anchors, "anchors"), (IO.read_edges, "graph")):
+        with pytest.raises(Exception):
+            reader(spark, f"{tmp_dir}/bad/bank/{name}.json").collect()
+    path = IO.write_snapshot(spark.createDataFrame([("t", 1)], "template_id string, x int"), f"{tmp_dir}/snap", 1)
+    os.makedirs(f"{tmp_dir}/snap/snapshot=000002")
+    assert IO.latest_snapshot(spark, f"{tmp_dir}/snap").endswith(path.rsplit("/", 1)[1])
