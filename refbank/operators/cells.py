@@ -95,29 +95,29 @@ def resolve_bindings(fields: DataFrame) -> DataFrame:
     done = absolute.select("tpl", "field", F.col("r0").cast("long").alias("row"), F.col("c0").cast("long").alias("col"),
                            F.lit(0).cast("long").alias("depth"))
     dr, dc = F.coalesce(F.col("dr"), F.lit(0)).cast("long"), F.coalesce(F.col("dc"), F.lit(0)).cast("long")
-    open_ = stored(fields.where((F.col("r0").isNull() | F.col("c0").isNull()) & F.col("rel").isNotNull())
-                   .select("tpl", "field", F.col("rel").alias("to"), dr.alias("dr"), dc.alias("dc"),
-                           dr.alias("low_r"), dc.alias("low_c"), F.lit(1).cast("long").alias("steps")))
     seeds = done.select("tpl", F.col("field").alias("to"), F.col("row").alias("r"), F.col("col").alias("c"))
-    resolved = [done]
-    for _ in range(max(1, open_.count()).bit_length() + 1):
-        hit = open_.join(seeds, ["tpl", "to"])
-        resolved.append(hit.where((F.col("r") + F.col("low_r") > 0) & (F.col("c") + F.col("low_c") > 0)).select(
-            "tpl", "field", (F.col("r") + F.col("dr")).alias("row"), (F.col("c") + F.col("dc")).alias("col"),
-            F.col("steps").alias("depth")))
-        up = open_.select("tpl", F.col("field").alias("to"), F.col("to").alias("up"), F.col("dr").alias("ur"),
+    first = (fields.where((F.col("r0").isNull() | F.col("c0").isNull()) & F.col("rel").isNotNull())
+             .select("tpl", "field", F.col("rel").alias("to"), dr.alias("dr"), dc.alias("dc"),
+                     dr.alias("low_r"), dc.alias("low_c"), F.lit(1).cast("long").alias("steps")))
+    ends = seeds.select("tpl", "to").distinct().withColumn("end", F.lit(True))
+    chain = stored(first.join(ends, ["tpl", "to"], "left").withColumn("end", F.coalesce("end", F.lit(False))))
+    for _ in range(max(1, chain.count()).bit_length() + 1):
+        rest = chain.where(~F.col("end"))
+        if rest.isEmpty():
+            break
+        up = chain.select("tpl", F.col("field").alias("to"), F.col("to").alias("up"), F.col("dr").alias("ur"),
                           F.col("dc").alias("uc"), F.col("low_r").alias("ulr"), F.col("low_c").alias("ulc"),
-                          F.col("steps").alias("us"))
-        open_ = stored(open_.join(up, ["tpl", "to"]).select(
+                          F.col("steps").alias("us"), F.col("end").alias("uend"))
+        longer = rest.join(up, ["tpl", "to"]).select(
             "tpl", "field", F.col("up").alias("to"), (F.col("ur") + F.col("dr")).alias("dr"), (F.col("uc") + F.col("dc")).alias("dc"),
             F.least("ulr", F.col("ur") + F.col("low_r")).alias("low_r"), F.least("ulc", F.col("uc") + F.col("low_c")).alias("low_c"),
-            (F.col("us") + F.col("steps")).alias("steps")))
-        if open_.isEmpty():
-            break
-    out = resolved[0]
-    for r in resolved[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("cell", S.a1(F.col("row"), F.col("col")))
+            (F.col("us") + F.col("steps")).alias("steps"), F.col("uend").alias("end"))
+        chain = stored(chain.where("end").select(*longer.columns).unionByName(longer))
+    hung = (chain.where("end").join(seeds, ["tpl", "to"])
+            .where((F.col("r") + F.col("low_r") > 0) & (F.col("c") + F.col("low_c") > 0))
+            .select("tpl", "field", (F.col("r") + F.col("dr")).alias("row"), (F.col("c") + F.col("dc")).alias("col"),
+                    F.col("steps").alias("depth")))
+    return done.unionByName(hung).withColumn("cell", S.a1(F.col("row"), F.col("col")))
 
 
 def bind_values(bindings: DataFrame, data: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,15 @@ from pyspark.sql import functions as F
 from refbank.functions import scalars as S
 from refbank.operators import lifecycle as L
 
-RULE_BODY = ["id", "confidence", "support", "field", "ord"]
+# what a rule does and shows: carried along as far as the bank has it
+RULE_ACTION = ["action", "anchor", "pattern", "example_input", "example_output"]
+RULE_BODY = ["id", "confidence", "support", "field", "ord", *RULE_ACTION]
+
+
+def with_body(rules: DataFrame) -> DataFrame:
+    """Rules with all body columns (null where the bank has no such column)."""
+    missing = [c for c in RULE_ACTION if c not in rules.columns]
+    return rules.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else rules
 
 
 def prepare_inputs(inputs: DataFrame) -> DataFrame:
@@ -46,7 +54,7 @@ def direct_rules(contexts: DataFrame, rules: DataFrame,
     Rule trigger defaults to ``field_extraction``; rule input type defaults
     to the wildcard ``auto`` which matches every input type.
     """
-    r = quality_gate(rules).where(
+    r = quality_gate(with_body(rules)).where(
         F.coalesce(F.col("trigger"), F.lit(S.DEFAULT_TRIGGER)) == F.lit(trigger))
     r = r.select("template_id",
                  F.coalesce(F.col("input_type"), F.lit(S.WILDCARD_INPUT_TYPE)).alias("rule_type"),
@@ -96,7 +104,7 @@ def kg_expand(direct: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFram
     nbr = shared_anchor_neighbors(direct, edges).unionByName(follows_neighbors(direct, edges)).distinct()
     nbr = nbr.join(direct.select("template_id", "input_type", "id"),
                    ["template_id", "input_type", "id"], "left_anti")
-    body = quality_gate(rules).select("template_id", *RULE_BODY)
+    body = quality_gate(with_body(rules)).select("template_id", *RULE_BODY)
     return nbr.join(body, ["template_id", "id"])
 
 
@@ -132,7 +140,7 @@ def via_signature(matched: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules named in the matched patterns' ``rules_used`` (F2, any type)."""
     pref = (matched.select("template_id", "signature", F.explode("rules_used").alias("id"))
             .distinct())
-    body = quality_gate(rules).select("template_id", *RULE_BODY)
+    body = quality_gate(with_body(rules)).select("template_id", *RULE_BODY)
     return pref.join(body, ["template_id", "id"])
 
 
@@ -151,7 +159,8 @@ def new_variants(inputs: DataFrame, patterns: DataFrame) -> DataFrame:
 def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patterns: DataFrame,
                    as_of=None, trigger: str = S.DEFAULT_TRIGGER, top_k: int = 10,
                    use_signature: bool = True, matched: DataFrame | None = None) -> DataFrame:
-    """X1 for every input: (input_id, rank, id, source, confidence, support, field).
+    """X1 for every input: (input_id, template_id, rank, id, source, confidence,
+    support, field) and the rule's action, anchor, pattern and example.
 
     Decay (L3) runs first when ``as_of`` is given.  Provenance: a rule keeps
     the strongest source (via_signature > direct > via_kg) but the position
@@ -199,9 +208,10 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
                        .when(F.col("best.prec") == 2, "direct").otherwise("via_kg").alias("source"),
                       F.col("best.body.confidence").alias("confidence"),
                       F.col("best.body.support").alias("support"),
-                      F.col("best.body.field").alias("field")))
+                      *[F.col(f"best.body.{c}").alias(c) for c in ["field", *RULE_ACTION]]))
     return (x.select("input_id", *keys).join(ranked, keys)
-            .select("input_id", "template_id", "rank", "id", "source", "confidence", "support", "field"))
+            .select("input_id", "template_id", "rank", "id", "source", "confidence", "support", "field",
+                    *RULE_ACTION))
 
 
 def _copy_keys(df: DataFrame) -> DataFrame:

@@ -73,10 +73,22 @@ def _build_rules(spark, sf_dir) -> DataFrame:
                 (F.rint(F.col("p_size") * 2.0) / 100.0).alias("confidence"),
                 (F.col("p_partkey") % 10).cast("long").alias("support"),
                 F.col("last_used").cast("timestamp").alias("last_used"),
+                *_rule_action(),
                 F.col("p_partkey").alias("ord"),
             ))
 
 
+def _rule_action() -> list[F.Column]:
+    """What a rule does: after an anchor, by a pattern, by meaning, or nothing
+    defined; every tenth size shows an example."""
+    k, shown = F.col("p_partkey") % 4, F.col("p_size") % 10 == 0
+    return [F.when(k == 0, "extract_after_anchor").when(k == 1, "find_by_regex").when(k == 2, "semantic_extract").alias("action"),
+            F.when(k == 0, F.concat(F.col("p_brand"), F.lit(":"))).alias("anchor"),
+            F.when(k == 1, F.concat(F.lit("("), F.col("p_type"), F.lit("[0-9]*)"))).alias("pattern"),
+            F.when(shown, F.concat(F.col("p_brand"), F.lit(": "), F.col("p_name"))).alias("example_input"),
+            F.when(shown, F.col("p_name")).alias("example_output")]
+
+
 def _build_edges(spark, sf_dir) -> DataFrame:
     """edges(template_id, src, dst, relation, weight)."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -325,7 +337,9 @@ def _stored(spark, sf_dir, name, builder) -> DataFrame:
     from refbank.session import checkpoint_dir
     from refbank.sources.bank_io import _exists
 
-    key = _hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    # one copy per application: a later run must not read tables of an earlier one
+    run = f"{spark.sparkContext.applicationId} {sf_dir.rstrip('/')}"
+    key = _hashlib.sha1(run.encode()).hexdigest()[:12]
     path = f"{checkpoint_dir(spark).rstrip('/')}/refbank-bank/{key}/{name}"
     if not _exists(spark, f"{path}/_SUCCESS"):
         try:

@@ -254,7 +254,7 @@ ORACLE["reflect_rules"] = W("rules", "patterns", "edges", "outcomes", extra=[
     ("req", "SELECT * FROM (" + DRAFT_REQ + ") WHERE anchor IS NULL"),
     ("drafted", DRAFTED)]) + """
 SELECT template_id, id, field, action, confidence, support FROM (
-  SELECT r.template_id, r.id, r.field, NULL::VARCHAR AS action, f.template_id IS NOT NULL AS failing,
+  SELECT r.template_id, r.id, r.field, r.action, f.template_id IS NOT NULL AS failing,
          CASE WHEN f.template_id IS NULL THEN r.confidence
               ELSE greatest(0.0, round_even((coalesce(r.confidence, 0.5) - 0.05) * 100, 0) / 100.0) END AS confidence,
          r.support
@@ -582,9 +582,16 @@ FEW_SHOT = """
     SELECT input_id, string_agg(
       chr(10) || '规则 ' || id || ' [置信度: ' || CAST(confidence AS VARCHAR) || ', 成功次数: ' || CAST(support AS VARCHAR)
       || CASE source WHEN 'via_kg' THEN ', 来源: 知识图谱关联' WHEN 'via_signature' THEN ', 来源: 签名匹配' ELSE '' END
-      || ']:' || chr(10) || '- 触发条件: 提取 ' || coalesce(field, '未知字段') || ' 字段时' || chr(10) || '- 操作: 未定义操作',
+      || ']:' || chr(10) || '- 触发条件: 提取 ' || coalesce(field, '未知字段') || ' 字段时' || chr(10) || '- 操作: ' || coalesce(action, '未定义操作')
+      || CASE WHEN anchor <> '' THEN ' (锚点: ' || anchor || ')' ELSE '' END
+      || CASE WHEN pattern <> '' THEN ' (模式: ' || pattern || ')' ELSE '' END
+      || CASE WHEN example_input IS NOT NULL OR example_output IS NOT NULL
+              THEN chr(10) || '- 示例: "' || coalesce(example_input, '') || '" → "' || coalesce(example_output, '') || '"' ELSE '' END,
       chr(10) ORDER BY confidence DESC, rank) AS body
-    FROM retrieved GROUP BY input_id) f USING (input_id)"""
+    FROM (SELECT t.input_id, t.rank, t.id, t.source, t.confidence, t.support, t.field,
+                 b.action, b.anchor, b.pattern, b.example_input, b.example_output
+          FROM retrieved t JOIN input_types y USING (input_id)
+          JOIN rules b ON b.template_id = y.template_id AND b.id = t.id) GROUP BY input_id) f USING (input_id)"""
 ORACLE["few_shot_text"] = W(*RETRIEVAL_VIEWS, extra=_retrieval_ctes() + [("fs", FEW_SHOT)]) + \
     "SELECT input_id, few_shot FROM fs"
 NL = "chr(10)"

@@ -37,6 +37,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                round_even(p_size * 2.0::DOUBLE, 0) / 100.0::DOUBLE AS confidence,
                (p_partkey % 10)::BIGINT AS support,
                lu.last_used::TIMESTAMP AS last_used,
+               CASE p_partkey % 4 WHEN 0 THEN 'extract_after_anchor' WHEN 1 THEN 'find_by_regex'
+                                  WHEN 2 THEN 'semantic_extract' END AS action,
+               CASE WHEN p_partkey % 4 = 0 THEN p_brand || ':' END AS anchor,
+               CASE WHEN p_partkey % 4 = 1 THEN '(' || p_type || '[0-9]*)' END AS pattern,
+               CASE WHEN p_size % 10 = 0 THEN p_brand || ': ' || p_name END AS example_input,
+               CASE WHEN p_size % 10 = 0 THEN p_name END AS example_output,
                p_partkey AS ord
         FROM part LEFT JOIN (SELECT l_partkey, max(l_shipdate) AS last_used
                              FROM lineitem GROUP BY l_partkey) lu ON lu.l_partkey = p_partkey"""),

@@ -15,6 +15,22 @@ def test_relative_chain(spark):
     assert got == {"A": "B2", "B": "B3", "C": "C3"}
 
 
+def test_chain_of_any_length(spark):
+    n = 300
+    rows = [("t", "F0", None, 5, 5, 0, 0)] + [("t", f"F{i}", f"F{i - 1}", None, None, 1 if i % 2 else -1, i % 3 - 1) for i in range(1, n)]
+    rows += [("t", "U", "F7", None, None, -9, 0), ("t", "V", "U", None, None, 20, 0)]  # U leaves the sheet, V hangs on it
+    row = col = 5
+    want = {"F0": (5, 5)}
+    alive = True
+    for i in range(1, n):
+        row, col = row + (1 if i % 2 else -1), col + i % 3 - 1
+        alive = alive and row > 0 and col > 0
+        if alive:
+            want[f"F{i}"] = (row, col)
+    got = {r.field: (r.row, r.col) for r in C.resolve_bindings(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == want and len(want) == n
+
+
 def test_schema_json_new_and_legacy(spark):
     docs = spark.createDataFrame([
         ("new", '{"fields": {"A": {"cell": "b2"}, "B": {"relative_to": "A", "row_offset": 1}, '
