@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from refbank.functions import scalars as S
 from refbank.operators import lifecycle as L
+from refbank.session import scratch_path
 
 # what a rule does and shows: carried along as far as the bank has it
 RULE_ACTION = ["action", "anchor", "pattern", "example_input", "example_output"]
@@ -35,6 +36,18 @@ def prepare_inputs(inputs: DataFrame) -> DataFrame:
                  .withColumn("input_type", S.input_type("path"))
 
 
+def slim_inputs(inputs: DataFrame) -> DataFrame:
+    """(input_id, template_id, input_type, signature), stored once: documents
+    are read and hashed in one pass, and every later step reads this table."""
+    if "content" not in inputs.columns:
+        return inputs
+    x = inputs if "signature" in inputs.columns else prepare_inputs(inputs)
+    x = x.select("input_id", "template_id", "input_type", "signature")
+    path = scratch_path(x.sparkSession, "inputs")
+    x.write.parquet(path)
+    return x.sparkSession.read.schema(x.schema).parquet(path)
+
+
 def quality_gate(rules: DataFrame) -> DataFrame:
     """F2: ``confidence >= 0.3`` with missing confidence counting as 0.0."""
     return rules.where(F.coalesce(F.col("confidence"), F.lit(0.0)) >= S.ARCHIVE_THRESHOLD)
@@ -167,11 +180,9 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
     of its best copy (confidence desc, then direct, via_kg, via_signature
     list order, then file order).
     """
-    x = prepare_inputs(inputs) if "signature" not in inputs.columns else inputs
+    x = slim_inputs(inputs)
     bank = L.decay_rules(rules, as_of) if as_of is not None else rules
-    # One distinct pass over the inputs; the smaller contexts derive from it
-    # (the same exchange is reused), so documents are hashed twice at most:
-    # here and for the final join back to input ids.
+    # One distinct pass over the slim inputs; the smaller contexts derive from it.
     full_ctx = x.select("template_id", "input_type", "signature").distinct()
     type_ctx = full_ctx.select("template_id", "input_type").distinct()
     direct = direct_rules(type_ctx, bank, trigger)
@@ -236,7 +247,7 @@ def retrieval_context(inputs: DataFrame, rules: DataFrame, edges: DataFrame,
                       top_k: int = 10) -> DataFrame:
     """Per input signature, type, retrieved rule ids, matched patterns,
     anchor count and the new-variant flag."""
-    x = prepare_inputs(inputs)
+    x = slim_inputs(inputs)
     matched = match_patterns(x.select("template_id", "signature").distinct(), patterns)
     got = retrieve_rules(x, rules, edges, patterns, as_of=as_of, top_k=top_k, matched=matched)
     rule_list = (got.groupBy("input_id")

@@ -117,7 +117,7 @@ def q_new_variants(spark, d):
 
 @query
 def q_query_anchors(spark, d):
-    return R.query_anchors(X.anchors(spark, d))
+    return R.query_anchors(X.anchors(spark, d), "f_1")
 
 
 def _retrieved(spark, d):
@@ -502,7 +502,7 @@ def q_few_shot_text(spark, d):
 
 @query
 def q_build_prompts(spark, d):
-    x = R.prepare_inputs(X.inputs(spark, d))
+    x = R.slim_inputs(X.inputs(spark, d))
     m = R.match_patterns(x.select("template_id", "signature").distinct(), X.patterns(spark, d))
     got = R.retrieve_rules(x, X.rules(spark, d), X.edges(spark, d), X.patterns(spark, d),
                            as_of=X.as_of(), matched=m)
@@ -519,7 +519,8 @@ def q_build_prompts(spark, d):
               F.array_sort(F.collect_list(F.struct("rank", "pattern_id", "accuracy"))),
               lambda s: F.concat(s["pattern_id"], F.lit(" ("), s["accuracy"].cast("string"), F.lit(")"))),
               ", ").alias("patterns_txt")))
-    inp = x.withColumn("template_signature", F.md5("template_id"))
+    # the text is read once more, for the prompt itself
+    inp = X.inputs(spark, d).withColumn("template_signature", F.md5("template_id"))
     p = E.build_prompts(inp, fs, tf, ta, mt)
     return p.select("input_id", F.length("prompt").cast("long").alias("prompt_chars"),
                     F.md5("prompt").alias("prompt_md5"))

@@ -140,7 +140,7 @@ SELECT i.input_id,
         AND NOT EXISTS (SELECT 1 FROM patterns p WHERE p.template_id = i.template_id
                                                   AND p.input_signature = i.signature)) AS signature_mismatch
 FROM input_types i"""
-ORACLE["query_anchors"] = W("anchors") + "SELECT template_id, anchor_id, field, type, role, pattern FROM anchors"
+ORACLE["query_anchors"] = W("anchors") + "SELECT template_id, anchor_id, field, type, role, pattern FROM anchors WHERE field = 'f_1'"
 ORACLE["retrieve_rules"] = W(*RETRIEVAL_VIEWS, extra=_retrieval_ctes()) + \
     "SELECT input_id, rank, id, source, confidence FROM retrieved"
 ORACLE["retrieval_context"] = W(*RETRIEVAL_VIEWS, "anchors", extra=_retrieval_ctes()) + """

@@ -107,14 +107,19 @@ def read_rules(spark: SparkSession, path: str, template_level: int = 2) -> DataF
 
 def write_rules(rules: DataFrame, path: str) -> None:
     """Export a flat rule table back to JSONL (nested layout)."""
+    def col(c):
+        return F.col(c) if c in rules.columns else F.lit(None).cast("string")
+
     out = rules.select(
         "id",
         F.struct(F.col("input_type"), F.col("trigger")).alias("when"),
         F.struct(F.col("field")).alias("condition"),
         F.struct(*[F.col(c) if c in rules.columns else F.lit(None).cast("string").alias(c)
                    for c in ("action", "anchor", "pattern")]).alias("then"),
-        "confidence", "support",
-        F.date_format("last_used", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_used"))
+        "confidence", "support", col("created_at").cast("string").alias("created_at"),
+        F.date_format("last_used", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_used"),
+        F.when(col("example_input").isNotNull() | col("example_output").isNotNull(),
+               F.struct(col("example_input").alias("input"), col("example_output").alias("output"))).alias("example"))
     out.write.mode("errorifexists").json(path)
 
 

@@ -110,15 +110,17 @@ def test_learn_cycle_commits_and_reflects(spark):
 def test_rules_export_roundtrip(spark, tmp_dir):
     rules = spark.createDataFrame(
         [("tplZ", "R007", "pdf", "field_extraction", "total", "find_by_regex", None, "Total: (\\\\d+)", 0.7, 3,
-          None, 0)],
+          None, "2024-05-06 07:08:09", "Total: 12", "12", 0)],
         "template_id string, id string, input_type string, trigger string, field string, action string, "
-        "anchor string, pattern string, confidence double, support long, last_used timestamp, ord long")
+        "anchor string, pattern string, confidence double, support long, last_used timestamp, created_at string, "
+        "example_input string, example_output string, ord long")
     out = f"{tmp_dir}/tplZ/bank/rules.jsonl"
     IO.write_rules(rules, out)
     back = IO.read_rules(spark, out, template_level=3).first()
     assert (back.template_id, back.id, back.input_type, back.trigger, back.field, back.action,
             back.pattern, back.confidence, back.support) == \
         ("tplZ", "R007", "pdf", "field_extraction", "total", "find_by_regex", "Total: (\\\\d+)", 0.7, 3)
+    assert (back.created_at, back.example_input, back.example_output) == ("2024-05-06 07:08:09", "Total: 12", "12")
 
 
 def test_lenient_log_counts_rejects(spark, tmp_dir):
