@@ -22,6 +22,39 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.scan(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def _op6_sql() -> str:
+    from refbank.llm import licenses as L
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(n)}, {v}, {b}, {quote(g)}, {t})" for n, v, b, g, t in L.template_bigrams(L.TEMPLATES))
+    return f"""
+WITH tpl(licence, variant, b, bigram, times) AS (VALUES {rows}),
+d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+u AS (
+  SELECT doc_id, md5(text) AS h, 'line' AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position,
+         unnest(string_split(text, chr(10))) AS body FROM d
+  UNION ALL
+  SELECT * FROM (SELECT doc_id, md5(text), 'paragraph',
+         generate_subscripts(regexp_split_to_array(text, '\n[ \t\r]*\n'), 1) - 1,
+         unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS body FROM d) WHERE contains(body, chr(10))
+  UNION ALL
+  SELECT doc_id, md5(text), 'text', 0, text FROM d WHERE contains(text, chr(10))),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM u),
+g AS (SELECT doc_id, h, unit, position, len(ws) - 1 AS a,
+             unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS bigram
+      FROM w WHERE len(ws) >= 2),
+c AS (SELECT doc_id, h, unit, position, a, bigram, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT doc_id, h, unit, position, licence, 2.0::DOUBLE * sum(least(n, times)) / (a + b) AS dice
+      FROM c JOIN tpl USING (bigram) GROUP BY doc_id, h, unit, position, a, licence, variant, b),
+one AS (SELECT doc_id, h, unit, position, min((-dice, licence)) AS m FROM s WHERE dice >= 0.8 GROUP BY ALL),
+p AS (SELECT doc_id, h, m[2] AS licence, min((m[1], unit, position)) AS k, count(*) AS n_units FROM one GROUP BY ALL)
+SELECT doc_id, licence, -k[1] AS dice, k[2] AS unit, CAST(k[3] AS INTEGER) AS position, n_units FROM p
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
 #: The mixing tree over ``documents``: five sources make a domain.
 MIX_WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 3.0}, "source": {}}
 MIX_BUDGET_SHARE = 1.0
@@ -198,5 +231,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_embedding_dedup": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op6_license_scan": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }

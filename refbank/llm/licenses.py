@@ -100,9 +100,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
              .where(f"size(w) >= 2 AND size(w) - 1 BETWEEN {low - 1e-9} AND {high + 1e-9}"))
     unit = ["doc_id", "k1", "k2", "unit", "position", "a"]
     grams = units.selectExpr("doc_id", "k1", "k2", "unit", "position", "size(w) - 1 AS a",
-                             "explode(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS bigram")
+                             "posexplode(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS (place, bigram)")
     found = (grams.join(F.broadcast(known.select("bigram").distinct()), "bigram", "left_semi")
-             .groupBy(*unit, "bigram").agg(F.count(F.lit(1)).alias("n"))
+             # places, not rows: equal rows of one id are the same unit
+             .groupBy(*unit, "bigram").agg(F.count_distinct("place").alias("n"))
              .join(F.broadcast(known), "bigram")
              .where((F.col("a") >= F.col("b") * threshold / (2 - threshold) - 1e-9)
                     & (F.col("a") <= F.col("b") * (2 - threshold) / threshold + 1e-9)))

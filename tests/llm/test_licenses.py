@@ -55,6 +55,9 @@ def test_matches_brute_force(spark):
 def test_equal_rows_are_one_result(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "x", "y")] * 3, SCHEMA)
     assert got(df) == [(1, "MIT", 1.0, "line", 0, 1)]
+    twice = {"X": ["go on go on go on stop"]}  # the template holds a bigram three times, the text once
+    df = spark.createDataFrame([(1, "go on then we stop here", "x", "y")] * 3, SCHEMA)
+    assert L.scan(df, twice, 0.3).collect() == []
 
 
 def test_tables(spark):
