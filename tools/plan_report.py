@@ -1,7 +1,7 @@
 """Write PLANS.md: physical-plan facts for the headline queries.
 
 Usage: python tools/plan_report.py [sf_dir]
-Each query is executed once (noop sink) so the adaptive plan is final; the
+Each query is executed once and the plan of that execution is read; the
 report lists scans with their read columns and pushed filters, shuffle and
 broadcast exchanges, join strategies, window group limits and aggregates.
 """
@@ -49,16 +49,19 @@ def main() -> None:
            f"Physical-plan facts of the headline queries at `{sf_dir}` (final adaptive plans, "
            "generated by `tools/plan_report.py`). Scans show the columns actually read and the "
            "filters pushed into Parquet; `refbank-bank/*` are the stored bank tables.", "",
-           "Notes: the nested-loop joins in `rule_extract` / `extract_cascade` come from the web "
-           "fixture, where every page has the same constant template id; constraint propagation "
-           "turns the `template_id` equi-join into a broadcast nested-loop join against the "
-           "six-row rule table (no shuffle). With many templates it plans as a hash join on "
-           "`template_id`. SortAggregate nodes are the struct-valued min/max that pick a rule "
+           "Notes: a nested-loop join in `rule_extract` / `extract_cascade` comes from the web "
+           "fixture, where every page has the same constant template id, so the join condition "
+           "folds away; its other side is one row with the template's rules. With many templates "
+           "it is a hash join on `template_id`. SortAggregate nodes are the struct-valued min/max that pick a rule "
            "copy's position and body (sort-based, spill-safe).", ""]
     for key in HEADLINE:
         df = REGISTRY[key](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        # run the frame's own plan: that execution's adaptive plan is the one printed
+        df._jdf.queryExecution().toRdd().count()
         plan = df._jdf.queryExecution().executedPlan().toString()
+        if "isFinalPlan=false" in plan:
+            raise RuntimeError(f"{key}: the plan is not final")
+        plan = plan.split("== Initial Plan ==")[0]
         f = facts(plan)
         out.append(f"## {key}")
         out.append("")
