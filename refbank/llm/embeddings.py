@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refbank.llm.common import components, store
+from refbank.llm.common import components, hash_sample, store
 
 SAMPLE = 20_000
 BLOCK = 2048
@@ -140,7 +140,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     dim, n = sizes[0]["dim"], sizes[0]["n"]
     k = int(min(MAX_CODES, max(4, round(n ** 0.25))))
     half = max(1, dim // 2)
-    picked = good.where(F.col("dim") == dim).orderBy(F.xxhash64("row")).limit(sample).select("vec").toPandas()
+    picked = hash_sample(good.where(F.col("dim") == dim), "row", sample, n).select("vec").toPandas()
     x = _unit(picked["vec"])
     books = spark.sparkContext.broadcast((kmeans(x[:, :half], k), kmeans(x[:, half:], k) if dim > 1 else np.zeros((1, 0))))
     limit = 2 - 2 * threshold + 1e-9

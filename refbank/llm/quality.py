@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refbank.llm import ngrams as G
-from refbank.llm.common import sized, store
+from refbank.llm.common import hash_sample, sized, store
 from refbank.llm.toxicity import fit_logistic
 
 FIT_ROWS = 20_000
@@ -151,7 +151,7 @@ def score(docs: DataFrame, labels: DataFrame, learning: Column | None = None, ho
     labelled = store(feats.where("learned").join(marks, "doc_id"), "quality-labelled")
     top, hosts, paths = posteriors(labelled.select("host", "path", "good"))
     rate = top.first()["rate"]
-    sample = labelled.orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).select("good", "x").toPandas()
+    sample = hash_sample(labelled, "doc_id", FIT_ROWS, labelled.count()).select("good", "x").toPandas()
     own = F.lit(float(np.log(rate / (1 - rate))))
     if sample["good"].nunique() == 2:
         w = fit_logistic(np.stack(sample["x"].to_numpy()), sample["good"].to_numpy(float))

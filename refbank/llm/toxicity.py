@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refbank.llm import ngrams as G
-from refbank.llm.common import store
+from refbank.llm.common import hash_sample, store
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -195,8 +195,10 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, id
     final.weights = np.array([-6.0, 0.0, 4.0, 0.0])  # used where too few rows are left for a calibration
     if {c for a, c in classes if not a} == {0, 1}:
         held = _model(table[~table["model"]])
-        sample = (labelled.where("aside").select("id", "toxic", _features(F.col("text"), held, docs).alias("x"))
-                  .orderBy(F.xxhash64(F.col("id"), F.lit(1))).limit(CALIBRATION_ROWS).select("toxic", "x").toPandas())
+        # the sample is cut by hash before the texts are scored, and only scores reach the driver
+        total = marks.where(F.pmod(F.xxhash64("label_id"), F.lit(4)) == 0).count()
+        scored = labelled.where("aside").select("id", "toxic", _features(F.col("text"), held, docs).alias("x"))
+        sample = hash_sample(scored, "id", CALIBRATION_ROWS, total).select("toxic", "x").toPandas()
         if len(sample) >= 30 and sample["toxic"].sum() >= 5:
             x = np.stack(sample["x"].to_numpy())
             final.weights = fit_logistic(x, sample["toxic"].to_numpy(float))
