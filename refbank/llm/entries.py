@@ -39,7 +39,7 @@ u AS (
          unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS body FROM d) WHERE contains(body, chr(10))
   UNION ALL
   SELECT doc_id, md5(text), 'text', 0, text FROM d WHERE contains(text, chr(10))),
-w AS (SELECT *, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM u),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM u),
 g AS (SELECT doc_id, h, unit, position, len(ws) - 1 AS a,
              unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS bigram
       FROM w WHERE len(ws) >= 2),
