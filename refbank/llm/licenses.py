@@ -9,8 +9,22 @@ Since c is at most the smaller of both, a score of t needs
 templates are dropped by their word count, the rest join only templates whose
 bounds hold them.
 
+A notice inside a longer line, paragraph or comment block is found by windows
+over the words of the whole text.  A window has as many bigrams as the template
+(fewer at the end of the text), starts where a shared bigram of the
+template's signature puts its start, and scores like a unit; ``position`` is its first
+word.  Templates of 128 bigrams and more are tried at the best supported start
+of every 64th of their length.  A place belongs to the unit or window that shares most
+bigrams there (then the better score, the first template, the first start), and a
+window counts when all its shared places are its own.  So a notice that is
+a line of its own is that line, and a GPL window inside an LGPL notice is nothing.
+
+Only documents that hold ``need`` bigrams of a template's signature are looked at
+further, which every match does (:func:`signatures`).
+
 Only DataFrame and SQL functions.  The templates are a parameter; at most
-``MAX_TEMPLATE_WORDS`` words in all, so their bigram table may be broadcast.
+``MAX_TEMPLATE_WORDS`` words in all, so their bigram table may be broadcast.  Those
+of the query are in ``license_templates.py``.
 
 Defined results: null and empty texts match nothing, and neither does a unit
 or template with fewer than two words; ties between templates go to the
@@ -20,49 +34,21 @@ texts of one id each have theirs; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refbank.llm.common import sized, store
+from refbank.llm.license_templates import templates
+
 MAX_TEMPLATE_WORDS = 200_000
 THRESHOLD = 0.8
+WORDS = r"filter(split(lower({}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')"
 
-# Usual licence notices, and the text of the short licences.
-TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ],
-    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
-    ],
-    "ISC": [
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ],
-    "MPL-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
-        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    ],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
+TEMPLATES: dict[str, list[str]] = templates()
 
 
 def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, int, int, str, int]]:
@@ -72,29 +58,60 @@ def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, int, in
         for v, text in enumerate(variants):
             w = re.findall(r"[^\W_]+", text.lower())
             pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
-            rows += [(name, v, len(pairs), p, pairs.count(p)) for p in sorted(set(pairs))]
+            rows += [(name, v, len(pairs), p, n) for p, n in sorted(Counter(pairs).items())]
     if sum(r[4] for r in rows) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words to broadcast")
     return rows
 
 
+def signatures(templates: dict[str, list[str]], threshold: float) -> list[tuple]:
+    """(tid, licence, variant, b, need, bigram, offsets): each template's
+    signature, its rarest bigrams (those in the fewest templates).  A unit or
+    window that scores ``threshold`` shares at least ``least`` bigrams, so at most
+    ``b - least`` of the template's are missing: of a signature that has ``need``
+    more than that, ``need`` are in the unit.  Nothing that matches is lost."""
+    rows = template_bigrams(templates)
+    held = Counter(r[3] for r in rows)
+    by_template: dict[tuple[str, int], list[tuple]] = {}
+    for r in rows:
+        by_template.setdefault(r[:2], []).append(r)
+    out = []
+    for tid, ((name, v), own) in enumerate(sorted(by_template.items())):
+        w = re.findall(r"[^\W_]+", templates[name][v].lower())
+        places: dict[str, list[int]] = {}
+        for i, (x, y) in enumerate(zip(w, w[1:])):
+            places.setdefault(f"{x} {y}", []).append(i)
+        b = own[0][2]
+        least = max(1, math.ceil(threshold * b / (2 - threshold) - 1e-9))
+        want, size, chosen = min(b, b - least + max(1, math.ceil(b / 5))), 0, []
+        for r in sorted(own, key=lambda r: (held[r[3]], r[4], r[3])):
+            if size >= want:
+                break
+            chosen.append(r[3])
+            size += r[4]
+        out += [(tid, name, v, b, size - (b - least), g, places[g]) for g in chosen]
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licence, dice, unit, position, n_units): the licences of each
     document with their best unit and how many units match."""
     rows = template_bigrams(TEMPLATES if templates is None else templates)
     spark = docs.sparkSession
+    if not rows:
+        return spark.createDataFrame([], docs.select(F.col(id_col).alias("doc_id")).schema.add("licence", "string").add(
+            "dice", "double").add("unit", "string").add("position", "integer").add("n_units", "long"))
+    docs, signature = _candidates(docs, TEMPLATES if templates is None else templates, threshold, id_col, text_col)
     known = spark.createDataFrame(rows, "licence string, variant int, b int, bigram string, times int")
-    sizes = [r[2] for r in rows] or [0]
+    sizes = [r[2] for r in rows]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
-    t = f"`{text_col}`"
+    t = "text"
     lines = f"transform(split({t}, '\\n'), (x, i) -> struct('line' AS unit, i AS position, x AS body))"
     paras = (f"filter(transform(split({t}, '\\n[ \\t\\r]*\\n'), (x, i) -> struct('paragraph' AS unit, i AS position, x AS body)), "
              "p -> instr(p.body, '\\n') > 0)")
     whole = f"CASE WHEN instr({t}, '\\n') > 0 THEN array(struct('text' AS unit, 0 AS position, {t} AS body)) ELSE array() END"
-    units = (docs.where(F.col(text_col).isNotNull())
-             .selectExpr(f"`{id_col}` AS doc_id", f"xxhash64({t}) AS k1", f"xxhash64({t}, 'unit') AS k2",
-                         f"inline(concat({lines}, {paras}, {whole}))")
+    units = (docs.selectExpr("doc_id", "k1", "k2", f"inline(concat({lines}, {paras}, {whole}))")
              .selectExpr("doc_id", "k1", "k2", "unit", "position",
                          r"filter(split(lower(body), '[^\\p{L}\\p{N}]+'), w -> w <> '') AS w")
              .where(f"size(w) >= 2 AND size(w) - 1 BETWEEN {low - 1e-9} AND {high + 1e-9}"))
@@ -110,9 +127,83 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     scored = (found.groupBy(*unit, "licence", "variant", "b").agg(F.sum(F.least("n", "times")).alias("c"))
               .withColumn("dice", 2.0 * F.col("c") / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold))
     # one licence per unit (the best), then one row per document and licence
-    best = scored.groupBy("doc_id", "k1", "k2", "unit", "position").agg(
-        F.min(F.struct((-F.col("dice")).alias("d"), "licence")).alias("m")).select(
-        "doc_id", "k1", "k2", "unit", "position", "m.licence", (-F.col("m.d")).alias("dice"))
+    best = store(scored.groupBy("doc_id", "k1", "k2", "unit", "position").agg(
+        F.min(F.struct((-F.col("dice")).alias("d"), "licence", "c")).alias("m")).select(
+        "doc_id", "k1", "k2", "unit", "position", "m.licence", (-F.col("m.d")).alias("dice"), "m.c"), "licence-units")
+    embedded = _windows(docs, signature, known, best, threshold)
+    best = best.drop("c").unionByName(docs.select("doc_id", "k1", "k2").distinct().join(embedded, ["k1", "k2"]))
     return best.groupBy("doc_id", "k1", "k2", "licence").agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "unit", "position")).alias("m"), F.count(F.lit(1)).alias("n_units")).select(
         "doc_id", "licence", (-F.col("m.d")).alias("dice"), "m.unit", "m.position", "n_units")
+
+
+def _candidates(docs: DataFrame, templates: dict[str, list[str]], threshold: float, id_col: str, text_col: str
+                ) -> tuple[DataFrame, DataFrame]:
+    """The documents that share enough of some template's signature (doc_id,
+    k1, k2, text, tids of those templates), and the signatures."""
+    signature = docs.sparkSession.createDataFrame(
+        signatures(templates, threshold),
+        "tid int, licence string, variant int, b int, need int, bigram string, offsets array<int>")
+    rows = docs.where(F.col(text_col).isNotNull()).selectExpr(
+        f"`{id_col}` AS doc_id", f"xxhash64(`{text_col}`) AS k1", f"xxhash64(`{text_col}`, 'unit') AS k2", f"`{text_col}` AS text")
+    words = rows.selectExpr("k1", "k2", f"{WORDS.format('text')} AS w").where("size(w) >= 2")
+    grams = words.selectExpr("k1", "k2", "explode(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS bigram")
+    found = (grams.join(F.broadcast(signature.select("bigram", "tid", "need")), "bigram")
+             .groupBy("k1", "k2", "tid", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need"))
+    per_text = found.groupBy("k1", "k2").agg(F.collect_set("tid").alias("tids"))  # at most one entry per template
+    return rows.join(sized(store(per_text, "licence-candidates")), ["k1", "k2"]), signature
+
+
+def _windows(docs: DataFrame, signature: DataFrame, known: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
+    """(k1, k2, unit, position, licence, dice): the windows of each different text."""
+    names = signature.select("tid", "licence", "variant").distinct()
+    table = known.join(F.broadcast(names), ["licence", "variant"]).join(
+        F.broadcast(signature.select("tid", "bigram", "offsets")), ["tid", "bigram"], "left")
+    words = (docs.select("k1", "k2", "text", "tids").dropDuplicates(["k1", "k2"]).selectExpr(
+        "k1", "k2", "tids",
+        f"flatten(transform(split(text, '\\n'), (x, i) -> transform({WORDS.format('x')}, w -> struct(i AS line, w AS word)))) AS w",
+        f"flatten(transform(split(text, '\\n[ \\t\\r]*\\n'), (x, i) -> transform({WORDS.format('x')}, w -> i))) AS para")
+        .where("size(w) >= 2"))
+    grams = words.selectExpr("k1", "k2", "tids", "size(w) - 1 AS size", "posexplode(transform(sequence(0, size(w) - 2), "
+                             "i -> struct(concat(w[i].word, ' ', w[i + 1].word) AS bigram, w[i].line AS line, para[i] AS para))) "
+                             "AS (place, g)").select("k1", "k2", "tids", "size", "place", "g.*")
+    hits = store(grams.join(F.broadcast(table), "bigram").where("array_contains(tids, tid)").drop("tids")
+                 .withColumn("bucket", F.expr("place div b")), "licence-hits")
+    window = ["k1", "k2", "tid", "start"]
+    # where the signature's bigrams place the template; long ones at the best supported of every 64th
+    starts = (hits.where("offsets IS NOT NULL")
+              .select("k1", "k2", "tid", "b", "size", F.explode("offsets").alias("o"), "place")
+              .withColumn("start", F.greatest(F.lit(0), F.col("place") - F.col("o")))
+              .groupBy(*window, "b", "size").agg(F.count(F.lit(1)).alias("votes"))
+              .groupBy("k1", "k2", "tid", "b", "size", F.expr("start div greatest(1, b div 64)").alias("cell"))
+              .agg(F.max(F.struct("votes", (-F.col("start")).alias("m"))).alias("top"))
+              .select("k1", "k2", "tid", (-F.col("top.m")).alias("start"), F.expr("least(b, size + top.m)").alias("a"),
+                      F.explode(F.expr("array(-top.m div b, -top.m div b + 1)")).alias("bucket")))
+
+    def inside(w: DataFrame) -> DataFrame:
+        return w.join(hits, ["k1", "k2", "tid", "bucket"]).where("place >= start AND place < start + a")
+
+    scored = store(
+        inside(starts).groupBy(*window, "a", "b", "bigram", "times").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*window, "a", "b").agg(F.sum(F.least("n", F.col("times").cast("long"))).alias("c"))
+        .withColumn("dice", 2.0 * F.col("c") / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold)
+        .select(*window, "a", "b", "c", "dice"), "licence-windows")
+    spread = inside(scored.withColumn("bucket", F.explode(F.expr("array(start div b, start div b + 1)"))).drop("b"))
+    places = spread.select(*window, "c", "dice", "place", "line", "para")
+    # a place belongs to the window or unit that shares most there
+    units = best.groupBy("k1", "k2", "unit", "position").agg(F.max("c").alias("unit_c"))
+
+    def of(unit: str, at: str) -> DataFrame:
+        return units.where(F.col("unit") == unit).select("k1", "k2", F.col("position").alias(at), F.col("unit_c").alias(f"c_{unit}"))
+
+    places = (places.join(of("line", "line"), ["k1", "k2", "line"], "left").join(of("paragraph", "para"), ["k1", "k2", "para"], "left")
+              .join(of("text", "zero").drop("zero"), ["k1", "k2"], "left")
+              .withColumn("taken", F.coalesce(F.greatest("c_line", "c_paragraph", "c_text"), F.lit(0))))
+    key = F.struct("c", "dice", (-F.col("tid")).alias("t"), (-F.col("start")).alias("s"))
+    owners = places.groupBy("k1", "k2", "place").agg(F.max(key).alias("top"))
+    kept = (places.join(owners, ["k1", "k2", "place"])
+            .withColumn("own", (F.col("top.t") == -F.col("tid")) & (F.col("top.s") == -F.col("start"))
+                        & (F.col("taken") < F.col("c")))
+            .groupBy(*window, "dice").agg(F.min("own").alias("own")).where("own"))
+    return kept.join(F.broadcast(names), "tid").select("k1", "k2", F.lit("window").alias("unit"),
+                                                       F.col("start").alias("position"), "licence", "dice")

@@ -65,3 +65,54 @@ def test_tables(spark):
     assert got(df) == brute([tuple(r) for r in df.collect()])
     assert L.scan(df.where("false")).collect() == []
     assert L.scan(df, templates={}).collect() == []
+
+
+def licences(spark, texts):
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    out = {i: set() for i in range(len(texts))}
+    for r in L.scan(df).collect():
+        out[r.doc_id].add((r.licence, r.unit))
+    return out
+
+
+def test_notices_inside_other_text_and_the_right_variant(spark):
+    filler = "some words about the weather in spring " * 30
+    gpl2 = next(t for t in L.TEMPLATES["GPL-2.0"] if "any later version" in t)
+    lgpl = next(t for t in L.TEMPLATES["LGPL-2.1"] if "any later version" in t)
+    agpl = next(t for t in L.TEMPLATES["AGPL-3.0"] if "any later version" in t).split(" ")
+    comment = "\n".join(f" * {' '.join(agpl[i:i + 9])}" for i in range(0, len(agpl), 9))
+    texts = [f"{filler} Licensed under CC BY-NC-SA 4.0. {filler}", f"{filler}{gpl2} {filler}", f"{filler}{lgpl} {filler}",
+             f"/* {filler}\n{comment}\n * {filler}\n */\nint x;", "Creative Commons Attribution-NonCommercial 4.0", filler,
+             f"{filler} ends: Licensed under the Apache License, Version 2.0", "Released under the MIT License. " * 3 + filler]
+    got = licences(spark, texts)
+    assert [{x for x, _ in got[i]} for i in range(8)] == [
+        {"CC-BY-NC-SA-4.0"}, {"GPL-2.0"}, {"LGPL-2.1"}, {"AGPL-3.0"}, {"CC-BY-NC-4.0"}, set(), {"Apache-2.0"}, {"MIT"}]
+    assert got[0] == {("CC-BY-NC-SA-4.0", "window")} and got[4] == {("CC-BY-NC-4.0", "line")}
+
+
+def test_full_texts_also_inside_other_text(spark):
+    names = ["Apache-2.0", "GPL-2.0", "AGPL-3.0", "LGPL-2.1", "MPL-2.0"]
+    full = {n: " ".join(max(L.TEMPLATES[n], key=len).split()) for n in names}
+    around = "the quick brown fox jumps over a lazy dog and sleeps " * 400
+    got = licences(spark, [full[n] for n in names] + [f"{around} {full[n]} {around}" for n in names] + [around])
+    assert [got[i] for i in range(5)] == [{(n, "line")} for n in names]
+    assert [got[i] for i in range(5, 10)] == [{(n, "window")} for n in names] and got[10] == set()
+
+
+def test_signatures_lose_no_match(spark):
+    import random
+
+    rng, tpl = random.Random(3), {"A": ["a b c d e a b f g h i j"], "B": ["a b c d x y z"], "C": ["d e f g"]}
+    need, held = {}, set()
+    for tid, _, _, _, n, bigram, _ in L.signatures(tpl, 0.8):
+        need[tid] = n
+        held.add((tid, bigram))
+    texts = {0: tpl["A"][0], 1: tpl["B"][0], 2: tpl["C"][0]}
+    for _ in range(3000):
+        t = rng.choice([0, 1, 2])
+        w = texts[t].split()
+        for _ in range(rng.randrange(3)):
+            w.insert(rng.randrange(len(w)), rng.choice("abcxyz")) if rng.random() < 0.5 else w.pop(rng.randrange(len(w)))
+        a, b = Counter(zip(w, w[1:])), Counter(zip(texts[t].split(), texts[t].split()[1:]))
+        if w and 2 * sum((a & b).values()) >= 0.8 * (sum(a.values()) + sum(b.values())):
+            assert sum((t, " ".join(g)) in held for g in a.elements()) >= need[t]
