@@ -11,13 +11,17 @@ bits per language, ``n`` n-grams and ``c`` hits the estimate is
 Learning counts n-grams of the whole text of every learning document (Spark
 aggregates per language and n-gram).  An n-gram belongs to a language when
 its relative frequency there is at least ``SHARE`` of its highest relative
-frequency over languages, and it occurs at least ``MIN_COUNT`` times: rows with a wrong label or with
+frequency over languages, and it is at least ``MIN_SHARE`` of the language's n-grams and
+occurs at least ``MIN_COUNT`` times: rows with a wrong label or with
 passages in other languages do not put their n-grams into the filter.  N-grams of lengths 2 to 4
 stay within words (letters only, word ends count); longer n-grams weigh more
 because they meet fewer languages, not through a parameter.
 
-The filter's size is fixed (``SLOTS`` masks per 64 languages), so what is
-sent to the tasks does not grow with the corpus.
+The filter has as many slots as its fullest language needs for a false positive
+rate of about a tenth (``slots_for``; at least ``SLOTS``, at most ``MAX_SLOTS`` masks per
+64 languages and ``MAX_BYTES`` in all).  ``MIN_SHARE`` is relative, so a language keeps at most
+``1 / MIN_SHARE`` n-grams however large the corpus is, and what is sent to the tasks
+is bounded.  A filter that would be too full (a rate above ``MAX_MISS``) is an error.
 
 Defined results: ``und`` with score 0 for a null text or one without any
 letter, or when nothing was learned; a text none of whose n-grams is known
@@ -42,9 +46,13 @@ from refbank.llm.common import store
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 20
+MAX_SLOTS = 1 << 24  # three slots of 24 bits at steps of 20 fill a 64-bit code
+MAX_BYTES = 1 << 29
+MAX_MISS = 0.5
 HASHES = 3
 SHARE = 0.2
 MIN_COUNT = 3
+MIN_SHARE = 2.5e-7
 MAX_LANGS = 4096
 
 
@@ -75,19 +83,30 @@ def stream(cps: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarr
     return s > 0, out
 
 
-def slot_columns(code: Column) -> list[Column]:
+def slots_for(kept: int, slices: int) -> int:
+    """Slots for ``kept`` n-grams of the fullest language: 5 each, a power of two."""
+    slots = SLOTS
+    while slots < 5 * kept and slots < MAX_SLOTS and 16 * slots * slices <= MAX_BYTES:
+        slots *= 2
+    miss = (1 - np.exp(-HASHES * kept / slots)) ** HASHES
+    if miss > MAX_MISS:
+        raise ValueError(f"{kept} n-grams of one language and {64 * slices} languages do not fit a filter of {MAX_BYTES} bytes")
+    return slots
+
+
+def slot_columns(code: Column, slots: int = SLOTS) -> list[Column]:
     """Slots of a code: the same arithmetic as :func:`slots_of`."""
-    return [F.shiftrightunsigned(code, 20 * i).bitwiseAND(F.lit(SLOTS - 1)) for i in range(HASHES)]
+    return [F.shiftrightunsigned(code, 20 * i).bitwiseAND(F.lit(slots - 1)) for i in range(HASHES)]
 
 
-def slots_of(code: np.ndarray) -> list[np.ndarray]:
-    return [((code >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+def slots_of(code: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
+    return [((code >> np.uint64(20 * i)) & np.uint64(slots - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 @dataclass
 class Filters:
     langs: list[str]
-    masks: np.ndarray  # (slices, SLOTS) uint64
+    masks: np.ndarray  # (slices, slots) uint64
     miss: np.ndarray  # false positive rate per language
     common: int  # most frequent language
 
@@ -118,12 +137,15 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fi
                                                "lang string, bit int, total double")
     best = Window.partitionBy("code")
     freq = counts.join(F.broadcast(number), "lang").withColumn("p", F.col("n") / F.col("total"))
-    own = (freq.withColumn("top", F.max("p").over(best))
-           .where((F.col("n") >= MIN_COUNT) & (F.col("p") >= SHARE * F.col("top"))))
-    slots = own.select(F.explode(F.array(*slot_columns(F.col("code")))).alias("slot"), "bit")
-    bits = slots.groupBy("slot", (F.col("bit") / 64).cast("int").alias("slice")).agg(
-        F.expr("bit_or(shiftleft(1L, bit % 64)) AS mask")).toPandas()  # <= SLOTS rows per slice
-    masks = np.zeros((-(-len(langs) // 64), SLOTS), np.uint64)
+    own = store(freq.withColumn("top", F.max("p").over(best))
+                .where((F.col("n") >= MIN_COUNT) & (F.col("p") >= MIN_SHARE) & (F.col("p") >= SHARE * F.col("top")))
+                .select("code", "bit"), "lang-kept")
+    slices = -(-len(langs) // 64)
+    kept = own.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    slots = slots_for(kept, slices)
+    bits = own.select(F.explode(F.array(*slot_columns(F.col("code"), slots))).alias("slot"), "bit").groupBy("slot", (F.col("bit") / 64).cast("int").alias("slice")).agg(
+        F.expr("bit_or(shiftleft(1L, bit % 64)) AS mask")).toPandas()  # <= slots rows per slice
+    masks = np.zeros((slices, slots), np.uint64)
     masks[bits["slice"], bits["slot"]] = bits["mask"].to_numpy(np.int64).view(np.uint64)
     fill = np.array([(masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(langs))])
     return Filters(langs, masks, fill ** HASHES, int(np.argmax([seen[x] for x in langs])))
@@ -137,7 +159,7 @@ def scores(texts: list[str | None], f: Filters) -> list[tuple[str, float]]:
         piece = np.repeat(np.arange(len(docs)), np.diff(offsets))
         for code, on in grams:
             at = docs[piece[on]]
-            slot = slots_of(code[on])
+            slot = slots_of(code[on], f.masks.shape[1])
             for k in range(len(f.masks)):
                 mask = f.masks[k][slot[0]]
                 for s in slot[1:]:
@@ -149,7 +171,7 @@ def scores(texts: list[str | None], f: Filters) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = []
     if n_langs:
         # hits that few languages share decide; chance hits are taken off
-        est = np.maximum(hits - n[:, None] * f.miss, 0) / (1 - np.minimum(f.miss, 0.999))
+        est = np.maximum(hits - n[:, None] * f.miss, 0) / (1 - f.miss)
     for i in range(n_docs):
         if not letters[i] or not n_langs:
             out.append(("und", 0.0))

@@ -59,3 +59,26 @@ def test_query_accuracy_on_held_out_rows(spark):
     assert len(got) == 1000 and got["score"].between(0, 1).all()
     held = got[got["held_out"]]
     assert (held["lang"] == held["lang_pred"]).mean() > 0.98
+
+
+def test_languages_with_millions_of_ngrams(spark):
+    """Two scripts of ideographs, about two million kept n-grams each."""
+    rng = np.random.default_rng(5)
+    rows, words = [], {}
+    for lang, first in (("one", 0x4E00), ("two", 0x7000)):
+        letters = rng.integers(first, first + 8000, (200_000, 4))
+        words[lang] = ["".join(map(chr, w)) for w in letters]
+        rows += [(i, " ".join(words[lang][i:i + 20_000] * 3), lang, 0.0, 0) for i in range(0, 200_000, 20_000)]
+    f = L.learn(spark.createDataFrame(rows, SCHEMA))
+    assert f.masks.shape[1] > L.SLOTS and (f.miss < 0.25).all()
+    got = predicted(spark, f, [" ".join(words["one"][:100]), " ".join(words["two"][:100]), " ".join(words["two"][:90] + words["one"][:10])])
+    assert [x for x, _ in got] == ["one", "two", "two"] and min(s for _, s in got[:2]) > 0.95 and got[2][1] > 0.8
+
+
+def test_slots_follow_the_ngrams_and_full_filters_are_errors():
+    import pytest
+
+    assert L.slots_for(1000, 1) == L.SLOTS and L.slots_for(1_000_000, 1) == 1 << 23
+    assert L.slots_for(int(1 / L.MIN_SHARE), 4) == L.MAX_SLOTS
+    with pytest.raises(ValueError):
+        L.slots_for(4_000_000, 32)
