@@ -216,6 +216,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from refbank.llm import bpe
+
+    files = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *files), *files)
+    return found.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
@@ -227,6 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 SQL: dict[str, str] = {
     "op1_embedding_dedup": OP1_SQL,
