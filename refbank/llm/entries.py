@@ -216,6 +216,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from refbank.llm import align as A
+
+    return A.align(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -238,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
+    "op12_token_alignment": op12_token_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
 SQL: dict[str, str] = {
