@@ -28,6 +28,7 @@ columns are not read.  Ids of any type pass through unchanged.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 64  # bytes of a word that takes the second form
-CACHE = 600_000  # words a worker remembers
+CACHE = 500_000  # words a worker remembers
 WORDS = 20_000  # words of one recursive query
-CALL_CHARS = 4_000_000  # text characters handled together
+CALL_CHARS = 1_000_000  # text characters handled together
 STEP_ROWS = 4_000_000  # rows a recursion may hold
 BLOCK = 1 << 16  # tokens of one decoding group
-MEMORY = "400MB"
+MEMORY = "256MB"
 _CODERS: dict[tuple[str, str], Coder] = {}  # one per worker process
 
 # rows of the least pair per word: (rank, position) packed in one integer
@@ -98,6 +99,7 @@ class Coder:
             self.joined[np.frombuffer(t[:-1], np.uint8), np.frombuffer(t[1:], np.uint8)] = True
         self.size = max(ranks.values()) + 1
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # words met in more than one call
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         a, b, r = (np.array(x, np.int64) for x in zip(*splits))
         self._table("merges", l=a.astype(np.int32), r=b.astype(np.int32), rank=r, safe=[x not in fronts for x in r.tolist()])
@@ -114,67 +116,61 @@ class Coder:
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n),
                          "i": np.arange(len(raw), dtype=np.int64), "tok": self.single[raw]})
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes], long: bool) -> list[bytes]:
         """Ids of each word, by recursion over its bytes."""
-        out: list = [None] * len(words)
-        for long in (False, True):
-            which = [k for k, w in enumerate(words) if (len(w) > LONG) == long]
-            rows = self._rows([words[k] for k in which])
-            done = []
-            while rows.num_rows:
-                self.db.register("start", rows)
-                if long:
-                    steps = max(1, min(64, STEP_ROWS // rows.num_rows))
-                    got = self.db.sql(_REPEATS, params={"steps": steps}).to_arrow_table()
-                    done.append(got.filter(pa.compute.invert(got["open"])).drop(["open"]))
-                    rows = got.filter(got["open"]).drop(["open"])
-                else:
-                    done.append(self.db.sql(_SHORT).to_arrow_table())
-                    rows = rows.slice(0, 0)
-                self.db.unregister("start")
-            if done:
-                got = pa.concat_tables(done).sort_by("i")
-                at = np.searchsorted(got["w"].to_numpy(), np.arange(len(which) + 1))
-                tok = got["tok"].to_numpy()
-                for n, k in enumerate(which):
-                    out[k] = tok[at[n]:at[n + 1]]
-        return out
+        rows, done = self._rows(words), []
+        while rows.num_rows:
+            self.db.register("start", rows)
+            if long:
+                steps = max(1, min(64, STEP_ROWS // rows.num_rows))
+                got = self.db.sql(_REPEATS, params={"steps": steps}).to_arrow_table()
+                done.append(got.filter(pa.compute.invert(got["open"])).drop(["open"]))
+                rows = got.filter(got["open"]).drop(["open"])
+            else:
+                done.append(self.db.sql(_SHORT).to_arrow_table())
+                rows = rows.slice(0, 0)
+            self.db.unregister("start")
+        got = pa.concat_tables(done) if len(done) == 1 else pa.concat_tables(done).sort_by("i")
+        raw = got["tok"].to_numpy().astype("<u4").tobytes()
+        at = (4 * np.searchsorted(got["w"].to_numpy(), np.arange(len(words) + 1))).tolist()
+        return [raw[x:y] for x, y in zip(at, at[1:])]
 
     def _learn(self, words: list[str]) -> None:
-        pieces: list[bytes] = []
-        open_: list[tuple[str, int, int]] = []  # word, its pieces
+        plain, long = {}, {}
         for w in words:
             raw = w.encode()
-            if raw in self.ranks:
-                self.known[w] = np.uint32(self.ranks[raw]).tobytes()
-                continue
-            first = len(pieces)
-            if len(raw) > LONG:
-                b = np.frombuffer(raw, np.uint8)
-                cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(raw)]
-                pieces += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                self.known[w] = rank.to_bytes(4, "little")
+            elif len(raw) <= LONG:
+                plain[w] = raw
             else:
-                pieces.append(raw)
-            open_.append((w, first, len(pieces)))
-        ids: list[np.ndarray] = []
-        at = 0
-        while at < len(pieces):
-            stop, held = at, 0
-            while stop < len(pieces) and stop - at < WORDS and (held < STEP_ROWS // 8 or stop == at):
-                held += len(pieces[stop])
-                stop += 1
-            ids += self._contract(pieces[at:stop])
-            at = stop
-        for w, a, b in open_:
-            self.known[w] = np.concatenate(ids[a:b]).astype("<u4").tobytes()
+                long[w] = raw
+        for at in range(0, len(plain), WORDS):
+            part = list(itertools.islice(plain.items(), at, at + WORDS))
+            self.known.update(zip((w for w, _ in part), self._contract([raw for _, raw in part], False)))
+        for w, raw in long.items():
+            b = np.frombuffer(raw, np.uint8)
+            cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(raw)]
+            pieces = [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+            ids = dict.fromkeys(pieces, b"")
+            for form in (False, True):
+                some = [x for x in ids if (len(x) > LONG) == form]
+                if some:
+                    ids.update(zip(some, self._contract(some, form)))
+            self.known[w] = b"".join(map(ids.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [self.find(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE:  # one call's own words may go beyond the bound
-            self.known = {}
-            new = set().union(*cut)
+        used = set().union(*cut)
+        new = used.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            # what came once may go; one call's own words may go beyond the bound
+            kept = self.again if 2 * len(self.again) < CACHE else set()
+            self.known, self.again = {w: self.known[w] for w in kept}, set()
+            new = used.difference(self.known)
+        self.again |= used - new
         self._learn(sorted(new))
         known = self.known.__getitem__
         return [b"".join(map(known, ws)) for ws in cut]
@@ -219,29 +215,39 @@ def _calls(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): every text's ids as little-endian unsigned 32-bit integers."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _run(rows: DataFrame, source: str, path: str, pattern: str, code: bool, text: bool) -> DataFrame:
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for x, y in _calls([len(t) for t in texts], CALL_CHARS):
-                yield pa.RecordBatch.from_arrays([b.column("id")[x:y], pa.array(c.encode(texts[x:y]), pa.binary())], ["id", "ids"])
+            given = b.column(source)
+            sizes = pa.compute.binary_length(given).to_pylist()
+            for x, y in _calls(sizes, CALL_CHARS):
+                part = given[x:y].to_pylist()
+                ids = c.encode(part) if code else part
+                out = [b.column("id")[x:y], pa.array(ids, pa.binary())]
+                if text:
+                    out.append(pa.array(c.decode(ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["id", "ids", "bytes"][:len(out)])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(run, f"id {kind}, ids binary" + (", bytes binary" if text else ""))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids): every text's ids as little-endian unsigned 32-bit integers."""
+    return _run(_texts(docs, id_col, text_col), "text", path, pattern, True, False)
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(id, ids, bytes) of the rows of :func:`encode`."""
+    return _run(coded.select("id", "ids"), "ids", path, pattern, False, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern)
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            for x, y in _calls([len(i) for i in ids], CALL_CHARS):
-                yield pa.RecordBatch.from_arrays([b.column("id")[x:y], pa.array(ids[x:y], pa.binary()),
-                                                  pa.array(c.decode(ids[x:y]), pa.binary())], ["id", "ids", "bytes"])
 
-    return coded.mapInArrow(run, f"id {coded.schema['id'].dataType.simpleString()}, ids binary, bytes binary")
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`encode`, then :func:`decode`, in one Python worker instead of two."""
+    return _run(_texts(docs, id_col, text_col), "text", path, pattern, True, True)

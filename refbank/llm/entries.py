@@ -230,7 +230,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refbank.llm import bpe
 
     files = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *files), *files)
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), *files)
     return found.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

@@ -86,6 +86,8 @@ def test_tables(spark, theirs):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     want = [(i, np.array(theirs.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, *_ in data]
     assert sorted(((r.id, bytes(r.ids), bytes(r.bytes)) for r in rows), key=key) == sorted(want, key=key)
+    assert sorted((tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r)) for r in
+                   bpe.round_trip(df, PATH, P.PATTERN).collect()), key=key) == sorted(want, key=key)
     assert bpe.decode(bpe.encode(df.limit(0), PATH, P.PATTERN), PATH, P.PATTERN).collect() == []
 
 
