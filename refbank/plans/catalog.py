@@ -569,6 +569,26 @@ def q_list_templates(spark, d):
     return V.list_templates(X.rules(spark, d), X.patterns(spark, d))
 
 
+# --- rule actions ---------------------------------------------------------------------
+
+from refbank.operators import actions as A  # noqa: E402
+
+
+@query
+def q_anchor_extract(spark, d):
+    return A.anchor_extract(X.forms(spark, d), X.form_rules(spark))
+
+
+@query
+def q_header_extract(spark, d):
+    return A.header_extract(X.forms(spark, d), X.form_rules(spark))
+
+
+@query
+def q_bank_extract(spark, d):
+    return A.bank_extract(X.forms(spark, d), X.form_rules(spark))
+
+
 # --- phase 9: streaming ------------------------------------------------------------
 
 from refbank.streaming import jobs as ST  # noqa: E402

@@ -317,6 +317,74 @@ def responses(spark, sf_dir) -> DataFrame:
                      .otherwise(F.expr("substring(j, 1, length(j) - 1)")).alias("response"))
 
 
+# Order forms: labels and column names by template (number modulo 4).
+FORM_LABELS = {
+    "order": ["Order no", "Order number", "PO", "Purchase order ref"],
+    "date": ["Date", "Order date", "Issued on", "Dated"],
+    "buyer": ["Customer", "Client name", "Buyer", "Sold to"],
+    "total": ["Total", "Total price", "Amount due", "Grand total"],
+    "priority": ["Priority", "Order priority", "Urgency", "Priority class"],
+}
+FORM_COLUMNS = {
+    "part": ["Part", "Item", "Article", "Part  no"],
+    "quantity": ["Qty", "Quantity", "Pieces", "Units"],
+    "tax": ["Tax", "VAT", "Duty", "Levy"],
+}
+#: (rule, field, action, anchor, headers, patterns, pattern, fallback, confidence); {label} is the template's own.
+FORM_RULES = [
+    ("F01", "order", "extract_after_anchor", "{label}", None, None, None, None, 0.9),
+    ("F02", "date", "extract_after_anchor", "{label}:", None, None, None, None, 0.8),
+    ("F03", "buyer", "extract_after_anchor", "{label}", None, None, None, None, 0.85),
+    ("F04", "total", "extract_after_anchor", "{label}", None, None, None, None, 0.9),
+    ("F05", "total", "extract_after_anchor", "Total", None, None, None, None, 0.95),
+    ("F06", "date", "extract_after_anchor", "order", None, None, None, None, 0.4),
+    ("F07", "priority", "try_patterns", None, None, ["Urgency: ([^\\n]+)", "[Pp]riority(?: class)?: ([^\\n]+)"], None, None, 0.7),
+    ("F08", "order", "find_by_regex", None, None, None, "(?:no|PO|ref): ([0-9]+)", None, 0.3),
+    ("F09", "part", "extract_by_header", None, ["Part no", "Part", "Item"], None, None, "(?:Article) [|][^\\n]*\\n[^\\n]*\\n[|] ([0-9]+)", 0.8),
+    ("F10", "quantity", "extract_by_header", None, ["qty", "quantity", "pieces", "units"], None, None, None, 0.8),
+    ("F11", "tax", "extract_by_header", None, ["duty", "levy"], None, None, None, 0.6),
+    ("F12", "tax", "extract_by_header", None, ["Tax", "vat", "levy"], None, None, "(none)", 0.5),
+]
+
+
+def _build_forms(spark, sf_dir) -> DataFrame:
+    """inputs(input_id, template_id, content): every order as a form with
+    labelled values and a table of its lines."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    v = (F.col("o_custkey") % 4).cast("int")
+    label = lambda f: F.element_at(F.array(*[F.lit(x) for x in (FORM_LABELS | FORM_COLUMNS)[f]]), v + 1)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
+    row = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.rint("l_quantity").cast("long").cast("string"), F.lit(" | "),
+                   F.rint(F.col("l_tax") * 100).cast("long").cast("string"), F.lit(" |"))
+    rows = (li.groupBy(F.col("l_orderkey").alias("o_orderkey"))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows")))
+    text = F.concat_ws(
+        "\n",
+        F.concat(label("order"), F.lit(": "), F.col("o_orderkey").cast("string"), F.lit("   "), label("date"), F.lit(": "),
+                 F.date_format("o_orderdate", "yyyy-MM-dd")),
+        label("buyer"), F.lit(""), F.coalesce("c_name", F.lit("-")),
+        F.concat(label("total"), F.lit(" = "), F.rint(F.col("o_totalprice") * 100).cast("long").cast("string")),
+        F.concat(label("priority"), F.lit(": "), F.col("o_orderpriority")), F.lit(""),
+        F.concat(F.lit("| "), label("part"), F.lit(" | "), label("quantity"), F.lit(" | "), label("tax"), F.lit(" |")),
+        F.lit("| --- | ---: | --- |"), F.col("rows"))
+    return (o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(rows, "o_orderkey", "left")
+            .select(F.col("o_orderkey").alias("input_id"), F.concat(F.lit("form"), (F.col("o_custkey") % N_TEMPLATES).cast("string")).alias("template_id"),
+                    text.alias("content")))
+
+
+def form_rules_rows() -> list[tuple]:
+    return [(f"form{t}", rid, field, action, (anchor or "").replace("{label}", (FORM_LABELS | FORM_COLUMNS)[field][t % 4]) or None,
+             headers, patterns, pattern, fallback, conf, k + 1)
+            for t in range(N_TEMPLATES) for k, (rid, field, action, anchor, headers, patterns, pattern, fallback, conf) in enumerate(FORM_RULES)]
+
+
+def form_rules(spark) -> DataFrame:
+    """The form templates' extraction rules."""
+    return spark.createDataFrame(form_rules_rows(), "template_id string, rule_id string, field string, action string, anchor string, "
+                                 "headers array<string>, patterns array<string>, pattern string, fallback string, confidence double, ord int")
+
+
 # --- stored bank tables ---------------------------------------------------------
 #
 # In a deployment the bank (rules, edges, patterns, anchors) and the cell
@@ -373,3 +441,8 @@ def anchors(spark, sf_dir) -> DataFrame:
 def cells(spark, sf_dir) -> DataFrame:
     """Worksheet cells(workbook_id, sheet, row, col, value) from ``lineitem``."""
     return _stored(spark, sf_dir, "cells", _build_cells)
+
+
+def forms(spark, sf_dir) -> DataFrame:
+    """inputs(input_id, template_id, content): orders as forms."""
+    return _stored(spark, sf_dir, "forms", _build_forms)

@@ -663,3 +663,71 @@ ORACLE["stream_clusters"] = W("exec_log", extra=[("log", LOG)]) + """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, cluster_key, count(*)::BIGINT AS samples
 FROM log WHERE error_type IS NOT NULL GROUP BY ALL"""
 ORACLE["stream_lifecycle"] = ORACLE["replay_outcomes"]
+
+# --- rule actions: labels, tables, pattern lists ------------------------------------
+
+_WORD = "[\\p{L}\\p{N}_]+"
+_EDGES = "^[ \\t\\r:=：|]+|[ \\t\\r|;,]+$"
+_ws = lambda x: f"regexp_extract_all(lower({x}), '{_WORD}')"
+_trim = lambda x: f"regexp_replace({x}, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')"
+_ANCHORS = [
+    ("alines", """SELECT input_id, template_id, line_no, ls[line_no] AS line, ls[line_no + 1] AS next_line FROM (
+        SELECT *, unnest(range(1, len(ls) + 1)) AS line_no FROM (
+          SELECT input_id, template_id, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r]')) AS ls FROM forms))"""),
+    ("labels", f"""SELECT template_id, rule_id, field, confidence, ord, array_to_string({_ws('anchor')}, ' ') AS label, len({_ws('anchor')}) AS n
+        FROM form_rules WHERE action = 'extract_after_anchor'"""),
+    ("amet", f"""SELECT DISTINCT l.input_id, l.template_id, line_no, line, next_line, pos, n, label
+        FROM (SELECT *, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT *, {_ws('line')} AS w FROM alines)) l
+        JOIN labels a ON a.template_id = l.template_id AND array_to_string(w[pos:pos + n - 1], ' ') = label AND pos + n - 1 <= len(w)"""),
+    ("ahits", """SELECT *, lead(pos) OVER (PARTITION BY input_id, line_no ORDER BY pos, n DESC) AS next_pos FROM (
+        SELECT *, max(pos + n) OVER (PARTITION BY input_id, line_no ORDER BY pos, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM amet)
+        WHERE reach IS NULL OR pos >= reach"""),
+    ("aruns", f"""SELECT h.*, f.below, regexp_extract_all(line, '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS r, regexp_extract_all(next_line, '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS r2,
+               CASE WHEN regexp_matches(line, '^{_WORD}') THEN 0 ELSE 1 END AS o, CASE WHEN regexp_matches(next_line, '^{_WORD}') THEN 0 ELSE 1 END AS o2
+        FROM ahits h LEFT JOIN (SELECT input_id, line_no - 1 AS line_no, min(pos) AS below FROM ahits GROUP BY ALL) f USING (input_id, line_no)"""),
+    ("aval", f"""SELECT input_id, template_id, label, line_no, pos,
+               regexp_replace(array_to_string(r[2 * (pos + n - 1) + o:coalesce(2 * next_pos - 2 + o, len(r))], ''), '{_EDGES}', '', 'g') AS here,
+               CASE WHEN next_pos IS NULL AND next_line IS NOT NULL
+                    THEN regexp_replace(array_to_string(r2[1:coalesce(2 * below - 2 + o2, len(r2))], ''), '{_EDGES}', '', 'g') ELSE '' END AS under FROM aruns"""),
+    ("afirst", """SELECT input_id, template_id, label, arg_min(CASE WHEN here <> '' THEN here ELSE under END, (line_no, pos)) AS value
+        FROM aval WHERE here <> '' OR under <> '' GROUP BY ALL"""),
+    ("acand", "SELECT input_id, template_id, field, value, rule_id, confidence, ord FROM afirst JOIN labels USING (template_id, label)"),
+]
+_TABLES = [
+    ("trows", f"""SELECT *, line_no - row_number() OVER (PARTITION BY input_id ORDER BY line_no) AS table_no FROM (
+        SELECT input_id, template_id, line_no, line, list_transform(string_split(regexp_replace({_trim('line')}, '^\\||\\|$', '', 'g'), '|'), lambda x: {_trim('x')}) AS cells
+        FROM (SELECT input_id, template_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM forms)
+        WHERE contains(line, '|'))"""),
+    ("tbody", """SELECT *, row_number() OVER (PARTITION BY input_id, table_no ORDER BY line_no) AS row FROM (
+        SELECT *, first_value(cells) OVER t AS names, row_number() OVER t AS nth FROM trows WINDOW t AS (PARTITION BY input_id, table_no ORDER BY line_no))
+        WHERE nth > 1 AND NOT regexp_matches(line, '^[ \\t\\r|:-]*-[ \\t\\r|:-]*$')"""),
+    ("tcells", f"""SELECT input_id, template_id, table_no, row, col, cells[col] AS value, regexp_replace({_trim('lower(names[col])')}, '[ \\t\\r]+', ' ', 'g') AS header
+        FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS col FROM tbody) WHERE names[col] IS NOT NULL"""),
+    ("hnames", f"""SELECT template_id, rule_id, field, confidence, ord, alias, regexp_replace({_trim('lower(headers[alias])')}, '[ \\t\\r]+', ' ', 'g') AS header
+        FROM (SELECT *, unnest(range(1, len(headers) + 1)) AS alias FROM form_rules WHERE action = 'extract_by_header')"""),
+    ("hfound", """SELECT input_id, template_id, field, row, value, rule_id, confidence, ord FROM (
+        SELECT *, rank() OVER (PARTITION BY input_id, field ORDER BY confidence DESC, ord, alias, table_no, col) AS k
+        FROM tcells JOIN hnames USING (template_id, header) WHERE header <> '') WHERE k = 1"""),
+    ("hspare", """SELECT input_id, template_id, field, 1 AS row, value, rule_id, confidence, ord FROM (
+        SELECT *, row_number() OVER (PARTITION BY input_id, field ORDER BY confidence DESC, ord) AS k FROM (
+          SELECT f.input_id, f.template_id, r.field, r.rule_id, r.confidence, r.ord, regexp_extract(f.content, r.fallback, 1) AS value
+          FROM forms f JOIN form_rules r USING (template_id) WHERE r.action = 'extract_by_header' AND r.fallback IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM hfound h WHERE h.input_id = f.input_id AND h.field = r.field)) WHERE value <> '') WHERE k = 1"""),
+    ("hcand", "SELECT * FROM hfound UNION ALL SELECT * FROM hspare"),
+]
+_PATTERNS = [
+    ("pcand", """SELECT input_id, template_id, field, value, rule_id, confidence, ord FROM (
+        SELECT *, row_number() OVER (PARTITION BY input_id, rule_id ORDER BY k) AS first FROM (
+          SELECT f.input_id, f.template_id, r.field, r.rule_id, r.confidence, r.ord, k, regexp_extract(f.content, p, 1) AS value
+          FROM forms f JOIN (SELECT *, unnest(patterns) AS p, generate_subscripts(patterns, 1) AS k FROM form_rules WHERE action = 'try_patterns'
+                             UNION ALL SELECT *, pattern, 1 FROM form_rules WHERE pattern IS NOT NULL) r USING (template_id)) WHERE value <> '')
+        WHERE first = 1"""),
+]
+_one = lambda name: f"""SELECT input_id, template_id, field, value, rule_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY input_id, field ORDER BY confidence DESC, ord) AS k FROM {name}) WHERE k = 1"""
+ORACLE["anchor_extract"] = W("forms", "form_rules", extra=_ANCHORS) + _one("acand")
+ORACLE["header_extract"] = W("forms", "form_rules", extra=_TABLES) + "SELECT input_id, template_id, field, CAST(row AS INTEGER) AS row, value, rule_id FROM hcand"
+ORACLE["bank_extract"] = W("forms", "form_rules", extra=[*_ANCHORS, *_TABLES, *_PATTERNS, ("every", """
+    SELECT * FROM acand UNION ALL SELECT * FROM pcand UNION ALL
+    SELECT input_id, template_id, field, arg_min(value, row), rule_id, confidence, ord FROM hcand WHERE value <> ''
+    GROUP BY input_id, template_id, field, rule_id, confidence, ord""")]) + _one("every")

@@ -7,9 +7,34 @@ Spark builders.
 
 from __future__ import annotations
 
+from refbank.plans import fixtures as X
+
 AS_OF = "TIMESTAMP '2001-12-01 00:00:00'"
 
 # view name -> (dependencies, body)
+_quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+_list = lambda x: "NULL::VARCHAR[]" if x is None else "[" + ", ".join(_quote(v) for v in x) + "]::VARCHAR[]"
+
+
+def _form_label(field: str) -> str:
+    return f"{(X.FORM_LABELS | X.FORM_COLUMNS)[field]}[o_custkey % 4 + 1]"
+
+
+FORMS = f"""
+    SELECT o_orderkey AS input_id, 'form' || (o_custkey % 20) AS template_id,
+           concat_ws(chr(10), {_form_label("order")} || ': ' || o_orderkey || '   ' || {_form_label("date")} || ': ' || strftime(o_orderdate, '%Y-%m-%d'),
+             {_form_label("buyer")}, '', coalesce(c_name, '-'),
+             {_form_label("total")} || ' = ' || CAST(round_even(o_totalprice * 100, 0) AS BIGINT), {_form_label("priority")} || ': ' || o_orderpriority, '',
+             '| ' || {_form_label("part")} || ' | ' || {_form_label("quantity")} || ' | ' || {_form_label("tax")} || ' |', '| --- | ---: | --- |', r.rows) AS content
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+    LEFT JOIN (SELECT l_orderkey, string_agg(row, chr(10) ORDER BY l_linenumber, row) AS rows
+               FROM (SELECT l_orderkey, l_linenumber, '| ' || l_partkey || ' | ' || CAST(round_even(l_quantity, 0) AS BIGINT) || ' | '
+                            || CAST(round_even(l_tax * 100, 0) AS BIGINT) || ' |' AS row FROM lineitem) GROUP BY l_orderkey) r ON r.l_orderkey = o_orderkey"""
+FORM_RULES = "SELECT * FROM (VALUES " + ", ".join(
+    f"({_quote(t)}, {_quote(i)}, {_quote(f)}, {_quote(a)}, {_quote(an)}, {_list(h)}, {_list(ps)}, {_quote(p)}, {_quote(fb)}, {c}::DOUBLE, {o})"
+    for t, i, f, a, an, h, ps, p, fb, c, o in X.form_rules_rows()
+) + ") r(template_id, rule_id, field, action, anchor, headers, patterns, pattern, fallback, confidence, ord)"
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "inputs": ((), """
         SELECT doc_id AS input_id, source AS template_id,
@@ -119,6 +144,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           UNION ALL SELECT page_id, 'lang', regexp_extract(html, '<html lang="([^"]*)"', 1) FROM pages
           UNION ALL SELECT page_id, 'utm_source', regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) FROM pages)
         WHERE value <> ''"""),
+    "forms": ((), FORMS),
+    "form_rules": ((), FORM_RULES),
     "diff_gen": ((), """
         SELECT c_custkey, '  ' || c_name || ' ' AS c_name, c_nationkey,
                c_acctbal + 0.001::DOUBLE + CASE WHEN c_custkey % 97 = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS c_acctbal,

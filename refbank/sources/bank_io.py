@@ -18,11 +18,19 @@ from refbank.functions import scalars as S
 RULE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("when", T.StructType([T.StructField("input_type", T.StringType()),
-                                        T.StructField("trigger", T.StringType())])),
-    T.StructField("condition", T.StructType([T.StructField("field", T.StringType())])),
+                                        T.StructField("trigger", T.StringType()),
+                                        T.StructField("error_type", T.StringType())])),
+    T.StructField("condition", T.StructType([T.StructField("field", T.StringType()),
+                                             T.StructField("context", T.StringType()),
+                                             T.StructField("missing", T.ArrayType(T.StringType()))])),
     T.StructField("then", T.StructType([T.StructField("action", T.StringType()),
                                         T.StructField("anchor", T.StringType()),
-                                        T.StructField("pattern", T.StringType())])),
+                                        T.StructField("pattern", T.StringType()),
+                                        T.StructField("method", T.StringType()),
+                                        T.StructField("prompt", T.StringType()),
+                                        T.StructField("headers", T.ArrayType(T.StringType())),
+                                        T.StructField("patterns", T.ArrayType(T.StringType())),
+                                        T.StructField("fallback", T.StringType())])),
     T.StructField("confidence", T.DoubleType()),
     T.StructField("support", T.LongType()),
     T.StructField("created_at", T.StringType()),
@@ -52,6 +60,8 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("rule_ids", T.ArrayType(T.StringType())),
     T.StructField("cluster_key", T.StringType()),
 ])
+#: Flat rule columns and where a rule has them.
+RULE_COLUMNS = [(f"{part}.{f.name}", f.name, f.dataType) for part in ("when", "condition", "then") for f in RULE_SCHEMA[part].dataType.fields]
 ANCHOR_SPEC = "struct<type:string,role:string,pattern:string,patterns:array<string>,relative_to:string,offset:map<string,int>>"
 EDGE_DOC = "struct<edges:array<struct<from:string,to:string,relation:string,weight:double>>>"
 FIELD_SPEC = ("struct<cell:string,address:string,relative_to:string,row_offset:int,col_offset:int,"
@@ -85,19 +95,14 @@ def read_rules(spark: SparkSession, path: str, template_level: int = 2) -> DataF
     """Rules JSONL -> flat rule table.  Blank lines are skipped, a
     malformed line fails the read (FAILFAST), a missing path yields no rows."""
     flat = T.StructType([T.StructField(n, t) for n, t in [
-        ("template_id", T.StringType()), ("id", T.StringType()), ("input_type", T.StringType()),
-        ("trigger", T.StringType()), ("field", T.StringType()), ("action", T.StringType()),
-        ("anchor", T.StringType()), ("pattern", T.StringType()), ("confidence", T.DoubleType()),
+        ("template_id", T.StringType()), ("id", T.StringType()), *((n, t) for _, n, t in RULE_COLUMNS), ("confidence", T.DoubleType()),
         ("support", T.LongType()), ("created_at", T.StringType()), ("last_used", T.TimestampType()),
         ("example_input", T.StringType()), ("example_output", T.StringType()), ("ord", T.LongType())]])
     if not _exists(spark, path):
         return _empty(spark, flat)
     r = spark.read.schema(RULE_SCHEMA).option("mode", "FAILFAST").json(path)
     return r.select(
-        _template_from_path(template_level).alias("template_id"), "id",
-        F.col("when.input_type").alias("input_type"), F.col("when.trigger").alias("trigger"),
-        F.col("condition.field").alias("field"), F.col("then.action").alias("action"),
-        F.col("then.anchor").alias("anchor"), F.col("then.pattern").alias("pattern"),
+        _template_from_path(template_level).alias("template_id"), "id", *(F.col(c).alias(n) for c, n, _ in RULE_COLUMNS),
         "confidence", "support", "created_at",
         # unparsable timestamps become null and are ignored by decay
         F.expr("try_to_timestamp(last_used)").alias("last_used"),
@@ -107,16 +112,15 @@ def read_rules(spark: SparkSession, path: str, template_level: int = 2) -> DataF
 
 def write_rules(rules: DataFrame, path: str) -> None:
     """Export a flat rule table back to JSONL (nested layout)."""
-    def col(c):
-        return F.col(c) if c in rules.columns else F.lit(None).cast("string")
+    def col(c, kind="string"):
+        return (F.col(c) if c in rules.columns else F.lit(None)).cast(kind).alias(c)
+
+    def part(name):
+        return F.struct(*[col(n, t) for c, n, t in RULE_COLUMNS if c.startswith(f"{name}.")]).alias(name)
 
     out = rules.select(
-        "id",
-        F.struct(F.col("input_type"), F.col("trigger")).alias("when"),
-        F.struct(F.col("field")).alias("condition"),
-        F.struct(*[F.col(c) if c in rules.columns else F.lit(None).cast("string").alias(c)
-                   for c in ("action", "anchor", "pattern")]).alias("then"),
-        "confidence", "support", col("created_at").cast("string").alias("created_at"),
+        "id", part("when"), part("condition"), part("then"),
+        "confidence", "support", col("created_at"),
         F.date_format("last_used", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_used"),
         F.when(col("example_input").isNotNull() | col("example_output").isNotNull(),
                F.struct(col("example_input").alias("input"), col("example_output").alias("output"))).alias("example"))
