@@ -82,6 +82,12 @@ def outcome_summary(outcomes: DataFrame, chunk: str = "minute") -> DataFrame:
     ``outcomes(template_id, ts, event_id, v)``; ties on ts are ordered by
     event_id.
     """
+    return combine_chunks(outcome_chunks(outcomes, chunk))
+
+
+def outcome_chunks(outcomes: DataFrame, chunk: str = "minute") -> DataFrame:
+    """(template_id, chunk, n, n_plus, n_moves, first_neutral, total, min_p,
+    max_p, dd): the summary of every chunk of time by itself."""
     ev = (outcomes.select("template_id", "ts", "event_id", _step(F.col("v")).alias("d"))
           .withColumn("chunk", F.date_trunc(chunk, "ts")))
     w_in = Window.partitionBy("template_id", "chunk").orderBy("ts", "event_id")
@@ -90,7 +96,7 @@ def outcome_summary(outcomes: DataFrame, chunk: str = "minute") -> DataFrame:
     ev = ev.withColumn("p", F.sum("d").over(run))
     ev = ev.withColumn("runmax", F.max("p").over(run))
     ev = ev.withColumn("rn", F.row_number().over(w_in))
-    per_chunk = ev.groupBy("template_id", "chunk").agg(
+    return ev.groupBy("template_id", "chunk").agg(
         F.count("*").alias("n"),
         F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("n_plus"),
         F.sum(F.when(F.col("d") != 0, 1).otherwise(0)).alias("n_moves"),
@@ -100,7 +106,11 @@ def outcome_summary(outcomes: DataFrame, chunk: str = "minute") -> DataFrame:
         F.max("p").alias("max_p"),
         F.max(F.col("runmax") - F.col("p")).alias("dd"),
     )
-    # Combine chunks in time order: offsets are the sums of earlier chunks.
+
+
+def combine_chunks(per_chunk: DataFrame) -> DataFrame:
+    """Summaries of disjoint chunks (of any lengths) as one per template, in
+    time order: offsets are the sums of earlier chunks."""
     wc = Window.partitionBy("template_id").orderBy("chunk")
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     c = (per_chunk.withColumn("off", F.coalesce(F.sum("total").over(before), F.lit(0)))
