@@ -216,6 +216,83 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by crc32 of ``conv_id:turn``; nulls count as one blank."""
+    blank = F.lit(" ")
+    kind = (F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"),
+                             F.coalesce(F.col("turn").cast("string"), blank))) % 20).cast("int")
+    text = F.coalesce("text", blank)
+    return rows.withColumn("kind", kind).where("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from refbank.llm import repair as R
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = R.repair(damaged(rows))
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (rows.select("conv_id").distinct().withColumn("key", R.key(F.col("conv_id")))
+            .join(done.conversations, "key", "left").join(done.digests, "key", "left")
+            .select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+OP11_SQL = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+-- crc32, a table of bytes
+crc0(b, v, n) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+  SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, n + 1 FROM crc0 WHERE n < 8),
+crct AS (SELECT b, v FROM crc0 WHERE n = 8),
+crc(k, v, n) AS (SELECT DISTINCT k, 4294967295::BIGINT, 0 FROM c UNION ALL
+  SELECT crc.k, xor(crc.v // 256, crct.v), n + 1 FROM crc JOIN crct ON crct.b = xor(crc.v, ascii(substr(crc.k, n + 1, 1))) & 255
+  WHERE n < length(crc.k)),
+h AS (SELECT k, xor(v, 4294967295::BIGINT) % 20 AS kind FROM crc WHERE n = length(k)),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM c JOIN h USING (k) JOIN range(2) r ON r.range < CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS x, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS x0,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+-- role states: 0 start, 1 s, 2 u, 3 a; inserts before a row
+pre(q, ins, cost, texts, p) AS (VALUES (0, '', 0, [], 0), (0, 'I', 3, ['user:'], 2), (0, 'II', 6, ['user:', 'assistant:'], 3),
+  (1, '', 0, [], 1), (1, 'I', 3, ['user:'], 2), (1, 'II', 6, ['user:', 'assistant:'], 3),
+  (2, '', 0, [], 2), (2, 'I', 3, ['assistant:'], 3), (3, '', 0, [], 3), (3, 'I', 3, ['user:'], 2)),
+act(p, e, x, cost, t) AS (VALUES (0, 'D', NULL, 4, 0), (1, 'D', NULL, 4, 1), (2, 'D', NULL, 4, 2), (3, 'D', NULL, 4, 3),
+  (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 2), (1, 'K', 'u', 0, 2), (2, 'K', 'a', 0, 3), (3, 'K', 'u', 0, 2),
+  (0, 'R', NULL, 3, 2), (1, 'R', NULL, 3, 2), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 3, 2)),
+w(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'texts': []::VARCHAR[]} FROM f
+  UNION ALL
+  SELECT f.conv_id, f.i, act.t, min({
+      'cost': best.cost + pre.cost + act.cost + CASE WHEN act.e <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END,
+      'audit': best.audit || pre.ins || act.e,
+      'texts': list_concat(best.texts, list_concat(pre.texts, CASE act.e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text]
+               ELSE [CASE act.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END))})
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN pre ON pre.q = w.q JOIN act ON act.p = pre.p
+  WHERE (act.x IS NULL OR act.x = f.x) AND (act.e = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY f.conv_id, f.i, act.t),
+z AS (SELECT w.conv_id, min({'cost': best.cost + pre.cost, 'audit': best.audit || pre.ins, 'texts': list_concat(best.texts, pre.texts)}) AS best
+      FROM w JOIN (SELECT conv_id, max(i) AS n FROM f GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.i
+      JOIN pre ON pre.q = w.q WHERE pre.p IN (0, 3) GROUP BY w.conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (x0 IS NOT NULL AND x0 || x NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.texts, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -246,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_token_alignment": op12_token_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -254,4 +332,5 @@ SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op6_license_scan": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
