@@ -243,15 +243,16 @@ RULE_COLUMNS = ["template_id", "id", "input_type", "trigger", "field", "action",
                 "confidence", "support", "created_at", "ord"]
 
 
-def add_rules(requests: DataFrame, base: DataFrame, action: str, confidence: float,
+def add_rules(requests: DataFrame, base: DataFrame, action: str | F.Column, confidence: float,
               as_of, order_col: str = "ord") -> DataFrame:
-    """L5 over a request table ``(template_id, input_type, field, anchor?, ord)``."""
+    """L5 over a request table ``(template_id, input_type, field, anchor?, ord)``;
+    ``action`` is a name or a column of the requests."""
     req = requests if "anchor" in requests.columns else requests.withColumn("anchor", F.lit(None).cast("string"))
     out = allocate_rule_ids(req, base, order_col)
     return out.select(
         "template_id", "id", "input_type",
         F.lit(S.DEFAULT_TRIGGER).alias("trigger"), "field",
-        F.lit(action).alias("action"), "anchor",
+        (F.lit(action) if isinstance(action, str) else action).alias("action"), "anchor",
         F.lit(float(confidence)).alias("confidence"),
         F.lit(0).cast("long").alias("support"),
         _as_of(as_of).alias("created_at"), F.col(order_col).alias("ord"))

@@ -589,6 +589,14 @@ def q_bank_extract(spark, d):
     return A.bank_extract(X.forms(spark, d), X.form_rules(spark))
 
 
+from refbank.operators import induce as I  # noqa: E402
+
+
+@query
+def q_induce_anchors(spark, d):
+    return I.induce_anchors(X.forms(spark, d), X.form_values(spark, d))
+
+
 # --- phase 9: streaming ------------------------------------------------------------
 
 from refbank.streaming import jobs as ST  # noqa: E402
@@ -632,25 +640,20 @@ def q_run_batch(spark, d):
     return res.status.select("input_id", "status", "level", "missing_fields")
 
 
-def web_catalogue(spark):
-    """Candidate patterns per field, best confidence first (cand 0, 1, ...)."""
-    rows = sorted(X.WEB_RULES, key=lambda r: (r[1], -r[4], r[0]))
-    out, seen = [], {}
-    for rid, f, p, src, c in rows:
-        k = seen.get(f, 0)
-        seen[f] = k + 1
-        out.append((f, k, p, src))
-    return spark.createDataFrame(out, "field string, cand int, pattern string, source string")
+def learn_forms(spark, d):
+    """The learning loop over every form: labels are induced from all forms with
+    their known values, tested on all of them, and ids go on after the bank's."""
+    from refbank.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    forms, known = X.forms(spark, d), X.form_values(spark, d)
+    ranked = I.rank_anchors(forms, known).checkpoint()
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).cast("long").alias("ord")) for k, f in enumerate(X.FORM_LABELS)])
+    schema = forms.select("template_id").distinct().select("template_id", F.inline(fields))
+    base = X.form_rules(spark).groupBy("template_id").agg(F.count(F.lit(1)).alias("max_id"))
+    return LN.learn_cycle(spark, forms, schema, LN.anchor_tester(ranked, known), analyse=LN.induced(ranked), as_of=X.AS_OF, base=base)
 
 
 @query
 def q_learn_cycle(spark, d):
-    pg = X.table(spark, d, "pages").select("page_id", "url", "html")
-    lang = F.regexp_extract("html", "<html lang=\"([^\"]*)\"", 1)
-    tagged = pg.withColumn("template_id", F.concat(F.lit("web_"), lang))
-    first = tagged.groupBy("template_id").agg(F.min("page_id").alias("page_id"))
-    samples = (tagged.join(first, ["template_id", "page_id"])
-               .select("template_id", F.col("page_id").alias("input_id"), "url", "html"))
-    schema = _web_schema(spark, first.select("template_id"))
-    res = LN.learn_cycle(spark, samples, schema, LN.rule_catalogue_tester(web_catalogue(spark)), as_of=X.AS_OF)
-    return res.status
+    return learn_forms(spark, d).status

@@ -446,3 +446,14 @@ def cells(spark, sf_dir) -> DataFrame:
 def forms(spark, sf_dir) -> DataFrame:
     """inputs(input_id, template_id, content): orders as forms."""
     return _stored(spark, sf_dir, "forms", _build_forms)
+
+
+def form_values(spark, sf_dir) -> DataFrame:
+    """known(input_id, field, value): what the forms are known to say."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    pairs = [("order", F.col("o_orderkey").cast("string")), ("date", F.date_format("o_orderdate", "yyyy-MM-dd")), ("buyer", F.col("c_name")),
+             ("total", F.rint(F.col("o_totalprice") * 100).cast("long").cast("string")), ("priority", F.col("o_orderpriority"))]
+    each = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in pairs])
+    return (o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("input_id"), F.inline(each))
+            .where("value IS NOT NULL"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refbank.functions import scalars as S
+from refbank.operators import actions as A
 from refbank.operators import extract as E
 from refbank.operators import lifecycle as L
 from refbank.session import checkpoint_dir
@@ -30,6 +31,8 @@ from refbank.session import checkpoint_dir
 class LearnResult:
     status: DataFrame   # (template_id, status, attempts)
     rules: DataFrame    # final rules of every template
+    edges: DataFrame    # which rule uses which anchor
+    anchors: DataFrame  # (template_id, field, type, role, pattern) of the committed templates' rules
 
 
 def default_analyse(samples: DataFrame, schema: DataFrame) -> DataFrame:
@@ -38,6 +41,34 @@ def default_analyse(samples: DataFrame, schema: DataFrame) -> DataFrame:
                          F.col("ord").cast("long").alias("ord"))
 
 
+def induced(ranked: DataFrame):
+    """H2 by induction: ``ranked`` of :func:`refbank.operators.induce.rank_anchors`;
+    every schema field with a candidate gets its best label as anchor."""
+
+    def analyse(samples: DataFrame, schema: DataFrame) -> DataFrame:
+        best = ranked.where("cand = 0").select("template_id", "field", "anchor")
+        return (schema.select("template_id", "field", F.col("ord").cast("long").alias("ord"))
+                .join(best, ["template_id", "field"], "left").select("template_id", "field", "anchor", "ord"))
+
+    return analyse
+
+
+def anchor_tester(ranked: DataFrame, known: DataFrame):
+    """H4 over all samples: extract by each rule's label (the field's candidate
+    number ``cand``) and report the values that are not what is known."""
+
+    def test(samples: DataFrame, rules: DataFrame, schema: DataFrame) -> DataFrame:
+        r = (rules.drop("anchor").join(ranked.select("template_id", "field", "cand", "anchor"), ["template_id", "field", "cand"])
+             .select("template_id", F.col("id").alias("rule_id"), "field", F.lit(A.AFTER_ANCHOR).alias("action"), "anchor", "confidence", "ord"))
+        got = A.anchor_extract(samples, r).select("input_id", "field", A._words(F.col("value")).alias("got"))
+        need = (known.join(samples.select("input_id", "template_id"), "input_id")
+                .join(schema.select("template_id", "field"), ["template_id", "field"], "left_semi"))
+        return (need.join(got, ["input_id", "field"], "left").where(~A._words(F.col("value")).eqNullSafe(F.col("got")))
+                .select("template_id", "input_id", "field"))
+
+    return test
+
+
 def rule_catalogue_tester(catalogue: DataFrame):
     """Default H4: extract with each rule's pattern (from a candidate
     catalogue ``(field, cand, pattern, source)``) and report fields the
@@ -56,21 +87,25 @@ def rule_catalogue_tester(catalogue: DataFrame):
 
 def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, tester,
                 analyse=default_analyse, draft=None, reflect=None,
-                max_retries: int = 5, as_of=None) -> LearnResult:
+                max_retries: int = 5, as_of=None, base: DataFrame | None = None) -> LearnResult:
     """Learn rules for every template.
 
-    ``samples(template_id, input_id, <source columns>)`` (one sample input per
-    template), ``schema(template_id, field, ord)``.  Draft rules carry a
+    ``samples(template_id, input_id, <source columns>)``, any number per
+    template, ``schema(template_id, field, ord)``.  Draft rules carry a
     candidate index ``cand`` = 0; each reflection adds a ``retry_extract``
-    rule for every missing field with the next candidate index.
+    rule for every missing field with the next candidate index.  ``base(template_id,
+    max_id)`` of :func:`refbank.operators.lifecycle.next_ids` makes the ids go on
+    after those the bank has used.
     """
     checkpoint_dir(spark)
     specs = analyse(samples, schema)
-    base = specs.select("template_id").distinct().withColumn("max_id", F.lit(0).cast("long"))
+    zero = specs.select("template_id").distinct().withColumn("max_id", F.lit(0).cast("long"))
+    base = zero if base is None else zero.select("template_id").join(base.select("template_id", "max_id"), "template_id", "left").fillna({"max_id": 0})
     if draft is not None:                       # H3 replaces the default draft
         rules = draft(specs, base)
     else:
-        rules = (L.add_rules(specs.withColumn("input_type", F.lit("md")), base, "semantic_extract", 0.5, as_of)
+        action = F.when(F.col("anchor").isNotNull(), A.AFTER_ANCHOR).otherwise("semantic_extract")
+        rules = (L.add_rules(specs.withColumn("input_type", F.lit("md")), base, action, 0.5, as_of)
                  .withColumn("cand", F.lit(0)))
     rules = rules.checkpoint()
     status = samples.select("template_id").distinct().withColumn("status", F.lit("reflected")) \
@@ -115,4 +150,9 @@ def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, test
                           "template_id", "left")
               .select("template_id", F.coalesce("s", "status").alias("status"),
                       F.coalesce("a", F.lit(max_retries)).alias("attempts")))
-    return LearnResult(status=result, rules=rules)
+    named = rules.where(F.col("anchor").isNotNull())
+    edges = named.select("template_id", F.col("id").alias("src"), F.col("anchor").alias("dst"),
+                         F.lit("uses_anchor").alias("relation"), F.lit(1.0).alias("weight"))
+    anchors = (named.join(result.where("status = 'committed'").select("template_id"), "template_id", "left_semi")
+               .select("template_id", "field", F.lit("text_match").alias("type"), F.lit("label").alias("role"), F.col("anchor").alias("pattern")).distinct())
+    return LearnResult(status=result, rules=rules, edges=edges, anchors=anchors)

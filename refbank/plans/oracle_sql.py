@@ -731,3 +731,29 @@ ORACLE["bank_extract"] = W("forms", "form_rules", extra=[*_ANCHORS, *_TABLES, *_
     SELECT * FROM acand UNION ALL SELECT * FROM pcand UNION ALL
     SELECT input_id, template_id, field, arg_min(value, row), rule_id, confidence, ord FROM hcand WHERE value <> ''
     GROUP BY input_id, template_id, field, rule_id, confidence, ord""")]) + _one("every")
+
+# --- analysis of samples -------------------------------------------------------------
+
+ORACLE["induce_anchors"] = W("forms", "form_values", extra=[
+    _ANCHORS[0],
+    ("lw", f"SELECT *, {_ws('line')} AS w, coalesce({_ws('next_line')}, []) AS nw FROM alines"),
+    ("kv", f"SELECT input_id, template_id, field, {_ws('value')} AS v FROM form_values JOIN forms USING (input_id) WHERE len({_ws('value')}) > 0"),
+    ("vp", """SELECT l.input_id, l.template_id, k.field, l.line_no, l.w,
+        list_filter(range(1, len(l.w) - len(v) + 2), lambda p: l.w[p:p + len(v) - 1] = v)[1] AS p FROM lw l JOIN kv k USING (input_id)"""),
+    ("bf", """SELECT x.input_id, x.template_id, x.field, CASE WHEN p > 1 THEN x.w[1:p - 1] ELSE coalesce(a.w, []) END AS b
+        FROM vp x LEFT JOIN lw a ON a.input_id = x.input_id AND a.line_no = x.line_no - 1 WHERE p IS NOT NULL"""),
+    ("cd", """SELECT DISTINCT input_id, template_id, field, n, array_to_string(b[len(b) - n + 1:len(b)], ' ') AS label
+        FROM (SELECT *, unnest(range(1, least(len(b), 3) + 1)) AS n FROM bf)"""),
+    ("nk", "SELECT template_id, field, count(DISTINCT input_id) AS n_known FROM kv GROUP BY ALL"),
+    ("ok", """SELECT template_id, field, label, n, n_known FROM (SELECT template_id, field, label, n, count(*) AS seen FROM cd GROUP BY ALL)
+        JOIN nk USING (template_id, field) WHERE seen >= n_known * 0.5::DOUBLE"""),
+    ("gr", """SELECT l.input_id, l.template_id, o.label, arg_min({'a': CASE WHEN pos + n <= len(w) THEN w[pos + n:len(w)] ELSE nw END}, (line_no, pos)) AS f
+        FROM (SELECT *, unnest(range(1, len(w) + 1)) AS pos FROM lw) l JOIN (SELECT DISTINCT template_id, label, n FROM ok) o
+          ON o.template_id = l.template_id AND pos + n - 1 <= len(w) AND array_to_string(w[pos:pos + n - 1], ' ') = o.label GROUP BY ALL"""),
+    ("pe", """SELECT o.template_id, o.field, o.label, o.n, o.n_known, count(*) AS n_label,
+        count(*) FILTER (k.v IS NOT NULL AND g.f.a[1:len(k.v)] = k.v) AS support
+        FROM gr g JOIN ok o USING (template_id, label) LEFT JOIN kv k ON k.input_id = g.input_id AND k.field = o.field GROUP BY ALL"""),
+    ("rk", """SELECT *, support::DOUBLE / n_label AS precision, support::DOUBLE * n_samples / (n_label * n_known) AS lift,
+        row_number() OVER (PARTITION BY template_id, field ORDER BY support::DOUBLE / n_label DESC, support DESC, n DESC, label) AS k
+        FROM pe JOIN (SELECT template_id, count(*) AS n_samples FROM forms GROUP BY ALL) USING (template_id) WHERE support >= n_known * 0.5::DOUBLE"""),
+]) + "SELECT template_id, field, label AS anchor, support, n_label, n_known, precision, lift FROM rk WHERE k = 1"

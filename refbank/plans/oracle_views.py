@@ -146,6 +146,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE value <> ''"""),
     "forms": ((), FORMS),
     "form_rules": ((), FORM_RULES),
+    "form_values": ((), """
+        SELECT o_orderkey AS input_id, f.field, f.value FROM (
+          SELECT o_orderkey, unnest([{'field': 'order', 'value': CAST(o_orderkey AS VARCHAR)}, {'field': 'date', 'value': strftime(o_orderdate, '%Y-%m-%d')},
+            {'field': 'buyer', 'value': c_name}, {'field': 'total', 'value': CAST(CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS VARCHAR)},
+            {'field': 'priority', 'value': o_orderpriority}]) AS f
+          FROM orders LEFT JOIN customer ON c_custkey = o_custkey) WHERE f.value IS NOT NULL"""),
     "diff_gen": ((), """
         SELECT c_custkey, '  ' || c_name || ' ' AS c_name, c_nationkey,
                c_acctbal + 0.001::DOUBLE + CASE WHEN c_custkey % 97 = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS c_acctbal,

@@ -282,6 +282,47 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(path) if path else None
 
 
+BANK_STORES = ("rules", "patterns", "anchors", "edges", "schema")
+
+
+def _fs_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def latest_bank(spark: SparkSession, root: str) -> int:
+    """Number of the newest whole bank under ``root``, 0 if there is none."""
+    p, fs = _fs_path(spark, f"{root.rstrip('/')}/bank=*/_COMPLETE")
+    return max((int(s.getPath().getParent().getName().split("=")[1]) for s in fs.globStatus(p) or []), default=0)
+
+
+def commit_bank(spark: SparkSession, root: str, stores: dict[str, DataFrame]) -> int:
+    """One new bank number over all stores.  Stores that are not given are taken
+    over from the newest whole bank.  The mark that makes the bank readable is
+    written last, so a round that breaks leaves the old one in place; numbers of
+    broken rounds are not used again."""
+    unknown = set(stores) - set(BANK_STORES)
+    if unknown:
+        raise ValueError(f"no such store: {sorted(unknown)}")
+    old = read_bank(spark, root)
+    p, fs = _fs_path(spark, f"{root.rstrip('/')}/bank=*")
+    number = 1 + max((int(s.getPath().getName().split("=")[1]) for s in fs.globStatus(p) or []), default=0)
+    path = f"{root.rstrip('/')}/bank={number:06d}"
+    for name, df in {**old, **stores}.items():
+        df.write.mode("errorifexists").partitionBy("template_id").parquet(f"{path}/{name}")
+    fs.create(_fs_path(spark, f"{path}/_COMPLETE")[0], False).close()
+    return number
+
+
+def read_bank(spark: SparkSession, root: str, number: int | None = None) -> dict[str, DataFrame]:
+    """The stores of a whole bank (the newest unless told), none if there is none."""
+    number = latest_bank(spark, root) if number is None else number
+    path = f"{root.rstrip('/')}/bank={number:06d}"
+    if not number or not _exists(spark, f"{path}/_COMPLETE"):
+        return {}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in BANK_STORES if _exists(spark, f"{path}/{n}")}
+
+
 def scan_documents(spark: SparkSession, path: str, template_level: int = 1) -> DataFrame:
     """Every file as one text value with its path (and template dir)."""
     if not _exists(spark, path):
