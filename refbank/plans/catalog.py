@@ -532,6 +532,14 @@ def q_data_diff(spark, d):
     return D.data_diff(gen, bench, "c_custkey").withColumnRenamed("column", "col_name")
 
 
+@query
+def q_positional_diff(spark, d):
+    gen, bench = X.diff_tables(spark, d)
+    # the generated table lost its first segment's smallest customer: every later row moves up by one
+    gen = gen.where(F.col("c_custkey") != 3)
+    return D.positional_diff(gen, bench, ["c_mktsegment", "c_custkey"], ["c_mktsegment", "c_custkey"]).withColumnRenamed("column", "col_name")
+
+
 # --- phase 10: declared checks ---------------------------------------------------------
 
 from refbank.operators import validate as V  # noqa: E402

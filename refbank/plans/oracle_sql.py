@@ -757,3 +757,13 @@ ORACLE["induce_anchors"] = W("forms", "form_values", extra=[
         row_number() OVER (PARTITION BY template_id, field ORDER BY support::DOUBLE / n_label DESC, support DESC, n DESC, label) AS k
         FROM pe JOIN (SELECT template_id, count(*) AS n_samples FROM forms GROUP BY ALL) USING (template_id) WHERE support >= n_known * 0.5::DOUBLE"""),
 ]) + "SELECT template_id, field, label AS anchor, support, n_label, n_known, precision, lift FROM rk WHERE k = 1"
+
+# --- positional diff -----------------------------------------------------------------
+
+_pside = lambda v, where: f"""SELECT row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS row, trim(c_name) AS c_name,
+    round_even(c_nationkey::DOUBLE * 100, 0) / 100 AS c_nationkey, round_even(c_acctbal * 100, 0) / 100 AS c_acctbal FROM {v} {where}"""
+ORACLE["positional_diff"] = W("diff_gen", "diff_bench", extra=[
+    ("pg", _pside("diff_gen", "WHERE c_custkey <> 3")), ("pb", _pside("diff_bench", ""))]) + " UNION ALL ".join(
+    f"""SELECT row, '{c}' AS col_name, CAST(g.{c} AS VARCHAR) AS generated, CAST(b.{c} AS VARCHAR) AS benchmark
+FROM pg g JOIN pb b USING (row) WHERE g.{c} IS DISTINCT FROM b.{c}""" for c in ("c_name", "c_nationkey", "c_acctbal")) + """
+UNION ALL SELECT row, '__row__', NULL, 'present' FROM pb WHERE row NOT IN (SELECT row FROM pg)"""

@@ -38,3 +38,27 @@ def test_diff_normalisation(spark):
     assert D.tables_equal(gen, bench, "k").first().match is False
     assert D.tables_equal(gen.where("k = 1"), bench.where("k = 1"), "k").first().match is True
     assert D.schema_diff(gen.select("k", "v", "s"), bench)
+
+
+def test_repeated_and_null_keys_equal_themselves(spark):
+    rows = [(1, "a", 1.0), (1, "b", 2.0), (1, "a", 1.0), (None, "c", 3.0), (None, None, None), (2, "d", float("nan"))]
+    t = spark.createDataFrame(rows, "k long, s string, v double")
+    assert D.data_diff(t, t, "k").collect() == [] and D.tables_equal(t, t, "k").first().match is True
+    less = spark.createDataFrame(rows[1:], "k long, s string, v double")
+    got = sorted(map(str, D.data_diff(less, t, "k").collect()))
+    assert got == sorted(map(str, spark.createDataFrame(
+        [(1, "s", "b", "a"), (1, "v", "2.0", "1.0"), (1, "__row__", None, "present")], "k long, column string, generated string, benchmark string").collect()))
+
+
+def test_positional_diff(spark):
+    gen = spark.createDataFrame([(k, f" n{k % 3} ", k / 3) for k in range(200)], "line long, s string, v double").repartition(7)
+    same = spark.createDataFrame([(2 * k, f"n{k % 3}", round(k / 3, 2)) for k in range(200)], "line long, s string, v double")
+    assert D.tables_equal(gen, same, gen_order=["line"]).first().match is True
+    moved = same.where("line <> 20")
+    got = {(r.row, r.column): (r.generated, r.benchmark) for r in D.positional_diff(gen, moved, ["line"], ["line"]).collect()}
+    assert min(r for r, _ in got) == 10 and got[199, "__row__"] == ("present", None) and got[10, "s"] == ("n1", "n2")
+    assert len(got) == 2 * 189 + 1
+    # rows without an order of their own are ordered by their values
+    t = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y")], "line long, s string")
+    assert D.positional_diff(t, t.repartition(3), ["line"], ["line"]).collect() == []
+    assert [r.row for r in D.positional_diff(t, t.limit(0), ["line"], ["line"]).orderBy("row").collect()] == [0, 1, 2]
