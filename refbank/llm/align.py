@@ -30,7 +30,8 @@ An empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refbank.llm.common import store
-from refbank.llm.tokens import _SAFE, Encoder
+from refbank.llm.tokens import _SAFE, Encoder, _pieces
 
 BLOCK_CHARS = 2_000_000  # text characters of a block (a longer text is a block of its own)
-CACHE = 400_000  # words a worker remembers
+CACHE = 500_000  # words a worker remembers
 _PAIRS: dict[tuple[str, str], Pair] = {}  # one per worker process
 
 
-def runs(ea: list[int], eb: list[int]) -> list[tuple[int, int, int]]:
-    """(i, j, n): tokens i, i+1, ... of A and j, j+1, ... of B end together n times.
-    Both lists rise and have the same last value."""
-    out = []
+def runs(ea: list[int], eb: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(i, j, n) as three lists: tokens i, i+1, ... of A and j, j+1, ... of B end
+    together n times.  Both lists rise and have the same last value."""
+    at_i, at_j, length = [], [], []
     i = j = 0
     n, m = len(ea), len(eb)
     while i < n and j < m:
@@ -60,18 +61,22 @@ def runs(ea: list[int], eb: list[int]) -> list[tuple[int, int, int]]:
             else:
                 j += 1
                 y = eb[j]
+        at_i.append(i)
+        at_j.append(j)
         k, step, room = 1, 1, min(n - i, m - j)
-        while k + step <= room and ea[i + k:i + k + step] == eb[j + k:j + k + step]:
-            k += step
-            step *= 2
-        while step > 1:
-            step //= 2
-            if k + step <= room and ea[i + k:i + k + step] == eb[j + k:j + k + step]:
+        if room > 1 and ea[i + 1] == eb[j + 1]:  # the diagonal goes on: probe ahead
+            k = step = 2
+            while k + step <= room and ea[i + k:i + k + step] == eb[j + k:j + k + step]:
                 k += step
-        out.append((i, j, k))
+                step *= 2
+            while step > 1:
+                step //= 2
+                if k + step <= room and ea[i + k:i + k + step] == eb[j + k:j + k + step]:
+                    k += step
+        length.append(k)
         i += k
         j += k
-    return out
+    return at_i, at_j, length
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,38 +95,70 @@ class PlainEncoder(Encoder):
         self.tok.encode_special_tokens = True
         self.specials = []
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a blank and each word, and how many."""
+        self.known = {}
+        self._learn(set(words))
+        codes = [self.known[w] for w in words]
+        self.known = {}
+        return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+
 
 class PieceEncoder:
-    """Ids by a sentencepiece model.  No piece goes on beyond a word, so words
-    that a single blank parts are encoded once each."""
+    """Ids by a sentencepiece model."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        self.whole = any("▁" in p.lstrip("▁") for p in self.pieces)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, "<u4").tobytes() for x in self.sp.encode(texts, num_threads=1)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.whole:
-            return self._ids(texts)
-        cut = [_SAFE.split(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE:  # one call's own words may go beyond the bound
-            self.known = {}
-            new = set().union(*cut)
-        todo = sorted(new)
-        self.known.update(zip(todo, self._ids(todo)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in cut]
+        #: whether every piece ends within a word
+        self.by_word = not any("▁" in p.lstrip("▁") for p in self.pieces)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.sp.encode(words, num_threads=1)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())), n
+
+
+class Words(dict):
+    """Words by number; one asked for that is not there is new."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__(zip(words, itertools.count()))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Ragged:
+    """Rows of ids, one behind the other."""
+
+    def __init__(self):
+        self.flat, self.n, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, n: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(n) - n))
+        self.flat, self.n = np.concatenate((self.flat, flat)), np.concatenate((self.n, n))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[rows]
+        place = np.arange(int(n.sum())) + np.repeat(self.start[rows] - (np.cumsum(n) - n), n)
+        return self.flat[place], n
+
+    def keep(self, rows: np.ndarray) -> None:
+        flat, n = self.take(rows)
+        self.flat, self.n, self.start = flat, n, np.cumsum(n) - n
 
 
 class Pair:
-    """Both tokenizers and the bytes of their entries."""
+    """Both tokenizers and the bytes of their entries.
+
+    Both start a token at a single blank between visible signs and let none go
+    on over it, so texts are cut there and each word is encoded once for both."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = PlainEncoder(a_path), PieceEncoder(b_path)
@@ -141,30 +178,65 @@ class Pair:
             both[0::2] = [f"{i},".encode() for i in range(len(x))]
             both[1::2] = [f"{i}{end}".encode() for i in range(len(x))]
             self.texts.append(both)
+        self.index, self.ids, self.fine, self.met = Words(), (Ragged(), Ragged()), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.b.by_word:
+            return [text]
+        return _SAFE.split(text) if text[0] == " " or text[-1] == " " else [w for w in _pieces(text)]
+
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        want = [b" " + w.encode() for w in new]
+        fine = np.ones(len(new), bool)
+        for side, encoder in enumerate((self.a, self.b)):
+            flat, n = encoder.words(new)
+            self.ids[side].add(flat, n)
+            parts = list(map(self.bytes[side].__getitem__, flat.tolist()))
+            if b"".join(parts) != b"".join(want) or not (np.add.reduceat(np.append(self.sizes[side][flat], 0), np.cumsum(n) - n) == list(map(len, want))).all():
+                stops = np.cumsum(n).tolist()
+                fine &= [b"".join(parts[x:y]) == w for x, y, w in zip([0, *stops], stops, want)]
+        self.fine = np.concatenate((self.fine, fine))
 
     def align(self, texts: list[str | None]) -> Aligned:
-        codes = [self.a([" " + t if t else "" for t in texts]), self.b([t or "" for t in texts])]
-        ids = [[np.frombuffer(c, "<u4") for c in side] for side in codes]
-        for k, t in enumerate(texts):
-            want = b" " + t.encode() if t else b""
-            if any(b"".join(map(self.bytes[s].__getitem__, ids[s][k].tolist())) != want for s in (0, 1)):
-                ids[0][k] = ids[1][k] = ids[0][k][:0]
-        return Aligned(self, *ids)
+        if len(self.index) > CACHE:  # what came once may go
+            again = np.flatnonzero(self.met > 1)
+            again = again[:CACHE // 2]
+            words = list(self.index)
+            self.index = Words([words[k] for k in again.tolist()])
+            self.fine, self.met = self.fine[again], np.ones(len(again), np.int64)
+            for x in self.ids:
+                x.keep(again)
+        cut = [self._cut(t) if t else [] for t in texts]
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        rows = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(n.sum()))
+        if self.index.new:
+            self._learn()
+        self.met = np.bincount(rows, minlength=len(self.index)) + np.pad(self.met, (0, len(self.index) - len(self.met)))
+        # a text with a word whose bytes do not come back has no tokens
+        bad = np.unique(np.repeat(np.arange(len(cut)), n)[~self.fine[rows]])
+        keep = np.ones(len(cut), bool)
+        keep[bad] = False
+        rows, n = rows[np.repeat(keep, n)], np.where(keep, n, 0)
+        out = []
+        for x in self.ids:
+            ids, k = x.take(rows)
+            upto = np.concatenate(([0], np.cumsum(k)))[np.concatenate(([0], np.cumsum(n)))]
+            out.append((ids.astype(np.int64), np.diff(upto)))
+        return Aligned(self, *out)
 
 
 class Aligned:
     """Tokens, groups and links of some texts, laid one behind the other."""
 
-    def __init__(self, pair: Pair, a: list[np.ndarray], b: list[np.ndarray]):
+    def __init__(self, pair: Pair, *sides: tuple[np.ndarray, np.ndarray]):
         self.pair = pair
-        self.n = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
-        self.ids = [np.concatenate([*x, np.zeros(0, "<u4")]).astype(np.int64) for x in (a, b)]
+        self.ids, self.n = zip(*sides)  # of A and of B: all ids, and how many each text has
         sizes = [s[i] for s, i in zip(pair.sizes, self.ids)]
         if not all(s.all() for s in sizes):
             raise ValueError("a token without bytes")
         self.ends = [np.cumsum(s) for s in sizes]
-        found = np.array(runs(*(e.tolist() for e in self.ends)), np.int64).reshape(-1, 3)
-        i, j, k = found.T
+        i, j, k = (np.array(x, np.int64) for x in runs(*(e.tolist() for e in self.ends)))
         inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         self.last = np.repeat(i, k) + inside, np.repeat(j, k) + inside  # each group's last tokens
         self.links = self.ids[0][self.last[0]] << 32 | self.ids[1][self.last[1]]
@@ -174,7 +246,6 @@ class Aligned:
 
     def digests(self) -> list[str]:
         """SHA-256 of ``a1,a2|b1;...`` of each text, empty without tokens."""
-        at, parts = [], []
         groups = [np.searchsorted(x, np.arange(len(i))) for x, i in zip(self.last, self.ids)]
         before_b = np.concatenate(([0], self.last[1] + 1))
         at = [np.arange(len(self.ids[0])) + before_b[groups[0]], np.arange(len(self.ids[1])) + self.last[0][groups[1]] + 1]

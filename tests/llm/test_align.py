@@ -64,10 +64,10 @@ def test_runs_against_sets():
     for _ in range(2000):
         total = rng.randint(1, 60)
         ea, eb = (sorted({total, *rng.sample(range(1, total + 1), rng.randint(0, total // rng.choice([1, 2, 5])))}) for _ in "ab")
-        got = [(i + k, j + k) for i, j, n in A.runs(ea, eb) for k in range(n)]
+        got = [(i + k, j + k) for i, j, n in zip(*A.runs(ea, eb)) for k in range(n)]
         assert [(ea[i], eb[j]) for i, j in got] == [(c, c) for c in sorted(set(ea) & set(eb))]
     same = list(range(1, 1001))
-    assert A.runs(same, same) == [(0, 0, 1000)] and A.runs([], []) == []
+    assert A.runs(same, same) == ([0], [0], [1000]) and A.runs([], []) == ([], [], [])
 
 
 def test_tables(spark, libraries, monkeypatch):
