@@ -20,11 +20,14 @@ SHAPE_WEIGHT = 0.2
 
 
 def extents(cells: DataFrame) -> DataFrame:
-    """Per sheet: used row / column range and occupied count (one aggregation)."""
-    return (collect_cells(cells).groupBy("workbook_id", "sheet").agg(
-        F.min("row").alias("min_row"), F.max("row").alias("max_row"),
-        F.min("col").alias("min_col"), F.max("col").alias("max_col"),
-        F.count("*").cast("long").alias("occupied_count")))
+    """Per sheet: used row / column range and occupied count (one aggregation).
+    A sheet whose cells are all blank has a count of 0 and no range."""
+    full = S.normalize_value(F.col("value")) != ""
+    used = lambda c: F.when(full, F.col(c))
+    return (cells.groupBy("workbook_id", "sheet").agg(
+        F.min(used("row")).alias("min_row"), F.max(used("row")).alias("max_row"),
+        F.min(used("col")).alias("min_col"), F.max(used("col")).alias("max_col"),
+        F.count(used("row")).cast("long").alias("occupied_count")))
 
 
 def occupied(cells: DataFrame, ext: DataFrame | None = None) -> DataFrame:
@@ -50,24 +53,34 @@ def sheet_layout(cells: DataFrame, occ: DataFrame | None = None, ext: DataFrame
     occ = occ if occ is not None else occupied(cells, ext)
     dig = occ.groupBy("workbook_id", "sheet").agg(
         F.sum(_cell_hash(F.col("dr"), F.col("dc"))).cast("string").alias("occupied_digest"))
-    return ext.join(dig, ["workbook_id", "sheet"])
+    return ext.join(dig, ["workbook_id", "sheet"], "left").fillna({"occupied_digest": "0"})
 
 
 def _framed(*cols) -> F.Column:
     """Values with their lengths before them: no value can imitate a border."""
-    return F.concat(*[F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))
-                      for c in cols])
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat(*[F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)) for c in cols])
+
+
+def set_digest(text: F.Column) -> F.Column:
+    """Aggregate: digest of a set of texts, whatever their order.  Four sums of 60
+    bits of each text's SHA-256, so tasks add up what they have before the shuffle
+    and no list of texts is ever put together."""
+    d = F.sha2(text, 256)
+    sums = [F.sum(F.conv(F.substring(d, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string") for k in range(4)]
+    return F.concat_ws(",", *sums)
 
 
 def template_profile(cells: DataFrame, max_cells: int | None = None,
                      layout: DataFrame | None = None) -> DataFrame:
-    """A6 + W5: per workbook the SHA-256 over its sheet layouts and its
-    non-empty cells in (sheet, row, col) order.
-
-    Every cell is hashed on its own (sheet, reference and value framed by
-    their lengths); a workbook's digest is over the ordered list of those hashes, 16 bytes
-    per cell.  ``max_cells`` limits the cells to the first so many; by
-    default all count.
+    """A6 + W5: per workbook the SHA-256 over the set digests of its sheet
+    layouts and of its non-empty cells (sheet, reference and value, framed by
+    their lengths).
+
+    Cells carry their place, so the order adds nothing: digests are sums
+    (:func:`set_digest`) and a large workbook is spread over all tasks.
+    ``max_cells`` limits the cells to the first so many in (sheet, row, col)
+    order; by default all count.
     """
     lay = layout if layout is not None else sheet_layout(cells)
     sheet_txt = _framed("sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",
@@ -75,20 +88,16 @@ def template_profile(cells: DataFrame, max_cells: int | None = None,
     sheets = lay.groupBy("workbook_id").agg(
         F.count("*").cast("long").alias("n_sheets"),
         F.sum("occupied_count").cast("long").alias("n_cells"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", sheet_txt.alias("t")))),
-                                 lambda s: s["t"]), ";").alias("sheets_txt"))
+        set_digest(sheet_txt).alias("sheets_txt"))
     c = collect_cells(cells)
     if max_cells is not None:
         w = Window.partitionBy("workbook_id").orderBy("sheet", "row", "col")
         c = c.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_cells)
-    digest = F.md5(_framed("sheet", "cell", "value"))
     graph = c.groupBy("workbook_id").agg(
-        F.count("*").cast("long").alias("n_hashed"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "row", "col", digest.alias("t")))),
-                                 lambda s: s["t"]), "").alias("cells_txt"))
-    return (sheets.join(graph, "workbook_id")
-            .select("workbook_id", "n_sheets", "n_cells", "n_hashed",
-                    F.sha2(F.concat_ws("#", "sheets_txt", "cells_txt"), 256).alias("signature")))
+        F.count("*").cast("long").alias("n_hashed"), set_digest(_framed("sheet", "cell", "value")).alias("cells_txt"))
+    return (sheets.join(graph, "workbook_id", "left")
+            .select("workbook_id", "n_sheets", "n_cells", F.coalesce("n_hashed", F.lit(0)).alias("n_hashed"),
+                    F.sha2(F.concat_ws("#", "sheets_txt", F.coalesce("cells_txt", F.lit(""))), 256).alias("signature")))
 
 
 def layout_similarity(cells: DataFrame, pairs: DataFrame, layout: DataFrame | None = None,
@@ -102,7 +111,8 @@ def layout_similarity(cells: DataFrame, pairs: DataFrame, layout: DataFrame | No
         layout = layout if layout is not None else sheet_layout(cells, occ, ext)
     lay = (layout if layout is not None else sheet_layout(cells, occ)).select(
         "workbook_id", "sheet", "occupied_count",
-        (F.col("max_row") - F.col("min_row")).alias("h"), (F.col("max_col") - F.col("min_col")).alias("w"))
+        F.coalesce(F.col("max_row") - F.col("min_row"), F.lit(0)).alias("h"),
+        F.coalesce(F.col("max_col") - F.col("min_col"), F.lit(0)).alias("w"))
     bx = lay.select(F.col("workbook_id").alias("x"), "sheet", F.col("occupied_count").alias("a"),
                     F.col("h").alias("hx"), F.col("w").alias("wx"))
     by = lay.select(F.col("workbook_id").alias("y"), "sheet", F.col("occupied_count").alias("b"),

@@ -458,15 +458,19 @@ def framed(*cols: str) -> str:
     return " || ".join(f"length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR)" for c in cols)
 
 
+def set_digest(text: str) -> str:
+    """Sums of pieces of the texts' hashes."""
+    return "concat_ws(',', " + ", ".join(f"sum(('0x' || substr(sha256({text}), {15 * k + 1}, 15))::BIGINT)::VARCHAR" for k in range(4)) + ")"
+
+
 PROFILE = """
   SELECT s.workbook_id, s.n_sheets, s.n_cells, g.n_hashed,
          sha256(concat_ws('#', s.t, g.t)) AS signature
   FROM (SELECT workbook_id, count(*)::BIGINT AS n_sheets, sum(occupied_count)::BIGINT AS n_cells,
-               string_agg(""" + framed("sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",
-                                       "occupied_count", "occupied_digest") + """, ';' ORDER BY sheet) AS t
+               """ + set_digest(framed("sheet", "max_row", "max_col", "min_row", "max_row", "min_col", "max_col",
+                                       "occupied_count", "occupied_digest")) + """ AS t
         FROM layout GROUP BY workbook_id) s
-  JOIN (SELECT workbook_id, count(*)::BIGINT AS n_hashed,
-               string_agg(md5(""" + framed("sheet", "cell", "value") + """), '' ORDER BY sheet, "row", col) AS t
+  JOIN (SELECT workbook_id, count(*)::BIGINT AS n_hashed, """ + set_digest(framed("sheet", "cell", "value")) + """ AS t
         FROM ne GROUP BY workbook_id) g USING (workbook_id)"""
 SIMILARITY = """
   SELECT coalesce(bx.x, cy.x) AS x, coalesce(bx.y, cy.y) AS y, coalesce(bx.sheet, cy.sheet) AS sheet,

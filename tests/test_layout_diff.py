@@ -30,6 +30,31 @@ def test_similarity_and_missing_sheets(spark):
     assert LY.layout_routing(LY.layout_compat(c, pairs)).first().route == "learn"
 
 
+def test_sheets_without_cells(spark):
+    c = spark.createDataFrame([(1, "Notes", 1, 1, " "), (1, "S", 1, 1, "a"), (2, "Notes", 4, 2, None), (2, "S", 7, 7, "b"),
+                               (3, "S", 1, 1, "a"), (4, "Notes", 2, 2, "")], CELLS)
+    lay = {(r.workbook_id, r.sheet): (r.occupied_count, r.min_row) for r in LY.sheet_layout(c).collect()}
+    assert lay[1, "Notes"] == (0, None) and lay[2, "S"] == (1, 7) and len(lay) == 6
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "x long, y long")
+    sims = {(r.y, r.sheet): (r.reason, r.occupancy_jaccard, r.score) for r in LY.layout_similarity(c, pairs).collect()}
+    # empty on both sides is the same layout; a sheet that is not there is none
+    assert sims[2, "Notes"] == ("compared", 1.0, 1.0) and sims[3, "Notes"] == ("missing_in_candidate", None, 0.0)
+    assert sims[4, "Notes"] == ("compared", 1.0, 1.0) and sims[4, "S"] == ("missing_in_candidate", None, 0.0)
+    got = {r.y: (r.compatibility, r.score) for r in LY.layout_compat(c, pairs).collect()}
+    assert got == {2: ("compatible", 1.0), 3: ("incompatible", 0.5), 4: ("incompatible", 0.5)}
+    prof = {r.workbook_id: (r.n_sheets, r.n_cells, r.n_hashed) for r in LY.template_profile(c).collect()}
+    assert prof == {1: (2, 1, 1), 2: (2, 1, 1), 3: (1, 1, 1), 4: (1, 0, 0)}
+
+
+def test_profile_depends_on_every_cell_but_not_on_rows(spark):
+    rows = [(1, "S", r, k, f"{r}-{k}") for r in range(1, 40) for k in range(1, 9)]
+    sig = lambda data: LY.template_profile(spark.createDataFrame(data, CELLS).repartition(5)).first().signature
+    base = sig(rows)
+    assert sig(rows[::-1]) == base
+    assert len({base, sig(rows[1:]), sig([(1, "S", 1, 1, "1-2"), *rows[1:]]), sig([(1, "T", *rows[0][2:]), *rows[1:]]),
+                sig([(1, "S", 1, 1, "1-2"), (1, "S", 1, 2, "1-1"), *[x for x in rows if x[2:4] not in ((1, 1), (1, 2))]])}) == 5
+
+
 def test_diff_normalisation(spark):
     gen = spark.createDataFrame([(1, " test ", 1.001), (2, "b", 1.0)], "k long, s string, v double")
     bench = spark.createDataFrame([(1, "test", 1.00), (2, "b", 9.0)], "k long, s string, v double")
