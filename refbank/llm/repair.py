@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from refbank.llm.common import store
 
-CHUNK = 128  # rows of a chunk
+CHUNK = 32  # rows of a chunk
 CHUNK_CHARS = 4_000_000  # text characters of a chunk (a longer row is a chunk of its own)
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3  # fixed costs
 START, SYSTEM, USER, ASSISTANT = range(4)  # role states: what was written last
