@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from refbank.llm.common import store
 from refbank.llm.tokens import _SAFE, Encoder, _pieces
 
-BLOCK_CHARS = 2_000_000  # text characters of a block (a longer text is a block of its own)
+BLOCK_CHARS = 1_000_000  # text characters of a block (a longer text is a block of its own)
 CACHE = 500_000  # words a worker remembers
 _PAIRS: dict[tuple[str, str], Pair] = {}  # one per worker process
 
