@@ -43,9 +43,13 @@ def slim_inputs(inputs: DataFrame) -> DataFrame:
         return inputs
     x = inputs if "signature" in inputs.columns else prepare_inputs(inputs)
     x = x.select("input_id", "template_id", "input_type", "signature")
-    path = scratch_path(x.sparkSession, "inputs")
-    x.write.parquet(path)
-    return x.sparkSession.read.schema(x.schema).parquet(path)
+    return _stored(x, "inputs")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def quality_gate(rules: DataFrame) -> DataFrame:
@@ -80,25 +84,29 @@ def direct_rules(contexts: DataFrame, rules: DataFrame,
 
 
 def _edges(edges: DataFrame, relation: str) -> DataFrame:
-    return (edges.where(F.col("relation") == relation)
-            .select("template_id", "src", "dst").distinct())
+    """Edges of one relation.  Repeated ones do no harm: they are only met by
+    semi-joins or counted distinctly."""
+    return edges.where(F.col("relation") == relation).select("template_id", "src", "dst")
+
+
+def _anchors_in_use(direct: DataFrame, uses: DataFrame) -> DataFrame:
+    """(template_id, input_type, dst, n_direct, lone): per context the anchors of
+    direct rules, how many rules use each (0, 1 or more matter) and the lone one."""
+    d_ids = direct.select("template_id", "input_type", "id")
+    return (d_ids.join(uses.withColumnRenamed("src", "id"), ["template_id", "id"])
+            .groupBy("template_id", "input_type", "dst").agg(F.min("id").alias("lone"), F.max("id").alias("last")))
 
 
 def shared_anchor_neighbors(direct: DataFrame, edges: DataFrame) -> DataFrame:
     """Rules sharing an anchor with some *other* direct rule.
 
-    Per (context, anchor) we keep the number of distinct direct users and
-    the lone user; a rule using the anchor qualifies when at least two
-    direct rules use it, or when it is not the lone one.  Output is
-    distinct (template_id, input_type, id).
+    Per (context, anchor) the first and the last direct user are kept; a rule using
+    the anchor qualifies when they differ (at least two direct rules use it), or
+    when it is not the lone one.  Output is distinct (template_id, input_type, id).
     """
     uses = _edges(edges, "uses_anchor")
-    d_ids = direct.select("template_id", "input_type", "id").distinct()
-    per_anchor = (d_ids.join(uses.withColumnRenamed("src", "id"), ["template_id", "id"])
-                  .groupBy("template_id", "input_type", "dst")
-                  .agg(F.count("*").alias("n_direct"), F.min("id").alias("lone")))
-    return (per_anchor.join(uses, ["template_id", "dst"])
-            .where((F.col("n_direct") >= 2) | (F.col("src") != F.col("lone")))
+    return (_anchors_in_use(direct, uses).join(uses, ["template_id", "dst"])
+            .where((F.col("lone") != F.col("last")) | (F.col("src") != F.col("lone")))
             .select("template_id", "input_type", F.col("src").alias("id"))
             .distinct())
 
@@ -112,13 +120,28 @@ def follows_neighbors(direct: DataFrame, edges: DataFrame) -> DataFrame:
             .distinct())
 
 
-def kg_expand(direct: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """J4 + J5: one-hop neighbours minus the direct set, as rule rows (F2)."""
-    nbr = shared_anchor_neighbors(direct, edges).unionByName(follows_neighbors(direct, edges)).distinct()
-    nbr = nbr.join(direct.select("template_id", "input_type", "id"),
-                   ["template_id", "input_type", "id"], "left_anti")
-    body = quality_gate(with_body(rules)).select("template_id", *RULE_BODY)
-    return nbr.join(body, ["template_id", "id"])
+def kg_expand(direct: DataFrame, edges: DataFrame, rules: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """J4 + J5: one-hop neighbours minus the direct set, as rule rows (F2).
+
+    It starts from the rules that may come in: per context those of its template
+    that pass the gate and are not direct.  ``above(template_id, input_type,
+    floor)`` leaves out, before any edge is read, those whose confidence does not
+    exceed the context's floor (null: no floor).  A rule that is not direct shares an anchor with *another* rule
+    as soon as a direct rule uses it, so its edges are probed against the
+    contexts' distinct anchors; a hub anchor is one row there, and no rule is
+    paired with a rule."""
+    keys = ["template_id", "input_type"]
+    contexts = direct.select(*keys).distinct()
+    cand = contexts.join(quality_gate(with_body(rules)).select("template_id", *RULE_BODY), "template_id")
+    if above is not None:
+        cand = (cand.join(above, keys, "left").where(F.col("floor").isNull() | (F.coalesce("confidence", F.lit(0.0)) > F.col("floor")))
+                .drop("floor"))
+    cand = cand.join(direct.select(*keys, "id"), [*keys, "id"], "left_anti")
+    uses = _edges(edges, "uses_anchor")
+    anchors = direct.select(*keys, "id").join(uses.withColumnRenamed("src", "id"), ["template_id", "id"]).select(*keys, "dst").distinct()
+    sharing = (cand.select(*keys, "id").join(uses.withColumnRenamed("src", "id"), ["template_id", "id"])
+               .join(anchors, [*keys, "dst"], "left_semi").select(*keys, "id"))
+    return cand.join(sharing.unionByName(follows_neighbors(direct, edges)), [*keys, "id"], "left_semi")
 
 
 def match_patterns(sig_contexts: DataFrame, patterns: DataFrame,
@@ -185,17 +208,23 @@ def retrieve_rules(inputs: DataFrame, rules: DataFrame, edges: DataFrame, patter
     # One distinct pass over the slim inputs; the smaller contexts derive from it.
     full_ctx = x.select("template_id", "input_type", "signature").distinct()
     type_ctx = full_ctx.select("template_id", "input_type").distinct()
-    direct = direct_rules(type_ctx, bank, trigger)
-    via_kg = kg_expand(direct, edges, bank)
+    # read five times below; a few rows per context
+    direct = _stored(direct_rules(type_ctx, bank, trigger), "direct")
     # list rank: 0 = direct, 1 = via_kg, 2 = via_signature (reference list order)
     tkeys = ["template_id", "input_type"]
-    typed = _fold_copies(
-        direct.withColumn("list_rank", F.lit(0)).withColumn("prec", F.lit(2))
-        .unionByName(via_kg.withColumn("list_rank", F.lit(1)).withColumn("prec", F.lit(1))), tkeys)
-    # A candidate outside its type context's top-k can never reach the final
-    # top-k (signature copies only rank later), so cut here.
-    typed = (typed.withColumn("_r", F.row_number().over(Window.partitionBy(*tkeys).orderBy("pos")))
-             .where(F.col("_r") <= top_k).drop("_r"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        # A candidate outside its type context's top-k can never reach the final
+        # top-k (signature copies only rank later), so cut here.
+        return (rows.withColumn("_r", F.row_number().over(Window.partitionBy(*tkeys).orderBy("pos")))
+                .where(F.col("_r") <= top_k).drop("_r"))
+
+    ours = best(_fold_copies(direct.withColumn("list_rank", F.lit(0)).withColumn("prec", F.lit(2)), tkeys))
+    # a neighbour reaches the top-k only above the k-th direct rule (on equal confidence it ranks later)
+    floor = (ours.groupBy(*tkeys).agg(F.count(F.lit(1)).alias("n"), F.max("pos.nc").alias("nc")).where(F.col("n") >= top_k)
+             .select(*tkeys, (-F.col("nc")).alias("floor")))
+    theirs = _fold_copies(kg_expand(direct, edges, bank, floor).withColumn("list_rank", F.lit(1)).withColumn("prec", F.lit(1)), tkeys)
+    typed = best(ours.unionByName(theirs))
     cand = full_ctx.join(typed, tkeys)
     if use_signature:
         sig_ctx = full_ctx.select("template_id", "signature").distinct()

@@ -168,7 +168,7 @@ def q_decay_rules(spark, d):
 
 @query
 def q_touch_rules(spark, d):
-    out = L.touch_rules(X.rules(spark, d), _retrieved(spark, d), X.as_of())
+    out = L.touch_rules(X.rules(spark, d), X.retrieved(spark, d), X.as_of())
     return out.select("template_id", "id",
                       F.date_format("last_used", "yyyy-MM-dd HH:mm:ss").alias("last_used"))
 
@@ -223,7 +223,7 @@ def q_reflect_rules(spark, d):
 @query
 def q_record_patterns(spark, d):
     x = R.prepare_inputs(X.inputs(spark, d))
-    got = _retrieved(spark, d)
+    got = X.retrieved(spark, d)
     per = got.groupBy("input_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("rule_ids"),
         F.array_sort(F.collect_set("field")).alias("fields"))
@@ -497,15 +497,14 @@ def q_run_status(spark, d):
 
 @query
 def q_few_shot_text(spark, d):
-    return E.few_shot_block(_retrieved(spark, d), X.inputs(spark, d))
+    return E.few_shot_block(X.retrieved(spark, d), X.inputs(spark, d))
 
 
 @query
 def q_build_prompts(spark, d):
     x = R.slim_inputs(X.inputs(spark, d))
     m = R.match_patterns(x.select("template_id", "signature").distinct(), X.patterns(spark, d))
-    got = R.retrieve_rules(x, X.rules(spark, d), X.edges(spark, d), X.patterns(spark, d),
-                           as_of=X.as_of(), matched=m)
+    got = X.retrieved(spark, d)
     fs = E.few_shot_block(got, x)
     a = X.anchors(spark, d)
     tf = a.groupBy("template_id").agg(

@@ -457,3 +457,14 @@ def form_values(spark, sf_dir) -> DataFrame:
     each = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in pairs])
     return (o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("input_id"), F.inline(each))
             .where("value IS NOT NULL"))
+
+
+def _build_retrieved(spark, sf_dir) -> DataFrame:
+    from refbank.operators import retrieval as R
+
+    return R.retrieve_rules(inputs(spark, sf_dir), rules(spark, sf_dir), edges(spark, sf_dir), patterns(spark, sf_dir), as_of=as_of())
+
+
+def retrieved(spark, sf_dir) -> DataFrame:
+    """The session's retrieval, for the queries that go on from it."""
+    return _stored(spark, sf_dir, "retrieved", _build_retrieved)
