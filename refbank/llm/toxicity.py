@@ -14,7 +14,9 @@ words make a long document toxic, which the whole-text mean alone would dilute.
 A small logistic calibration turns the three into a score.  It is fitted on
 features of documents that its model has not counted (a quarter of the
 learning rows, at most ``CALIBRATION_ROWS`` of them by hash of the id); the
-final model counts all learning rows.
+final model counts all learning rows.  The fit is pulled towards ``PRIOR`` as if
+by a few more rows, at every size alike: without any row set aside the weights
+are the prior's, and they leave it as rows come in.
 
 Scale: counting is one pass with map-side sums, all of the corpus counts are
 aggregated by Spark, and estimation is grouped aggregation over at most
@@ -47,6 +49,8 @@ ORDER = 4
 DISCOUNT = 0.75
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
+#: Calibration before any evidence: bias, mean ratio per symbol, most toxic word per length, most toxic word.
+PRIOR = (-6.0, 2.0, 4.0, 0.0)
 _LOADED: dict[str, np.ndarray] = {}  # dense table of the model a worker used last
 
 
@@ -159,17 +163,24 @@ def _model(rows: pd.DataFrame) -> Model:
     return Model(codes, rows["ratio"].to_numpy(np.float16), ctx, rows["backoff"].to_numpy(np.float16)[first])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, prior: tuple[float, ...] | None = None) -> np.ndarray:
     """Bias and weights of an L2-penalised logistic regression (Newton steps
-    on standardised features, weights given back for raw ones)."""
+    on standardised features, weights given back for raw ones).  With a
+    ``prior`` the penalty is on the distance from it, the bias's too."""
+    if prior is not None and not len(x):
+        return np.array(prior)
     mean, sd = x.mean(0), x.std(0)
     sd[sd == 0] = 1.0
     a = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    w = np.zeros(a.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * x.shape[1])
+    at = np.zeros(a.shape[1])
+    if prior is not None:
+        raw = np.array(prior)
+        at = np.concatenate(([raw[0] + raw[1:] @ mean], raw[1:] * sd))
+    w = at.copy()
+    penalty = np.diag([1e-6 if prior is None else ridge] + [ridge] * x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ (w - at))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -192,16 +203,15 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, id
         return None
     table = _estimate(counts).toPandas()  # at most 64**ORDER codes per model
     final = _model(table[table["model"]])
-    final.weights = np.array([-6.0, 0.0, 4.0, 0.0])  # used where too few rows are left for a calibration
+    final.weights = np.array(PRIOR)
     if {c for a, c in classes if not a} == {0, 1}:
         held = _model(table[~table["model"]])
         # the sample is cut by hash before the texts are scored, and only scores reach the driver
         total = marks.where(F.pmod(F.xxhash64("label_id"), F.lit(4)) == 0).count()
         scored = labelled.where("aside").select("id", "toxic", _features(F.col("text"), held, docs).alias("x"))
         sample = hash_sample(scored, "id", CALIBRATION_ROWS, total).select("toxic", "x").toPandas()
-        if len(sample) >= 30 and sample["toxic"].sum() >= 5:
-            x = np.stack(sample["x"].to_numpy())
-            final.weights = fit_logistic(x, sample["toxic"].to_numpy(float))
+        x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(PRIOR) - 1)
+        final.weights = fit_logistic(x, sample["toxic"].to_numpy(float), prior=PRIOR)
     return final
 
 
