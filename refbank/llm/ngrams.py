@@ -88,21 +88,30 @@ def batches(texts: Iterable[str | None], size: int = PIECE) -> Iterator[tuple[np
         yield flush()
 
 
+def _astral_letters(cps: np.ndarray) -> np.ndarray:
+    """Which of some code points above 65535 are letters."""
+    kinds, at = np.unique(cps, return_inverse=True)
+    return np.array([chr(c).isalpha() for c in kinds.tolist()], bool)[at]
+
+
 def symbols(cps: np.ndarray) -> np.ndarray:
-    """Symbols of code points in the 64-letter alphabet."""
+    """Symbols of code points in the 64-letter alphabet (emoji and other signs
+    are boundaries)."""
     out = symbol_table()[np.minimum(cps, 65535)]
     astral = cps > 65535
     if astral.any():
-        out[astral] = 28 + cps[astral] % 36
+        far = cps[astral]
+        out[astral] = np.where(_astral_letters(far), 28 + far % 36, 0)
     return out
 
 
 def lowered(cps: np.ndarray) -> np.ndarray:
-    """Lower-case letters, 0 at boundaries (astral letters stay as they are)."""
+    """Lower-case letters, 0 at boundaries (letters above 65535 stay as they are)."""
     out = letter_table()[np.minimum(cps, 65535)]
     astral = cps > 65535
     if astral.any():
-        out[astral] = cps[astral]
+        far = cps[astral]
+        out[astral] = np.where(_astral_letters(far), far, 0)
     return out
 
 

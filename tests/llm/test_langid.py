@@ -82,3 +82,18 @@ def test_slots_follow_the_ngrams_and_full_filters_are_errors():
     assert L.slots_for(int(1 / L.MIN_SHARE), 4) == L.MAX_SLOTS
     with pytest.raises(ValueError):
         L.slots_for(4_000_000, 32)
+
+
+def test_signs_above_the_basic_plane(spark):
+    import numpy as np
+
+    from refbank.llm import ngrams as G
+
+    cps = np.array([0x1F600, 0x20000, 0x1D400, 0x1F1E6, 0xE0100, 0x10400], np.uint32)  # emoji, ideograph, letter, flag, mark, letter
+    assert (G.lowered(cps) > 0).tolist() == [False, True, True, False, False, True]
+    assert (G.symbols(cps) > 0).tolist() == [False, True, True, False, False, True]
+    docs = spark.createDataFrame([(k, "the words of this language " * 3, "en") for k in range(8)] + [(k, "les mots de cette langue " * 3, "fr") for k in range(8, 16)],
+                                 "doc_id long, text string, lang string")
+    f = L.learn(docs)
+    got = L.scores(["\U0001F600 \U0001F680\U0001F680", "\u0301\u0302", "\U00020000\U00020001", None, "12 ...", "the words"], f)
+    assert [x[0] == "und" for x in got] == [True, True, False, True, True, False]
