@@ -113,7 +113,16 @@ def contains(slots: np.ndarray, n_buckets: int, row: np.ndarray, bucket: np.ndar
 
 # ---- index -----------------------------------------------------------------
 
-KEYED = "key binary, doc_id long"
+#: Ids travel to and from Python as text: a batch with a null id would turn longs into doubles.
+KEYED = "key binary, doc_id string"
+
+
+def _as_long(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
 class LineIndex:
@@ -138,10 +147,9 @@ class LineIndex:
                     found = {k for k in (line_key(x, min_chars) for x in (text or b"").split(b"\n")) if k}
                     ks += found
                     ids += [i] * len(found)
-                yield pd.DataFrame({"key": ks, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64")})
+                yield pd.DataFrame({"key": ks, "doc_id": pd.Series(ids, dtype=object)})
 
-        return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-                .mapInPandas(keys, KEYED).distinct())
+        return _as_long(_rows(docs, id_col, text_col).mapInPandas(keys, KEYED)).distinct()
 
     @staticmethod
     def _counted(members: DataFrame) -> DataFrame:
@@ -241,23 +249,22 @@ class LineIndex:
                 for i, text in zip(pdf["doc_id"], pdf["text"]):
                     found = {k for k in (line_key(x, min_chars) for x in (text or b"").split(b"\n")) if k}
                     ks += found
-                    ids += [None if pd.isna(i) else int(i)] * len(found)
+                    ids += [i] * len(found)
                 if not ks:
                     continue
                 shard, bucket, fp = _split(np.frombuffer(b"".join(ks), np.uint8))
                 row = (shard % np.uint32(n_shards)).astype(np.int64) - first
                 here = (row >= 0) & (row < last - first)
                 hit = np.flatnonzero(here)[contains(slots, n_buckets, row[here], bucket[here], fp[here])]
-                yield pd.DataFrame({"key": [ks[j] for j in hit], "doc_id": pd.array([ids[j] for j in hit], "Int64")})
+                yield pd.DataFrame({"key": [ks[j] for j in hit], "doc_id": pd.Series([ids[j] for j in hit], dtype=object)})
 
-        return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-                .mapInPandas(ask, KEYED))
+        return _as_long(_rows(docs, id_col, text_col).mapInPandas(ask, KEYED))
 
     def dedupe(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_lines, n_dropped, kept): the documents without their lost lines."""
         min_chars = self.min_chars
         lost = self.drops(docs, id_col, text_col).withColumnRenamed("doc_id", "d").hint("shuffle_hash")
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+        rows = _as_long(_rows(docs, id_col, text_col))
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -268,10 +275,10 @@ class LineIndex:
                     kept = [x for x in lines if line_key(x, min_chars) not in drop] if drop else lines
                     out.append((len(lines), len(lines) - len(kept), b"\n".join(kept)))
                 n, k, t = zip(*out) if out else ((), (), ())
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_lines": n, "n_dropped": k, "kept": t})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_lines": n, "n_dropped": k, "kept": t})
 
-        both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "keys")
-        return both.mapInPandas(cut, "doc_id long, n_lines long, n_dropped long, kept binary")
+        both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("d")), "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "keys")
+        return _as_long(both.mapInPandas(cut, "doc_id string, n_lines long, n_dropped long, kept binary"))
 
 
 def _le32(key: str):

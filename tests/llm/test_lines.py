@@ -82,3 +82,13 @@ def test_cuckoo_filter():
     assert all(f.delete(b, x) for b, x in items) and not f.slots.any()
     full = L.Cuckoo(2)
     assert not all(full.insert(i, i + 1) for i in range(20))
+
+
+def test_large_ids_beside_null_ids(spark):
+    line = "a line that is long enough to be counted as a key"
+    ids = [2**60 + 1, 2**60 + 2, None, 2**53 + 1, 5, 2**60 + 3]
+    df = spark.createDataFrame([(i, f"{line}\nown {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    from refbank.llm.lines import LineIndex
+
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in LineIndex(spark, min_chars=40, min_docs=5).insert(df).dedupe(df).collect()}
+    assert got == {i: (2, 0 if i == 2**60 + 3 else 1) for i in ids}
