@@ -76,17 +76,66 @@ def top_repair(log: DataFrame) -> DataFrame:
         F.max("votes").alias("top_repair_votes"))
 
 
-def summary_rules(log: DataFrame, min_support: int = 2, as_of=None) -> DataFrame:
+# ---- clusters kept current ------------------------------------------------------
+
+def cluster_votes(log: DataFrame) -> DataFrame:
+    """(cluster_key, action, samples, first, last): what clusters, top repairs and
+    summary rules are made of.  Rows of two logs merge by adding the samples and
+    taking the earlier first and the later last event."""
+    f = failures(enrich_events(log) if "cluster_key" not in log.columns else log)
+    first = F.struct("seq_ts", "seq_id", F.col("template_signature").alias("signature"), "error_type",
+                     F.array_join("missing_fields", ",").alias("missing_fields"), "event_id")
+    return (f.groupBy("cluster_key", F.coalesce("repair_action", F.lit("")).alias("action"))
+            .agg(F.count("*").cast("long").alias("samples"), F.min(first).alias("first"),
+                 F.max(F.struct("seq_ts", "seq_id", "event_id", "ts")).alias("last")))
+
+
+def merge_votes(*parts: DataFrame) -> DataFrame:
+    """Votes of several logs that share no event; associative and commutative."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("cluster_key", "action").agg(F.sum("samples").alias("samples"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def update_votes(current: DataFrame, delta: DataFrame) -> DataFrame:
+    """``current`` after a day's log (its votes): only clusters of the day change,
+    the others are passed through, and no earlier event is read again.  Store
+    the result before the next day (``current`` is read twice)."""
+    touched = delta.select("cluster_key").distinct()
+    return (current.join(touched, "cluster_key", "left_anti")
+            .unionByName(merge_votes(current.join(touched, "cluster_key", "left_semi"), delta)))
+
+
+def clusters_of(votes: DataFrame) -> DataFrame:
+    """:func:`failure_clusters` from votes."""
+    c = votes.groupBy("cluster_key").agg(F.sum("samples").alias("samples"), F.min("first").alias("f"), F.max("last").alias("l"))
+    return c.select("cluster_key", "samples", "f.signature", "f.error_type", "f.missing_fields", F.col("f.event_id").alias("first_event"),
+                    F.col("l.event_id").alias("last_event"), F.col("l.ts").alias("last_ts"), F.struct("f.seq_ts", "f.seq_id").alias("first_seq"))
+
+
+def top_repair_of(votes: DataFrame) -> DataFrame:
+    """:func:`top_repair` from votes."""
+    key = F.struct(F.col("samples"), (-F.unix_micros(F.col("first.seq_ts"))).alias("a"), (-F.col("first.seq_id")).alias("b"))
+    return votes.where("action <> ''").groupBy("cluster_key").agg(
+        F.max_by("action", key).alias("top_repair_action"), F.max("samples").alias("top_repair_votes"))
+
+
+def summary_rules(log: DataFrame | None, min_support: int = 2, as_of=None, votes: DataFrame | None = None) -> DataFrame:
     """A3 + F6 + A11 + W6: reusable repair rules from clusters with at least
     ``min_support`` samples and a repair action, numbered ``R%03d`` by
-    samples desc, then first appearance.
+    samples desc, then first appearance.  From the log, or from its ``votes``
+    (:func:`cluster_votes`) where those are kept.
 
     Numbering is global but never funnels every cluster through one task:
     clusters are ranked within their ``samples`` value (two-level, see
     :func:`sequence_numbers`) and offset by the count of clusters with more
     samples (a table of distinct sample counts).
     """
-    c = failure_clusters(log).join(top_repair(log), "cluster_key", "left")
+    if votes is None:
+        c = failure_clusters(log).join(top_repair(log), "cluster_key", "left")
+    else:
+        c = clusters_of(votes).join(top_repair_of(votes), "cluster_key", "left")
     el = c.where((F.col("samples") >= min_support)
                  & F.col("top_repair_action").isNotNull() & (F.col("top_repair_action") != ""))
     # rank inside each samples value by first appearance (ts, event id)

@@ -287,6 +287,21 @@ def q_summary_rules(spark, d):
         "id", "template_signature", "error_type", "missing_fields", "repair_action", "support", "vote_rate")
 
 
+@query
+def q_cluster_events(spark, d):
+    return M.cluster_events(_log(spark, d)).select("cluster_key", "event_id")
+
+
+@query
+def q_cluster_update(spark, d):
+    """Summary rules after the last day of the log was added to the rest."""
+    log = _log(spark, d).withColumn("day", F.to_date("ts"))
+    last = log.agg(F.max("day")).first()[0]
+    votes = M.update_votes(M.cluster_votes(log.where(F.col("day") < F.lit(last))), M.cluster_votes(log.where(F.col("day") == F.lit(last))))
+    return M.summary_rules(None, votes=votes).select(
+        "id", "template_signature", "error_type", "missing_fields", "repair_action", "support", "vote_rate")
+
+
 def repair_queries(spark, d):
     """Lookup requests: every distinct failure shape of the log, as raised."""
     e = X.exec_log(spark, d).where(F.col("error_type").isNotNull())

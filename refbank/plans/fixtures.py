@@ -170,7 +170,8 @@ def log_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("sig"), (F.col("user_id") % 10).cast("string")).alias("template_signature"),
         F.when(failed, F.element_at(F.array(*[F.lit(x) for x in ERROR_TYPES]), (k % 3 + 1).cast("int"))).alias("error_type"),
         F.when(failed, fields).alias("missing_fields"),
-        F.when(failed & (k % 5 != 0), F.concat(F.lit("repair_"), (k % 7).cast("string"))).alias("repair_action"),
+        # one family of failures (missing_fields of Field_C) is never repaired
+        F.when(failed & (k % 5 != 0) & ~((k % 3 == 2) & (k % 4 == 3)), F.concat(F.lit("repair_"), (k % 7).cast("string"))).alias("repair_action"),
         # ingest order = (ts, event id); kept as two sortable columns
         F.col("ts").cast("timestamp").alias("seq_ts"),
         F.col("event_id").alias("seq_id"),

@@ -771,3 +771,9 @@ ORACLE["positional_diff"] = W("diff_gen", "diff_bench", extra=[
     f"""SELECT row, '{c}' AS col_name, CAST(g.{c} AS VARCHAR) AS generated, CAST(b.{c} AS VARCHAR) AS benchmark
 FROM pg g JOIN pb b USING (row) WHERE g.{c} IS DISTINCT FROM b.{c}""" for c in ("c_name", "c_nationkey", "c_acctbal")) + """
 UNION ALL SELECT row, '__row__', NULL, 'present' FROM pb WHERE row NOT IN (SELECT row FROM pg)"""
+
+# --- clusters: membership, and kept current by days ------------------------------------
+
+ORACLE["cluster_events"] = W("exec_log", extra=_MEM[:1]) + """
+SELECT cluster_key, event_id FROM log WHERE error_type IS NOT NULL AND error_type <> ''"""
+ORACLE["cluster_update"] = ORACLE["summary_rules"]
