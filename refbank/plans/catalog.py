@@ -436,6 +436,19 @@ def q_layout_compat(spark, d):
     return LY.layout_compat(X.cells(spark, d), X.layout_pairs(spark, d))
 
 
+from refbank.operators import layout_search as LS  # noqa: E402
+
+
+@query
+def q_layout_classes(spark, d):
+    return LS.layout_classes(X.form_cells(spark, d))
+
+
+@query
+def q_layout_search(spark, d):
+    return LS.compatible_layouts(X.form_cells(spark, d))
+
+
 @query
 def q_layout_routing(spark, d):
     c = LY.layout_compat(X.cells(spark, d), X.layout_pairs(spark, d))

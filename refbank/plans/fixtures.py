@@ -469,3 +469,25 @@ def _build_retrieved(spark, sf_dir) -> DataFrame:
 def retrieved(spark, sf_dir) -> DataFrame:
     """The session's retrieval, for the queries that go on from it."""
     return _stored(spark, sf_dir, "retrieved", _build_retrieved)
+
+
+def _build_form_cells(spark, sf_dir) -> DataFrame:
+    """cells(workbook_id, sheet, row, col, value): orders as workbooks.  Sheet
+    ``Form`` has eight cells in every one, ``Lines`` a header and a row per line
+    number, whose third column is blank where no tax is due."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("workbook_id"))
+    place = F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("row"), F.lit(c).cast("long").alias("col")) for r in range(1, 5) for c in (1, 2)]))
+    form = o.select("workbook_id", F.lit("Form").alias("sheet"), place.alias("p")).select("workbook_id", "sheet", "p.row", "p.col", F.lit("x").alias("value"))
+    head = o.select("workbook_id", F.lit("Lines").alias("sheet"), F.lit(1).cast("long").alias("row"), F.explode(F.array(*[F.lit(c).cast("long") for c in (1, 2, 3)])).alias("col"),
+                    F.lit("h").alias("value"))
+    li = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_tax").alias("tax")))
+    cols = F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("col"), (F.when(F.col("tax") > 0, "t").otherwise(" ") if c == 3 else F.lit("v")).alias("value")) for c in (1, 2, 3)]))
+    lines = (li.join(o, F.col("l_orderkey") == F.col("workbook_id"), "left_semi")
+             .select(F.col("l_orderkey").alias("workbook_id"), F.lit("Lines").alias("sheet"), (F.col("l_linenumber") + 1).cast("long").alias("row"), cols.alias("c"))
+             .select("workbook_id", "sheet", "row", "c.col", "c.value"))
+    return form.unionByName(head).unionByName(lines)
+
+
+def form_cells(spark, sf_dir) -> DataFrame:
+    """cells(workbook_id, sheet, row, col, value): orders as workbooks."""
+    return _stored(spark, sf_dir, "form_cells", _build_form_cells)

@@ -777,3 +777,26 @@ UNION ALL SELECT row, '__row__', NULL, 'present' FROM pb WHERE row NOT IN (SELEC
 ORACLE["cluster_events"] = W("exec_log", extra=_MEM[:1]) + """
 SELECT cluster_key, event_id FROM log WHERE error_type IS NOT NULL AND error_type <> ''"""
 ORACLE["cluster_update"] = ORACLE["summary_rules"]
+
+# --- layout search without given pairs ---------------------------------------------------
+
+_CLASSES = [*_LAY, ("classes", """
+  SELECT workbook_id, min(workbook_id) OVER (PARTITION BY t) AS class_id FROM (
+    SELECT workbook_id, string_agg(sheet || ':' || dr || ':' || dc, ';' ORDER BY sheet, dr, dc) AS t FROM occ GROUP BY workbook_id)""")]
+ORACLE["layout_classes"] = W("form_cells", extra=[("cells", "SELECT * FROM form_cells"), *_CLASSES]) + "SELECT workbook_id, class_id FROM classes"
+ORACLE["layout_search"] = W("form_cells", extra=[
+    ("cells", "SELECT * FROM form_cells"), *_CLASSES,
+    ("o", "SELECT * FROM occ WHERE workbook_id IN (SELECT class_id FROM classes)"),
+    ("l", "SELECT workbook_id, sheet, occupied_count AS a, max_row - min_row AS h, max_col - min_col AS w FROM layout WHERE workbook_id IN (SELECT class_id FROM classes)"),
+    ("k", """SELECT a.workbook_id AS x, b.workbook_id AS y, a.sheet, count(*) AS k FROM o a JOIN o b
+        ON a.sheet = b.sheet AND a.dr = b.dr AND a.dc = b.dc AND a.workbook_id < b.workbook_id GROUP BY ALL"""),
+    # every pair that shares a cell, and all sheets both have
+    ("s", """SELECT p.x, p.y, coalesce(k.k, 0) / (lx.a + ly.a - coalesce(k.k, 0)) AS jac,
+        greatest(0.0, 1.0 - (abs(lx.h - ly.h)::DOUBLE / greatest(lx.h, ly.h, 1) + abs(lx.w - ly.w)::DOUBLE / greatest(lx.w, ly.w, 1)) / 2.0) AS shape
+        FROM (SELECT DISTINCT x, y FROM k) p JOIN l lx ON lx.workbook_id = p.x JOIN l ly ON ly.workbook_id = p.y AND ly.sheet = lx.sheet
+        LEFT JOIN k ON k.x = p.x AND k.y = p.y AND k.sheet = lx.sheet"""),
+    ("n", "SELECT workbook_id, count(*) AS n FROM l GROUP BY ALL"),
+    ("r", """SELECT s.x, s.y, sum(0.8::DOUBLE * jac + 0.2::DOUBLE * shape) / any_value(nx.n + ny.n - c.c) AS raw
+        FROM s JOIN n nx ON nx.workbook_id = s.x JOIN n ny ON ny.workbook_id = s.y
+        JOIN (SELECT x, y, count(*) AS c FROM s GROUP BY ALL) c ON c.x = s.x AND c.y = s.y GROUP BY s.x, s.y"""),
+]) + "SELECT x, y, round_even(raw * 10000, 0) / 10000 AS score FROM r WHERE raw >= 0.78::DOUBLE - 1e-12"

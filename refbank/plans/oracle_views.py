@@ -146,6 +146,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE value <> ''"""),
     "forms": ((), FORMS),
     "form_rules": ((), FORM_RULES),
+    "form_cells": ((), """
+        SELECT o_orderkey AS workbook_id, 'Form' AS sheet, r.range AS "row", c.range AS col, 'x' AS value FROM orders, range(1, 5) r, range(1, 3) c
+        UNION ALL SELECT o_orderkey, 'Lines', 1, c.range, 'h' FROM orders, range(1, 4) c
+        UNION ALL SELECT l_orderkey, 'Lines', l_linenumber + 1, c.range, CASE WHEN c.range < 3 THEN 'v' WHEN tax > 0 THEN 't' ELSE ' ' END
+        FROM (SELECT l_orderkey, l_linenumber, max(l_tax) AS tax FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL), range(1, 4) c"""),
     "form_values": ((), """
         SELECT o_orderkey AS input_id, f.field, f.value FROM (
           SELECT o_orderkey, unnest([{'field': 'order', 'value': CAST(o_orderkey AS VARCHAR)}, {'field': 'date', 'value': strftime(o_orderdate, '%Y-%m-%d')},

@@ -87,3 +87,54 @@ def test_positional_diff(spark):
     t = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y")], "line long, s string")
     assert D.positional_diff(t, t.repartition(3), ["line"], ["line"]).collect() == []
     assert [r.row for r in D.positional_diff(t, t.limit(0), ["line"], ["line"]).orderBy("row").collect()] == [0, 1, 2]
+
+
+def test_layout_search_against_all_pairs(spark):
+    import random
+
+    from refbank.operators import layout_search as LS
+
+    rng = random.Random(6)
+    books = {}
+    for k in range(60):
+        base = books[rng.randrange(k)] if k and rng.random() < 0.8 else {}
+        book = {s: set(c) for s, c in base.items()}
+        book.setdefault("Cover", {(r, 1) for r in range(1, 6)})  # every workbook has it
+        for s in rng.sample(["A", "B", "C"], rng.randint(0, 2)):
+            if rng.random() < 0.15:
+                book[s] = set()  # a sheet of blank cells
+            else:
+                cells = book.get(s) or {(rng.randint(1, 6), rng.randint(1, 5)) for _ in range(rng.randint(1, 12))}
+                book[s] = (cells - set(rng.sample(sorted(cells), min(1, len(cells) - 1)))) | {(rng.randint(1, 7), rng.randint(1, 6))}
+        books[k] = book
+    rows = [(k, s, r, c, "v") for k, b in books.items() for s, cells in b.items() for r, c in cells]
+    rows += [(k, s, 1, 1, " ") for k, b in books.items() for s, cells in b.items() if not cells]
+
+    def norm(cells):
+        r0, c0 = min((r for r, _ in cells), default=0), min((c for _, c in cells), default=0)
+        return frozenset((r - r0, c - c0) for r, c in cells)
+
+    forms = {k: {s: norm(c) for s, c in b.items()} for k, b in books.items()}
+    first = {}
+    for k in sorted(forms):
+        first.setdefault(tuple(sorted((s, tuple(sorted(c))) for s, c in forms[k].items())), k)
+    cls = {k: first[tuple(sorted((s, tuple(sorted(c))) for s, c in f.items()))] for k, f in forms.items()}
+
+    def size(c, i):
+        return max((x[i] for x in c), default=0)
+
+    def score(x, y):
+        total = 0.0
+        for s in set(x) & set(y):
+            jac = len(x[s] & y[s]) / len(x[s] | y[s]) if x[s] | y[s] else 1.0
+            gaps = [abs(size(x[s], i) - size(y[s], i)) / (max(size(x[s], i), size(y[s], i)) or 1) for i in (0, 1)]
+            total += 0.8 * jac + 0.2 * max(0.0, 1 - sum(gaps) / 2)
+        return total / len(set(x) | set(y))
+
+    reps = sorted(set(cls.values()))
+    want = {(x, y): round(score(forms[x], forms[y]), 4) for x in reps for y in reps if x < y and score(forms[x], forms[y]) >= 0.78 - 1e-12}
+    cells = spark.createDataFrame(rows, CELLS).repartition(4)
+    assert {r.workbook_id: r.class_id for r in LS.layout_classes(cells).collect()} == cls
+    got = {(r.x, r.y): r.score for r in LS.compatible_layouts(cells).collect()}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-3 for p in want) and len(want) > 5
+    assert LS.compatible_layouts(cells.limit(0)).collect() == []
