@@ -689,6 +689,19 @@ def learn_forms(spark, d):
     return LN.learn_cycle(spark, forms, schema, LN.anchor_tester(ranked, known), analyse=LN.induced(ranked), as_of=X.AS_OF, base=base)
 
 
+@query
+def q_batch_filled(spark, d):
+    """The sheets of a batch run over all forms."""
+    return B.run_forms(spark, d).filled.select("input_id", "cell", "value", "filled")
+
+
+@query
+def q_batch_events(spark, d):
+    """What that run logs, one event per form."""
+    return B.run_forms(spark, d).events.select("input_id", "template_id", "template_signature", "error_type",
+                                               _ids(F.col("missing_fields")).alias("missing_fields"), "status", "message")
+
+
 @query
 def q_learn_cycle(spark, d):
     return learn_forms(spark, d).status

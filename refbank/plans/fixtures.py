@@ -348,6 +348,11 @@ FORM_RULES = [
 ]
 
 
+#: Fields on a form's sheet, and those a run must find.
+FORM_SHEET = ["order", "date", "buyer", "total", "priority", "part", "quantity", "tax"]
+FORM_REQUIRED = ["order", "date", "total", "part", "tax"]
+
+
 def _build_forms(spark, sf_dir) -> DataFrame:
     """inputs(input_id, template_id, content): every order as a form with
     labelled values and a table of its lines."""

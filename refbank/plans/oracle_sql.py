@@ -800,3 +800,37 @@ ORACLE["layout_search"] = W("form_cells", extra=[
         FROM s JOIN n nx ON nx.workbook_id = s.x JOIN n ny ON ny.workbook_id = s.y
         JOIN (SELECT x, y, count(*) AS c FROM s GROUP BY ALL) c ON c.x = s.x AND c.y = s.y GROUP BY s.x, s.y"""),
 ]) + "SELECT x, y, round_even(raw * 10000, 0) / 10000 AS score FROM r WHERE raw >= 0.78::DOUBLE - 1e-12"
+
+# --- batch run over all forms --------------------------------------------------------------
+
+from refbank.plans.fixtures import FORM_REQUIRED, FORM_SHEET, N_TEMPLATES  # noqa: E402
+
+_RUN = [*_ANCHORS, *_TABLES, *_PATTERNS, ("every", """
+    SELECT * FROM acand UNION ALL SELECT * FROM pcand UNION ALL
+    SELECT input_id, template_id, field, arg_min(value, row), rule_id, confidence, ord FROM hcand WHERE value <> ''
+    GROUP BY input_id, template_id, field, rule_id, confidence, ord"""),
+    ("vals", _one("every")),
+    ("sheet", "SELECT * FROM (VALUES " + ", ".join(f"({r}, {_sq(f)})" for r, f in enumerate(FORM_SHEET, 1)) + ") s(r, field)"),
+    ("tpls", f"SELECT 'form' || range AS tpl, range % 5 = 0 AS locked FROM range({N_TEMPLATES})"),
+    ("tcell", """SELECT tpl, r AS row, 1 AS col, field AS value FROM tpls, sheet UNION ALL SELECT tpl, 20, 3, 'end' FROM tpls
+        UNION ALL SELECT tpl, r, 2, '=SUM(C1:C9)' FROM tpls, sheet WHERE locked AND field = 'total'"""),
+    ("miss", f"""SELECT f.input_id, string_agg(s.field, ',' ORDER BY s.field) AS missing FROM forms f, sheet s
+        WHERE s.field IN ({', '.join(_sq(f) for f in FORM_REQUIRED)}) AND NOT EXISTS (SELECT 1 FROM vals v WHERE v.input_id = f.input_id AND v.field = s.field)
+        GROUP BY f.input_id"""),
+    ("found", "SELECT DISTINCT input_id FROM vals"),
+    ("stat", """SELECT f.input_id, f.template_id, md5(f.content) AS sig, m.missing, v.input_id IS NULL AS none_found,
+        CASE WHEN v.input_id IS NULL OR m.missing IS NOT NULL THEN 'failed' ELSE 'degraded' END AS status
+        FROM forms f LEFT JOIN miss m USING (input_id) LEFT JOIN found v USING (input_id)"""),
+    ("bnd", """SELECT v.input_id, s.r AS row, v.value, t.locked AND v.field = 'total' AS clash FROM vals v JOIN stat x USING (input_id)
+        JOIN sheet s ON s.field = v.field JOIN tpls t ON t.tpl = v.template_id WHERE x.status <> 'failed'"""),
+]
+ORACLE["batch_filled"] = W("forms", "form_rules", extra=_RUN) + """
+SELECT coalesce(a.input_id, b.input_id) AS input_id, chr(64 + coalesce(a.col, 2)) || coalesce(a.row, b.row) AS cell,
+       CASE WHEN b.input_id IS NOT NULL THEN b.value ELSE a.value END AS value, b.input_id IS NOT NULL AS filled
+FROM (SELECT x.input_id, c.row, c.col, c.value FROM stat x JOIN tcell c ON c.tpl = x.template_id WHERE x.status <> 'failed') a
+FULL OUTER JOIN (SELECT * FROM bnd WHERE NOT clash) b ON b.input_id = a.input_id AND b.row = a.row AND a.col = 2"""
+ORACLE["batch_events"] = W("forms", "form_rules", extra=_RUN) + """
+SELECT x.input_id, x.template_id, sig AS template_signature,
+       CASE WHEN none_found THEN 'exhausted_degradation' WHEN missing IS NOT NULL THEN 'validation' END AS error_type, missing AS missing_fields, status,
+       CASE WHEN none_found THEN NULL WHEN missing IS NOT NULL THEN 'Extracted data missing required fields.'
+            ELSE 'Extraction succeeded at degradation level 3' END AS message FROM stat x"""
