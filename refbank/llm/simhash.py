@@ -153,7 +153,10 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         return (df.where(f"CASE {chain} ELSE false END").where(f"bit_count(fp ^ fp2) <= {max_bits}")
                 .selectExpr("fp AS a", "fp2 AS b"))
 
-    keyed = fps.selectExpr("fp", f"explode(array({', '.join(keys)})) AS key")
+    # a few bytes a row become dozens of rows each: dealt to all tasks first (by a
+    # given number, which is not put together again for being small)
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.repartition(tasks, "fp").selectExpr("fp", f"explode(array({', '.join(keys)})) AS key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = store(keyed.join(sizes, "key"), "simhash-buckets")
     out = checked(pairs(shared.where(F.col("n") <= DENSE).select("fp", "key"), ["key"]))
