@@ -534,18 +534,12 @@ def q_build_prompts(spark, d):
     m = R.match_patterns(x.select("template_id", "signature").distinct(), X.patterns(spark, d))
     got = X.retrieved(spark, d)
     fs = E.few_shot_block(got, x)
-    a = X.anchors(spark, d)
-    tf = a.groupBy("template_id").agg(
-        F.array_join(F.array_sort(F.collect_list("field")), ", ").alias("fields_txt")).withColumn(
-        "formulas_txt", F.lit("[]"))
-    ta = a.groupBy("template_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("field", F.concat_ws(" ", "type", "role", "pattern").alias("t")))),
-        lambda s: F.concat(s["field"], F.lit(": "), s["t"])), "\n").alias("anchors_txt"))
-    mt = (x.select("input_id", "template_id", "signature").join(m, ["template_id", "signature"])
-          .groupBy("input_id").agg(F.array_join(F.transform(
-              F.array_sort(F.collect_list(F.struct("rank", "pattern_id", "accuracy"))),
-              lambda s: F.concat(s["pattern_id"], F.lit(" ("), s["accuracy"].cast("string"), F.lit(")"))),
-              ", ").alias("patterns_txt")))
+    # template srcN writes into sheet R of workbook N, whose formulas it must leave alone
+    sheet = X.cells(spark, d).where((F.col("workbook_id") < X.N_TEMPLATES) & (F.col("sheet") == "R"))
+    formulas = C.formula_cells(sheet).select(F.concat(F.lit("src"), F.col("workbook_id").cast("string")).alias("template_id"),
+                                             "row", "col", "cell", "formula", "depends_on")
+    tf, ta = E.template_sections(X.anchors(spark, d), formulas)
+    mt = E.pattern_section(x.select("input_id", "template_id", "signature").join(m, ["template_id", "signature"]))
     # the text is read once more, for the prompt itself
     inp = X.inputs(spark, d).withColumn("template_signature", F.md5("template_id"))
     p = E.build_prompts(inp, fs, tf, ta, mt)

@@ -599,22 +599,30 @@ FEW_SHOT = """
 ORACLE["few_shot_text"] = W(*RETRIEVAL_VIEWS, extra=_retrieval_ctes() + [("fs", FEW_SHOT)]) + \
     "SELECT input_id, few_shot FROM fs"
 NL = "chr(10)"
-ORACLE["build_prompts"] = W(*RETRIEVAL_VIEWS, "anchors", extra=_retrieval_ctes() + [("fs", FEW_SHOT), ("prompts", f"""
+_j = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+ORACLE["build_prompts"] = W(*RETRIEVAL_VIEWS, "anchors", "cells", extra=_retrieval_ctes() + [("fs", FEW_SHOT), ("nonempty", NONEMPTY), ("prompts", f"""
   SELECT i.input_id,
          '## 目标模板签名' || {NL} || md5(i.template_id) || {NL} || {NL}
-         || '## 字段定义' || {NL} || coalesce(tf.fields_txt, '') || {NL} || {NL}
-         || '## 公式约束' || {NL} || '[]' || {NL} || '说明：以上单元格包含公式，请勿填充，但可用于验证。' || {NL} || {NL}
-         || '## 锚点参考' || {NL} || coalesce(tf.anchors_txt, '') || {NL} || {NL}
+         || '## 字段定义' || {NL} || coalesce(tf.fields_txt, '{{}}') || {NL} || {NL}
+         || '## 公式约束' || {NL} || coalesce(ff.formulas_txt, '[]') || {NL} || '说明：以上单元格包含公式，请勿填充，但可用于验证。' || {NL} || {NL}
+         || '## 锚点参考' || {NL} || coalesce(tf.anchors_txt, '{{}}') || {NL} || {NL}
          || fs.few_shot || {NL} || {NL}
-         || '## 成功案例参考' || {NL} || coalesce(mt.patterns_txt, '') || {NL} || {NL}
+         || '## 成功案例参考' || {NL} || coalesce(mt.patterns_txt, '[]') || {NL} || {NL}
          || '## 输入文档' || {NL} || i.content || {NL} AS prompt
   FROM input_types i JOIN fs USING (input_id)
-  LEFT JOIN (SELECT template_id, string_agg(field, ', ' ORDER BY field) AS fields_txt,
-                    string_agg(field || ': ' || concat_ws(' ', type, role, pattern), {NL}
-                               ORDER BY field, concat_ws(' ', type, role, pattern)) AS anchors_txt
-             FROM anchors GROUP BY template_id) tf USING (template_id)
-  LEFT JOIN (SELECT input_id, string_agg(pattern_id || ' (' || CAST(accuracy AS VARCHAR) || ')', ', ' ORDER BY rank)
-                    AS patterns_txt FROM matched GROUP BY input_id) mt USING (input_id)""")]) + """
+  LEFT JOIN (SELECT template_id,
+        '{{' || {NL} || string_agg('  ' || {_j('field')} || ': {{' || {NL} || '    "anchor": ' || {_j('anchor_id')} || {NL} || '  }}', ',' || {NL} ORDER BY field) || {NL} || '}}' AS fields_txt,
+        '{{' || {NL} || string_agg('  ' || {_j('field')} || ': {{' || {NL} || '    "type": ' || {_j('type')} || ',' || {NL} || '    "role": ' || {_j('role')} || ',' || {NL}
+               || '    "pattern": ' || {_j('pattern')} || {NL} || '  }}', ',' || {NL} ORDER BY field, type, role, pattern) || {NL} || '}}' AS anchors_txt
+        FROM anchors GROUP BY template_id) tf USING (template_id)
+  LEFT JOIN (SELECT 'src' || workbook_id AS template_id, '[' || {NL} || string_agg('  {{' || {NL} || '    "cell": ' || {_j('cell')} || ',' || {NL}
+               || '    "formula": ' || {_j('value')} || ',' || {NL} || '    "depends_on": [' || {NL}
+               || array_to_string(list_transform(regexp_extract_all(value, '[A-Z]+[0-9]+'), lambda c: '      ' || {_j('c')}), ',' || {NL}) || {NL} || '    ]' || {NL} || '  }}',
+               ',' || {NL} ORDER BY "row", col) || {NL} || ']' AS formulas_txt
+        FROM nonempty WHERE workbook_id < 20 AND sheet = 'R' AND value LIKE '=%' GROUP BY workbook_id) ff USING (template_id)
+  LEFT JOIN (SELECT input_id, '[' || {NL} || string_agg('  {{' || {NL} || '    "pattern_id": ' || {_j('pattern_id')} || ',' || {NL} || '    "accuracy": '
+               || CAST(accuracy AS VARCHAR) || {NL} || '  }}', ',' || {NL} ORDER BY rank) || {NL} || ']' AS patterns_txt
+        FROM matched GROUP BY input_id) mt USING (input_id)""")]) + """
 SELECT input_id, length(prompt)::BIGINT AS prompt_chars, md5(prompt) AS prompt_md5 FROM prompts"""
 
 _NUM = "CAST(round_even(CAST({c} AS DOUBLE) * 100, 0) / 100.0 AS VARCHAR)"
