@@ -75,7 +75,7 @@ def test_token_stage_and_run(spark, stages):
 
 def test_every_operator_is_registered():
     names = sorted(int(re.match(r"op(\d+)_", k)[1]) for k in entries.QUERIES)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     import __spark_entry__ as E
 
     assert set(entries.QUERIES) | {"pipeline"} <= set(E.queries())
