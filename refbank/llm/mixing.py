@@ -14,7 +14,9 @@ Shares are rounded down to whole tokens.
 
 A leaf takes whole epochs of its documents while its share lasts, then a
 prefix of the next epoch, in that epoch's seeded order (md5 of seed, epoch and
-id): the documents whose running token sum stays within the rest.
+id): the documents whose running token sum stays within the rest.  What a leaf
+leaves of its share is less than the first document that no longer fits; it is
+not dealt again, and :func:`delivered` reports it leaf by leaf.
 
 Only DataFrame operations.  Running sums never put a leaf into one task: the
 order key's first three hex digits cut a leaf into 4096 buckets, bucket sums
@@ -134,3 +136,18 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     n = F.when(F.col(f"{c}._total") == 0, 1).otherwise(F.col(f"{c}._whole") + F.when(inside, 1).otherwise(0))
     out = joined.withColumn(ep, F.explode(F.sequence(F.lit(1), F.lit(max_epochs)))).where(F.col(ep) <= n)
     return out.select(*[F.col(f"`{x}`") for x in docs.columns], *([F.col(ep).alias(epoch_col)] if epoch_col else []))
+
+
+def delivered(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, float]], budget_share: float = 1.0,
+              max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
+              tokens: Column | None = None) -> DataFrame:
+    """(levels, total, share, delivered) per leaf: the tokens it has, those it was
+    dealt and those :func:`mix` gives."""
+    names = list(levels)
+    n_tokens = words(F.col(text_col)) if tokens is None else tokens
+    level = [F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in levels.items()]
+    leaves = docs.select(*level, n_tokens.alias("tokens")).groupBy(*names).agg(F.sum("tokens").alias("total"))
+    dealt = shares(store(leaves, "mix-leaves"), names, weights, budget_share, max_epochs)
+    taken = (mix(docs, levels, weights, budget_share, max_epochs, seed, id_col, text_col, tokens)
+             .select(*level, n_tokens.alias("tokens")).groupBy(*names).agg(F.sum("tokens").alias("delivered")))
+    return dealt.join(taken, names, "left").select(*names, "total", "share", F.coalesce("delivered", F.lit(0)).cast("long").alias("delivered"))

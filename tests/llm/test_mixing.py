@@ -97,3 +97,15 @@ def test_zero_weight_and_empty_table(spark):
     got = M.mix(df, levels(), {"domain": {"web": 0.0}}, 0.5, 1)
     assert got.where("domain = 'web'").count() == 0 and got.count() > 0
     assert M.mix(df.where("false"), levels(), {}).collect() == []
+
+
+def test_delivered_against_dealt(spark):
+    df = spark.createDataFrame(docs(), SCHEMA)
+    weights = {"domain": {"web": 3}, "lang": {"en": 5, "de": 2}}
+    got = {(r.domain, r.lang, r.source): (r.total, r.share, r.delivered) for r in M.delivered(df, levels(), weights, 0.6, 2).collect()}
+    mixed = M.mix(df, levels(), weights, 0.6, 2).select(*[F.coalesce(n, F.lit("unknown")).alias(n) for n in ("domain", "lang", "source")],
+                                                       M.words(F.col("text")).alias("n"))
+    want = {tuple(r)[:3]: r.n for r in mixed.groupBy("domain", "lang", "source").agg(F.sum("n").alias("n")).collect()}
+    assert {k: v[2] for k, v in got.items() if v[2]} == {k: n for k, n in want.items() if n}
+    longest = df.select(F.max(M.words(F.col("text")))).first()[0]
+    assert all(0 <= share - delivered < longest or share >= 2 * total for total, share, delivered in got.values())
