@@ -38,7 +38,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refbank.llm.common import sized, store
@@ -46,6 +46,7 @@ from refbank.llm.license_templates import templates
 
 MAX_TEMPLATE_WORDS = 200_000
 THRESHOLD = 0.8
+BROADCAST_ROWS = 500_000  # some 40 bytes each, counted before; larger tables are joined by a shuffle
 WORDS = r"filter(split(lower({}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')"
 
 TEMPLATES: dict[str, list[str]] = templates()
@@ -102,7 +103,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     if not rows:
         return spark.createDataFrame([], docs.select(F.col(id_col).alias("doc_id")).schema.add("licence", "string").add(
             "dice", "double").add("unit", "string").add("position", "integer").add("n_units", "long"))
-    docs, signature = _candidates(docs, TEMPLATES if templates is None else templates, threshold, id_col, text_col)
+    ids, texts, signature = _candidates(docs, TEMPLATES if templates is None else templates, threshold, id_col, text_col)
     known = spark.createDataFrame(rows, "licence string, variant int, b int, bigram string, times int")
     sizes = [r[2] for r in rows]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
@@ -111,55 +112,78 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     paras = (f"filter(transform(split({t}, '\\n[ \\t\\r]*\\n'), (x, i) -> struct('paragraph' AS unit, i AS position, x AS body)), "
              "p -> instr(p.body, '\\n') > 0)")
     whole = f"CASE WHEN instr({t}, '\\n') > 0 THEN array(struct('text' AS unit, 0 AS position, {t} AS body)) ELSE array() END"
-    units = (docs.selectExpr("doc_id", "k1", "k2", f"inline(concat({lines}, {paras}, {whole}))")
-             .selectExpr("doc_id", "k1", "k2", "unit", "position",
+    units = (texts.selectExpr("k1", "k2", f"inline(concat({lines}, {paras}, {whole}))")
+             .selectExpr("k1", "k2", "unit", "position",
                          r"filter(split(lower(body), '[^\\p{L}\\p{N}]+'), w -> w <> '') AS w")
              .where(f"size(w) >= 2 AND size(w) - 1 BETWEEN {low - 1e-9} AND {high + 1e-9}"))
-    unit = ["doc_id", "k1", "k2", "unit", "position", "a"]
-    grams = units.selectExpr("doc_id", "k1", "k2", "unit", "position", "size(w) - 1 AS a",
-                             "posexplode(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS (place, bigram)")
-    found = (grams.join(F.broadcast(known.select("bigram").distinct()), "bigram", "left_semi")
-             # places, not rows: equal rows of one id are the same unit
-             .groupBy(*unit, "bigram").agg(F.count_distinct("place").alias("n"))
+    unit = ["k1", "k2", "unit", "position", "a"]
+    grams = units.selectExpr("k1", "k2", "unit", "position", "size(w) - 1 AS a",
+                             "explode(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS bigram")
+    # dealt by text once: both groupings below stay where their text is
+    found = (grams.join(F.broadcast(known.select("bigram").distinct()), "bigram", "left_semi").repartition("k1", "k2")
+             .groupBy(*unit, "bigram").agg(F.count(F.lit(1)).alias("n"))
              .join(F.broadcast(known), "bigram")
              .where((F.col("a") >= F.col("b") * threshold / (2 - threshold) - 1e-9)
                     & (F.col("a") <= F.col("b") * (2 - threshold) / threshold + 1e-9)))
     scored = (found.groupBy(*unit, "licence", "variant", "b").agg(F.sum(F.least("n", "times")).alias("c"))
               .withColumn("dice", 2.0 * F.col("c") / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold))
-    # one licence per unit (the best), then one row per document and licence
-    best = store(scored.groupBy("doc_id", "k1", "k2", "unit", "position").agg(
+    # one licence per unit (the best), then one row per text and licence
+    best = store(scored.groupBy(*unit).agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "licence", "c")).alias("m")).select(
-        "doc_id", "k1", "k2", "unit", "position", "m.licence", (-F.col("m.d")).alias("dice"), "m.c"), "licence-units")
-    embedded = _windows(docs, signature, known, best, threshold)
-    best = best.drop("c").unionByName(docs.select("doc_id", "k1", "k2").distinct().join(embedded, ["k1", "k2"]))
-    return best.groupBy("doc_id", "k1", "k2", "licence").agg(
-        F.min(F.struct((-F.col("dice")).alias("d"), "unit", "position")).alias("m"), F.count(F.lit(1)).alias("n_units")).select(
+        *unit, "m.licence", (-F.col("m.d")).alias("dice"), "m.c"), "licence-units")
+    best, embedded = _windows(texts, signature, known, best, threshold)
+    both = best.select("k1", "k2", "unit", "position", "licence", "dice").unionByName(embedded)
+    per_text = both.groupBy("k1", "k2", "licence").agg(
+        F.min(F.struct((-F.col("dice")).alias("d"), "unit", "position")).alias("m"), F.count(F.lit(1)).alias("n_units"))
+    return ids.join(sized(store(per_text, "licence-results"), BROADCAST_ROWS), ["k1", "k2"]).select(
         "doc_id", "licence", (-F.col("m.d")).alias("dice"), "m.unit", "m.position", "n_units")
 
 
 def _candidates(docs: DataFrame, templates: dict[str, list[str]], threshold: float, id_col: str, text_col: str
-                ) -> tuple[DataFrame, DataFrame]:
-    """The documents that share enough of some template's signature (doc_id,
-    k1, k2, text, tids of those templates), and the signatures."""
+                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents that share enough of some template's signature: (doc_id, k1,
+    k2) of each, (k1, k2, text, tids of those templates) of each different text,
+    both stored once for all later steps, and the signatures."""
     signature = docs.sparkSession.createDataFrame(
         signatures(templates, threshold),
         "tid int, licence string, variant int, b int, need int, bigram string, offsets array<int>")
     rows = docs.where(F.col(text_col).isNotNull()).selectExpr(
         f"`{id_col}` AS doc_id", f"xxhash64(`{text_col}`) AS k1", f"xxhash64(`{text_col}`, 'unit') AS k2", f"`{text_col}` AS text")
-    words = rows.selectExpr("k1", "k2", f"{WORDS.format('text')} AS w").where("size(w) >= 2")
-    grams = words.selectExpr("k1", "k2", "explode(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS bigram")
+    words = rows.selectExpr("doc_id", "k1", "k2", f"{WORDS.format('text')} AS w").where("size(w) >= 2")
+    grams = words.selectExpr("doc_id", "k1", "k2", "explode(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS bigram")
+    # by document: copies of a text do not add up
     found = (grams.join(F.broadcast(signature.select("bigram", "tid", "need")), "bigram")
-             .groupBy("k1", "k2", "tid", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need"))
-    per_text = found.groupBy("k1", "k2").agg(F.collect_set("tid").alias("tids"))  # at most one entry per template
-    return rows.join(sized(store(per_text, "licence-candidates")), ["k1", "k2"]), signature
+             .groupBy("doc_id", "k1", "k2", "tid", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need"))
+    found = found.groupBy("k1", "k2").agg(F.collect_set("tid").alias("tids"), F.min("doc_id").alias("one"))  # at most one entry per template
+    per_text = store(found, "licence-candidates")
+    few = sized(per_text.select("k1", "k2", "one"), BROADCAST_ROWS)
+    ids = rows.select("doc_id", "k1", "k2").join(few, ["k1", "k2"]).select("doc_id", "k1", "k2").distinct()
+    texts = (rows.join(few, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "k2", "text")
+             .dropDuplicates(["k1", "k2"]).join(sized(per_text.select("k1", "k2", "tids"), BROADCAST_ROWS // 5), ["k1", "k2"]))
+    return ids, store(texts, "licence-texts"), signature
 
 
-def _windows(docs: DataFrame, signature: DataFrame, known: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
-    """(k1, k2, unit, position, licence, dice): the windows of each different text."""
+def _alternatives(windows: DataFrame) -> DataFrame:
+    """Windows that no better one overlaps by half of the larger of both.  Windows
+    meet in cells of their size, so only near ones of like size are compared."""
+    size = "CAST(floor(log2(a)) AS INT)"
+    cells = ", ".join(f"struct({size} + {k} AS cls, start div shiftleft(1, {size} + {k}) + {j} AS cell)" for k in (0, 1) for j in (0, 1))
+    keyed = windows.selectExpr("k1", "k2", "tid", "start", "a", "c", "dice", f"inline(array({cells}))")
+    other = sized(windows, BROADCAST_ROWS // 5).selectExpr("k1", "k2", "tid", "start", "a", "c", "dice", f"inline(array({cells}))").select("k1", "k2", "cls", "cell", *[F.col(x).alias(f"{x}2") for x in ("tid", "start", "a", "c", "dice")])
+    beaten = (keyed.join(other, ["k1", "k2", "cls", "cell"])
+              .where("2 * (least(start + a, start2 + a2) - greatest(start, start2)) >= greatest(a, a2) AND "
+                     "struct(dice2, c2, -tid2, -start2) > struct(dice, c, -tid, -start)")
+              .select("k1", "k2", "tid", "start").distinct())
+    return windows.join(beaten, ["k1", "k2", "tid", "start"], "left_anti")
+
+
+def _windows(texts: DataFrame, signature: DataFrame, known: DataFrame, best: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The units that no window beats, and (k1, k2, unit, position, licence, dice)
+    of the windows of each different text."""
     names = signature.select("tid", "licence", "variant").distinct()
     table = known.join(F.broadcast(names), ["licence", "variant"]).join(
         F.broadcast(signature.select("tid", "bigram", "offsets")), ["tid", "bigram"], "left")
-    words = (docs.select("k1", "k2", "text", "tids").dropDuplicates(["k1", "k2"]).selectExpr(
+    words = (texts.selectExpr(
         "k1", "k2", "tids",
         f"flatten(transform(split(text, '\\n'), (x, i) -> transform({WORDS.format('x')}, w -> struct(i AS line, w AS word)))) AS w",
         f"flatten(transform(split(text, '\\n[ \\t\\r]*\\n'), (x, i) -> transform({WORDS.format('x')}, w -> i))) AS para")
@@ -171,39 +195,64 @@ def _windows(docs: DataFrame, signature: DataFrame, known: DataFrame, best: Data
                  .withColumn("bucket", F.expr("place div b")), "licence-hits")
     window = ["k1", "k2", "tid", "start"]
     # where the signature's bigrams place the template; long ones at the best supported of every 64th
-    starts = (hits.where("offsets IS NOT NULL")
+    starts = store(hits.where("offsets IS NOT NULL")
               .select("k1", "k2", "tid", "b", "size", F.explode("offsets").alias("o"), "place")
               .withColumn("start", F.greatest(F.lit(0), F.col("place") - F.col("o")))
               .groupBy(*window, "b", "size").agg(F.count(F.lit(1)).alias("votes"))
               .groupBy("k1", "k2", "tid", "b", "size", F.expr("start div greatest(1, b div 64)").alias("cell"))
               .agg(F.max(F.struct("votes", (-F.col("start")).alias("m"))).alias("top"))
               .select("k1", "k2", "tid", (-F.col("top.m")).alias("start"), F.expr("least(b, size + top.m)").alias("a"),
-                      F.explode(F.expr("array(-top.m div b, -top.m div b + 1)")).alias("bucket")))
+                      F.expr("-top.m div b").alias("bucket")), "licence-starts")
+
+    # a window begins in one bucket and ends in the same or the next: hits look there
+    seen = hits.withColumn("bucket", F.explode(F.expr("array(bucket, bucket - 1)")))
 
     def inside(w: DataFrame) -> DataFrame:
-        return w.join(hits, ["k1", "k2", "tid", "bucket"]).where("place >= start AND place < start + a")
+        return sized(w, BROADCAST_ROWS).join(seen, ["k1", "k2", "tid", "bucket"]).where("place >= start AND place < start + a")
 
     scored = store(
-        inside(starts).groupBy(*window, "a", "b", "bigram", "times").agg(F.count(F.lit(1)).alias("n"))
+        inside(starts).select(*window, "a", "b", "bigram", "times").repartition("k1", "k2", "tid")
+        .groupBy(*window, "a", "b", "bigram", "times").agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*window, "a", "b").agg(F.sum(F.least("n", F.col("times").cast("long"))).alias("c"))
         .withColumn("dice", 2.0 * F.col("c") / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold)
         .select(*window, "a", "b", "c", "dice"), "licence-windows")
-    spread = inside(scored.withColumn("bucket", F.explode(F.expr("array(start div b, start div b + 1)"))).drop("b"))
-    places = spread.select(*window, "c", "dice", "place", "line", "para")
+    scored = store(_alternatives(scored), "licence-alternatives")
+    spread = inside(scored.withColumn("bucket", F.expr("start div b")).drop("b"))
+    places = store(spread.join(F.broadcast(names.select("tid", F.col("licence").alias("named"))), "tid")
+                   .select(*window, "a", "c", "dice", "named", "place", "line", "para"), "licence-places")
+
+    def of(units: DataFrame, unit: str, at: str, value: str) -> DataFrame:
+        return sized(units.where(F.col("unit") == unit), BROADCAST_ROWS).select("k1", "k2", F.col("position").alias(at), *[F.col(v) for v in value.split()])
+
+    # a unit and a window inside it, alike in size: the better score stays where they name different licences
+    unit_of = best.select("k1", "k2", "unit", "position", F.col("licence").alias("unit_licence"), F.col("dice").alias("unit_dice"), F.col("a").alias("unit_a"))
+    whole = sized(store(places.groupBy(*window, "a", "dice", "named").agg(F.count(F.lit(1)).alias("n")), "licence-whole"), BROADCAST_ROWS)
+    values = "unit unit_licence unit_dice unit_a"
+    met = [places.join(of(unit_of, u, at, values), ["k1", "k2", at]).withColumn("position", F.col(at))
+           .groupBy(*window, "unit", "position", "unit_licence", "unit_dice", "unit_a").agg(F.count(F.lit(1)).alias("inside"))
+           for u, at in (("line", "line"), ("paragraph", "para"))]
+    all_of = whole.join(of(unit_of, "text", "position", values), ["k1", "k2"]).select(
+        *window, "unit", "position", "unit_licence", "unit_dice", "unit_a", F.col("n").alias("inside"))
+    rivals = (met[0].unionByName(met[1]).unionByName(all_of).join(whole, window)
+              .where("inside = n AND 2 * least(a, unit_a) >= greatest(a, unit_a) AND named <> unit_licence"))
+    rivals = store(rivals.select(*window, "unit", "position", (F.col("dice") > F.col("unit_dice")).alias("better")), "licence-rivals")
+    best = best.join(rivals.where("better").select("k1", "k2", "unit", "position").distinct(), ["k1", "k2", "unit", "position"], "left_anti")
+    places = places.join(sized(rivals.where("NOT better").select(*window).distinct(), BROADCAST_ROWS), window, "left_anti")
+
     # a place belongs to the window or unit that shares most there
-    units = best.groupBy("k1", "k2", "unit", "position").agg(F.max("c").alias("unit_c"))
+    most = store(best.groupBy("k1", "k2", "unit", "position").agg(F.max("c").alias("unit_c")), "licence-owners")
 
-    def of(unit: str, at: str) -> DataFrame:
-        return units.where(F.col("unit") == unit).select("k1", "k2", F.col("position").alias(at), F.col("unit_c").alias(f"c_{unit}"))
+    def taken(unit: str, at: str) -> DataFrame:
+        return sized(most.where(F.col("unit") == unit), BROADCAST_ROWS).select("k1", "k2", F.col("position").alias(at), F.col("unit_c").alias(f"c_{unit}"))
 
-    places = (places.join(of("line", "line"), ["k1", "k2", "line"], "left").join(of("paragraph", "para"), ["k1", "k2", "para"], "left")
-              .join(of("text", "zero").drop("zero"), ["k1", "k2"], "left")
+    places = (places.join(taken("line", "line"), ["k1", "k2", "line"], "left").join(taken("paragraph", "para"), ["k1", "k2", "para"], "left")
+              .join(taken("text", "zero").drop("zero"), ["k1", "k2"], "left")
               .withColumn("taken", F.coalesce(F.greatest("c_line", "c_paragraph", "c_text"), F.lit(0))))
     key = F.struct("c", "dice", (-F.col("tid")).alias("t"), (-F.col("start")).alias("s"))
-    owners = places.groupBy("k1", "k2", "place").agg(F.max(key).alias("top"))
-    kept = (places.join(owners, ["k1", "k2", "place"])
+    top = F.max(key).over(Window.partitionBy("k1", "k2", "place"))  # as many rows as windows lie over one place
+    kept = (places.select(*window, "c", "dice", "place", "taken").repartition("k1", "k2").withColumn("top", top)
             .withColumn("own", (F.col("top.t") == -F.col("tid")) & (F.col("top.s") == -F.col("start"))
                         & (F.col("taken") < F.col("c")))
             .groupBy(*window, "dice").agg(F.min("own").alias("own")).where("own"))
-    return kept.join(F.broadcast(names), "tid").select("k1", "k2", F.lit("window").alias("unit"),
-                                                       F.col("start").alias("position"), "licence", "dice")
+    return best, kept.join(F.broadcast(names), "tid").select("k1", "k2", F.lit("window").alias("unit"),
+                                                             F.col("start").alias("position"), "licence", "dice")

@@ -6,11 +6,15 @@ from refbank.llm import licenses as L
 SCHEMA = "doc_id long, text string, licence string, unit string"
 
 
-def brute(rows, threshold=0.8):
-    def grams(x):
-        w = re.findall(r"[^\W_]+", x.lower())
-        return Counter(zip(w, w[1:]))
+def grams(x):
+    w = re.findall(r"[^\W_]+", x.lower())
+    return Counter(zip(w, w[1:]))
+
+
+KNOWN = [(name, g, sum(g.values())) for name, variants in L.TEMPLATES.items() for g in map(grams, variants)]
 
+
+def brute(rows, threshold=0.8):
     out = {}
     for doc_id, text in sorted(set(rows), key=str):
         text = text or ""
@@ -19,12 +23,14 @@ def brute(rows, threshold=0.8):
         units += [("text", 0, text)] if "\n" in text else []
         best = {}
         for unit, at, x in units:
-            a, found = grams(x), []
-            for name, variants in L.TEMPLATES.items():
-                for t in variants:
-                    b = grams(t)
-                    if sum(a.values()) and 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) >= threshold:
-                        found.append((-2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), name))
+            a = grams(x)
+            n, found = sum(a.values()), []
+            for name, b, m in KNOWN:
+                # the score is at most that of the smaller one lying in the larger one whole
+                if n and 2 * min(n, m) >= (threshold - 1e-9) * (n + m):
+                    dice = 2 * sum((a & b).values()) / (n + m)
+                    if dice >= threshold:
+                        found.append((-dice, name))
             if found:
                 d, name = min(found)
                 best.setdefault(name, []).append((d, unit, at))
@@ -116,3 +122,54 @@ def test_signatures_lose_no_match(spark):
         a, b = Counter(zip(w, w[1:])), Counter(zip(texts[t].split(), texts[t].split()[1:]))
         if w and 2 * sum((a & b).values()) >= 0.8 * (sum(a.values()) + sum(b.values())):
             assert sum((t, " ".join(g)) in held for g in a.elements()) >= need[t]
+
+
+def sliding(words, templates):
+    """The best (dice, licence) of all windows of all templates, start by start."""
+    pairs = list(zip(words, words[1:]))
+    best = (0.0, "")
+    for name, variants in templates.items():
+        for v in variants:
+            want = grams(v)
+            b = sum(want.values())
+            for start in range(len(pairs)):
+                have = Counter(pairs[start:start + b])
+                c = sum((have & want).values())
+                best = max(best, (2 * c / (sum(have.values()) + b), name))
+    return best
+
+
+def test_edited_licences_inside_other_words_are_the_nearest_ones(spark):
+    import random
+
+    rng = random.Random(11)
+    pick = {n: [max(L.TEMPLATES[n], key=len)] for n in ("BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "MIT", "ISC")}
+    for n in ("GPL-2.0", "LGPL-2.1", "AGPL-3.0"):
+        pick[n] = [next(t for t in L.TEMPLATES[n] if "any later version" in t)]
+    strange = [f"zq{k}" for k in range(200)]
+    texts, best = [], []
+    for n in pick:
+        for share in (0, 0.02, 0.04, 0.06, 0.08, 0.15):
+            w = re.findall(r"[^\W_]+", pick[n][0].lower())
+            for _ in range(int(share * len(w))):
+                at = rng.randrange(len(w))
+                if rng.random() < 0.7:
+                    w.insert(at, rng.choice(strange))
+                else:
+                    w[at] = rng.choice(strange)
+            w = rng.choices(strange, k=60) + w + rng.choices(strange, k=40)
+            texts.append(" ".join(w))
+            best.append(sliding(w, pick))
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    found = {}
+    windows = set()
+    for r in L.scan(df, pick).collect():
+        found.setdefault(r.doc_id, {})[r.licence] = r.dice
+        if r.unit == "window":  # a whole text that matches has its own, lower score
+            windows.add(r.doc_id)
+    due = [i for i, (d, _) in enumerate(best) if d >= 0.8]
+    assert len(due) >= 30
+    assert all(set(found[i]) == {best[i][1]} for i in found), [(i, found[i], best[i]) for i in found if set(found[i]) != {best[i][1]}]
+    assert all(i in due for i in found) and sum(i in found for i in due) >= 0.98 * len(due)
+    worst = sorted((best[i][0] - found[i][best[i][1]], best[i], i) for i in windows)[-8:]
+    assert len(windows) >= 20 and worst[-1][0] <= 1 / 32, worst
