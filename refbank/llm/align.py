@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refbank.llm.common import store
-from refbank.llm.tokens import _SAFE, Encoder, _pieces
+from refbank.llm.tokens import _SAFE, Again, Encoder, Ragged, Words, _pieces, byte_alphabet
 
 BLOCK_CHARS = 1_000_000  # text characters of a block (a longer text is a block of its own)
 CACHE = 500_000  # words a worker remembers
@@ -79,14 +79,6 @@ def runs(ea: list[int], eb: list[int]) -> tuple[list[int], list[int], list[int]]
     return at_i, at_j, length
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The signs byte-level vocabularies write bytes with: printable ones stand
-    for themselves, the others are numbered from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
-
-
 class PlainEncoder(Encoder):
     """Ids without special tokens: their strings are text."""
 
@@ -95,15 +87,6 @@ class PlainEncoder(Encoder):
         self.tok.encode_special_tokens = True
         self.specials = []
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a blank and each word, and how many."""
-        self.known = {}
-        self._learn(set(words))
-        codes = [self.known[w] for w in words]
-        self.known = {}
-        return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-
-
 class PieceEncoder:
     """Ids by a sentencepiece model."""
 
@@ -121,39 +104,6 @@ class PieceEncoder:
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
 
-class Words(dict):
-    """Words by number; one asked for that is not there is new."""
-
-    def __init__(self, words: Iterable[str] = ()):
-        super().__init__(zip(words, itertools.count()))
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
-class Ragged:
-    """Rows of ids, one behind the other."""
-
-    def __init__(self):
-        self.flat, self.n, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, flat: np.ndarray, n: np.ndarray) -> None:
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(n) - n))
-        self.flat, self.n = np.concatenate((self.flat, flat)), np.concatenate((self.n, n))
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.n[rows]
-        place = np.arange(int(n.sum())) + np.repeat(self.start[rows] - (np.cumsum(n) - n), n)
-        return self.flat[place], n
-
-    def keep(self, rows: np.ndarray) -> None:
-        flat, n = self.take(rows)
-        self.flat, self.n, self.start = flat, n, np.cumsum(n) - n
-
-
 class Pair:
     """Both tokenizers and the bytes of their entries.
 
@@ -178,10 +128,10 @@ class Pair:
             both[0::2] = [f"{i},".encode() for i in range(len(x))]
             both[1::2] = [f"{i}{end}".encode() for i in range(len(x))]
             self.texts.append(both)
-        self.index, self.ids, self.fine, self.met = Words(), (Ragged(), Ragged()), np.zeros(0, bool), np.zeros(0, np.int64)
+        self.index, self.ids, self.fine, self.again = Words(), (Ragged(), Ragged()), np.zeros(0, bool), Again()
 
     def _cut(self, text: str) -> list[str]:
-        if not self.b.by_word:
+        if not (self.a.by_piece and self.b.by_word):
             return [text]
         return _SAFE.split(text) if text[0] == " " or text[-1] == " " else [w for w in _pieces(text)]
 
@@ -200,19 +150,17 @@ class Pair:
 
     def align(self, texts: list[str | None]) -> Aligned:
         if len(self.index) > CACHE:  # what came once may go
-            again = np.flatnonzero(self.met > 1)
-            again = again[:CACHE // 2]
-            words = list(self.index)
-            self.index = Words([words[k] for k in again.tolist()])
-            self.fine, self.met = self.fine[again], np.ones(len(again), np.int64)
+            kept, words = self.again.rows(CACHE // 2), list(self.index)
+            self.index, self.again, self.fine = Words([words[k] for k in kept.tolist()]), Again(), self.fine[kept]
             for x in self.ids:
-                x.keep(again)
+                x.keep(kept)
+        before = len(self.index)
         cut = [self._cut(t) if t else [] for t in texts]
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         rows = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(n.sum()))
         if self.index.new:
             self._learn()
-        self.met = np.bincount(rows, minlength=len(self.index)) + np.pad(self.met, (0, len(self.index) - len(self.met)))
+        self.again.note(rows, before, len(self.index))
         # a text with a word whose bytes do not come back has no tokens
         bad = np.unique(np.repeat(np.arange(len(cut)), n)[~self.fine[rows]])
         keep = np.ones(len(cut), bool)

@@ -26,12 +26,15 @@ kept; an empty table gives an empty file; other columns are not stored.
 
 from __future__ import annotations
 
+import itertools
 import re
+import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ MAGIC = b"DAC1"
 BLOCK = 512  # bits per rank directory entry
 SEGMENT = 1 << 18
 CACHE = 800_000  # distinct pieces a worker remembers
-CALL = 256  # texts encoded together
+CALL_CHARS = 2_000_000  # of texts encoded together
 PIECES = {}  # tokenizer path -> (tokenizer, piece -> ids); one per worker process
 
 
@@ -124,6 +127,17 @@ class Codes:
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters of all Unicode versions, and signs that are neither letters, digits nor white space.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+SIGNS = string.punctuation
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The signs byte-level vocabularies write bytes with: printable ones stand
+    for themselves, the others are numbered from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
 def _pieces(text: str) -> list[str]:
@@ -137,71 +151,154 @@ def _pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Words(dict):
+    """Words by number; one asked for that is not there is new."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__(zip(words, itertools.count()))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Ragged:
+    """Rows of ids, one behind the other; there is room to grow, so adding does
+    not copy what is there."""
+
+    def __init__(self):
+        self._flat, self._start, self.rows = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, flat: np.ndarray, n: np.ndarray) -> None:
+        used, rows = int(self._start[self.rows]), self.rows + len(n)
+        if used + len(flat) > len(self._flat):
+            self._flat = np.concatenate((self._flat[:used], np.zeros(used + 2 * len(flat), np.uint32)))
+        if rows >= len(self._start):
+            self._start = np.concatenate((self._start[:self.rows + 1], np.zeros(rows + len(n), np.int64)))
+        self._flat[used:used + len(flat)] = flat
+        self._start[self.rows + 1:rows + 1] = used + np.cumsum(n)
+        self.rows = rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = self._start[rows]
+        n = self._start[rows + 1] - start
+        place = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+        return self._flat[place], n
+
+    def keep(self, rows: np.ndarray) -> None:
+        flat, n = self.take(rows)
+        self.__init__()
+        self.add(flat, n)
+
+
+class Again:
+    """Which words of an index were met in more than one call."""
+
+    def __init__(self):
+        self.flag = np.zeros(1 << 14, bool)
+
+    def note(self, rows: np.ndarray, before: int, size: int) -> None:
+        """``rows`` are in use; those below ``before`` had been met earlier."""
+        if size > len(self.flag):
+            self.flag = np.concatenate((self.flag, np.zeros(size, bool)))
+        self.flag[rows[rows < before]] = True
+
+    def rows(self, most: int) -> np.ndarray:
+        return np.flatnonzero(self.flag)[:most]
+
+
 class Encoder:
-    """Ids of texts by a byte-level BPE file; equal pieces are encoded once."""
+    """Ids of texts by a byte-level BPE file; equal pieces are encoded once.
+
+    Pieces are cut as the byte-level pattern cuts, so files with another
+    pre-tokenizer or a normalizer have their texts encoded whole.  A piece of
+    Latin letters with signs behind it is two runs of the pattern; the letters go
+    straight to the merges."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        cut = self.tok.pre_tokenizer
+        self.by_piece = (isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+                         and self.tok.normalizer is None and isinstance(self.tok.model, models.BPE) and not self.tok.model.ignore_merges)
         self.newline = self._ids(["\n"])[0]
-        self.marks = {c: self._raw(c) for c in ".,"}
-        self.known: dict[str, bytes] = {}  # piece -> ids of a blank and the piece
-        self.again: set[str] = set()  # pieces met in more than one call
+        signs = {b: c for c, b in byte_alphabet().items()}
+        self.table, self.blank = str.maketrans({chr(b): c for b, c in signs.items()}), signs[32]
+        self.tails: dict[str, list[int]] = {}  # signs behind words -> ids
+        self.index, self.words_ids, self.again = Words(), Ragged(), Again()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _raw(self, text: str) -> bytes:
-        return np.array(self._ids([text])[0], "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        # a single dot or comma after a letter is a token run of its own
-        ends = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
-        todo = {p[:-1] for p in ends}.union(new).difference(ends).difference(self.known)
-        plain, rest = [], []
-        for p in todo:
-            (plain if p.split() == [p] else rest).append(p)
-        if len(self.newline) != 1:
-            plain, rest = [], [*plain, *rest]
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a blank and each word, and how many."""
+        merge, latin, tails, table = self.tok.model.tokenize, _LATIN, self.tails, self.table
+        if len(tails) > CACHE // 8:
+            tails.clear()
+        stems: dict[str, list[int]] = {}
+        out: list[list[int]] = []
+        rest: list[int] = []  # places of words that go another way
+        for at, w in enumerate(words):
+            stem = w.rstrip(SIGNS)
+            if not self.by_piece or not latin(stem):
+                rest.append(at)
+                out.append([])
+                continue
+            ids = stems.get(stem)
+            if ids is None:
+                raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(table)
+                ids = stems[stem] = [t.id for t in merge(self.blank + raw)]
+            if len(stem) < len(w):
+                tail = w[len(stem):]
+                more = tails.get(tail)
+                if more is None:
+                    more = tails[tail] = self._ids([tail])[0]
+                ids = ids + more
+            out.append(ids)
         # many pieces in one call, with a line break between: it is a token of its own
+        plain = [k for k in rest if words[k].split() == [words[k]]] if self.by_piece and len(self.newline) == 1 else []
+        apart = set(rest).difference(plain)
         for at in range(0, len(plain), 4096):
             part = plain[at:at + 4096]
-            ids = np.array(self._ids([" " + "\n ".join(part)])[0], "<u4")
-            stops = (4 * np.flatnonzero(ids == self.newline[0])).tolist()
+            ids = self._ids([" " + "\n ".join([words[k] for k in part])])[0]
+            stops = [k for k, i in enumerate(ids) if i == self.newline[0]]
             if len(stops) != len(part) - 1:
-                rest += part
+                apart.update(part)
                 continue
-            raw = ids.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *[x + 4 for x in stops]], [*stops, len(raw)])]))
-        for p, ids in zip(rest, self._ids([" " + p for p in rest])):
-            self.known[p] = np.array(ids, "<u4").tobytes()
-        for p in ends:
-            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
+            for k, x, y in zip(part, [0, *[x + 1 for x in stops]], [*stops, len(ids)]):
+                out[k] = ids[x:y]
+        alone = sorted(apart)
+        for k, ids in zip(alone, self._ids([" " + words[k] for k in alone])):
+            out[k] = ids
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(n.sum())), n
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = [None if any(s in t for s in self.specials) else _pieces(t) for t in texts]
-        heads = [c.pop(0) if c else None for c in out]
-        used = set().union(*(c for c in out if c))
-        new = used.difference(self.known)
-        if new:
-            if len(self.known) + 2 * len(new) > CACHE:
-                # what came once may go; one call's own pieces may go beyond the bound
-                kept = self.again if 2 * len(self.again) < CACHE else set()
-                self.known = {p: self.known[p] for p in kept}
-                self.again = set()
-                new = used.difference(self.known)
-            self._learn(new)
-        if 2 * len(self.known) > CACHE:
-            self.again |= used - new
-        first = self._ids([t if h is None else h for t, h in zip(texts, heads)])  # whole texts with special strings, else heads
-        known = self.known.__getitem__
-        return [np.array(f, "<u4").tobytes() + (b"".join(map(known, c)) if c else b"") for f, c in zip(first, out)]
+        if len(self.index) > CACHE:  # what came once may go; one call's own pieces may go beyond the bound
+            kept, words = self.again.rows(CACHE // 2), list(self.index)
+            self.index, self.again = Words([words[k] for k in kept.tolist()]), Again()
+            self.words_ids.keep(kept)
+        before = len(self.index)
+        cut = [_pieces(t) if self.by_piece and not any(s in t for s in self.specials) else None for t in texts]
+        heads = [t if c is None else c[0] for t, c in zip(texts, cut)]  # whole texts, else what has no blank before it
+        tails = [() if c is None else c[1:] for c in cut]
+        n = np.fromiter(map(len, tails), np.int64, len(tails))
+        rows = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(tails)), np.int64, int(n.sum()))
+        if self.index.new:
+            new, self.index.new = self.index.new, []
+            self.words_ids.add(*self.words(new))
+        self.again.note(rows, before, len(self.index))
+        ids, k = self.words_ids.take(rows)
+        stops = np.concatenate(([0], np.cumsum(k)))[np.cumsum(n)].tolist()
+        return [np.array(h, "<u4").tobytes() + ids[a:b].tobytes() for h, a, b in zip(self._ids(heads), [0, *stops], stops)]
 
 
 def _encoder(path: str) -> Encoder:
@@ -210,6 +307,18 @@ def _encoder(path: str) -> Encoder:
     return PIECES[path]
 
 
+def calls(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of at most ``most`` in sum (a larger row by itself)."""
+    first = held = 0
+    for k, n in enumerate(sizes):
+        if k > first and held + n > most:
+            yield first, k
+            first, held = k, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 # ---- files -----------------------------------------------------------------
 
 SEGMENTS = ("shard int, seq int, local_start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary")
@@ -233,10 +342,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                                  "payload": [encode(np.frombuffer(b"".join(raw), "<u4"))]})
 
         for pdf in batches:
-            for at in range(0, len(pdf), CALL):
-                part = pdf.iloc[at:at + CALL]
-                for i, code in zip(part["id"], enc([t or "" for t in part["text"]])):
-                    ids.append(None if pd.isna(i) else int(i))
+            names, texts = pdf["id"].tolist(), [t or "" for t in pdf["text"].tolist()]
+            for a, b in calls([len(t) for t in texts], CALL_CHARS):
+                for i, code in zip(names[a:b], enc(texts[a:b])):
+                    ids.append(None if i is None else int(i))
                     raw += [code, end]
                     lens.append(len(code) // 4 + 1)
                     held += lens[-1]
@@ -248,6 +357,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
      .repartitionByRange("id").sortWithinPartitions("id", "text")
+     # as text: a batch with a null id would turn longs into doubles
+     .select(F.col("id").cast("string").alias("id"), "text")
      .mapInPandas(shard, SEGMENTS).write.parquet(path))
 
 
@@ -255,19 +366,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
     segs = spark.read.schema(SEGMENTS).parquet(path)
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                raw = Codes(bytes(r.payload)).all().astype("<u4").tobytes()
-                lens = np.asarray(r.lengths, np.int64)
+    names = ["shard", "doc_id", "place", "n_tokens", "ids_crc32"]
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = Codes(batch["payload"][k].as_py()).all().astype("<u4").tobytes()
+                lens = np.asarray(batch["lengths"][k].values, np.int64)
                 stops = np.cumsum(lens)
                 view = memoryview(raw)
-                yield pd.DataFrame({
-                    "shard": r.shard, "doc_id": pd.array([None if i is None or i != i else int(i) for i in r.doc_ids], "Int64"),
-                    "place": r.local_start + stops - lens, "n_tokens": lens,
-                    "ids_crc32": [zlib.crc32(view[4 * (b - n):4 * b]) for b, n in zip(stops.tolist(), lens.tolist())]})
+                crc = [zlib.crc32(view[4 * (b - n):4 * b]) for b, n in zip(stops.tolist(), lens.tolist())]
+                start = batch["local_start"][k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lens), batch["shard"][k].as_py(), np.int32)), batch["doc_ids"][k].values,
+                                                  pa.array(start + stops - lens), pa.array(lens), pa.array(crc, pa.int64())], names)
 
-    rows = segs.select("shard", "local_start", "doc_ids", "lengths", "payload").mapInPandas(
+    rows = segs.select("shard", "local_start", "doc_ids", "lengths", "payload").mapInArrow(
         documents, "shard int, doc_id long, place long, n_tokens long, ids_crc32 long")
     # shards are as many as there were tasks: a short table of totals
     totals = segs.groupBy("shard").agg(F.sum("n_ids").alias("n"))

@@ -49,7 +49,7 @@ def test_small_memory_gives_the_same_ids(monkeypatch):
 def test_files_in_id_order(spark, tmp_dir):
     rng = random.Random(4)
     data = [(i, " ".join(rng.choice(["the", "of", "Ünder", "x1"]) for _ in range(rng.randint(0, 80))), "p", 0) for i in range(200)]
-    data += [(300, None, "p", 1), (-5, "negative id", None, 2), (None, "no id", "q", 3), (7, "repeated id", "r", 4), (7, "repeated id", "r", 4)]
+    data += [(300, None, "p", 1), (2**60 + 1, "large id", "p", 0), (-5, "negative id", None, 2), (None, "no id", "q", 3), (7, "repeated id", "r", 4), (7, "repeated id", "r", 4)]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "doc_id long, text string, payload string, shard int").repartition(5)
     T.write(df, tmp_dir + "/t", PATH, segment_ids=300)
@@ -68,3 +68,22 @@ def test_files_in_id_order(spark, tmp_dir):
 def test_empty_table(spark, tmp_dir):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert T.token_output(df, PATH, tmp_dir + "/e").collect() == []
+
+
+def test_latin_words_and_signs_behind_them():
+    rng = random.Random(8)
+    stems = ["don", "Ünder", "éèçß", "ſtraße", "naïve", "Łódź", "x1", "19", "中文", "aɐ", "ǅ", "e\u0301"]
+    words = [rng.choice(stems) + "".join(rng.choice("'.,!?%*$&-_()\"") for _ in range(rng.randint(0, 3))) for _ in range(4000)]
+    texts = [" ".join(words[k:k + 20]) for k in range(0, 4000, 20)] + ["don't 'll' we're' s", "a's' b'", "x\n y"]
+    enc = T.Encoder(PATH)
+    assert enc.by_piece and [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == direct(texts)
+
+
+def test_other_pre_tokenizers_get_whole_texts():
+    other = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    tok, texts = Tokenizer.from_file(other), ["Some Words, here!", "", "  two  blanks ", "new\nline it's"]
+    enc = T.Encoder(other)
+    assert not enc.by_piece
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
