@@ -1,5 +1,6 @@
 """What must not grow with the tables: texts in joins, tables sent to the driver."""
 
+import datetime
 import hashlib
 
 from refbank.operators import extract as E
@@ -37,3 +38,16 @@ def test_texts_of_inputs_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     got = {r.input_id: r.prompt for r in prompts.collect()}
     assert "{f}" in got[1] and "[p]" in got[1] and "R002" in got[1] and "{a}" in got[2] and E.NO_RULES_TEXT in got[2]
+
+
+def test_every_family_has_its_repairs_in_the_log(spark, tmp_dir):
+    """k = 11 is a failure with missing_fields of Field_C, and was repaired."""
+    from refbank.plans.catalog import REGISTRY
+    t = datetime.datetime(2001, 1, 1)
+    rows = [(1, t, 3, "error", '{"k": 11}'), (2, t, 3, "error", '{"k": 11}'), (3, t, 3, "click", '{"k": 11}'), (4, t, 3, "error", '{"k": 4}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string").write.parquet(f"{tmp_dir}/events.parquet")
+    got = {r.cluster_key: (r.top_repair_action, r.top_repair_votes) for r in REGISTRY["top_repair"](spark, tmp_dir).collect()}
+    key = "missing_fields|Field_C|sig3"
+    assert sorted(got.values()) == [("repair_4", 1), ("repair_4", 2)] and got[key] == ("repair_4", 2)
+    assert [(r.missing_fields, r.support) for r in REGISTRY["summary_rules"](spark, tmp_dir).collect()] == [("Field_C", 2)]
+    assert [r.cluster_key for r in REGISTRY["relearn_candidates"](spark, tmp_dir).collect()] == [key]
