@@ -51,3 +51,15 @@ def test_every_family_has_its_repairs_in_the_log(spark, tmp_dir):
     assert sorted(got.values()) == [("repair_4", 1), ("repair_4", 2)] and got[key] == ("repair_4", 2)
     assert [(r.missing_fields, r.support) for r in REGISTRY["summary_rules"](spark, tmp_dir).collect()] == [("Field_C", 2)]
     assert [r.cluster_key for r in REGISTRY["relearn_candidates"](spark, tmp_dir).collect()] == [key]
+
+
+def test_labels_are_looked_for_in_the_row(spark):
+    """No window or join over lines: a text is not moved to find its labels."""
+    from refbank.operators import actions as A
+    inputs = spark.createDataFrame([(1, "t", "a b c a b\n\nx: 1 a b: 2\nb"), (None, "t", "a b 3"), (2, "u", "a b 3")], "input_id long, template_id string, content string")
+    anchors = spark.createDataFrame([("t", "a b"), ("t", "b c"), ("t", "b"), ("t", "x")], "template_id string, anchor string")
+    hits = A.anchor_hits(inputs, anchors)
+    got = sorted((r.line_no, r.pos, r.n, r.label, r.next_pos, r.below) for r in hits.collect())
+    assert got == [(0, 1, 2, "a b", 4, 1), (0, 4, 2, "a b", None, 1), (1, 1, 1, "x", 3, 1), (1, 3, 2, "a b", None, 1), (2, 1, 1, "b", None, None)]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString().split("label#")[0]
+    assert "Window" not in plan.split("Join")[0]
