@@ -2,9 +2,10 @@
 
 analyse -> draft -> up to ``max_retries`` x (test -> commit | reflect).
 Each round is one Spark job over *all* templates still unresolved; the
-rule bank of a round is checkpointed to the shared folder, so lineage never
-grows across rounds.  The only driver loop is over rounds (<= 5), and the
-only per-round driver action is one count of unresolved templates.
+rule bank of a round and what its test misses are stored in the shared folder,
+so lineage never grows across rounds and the samples are tested once a round.
+The only driver loop is over rounds (<= 5), and the only per-round driver action
+is one count of unresolved templates.
 
 Hooks (H2-H5) are DataFrame -> DataFrame functions:
   analyse(samples, schema) -> field specs (template_id, field, anchor)
@@ -24,7 +25,13 @@ from refbank.functions import scalars as S
 from refbank.operators import actions as A
 from refbank.operators import extract as E
 from refbank.operators import lifecycle as L
-from refbank.session import checkpoint_dir
+from refbank.session import checkpoint_dir, scratch_path
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass
@@ -107,7 +114,7 @@ def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, test
         action = F.when(F.col("anchor").isNotNull(), A.AFTER_ANCHOR).otherwise("semantic_extract")
         rules = (L.add_rules(specs.withColumn("input_type", F.lit("md")), base, action, 0.5, as_of)
                  .withColumn("cand", F.lit(0)))
-    rules = rules.checkpoint()
+    rules = _stored(rules, "learn-rules")
     status = samples.select("template_id").distinct().withColumn("status", F.lit("reflected")) \
         .withColumn("attempts", F.lit(0))
     open_tpl = samples.select("template_id").distinct()
@@ -116,6 +123,11 @@ def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, test
         todo_rules = rules.join(open_tpl, "template_id", "left_semi")
         missing = tester(samples.join(open_tpl, "template_id", "left_semi"), todo_rules,
                          schema.join(open_tpl, "template_id", "left_semi"))
+        # the test reads every open sample: its outcome is stored, and read below.  Only a
+        # given H5 asks which samples failed
+        if reflect is None:
+            missing = missing.select("template_id", "field").distinct()
+        missing = _stored(missing, "learn-missing")
         failing = missing.select("template_id").distinct()
         committed = open_tpl.join(failing, "template_id", "left_anti")
         done.append(committed.withColumn("status", F.lit("committed")).withColumn("attempts", F.lit(attempt)))
@@ -139,8 +151,8 @@ def learn_cycle(spark: SparkSession, samples: DataFrame, schema: DataFrame, test
         else:
             repairs = L.add_rules(miss_f, ids, "retry_extract", 0.6, as_of).join(
                 miss_f.select("template_id", "field", "cand"), ["template_id", "field"])
-        rules = rules.unionByName(repairs.select(*rules.columns)).checkpoint()
-        open_tpl = failing.checkpoint()
+        rules = _stored(rules.unionByName(repairs.select(*rules.columns)), "learn-rules")
+        open_tpl = _stored(failing, "learn-open")
         if open_tpl.isEmpty():
             break
     finished = done[0]
