@@ -138,3 +138,15 @@ def test_layout_search_against_all_pairs(spark):
     got = {(r.x, r.y): r.score for r in LS.compatible_layouts(cells).collect()}
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-3 for p in want) and len(want) > 5
     assert LS.compatible_layouts(cells.limit(0)).collect() == []
+
+
+def test_profile_is_over_the_ordered_sequence_of_sheets_and_cells(spark):
+    import hashlib
+
+    c = spark.createDataFrame([(1, "T", 2, 10, "d"), (1, "T", 2, 9, "c"), (1, "S", 11, 2, "b"), (1, "S", 2, 2, " a ")], CELLS)
+    framed = lambda *xs: "".join(f"{len(str(x))}:{x}" for x in xs)
+    digest = {r.sheet: r.occupied_digest for r in LY.sheet_layout(c).collect()}
+    sheets = ";".join([framed("S", 11, 2, 2, 11, 2, 2, 2, digest["S"]), framed("T", 2, 10, 2, 2, 9, 10, 2, digest["T"])])
+    cells = "".join(hashlib.md5(framed(*x).encode()).hexdigest() for x in (("S", "B2", "a"), ("S", "B11", "b"), ("T", "I2", "c"), ("T", "J2", "d")))
+    got = LY.template_profile(c.repartition(3)).first()
+    assert got.signature == hashlib.sha256(f"{sheets}#{cells}".encode()).hexdigest() and got.n_hashed == 4
