@@ -127,6 +127,9 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     the key with two bits masked.  Both keys are lossless, so the size only
     decides which one a bucket uses.  What remains in a finer bucket agrees in
     about 36 of 64 bits, and pairs beyond the budgets go before they are kept.
+
+    All joins are merges.  A fingerprint has dozens of keys, and Spark takes a
+    table for no larger after an explode: it would broadcast them.
     """
     if max_bits < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
@@ -145,7 +148,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
     def pairs(left: DataFrame, on: list[str]) -> DataFrame:
         right = left.select(F.col("fp").alias("fp2"), *on)
-        return left.join(right, on).where("fp < fp2")
+        return left.join(right.hint("merge"), on).where("fp < fp2")
 
     def checked(df: DataFrame) -> DataFrame:
         chain = " ".join(f"WHEN {at} = {i} THEN {_least_mask(diffs[(i + 1) % m], mask, 1)} AND "
@@ -158,7 +161,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.repartition(tasks, "fp").selectExpr("fp", f"explode(array({', '.join(keys)})) AS key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = store(keyed.join(sizes, "key"), "simhash-buckets")
+    shared = store(keyed.join(sizes.hint("merge"), "key"), "simhash-buckets")
     out = checked(pairs(shared.where(F.col("n") <= DENSE).select("fp", "key"), ["key"]))
     dense = shared.where(F.col("n") > DENSE).select("fp", "key")
     if 3 * max_bits // m != 2:
