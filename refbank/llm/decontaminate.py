@@ -125,7 +125,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
              .agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("k1", "k2", "item", "k", "n"))
     pairs = store(pairs, "bench-pairs")
     starts = (pairs.join(item.select("item", F.explode(F.array_distinct("sh")).alias("h")), "item")
-              .join(hits.select("k1", "k2", "k", "pos", "h"), ["k1", "k2", "k", "h"])
+              .join(hits.select("k1", "k2", "k", "pos", "h").hint("merge"), ["k1", "k2", "k", "h"])  # an item's shingles are more than Spark takes them for
               .select("k1", "k2", "k", "n", "pos").distinct()
               .groupBy("k1", "k2", "k", "n").agg(F.collect_list("pos").alias("at")))  # positions in one document
     wanted = store(starts, "bench-starts")
@@ -153,7 +153,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
     best = F.max_by(F.struct("doc_id", "item_id", "similarity", "start", "n_words"), F.struct(F.col("similarity"), -F.col("start"))).alias("b")
 
     def verified(cand: DataFrame) -> DataFrame:
-        scored = cand.join(windows, key).join(own, "item").withColumn("both", both).withColumn(
+        # overlapping windows take far less room in a file than in memory: never broadcast
+        scored = cand.join(windows.hint("merge"), key).join(own, "item").withColumn("both", both).withColumn(
             "similarity", F.col("both") / (F.size("win") + F.size("sh") - F.col("both"))).where(F.col("similarity") >= threshold)
         return scored.groupBy("k1", "k2", "item").agg(best)
 
